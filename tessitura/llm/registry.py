@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 from tessitura.llm.bpe import op1_bpe
+from tessitura.llm.langid import op4_language_id
 from tessitura.llm.media import op9_media
 from tessitura.llm.sharding import op3_sharding
+from tessitura.llm.simhash import op10_simhash
 
 QUERIES = {
     "op1_bpe": op1_bpe,
     "op3_sharding": op3_sharding,
+    "op4_language_id": op4_language_id,
     "op9_media": op9_media,
+    "op10_simhash": op10_simhash,
 }
 
 ORACLES: dict[str, str] = {}
