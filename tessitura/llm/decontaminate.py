@@ -38,7 +38,7 @@ def words_of(text: Column) -> Column:
 
 def shingles_of(words: Column, width: int) -> Column:
     """All runs of ``width`` words, in order: element i starts at word i."""
-    return F.regexp_extract_all(words, F.lit(rf"(?=(\S+{r' \S+' * (width - 1)}))\S+"), F.lit(1))
+    return F.regexp_extract_all(words, F.lit(rf"(?<!\S)(?=(\S+{r' \S+' * (width - 1)}))\S+"), F.lit(1))
 
 
 def hashes_of(shingles: Column) -> Column:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from tessitura.llm.bpe import op1_bpe
+from tessitura.llm.decontaminate import op2_decontaminate
 from tessitura.llm.langid import op4_language_id
 from tessitura.llm.media import op9_media
 from tessitura.llm.sharding import op3_sharding
@@ -10,6 +11,7 @@ from tessitura.llm.simhash import op10_simhash
 
 QUERIES = {
     "op1_bpe": op1_bpe,
+    "op2_decontaminate": op2_decontaminate,
     "op3_sharding": op3_sharding,
     "op4_language_id": op4_language_id,
     "op9_media": op9_media,
