@@ -6,14 +6,18 @@ from tessitura.llm.bpe import op1_bpe
 from tessitura.llm.decontaminate import op2_decontaminate
 from tessitura.llm.langid import op4_language_id
 from tessitura.llm.media import op9_media
+from tessitura.llm.pii import op6_pii
 from tessitura.llm.sharding import op3_sharding
 from tessitura.llm.simhash import op10_simhash
+from tessitura.llm.suffixes import op8_repeats
 
 QUERIES = {
     "op1_bpe": op1_bpe,
     "op2_decontaminate": op2_decontaminate,
     "op3_sharding": op3_sharding,
     "op4_language_id": op4_language_id,
+    "op6_pii": op6_pii,
+    "op8_repeats": op8_repeats,
     "op9_media": op9_media,
     "op10_simhash": op10_simhash,
 }
