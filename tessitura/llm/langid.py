@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import sys
 from collections import defaultdict
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +27,8 @@ from tessitura.llm.common import map_batches, table
 PROFILE = 400
 UNKNOWN = "und"
 BLANK = 32
+#: Code points of a text that are looked at together.
+AT_ONCE = 1 << 18
 _lowered: np.ndarray | None = None
 
 
@@ -42,25 +45,45 @@ def lowered() -> np.ndarray:
     return _lowered
 
 
-def letters(text: str | None) -> np.ndarray:
-    """The text's letters in lower case with single blanks between and around words; empty if it has none."""
-    points = np.frombuffer((text or "").encode("utf-32-le", "surrogatepass"), np.uint32)
-    low = np.concatenate(([BLANK], lowered()[points], [BLANK]))
-    blank = low == BLANK
-    keep = np.ones(len(low), bool)
-    keep[1:] = ~(blank[1:] & blank[:-1])
-    low = low[keep]
-    return low if len(low) > 2 else low[:0]
+def slices(text: str | None) -> Iterator[np.ndarray]:
+    """The text's code points, lower-cased and with blanks for all but letters, in slices of bounded size; a blank comes last."""
+    text = text or ""
+    for start in range(0, len(text) + 1, AT_ONCE):
+        points = np.frombuffer(text[start : start + AT_ONCE].encode("utf-32-le", "surrogatepass"), np.uint32)
+        low = lowered()[points]
+        yield np.append(low, BLANK) if start + AT_ONCE > len(text) else low
 
 
-def ngrams(low: np.ndarray) -> np.ndarray:
-    """All n-grams of one to three characters but those with a blank inside or alone."""
-    if not len(low):
-        return low
-    blank = low == BLANK
-    two = low[:-1] << 21 | low[1:]
-    three = low[:-2] << 42 | low[1:-1] << 21 | low[2:]
-    return np.concatenate((low[~blank], two, three[~blank[1:-1]]))
+def ngrams(parts: Iterable[np.ndarray]) -> Iterator[np.ndarray]:
+    """Slice by slice all n-grams of one to three characters but those with a blank inside or alone."""
+    before = np.array([BLANK], np.int64)
+    for part in parts:
+        low = np.concatenate((before, part))
+        blank = low == BLANK
+        low = low[np.concatenate(([True], ~(blank[1:] & blank[:-1])))]
+        blank, known = low == BLANK, min(len(before), len(low))
+        one, two, three = low[known:], low[:-1] << 21 | low[1:], low[:-2] << 42 | low[1:-1] << 21 | low[2:]
+        yield np.concatenate((one[~blank[known:]], two[known - 1 :], three[~blank[1:-1]]))
+        before = low[-2:]
+
+
+def counted(parts: Iterable[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct numbers, sorted, and how often each occurs; what is counted is merged whenever it has grown."""
+    grams, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    held: list[np.ndarray] = []
+
+    def merge() -> tuple[np.ndarray, np.ndarray]:
+        new, n = np.unique(np.concatenate(held), return_counts=True)
+        if not len(grams):
+            return new, n
+        both, at = np.unique(np.concatenate((grams, new)), return_inverse=True)
+        return both, np.bincount(at, np.concatenate((counts, n))).astype(np.int64)
+
+    for part in parts:
+        held.append(part)
+        if sum(map(len, held)) > 3 * AT_ONCE:
+            (grams, counts), held = merge(), []
+    return merge() if held else (grams, counts)
 
 
 def ranked(grams: np.ndarray, counts: np.ndarray, size: int) -> np.ndarray:
@@ -69,8 +92,7 @@ def ranked(grams: np.ndarray, counts: np.ndarray, size: int) -> np.ndarray:
 
 
 def document_profile(text: str | None, size: int = PROFILE) -> np.ndarray:
-    grams, counts = np.unique(ngrams(letters(text)), return_counts=True)
-    return ranked(grams, counts, size)
+    return ranked(*counted(ngrams(slices(text))), size)
 
 
 class Profiles:
@@ -108,10 +130,10 @@ def train_profiles(df: DataFrame, text_col: str = "text", lang_col: str = "lang"
     """
 
     def count(batch: pa.RecordBatch) -> pa.RecordBatch | None:
-        by: dict[str, list[np.ndarray]] = defaultdict(list)
+        by: dict[str, list[str]] = defaultdict(list)
         for text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            by[lang].append(letters(text))
-        parts = {k: np.unique(ngrams(np.concatenate(v)), return_counts=True) for k, v in by.items()}
+            by[lang].append(text)
+        parts = {k: counted(g for text in v for g in ngrams(slices(text))) for k, v in by.items()}
         parts = {k: v for k, v in parts.items() if len(v[0])}
         if not parts:
             return None
@@ -120,8 +142,6 @@ def train_profiles(df: DataFrame, text_col: str = "text", lang_col: str = "lang"
 
     known = df.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(text_col, F.col(lang_col).cast("string").alias("lang"))
     counts = map_batches(known, count, "lang string, gram bigint, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    # a joint of two texts is a blank pair, never an n-gram across them; it is left out here
-    counts = counts.where(F.col("gram") != BLANK << 21 | BLANK)
     order = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
     top = counts.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= size)
     out: dict[str, list[int]] = defaultdict(list)
