@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from tessitura.llm.common import map_batches, table, text_bytes
 
-LENGTH, GRAM = 100, 32
+LENGTH, GRAM = 100, 50
 #: Strings of a text that are looked at together.
 PIECE = 1 << 20
 #: log2 of the bits of the map of repeated anchors.
@@ -43,11 +43,12 @@ BASE, MIX = 0x9E3779B97F4A7C15, np.uint64(0xBF58476D1CE4E5B9)
 
 
 def gram_hashes(data: np.ndarray, width: int) -> np.ndarray:
-    """64-bit hashes of all pieces of ``width`` bytes (a power of two), by doubling."""
+    """64-bit hashes of all pieces of ``width`` bytes, by doubling; the last step joins two pieces that may overlap."""
     h, k = data.astype(np.uint64) + np.uint64(1), 1
     while k < width:
-        h = h[:-k] * np.uint64(pow(BASE, k, 1 << 64)) + h[k:]
-        k *= 2
+        step = min(k, width - k)
+        h = h[:-step] * np.uint64(pow(BASE, k, 1 << 64)) + h[step:]
+        k += step
     h ^= h >> np.uint64(31)
     h *= MIX
     h ^= h >> np.uint64(29)
@@ -175,21 +176,12 @@ def merged(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return starts[fresh], ends[np.append(fresh[1:], len(starts)) - 1]
 
 
-MARKS = "doc bigint, version bigint, marks binary"
-MARK_SCHEMA = pa.schema([("doc", pa.int64()), ("version", pa.int64()), ("marks", pa.binary())])
-
-
-def packed(marks: dict[tuple[int, int], list[tuple[int, int]]]) -> list[tuple[int, int, bytes]]:
-    """Marked byte intervals by document, merged, as pairs of 64-bit numbers."""
-    out = []
-    for (doc, version), own in marks.items():
-        pairs = np.array(own, np.int64)
-        out.append((doc, version, np.stack(merged(pairs[:, 0], pairs[:, 1]), axis=1).tobytes()))
-    return out
+MARKS = "doc bigint, version bigint, start bigint, end bigint"
+MARK_SCHEMA = pa.schema([("doc", pa.int64()), ("version", pa.int64()), ("start", pa.int64()), ("end", pa.int64())])
 
 
 def batch_contexts(rows: Iterator[tuple[int, int, bytes]], repeated: np.ndarray, length: int) -> list[tuple]:
-    """(anchor, doc, version, first, context) of every distinct context of a batch, and (its own number, doc, version, None, marks) for what is marked already."""
+    """(anchor, doc, version, first, None, context) of every distinct context of a batch, and (any number, doc, version, start, end, None) for what is marked already."""
     seen: dict[tuple[int, bytes], tuple[int, int, int]] = {}
     marks: dict[tuple[int, int], list[tuple[int, int]]] = {}
     shift = np.uint64(64 - FILTER_BITS)
@@ -202,15 +194,17 @@ def batch_contexts(rows: Iterator[tuple[int, int, bytes]], repeated: np.ndarray,
                 was = seen.setdefault((a, context), (doc, version, p))
                 if was != (doc, version, p):
                     marks.setdefault((doc, version), []).append((p, q + length))
-    out = [(a, *key, c) for (a, c), key in seen.items()]
-    out += [(version, doc, version, None, m) for doc, version, m in packed(marks)]
+    out = [(a, *key, None, c) for (a, c), key in seen.items()]
+    for (doc, version), own in marks.items():
+        starts, ends = merged(*np.array(own, np.int64).T)
+        out += [(version, doc, version, a, b, None) for a, b in zip(starts.tolist(), ends.tolist())]
     return out
 
 
-def index_contexts(rows: list[tuple[int, int, int, int, bytes]], length: int) -> list[tuple[int, int, bytes]]:
-    """The marks among complete anchors' contexts (anchor, doc, version, first, context), sorted."""
-    marks: dict[tuple[int, int], list[tuple[int, int]]] = {}
-    distinct: list[tuple[int, int, int, int, bytes]] = []
+def index_contexts(rows: list[tuple], length: int) -> list[tuple[int, int, int, int]]:
+    """The marks (doc, version, start, end) among complete anchors' contexts (anchor, doc, version, first, None, context), sorted."""
+    marks: list[tuple[int, int, int, int]] = []
+    distinct: list[tuple] = []
     start = 0
     for end in range(1, len(rows) + 1):
         if end < len(rows) and rows[end][0] == rows[start][0]:
@@ -218,17 +212,17 @@ def index_contexts(rows: list[tuple[int, int, int, int, bytes]], length: int) ->
         if end - start > 1:
             seen: dict[bytes, tuple] = {}
             for r in rows[start:end]:
-                was = seen.setdefault(r[4], r)
+                was = seen.setdefault(r[5], r)
                 if was[1:4] != r[1:4]:
-                    marks.setdefault(r[1:3], []).append((r[3], r[3] + len(r[4])))
+                    marks.append((*r[1:4], r[3] + len(r[5])))
             if len(seen) > 1:
                 distinct += seen.values()
         start = end
     if distinct:
         mark = bytes([BETWEEN])
-        text = np.frombuffer(mark.join(r[4] for r in distinct) + mark, np.uint8)
+        text = np.frombuffer(mark.join(r[5] for r in distinct) + mark, np.uint8)
         again = RunLengthIndex(text).repeats(length)
-        sizes = np.array([len(r[4]) + 1 for r in distinct])
+        sizes = np.array([len(r[5]) + 1 for r in distinct])
         begins = np.cumsum(sizes) - sizes
         step = np.zeros(len(text) + 1, np.int64)  # positions where a string of the context starts
         np.add.at(step, begins, 1)
@@ -237,9 +231,9 @@ def index_contexts(rows: list[tuple[int, int, int, int, bytes]], length: int) ->
         a, b = intervals(again & inside)
         owner = np.searchsorted(begins, a, side="right") - 1
         for i, s, e in zip(owner.tolist(), (a - begins[owner]).tolist(), (b - begins[owner]).tolist()):
-            _, doc, version, first, _ = distinct[i]
-            marks.setdefault((doc, version), []).append((first + s, first + e - 1 + length))
-    return packed(marks)
+            _, doc, version, first, _, _ = distinct[i]
+            marks.append((doc, version, first + s, first + e - 1 + length))
+    return marks
 
 
 def remove_repeats(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", length: int = LENGTH, keep_text: bool = False) -> DataFrame:
@@ -273,43 +267,45 @@ def remove_repeats(df: DataFrame, text_col: str = "text", id_col: str = "doc_id"
     def contexts(batch: pa.RecordBatch) -> pa.RecordBatch:
         rows = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), text_bytes(batch.column(2)))
         out = batch_contexts([r for r in rows if r[2] and len(r[2]) >= length], shared.value, length)
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
-        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], ["anchor", "doc", "version", "first", "bytes"])
+        kinds = (*[pa.int64()] * 5, pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], ["anchor", "doc", "version", "first", "end", "bytes"])
 
-    dealt = map_batches(docs.select("doc", "version", "text"), contexts, "anchor bigint, doc bigint, version bigint, first bigint, bytes binary")
+    dealt = map_batches(docs.select("doc", "version", "text"), contexts, "anchor bigint, doc bigint, version bigint, first bigint, end bigint, bytes binary")
     dealt = dealt.repartition("anchor").sortWithinPartitions("anchor", "doc", "version", "first")
 
     def indexed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def told(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
+        def told(rows: list[tuple[int, int, int, int]]) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(MARK_SCHEMA)], schema=MARK_SCHEMA)
 
         held: list[tuple] = []
         size = 0
         for batch in batches:
             rows = list(zip(*(c.to_pylist() for c in batch.columns)))
-            yield told([(r[1], r[2], r[4]) for r in rows if r[3] is None])
+            yield told([r[1:5] for r in rows if r[5] is None])
             for r in rows:
-                if r[3] is None:
+                if r[5] is None:
                     continue
                 if size >= INDEXED and held[-1][0] != r[0]:
                     yield told(index_contexts(held, length))
                     held, size = [], 0
                 held.append(r)
-                size += len(r[4])
+                size += len(r[5])
         if held:
             yield told(index_contexts(held, length))
 
-    marks = dealt.mapInArrow(indexed, MARKS).groupBy("doc", "version").agg(F.collect_list("marks").alias("marks"))
+    marks = dealt.mapInArrow(indexed, MARKS).groupBy("doc", "version").agg(F.collect_list(F.struct("start", "end")).alias("marks"))
     id_type = df.schema[id_col].dataType.simpleString()
 
     def finished(batch: pa.RecordBatch) -> pa.RecordBatch:
         rows = []
-        for text, own in zip(text_bytes(batch.column(1)), batch.column(2).to_pylist()):
-            text = text or b""
-            pairs = np.frombuffer(b"".join(own or []), np.int64).reshape(-1, 2)
-            starts, ends = merged(pairs[:, 0], pairs[:, 1]) if len(pairs) else (np.zeros(0, np.int64),) * 2
-            cuts = [0, *np.stack((starts, ends), axis=1).reshape(-1).tolist(), len(text)]
-            kept = b"".join(text[a:b] for a, b in zip(cuts[::2], cuts[1::2]))
+        lists = batch.column(2)
+        fields = lists.values.flatten()
+        starts_all, ends_all, cut = fields[0].to_numpy(), fields[1].to_numpy(), lists.offsets.to_numpy()
+        for i, text in enumerate(text_bytes(batch.column(1))):
+            text, a, b = text or b"", cut[i], cut[i + 1]
+            starts, ends = merged(starts_all[a:b], ends_all[a:b]) if b > a else (np.zeros(0, np.int64),) * 2
+            at = [0, *np.stack((starts, ends), axis=1).reshape(-1).tolist(), len(text)]
+            kept = b"".join(text[a:b] for a, b in zip(at[::2], at[1::2]))
             rows.append((len(text), len(text) - len(kept), len(starts), hashlib.sha256(kept).hexdigest(), kept))
         kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())
         names = ["n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]
