@@ -1,14 +1,18 @@
 """Removal of repeated byte strings with a run-length index over the repetitive part of a corpus.
 
-A byte is removed if it lies in a string of ``length`` bytes that also starts earlier. Every such string has
-an *anchor*, its smallest ``GRAM``-byte piece by hash (the last of equals). Equal strings have equal anchors
-at equal places, so all occurrences of a string are found among the occurrences of its anchor.
-
-1. Anchors are counted over the corpus. A bit map of those that occur again, of fixed size, goes to all
-   executors. It only thins out what is dealt: a bit that is set by chance costs rows, never a result.
-2. For each anchor that may repeat, a document gives its *context*, the bytes of all strings with this anchor.
-   Contexts that are equal within a batch are combined before the shuffle: all but the first are marked.
-3. Contexts are dealt by anchor. Each task joins the distinct contexts of its anchors to texts of bounded size,
+A byte is removed if it lies in a string of ``length`` bytes that also starts earlier. Two things keep what is
+dealt between executors small, and neither changes a result.
+
+*Chunks.* Texts are cut at content-defined places, about every 512 bytes. If a chunk and the ``length - 1`` bytes after
+it are also found earlier, all strings that start in it repeat, and later copies need no closer look: the first
+occurrence stands for them. *Anchors.* A string's anchor is its smallest ``GRAM``-byte piece by hash (the last of equals).
+Equal strings have equal anchors at equal places, so all occurrences of a string are found among those of its anchor.
+
+1. Chunks are grouped by a 128-bit hash, and the first occurrence of each is entered in a bit map of fixed size. A
+   chunk whose bit is not set is a later copy. A bit that is set by chance only costs a closer look.
+2. Anchors of the strings in first chunks are counted; those that occur again are entered in another map.
+3. For each anchor that may repeat, a document gives its *context*, the bytes of all strings with this anchor.
+   Contexts are dealt by anchor. Each task joins the distinct contexts of its anchors to texts of bounded size,
    builds the run-length index of each, streams matching statistics and marks the long matches.
 4. The marked strings of a document meet its text.
 
@@ -21,19 +25,23 @@ text streams the matching statistics. Suffixes that agree on ``length`` bytes ar
 from __future__ import annotations
 
 import hashlib
+import struct
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessitura.llm.common import map_batches, table, text_bytes
 
-LENGTH, GRAM = 100, 50
+LENGTH, GRAM = 100, 32
+#: Bytes of a chunk on average (a power of two), and of the pieces whose hashes end it.
+CHUNK, CHUNK_GRAM = 512, 16
 #: Strings of a text that are looked at together.
 PIECE = 1 << 20
-#: log2 of the bits of the map of repeated anchors.
+#: log2 of the bits of the maps of first chunks and of repeated anchors.
 FILTER_BITS = 28
 #: Bytes of contexts that one index covers, unless a single anchor has more.
 INDEXED = 6 << 20
@@ -80,6 +88,54 @@ def anchors(text: bytes, length: int = LENGTH) -> Iterator[tuple[np.ndarray, np.
         yield h[at[first]].view(np.int64), first + start, last + start
 
 
+def chunks(text: bytes, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
+    """Where chunks start, and where the last string that starts in each does (exclusive)."""
+    strings = len(text) - length + 1
+    starts = [np.zeros(1, np.int64)]
+    for start in range(0, strings, PIECE):
+        data = np.frombuffer(text, np.uint8, min(PIECE, strings - start) + CHUNK_GRAM - 1, start)
+        found = np.flatnonzero(gram_hashes(data, CHUNK_GRAM) >> np.uint64(20) & np.uint64(CHUNK - 1) == 0) + start
+        starts.append(found[found > 0])
+    out = np.concatenate(starts)
+    return out, np.append(out[1:], strings)
+
+
+def chunk_keys(doc: int, version: int, text: bytes, length: int = LENGTH) -> Iterator[tuple[int, int, int, int, int]]:
+    """(start, end, hash, hash, own number) of each chunk; the hashes cover all bytes of the strings that start in it."""
+    for a, b in zip(*(x.tolist() for x in chunks(text, length))):
+        digest = xxhash.xxh3_128_digest(text[a : b + length - 1])
+        high, low = struct.unpack(">qq", digest)
+        yield a, b, high, low, xxhash.xxh64_intdigest(digest + struct.pack(">qqq", doc, version, a)) - (1 << 63)
+
+
+def has_bit(bits: np.ndarray, key: int) -> bool:
+    at = (key & 0xFFFFFFFFFFFFFFFF) >> 64 - FILTER_BITS
+    return bool(int(bits[at >> 6]) >> (at & 63) & 1)
+
+
+def first_chunks(doc: int, version: int, text: bytes, firsts: np.ndarray, length: int = LENGTH) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
+    """The (start, end) of a text's chunks that may be first occurrences, and of those that are certainly later copies."""
+    kept: list[tuple[int, int]] = []
+    copies: list[tuple[int, int]] = []
+    for a, b, _, _, own in chunk_keys(doc, version, text, length):
+        (kept if has_bit(firsts, own) else copies).append((a, b))
+    return kept, copies
+
+
+def anchors_within(text: bytes, kept: list[tuple[int, int]], length: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """``anchors`` of the strings that start in the kept chunks; an anchor of strings in several is given for each run of them."""
+    if not kept:
+        return
+    starts, ends = merged(*np.array(kept, np.int64).T)
+    for h, first, last in anchors(text, length):
+        # runs of kept chunks that each anchor's strings reach
+        lo, hi = np.searchsorted(ends, first, side="right"), np.searchsorted(starts, last, side="right")
+        n = np.maximum(hi - lo, 0)
+        owner = np.repeat(np.arange(len(h)), n)
+        run = np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n) + lo[owner]
+        yield h[owner], np.maximum(first[owner], starts[run]), np.minimum(last[owner], ends[run] - 1)
+
+
 class RunLengthIndex:
     """The run-compressed Burrows-Wheeler transform of strings that each end in BETWEEN, with the suffixes at the ends of its runs.
 
@@ -180,13 +236,13 @@ MARKS = "doc bigint, version bigint, start bigint, end bigint"
 MARK_SCHEMA = pa.schema([("doc", pa.int64()), ("version", pa.int64()), ("start", pa.int64()), ("end", pa.int64())])
 
 
-def batch_contexts(rows: Iterator[tuple[int, int, bytes]], repeated: np.ndarray, length: int) -> list[tuple]:
+def batch_contexts(rows: Iterator[tuple[int, int, bytes]], firsts: np.ndarray, repeated: np.ndarray, length: int) -> list[tuple]:
     """(anchor, doc, version, first, None, context) of every distinct context of a batch, and (any number, doc, version, start, end, None) for what is marked already."""
     seen: dict[tuple[int, bytes], tuple[int, int, int]] = {}
     marks: dict[tuple[int, int], list[tuple[int, int]]] = {}
     shift = np.uint64(64 - FILTER_BITS)
     for doc, version, text in sorted(rows, key=lambda r: r[:2]):
-        for h, first, last in anchors(text, length):
+        for h, first, last in anchors_within(text, first_chunks(doc, version, text, firsts, length)[0], length):
             bit = h.view(np.uint64) >> shift
             keep = np.flatnonzero(repeated[bit >> np.uint64(6)] >> (bit & np.uint64(63)) & np.uint64(1))
             for a, p, q in zip(h[keep].tolist(), first[keep].tolist(), last[keep].tolist()):
@@ -236,6 +292,16 @@ def index_contexts(rows: list[tuple], length: int) -> list[tuple[int, int, int,
     return marks
 
 
+def bit_map(df: DataFrame, key: str) -> np.ndarray:
+    """The map with the bits of all numbers in column ``key``, of fixed size whatever their count."""
+    bit = F.shiftrightunsigned(key, 64 - FILTER_BITS)
+    mask = F.call_function("shiftleft", F.lit(1).cast("long"), bit.bitwiseAND(F.lit(63).cast("long")).cast("int"))
+    words = df.groupBy(F.shiftrightunsigned(bit, 6).alias("word")).agg(F.bit_or(mask).alias("bits")).toArrow()
+    out = np.zeros(1 << (FILTER_BITS - 6), np.uint64)
+    out[words.column("word").to_numpy()] = words.column("bits").to_numpy().view(np.uint64)
+    return out
+
+
 def remove_repeats(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", length: int = LENGTH, keep_text: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of every row, and ``kept`` (binary) if asked.
 
@@ -248,29 +314,42 @@ def remove_repeats(df: DataFrame, text_col: str = "text", id_col: str = "doc_id"
     version = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
     docs = df.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("doc"), version.alias("version"), F.col(text_col).alias("text"))
 
+    def long_texts(batch: pa.RecordBatch) -> list[tuple[int, int, bytes]]:
+        rows = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), text_bytes(batch.column(2)))
+        return [r for r in rows if r[2] and len(r[2]) >= length]
+
+    def chunked(batch: pa.RecordBatch) -> pa.RecordBatch:
+        best: dict[tuple[int, int], tuple[int, int, int, int]] = {}
+        for doc, version, text in long_texts(batch):
+            for a, _, high, low, own in chunk_keys(doc, version, text, length):
+                key, row = (high, low), (doc, version, a, own)
+                if key not in best or row < best[key]:
+                    best[key] = row
+        rows = [(*k, *v) for k, v in best.items()]
+        names = ["high", "low", "doc", "version", "start", "own"]
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in range(6)], names)
+
+    source = docs.select("doc", "version", "text")
+    found = map_batches(source, chunked, "high bigint, low bigint, doc bigint, version bigint, start bigint, own bigint")
+    earliest = found.groupBy("high", "low").agg(F.min(F.struct("doc", "version", "start", "own")).alias("first"))
+    firsts = spark.sparkContext.broadcast(bit_map(earliest.select("first.own"), "own"))
+
     def counted(batch: pa.RecordBatch) -> pa.RecordBatch | None:
-        parts = [h for b in text_bytes(batch.column(0)) if b for h, _, _ in anchors(b, length)]
+        parts = [h for doc, version, text in long_texts(batch) for h, _, _ in anchors_within(text, first_chunks(doc, version, text, firsts.value, length)[0], length)]
         if not parts:
             return None
         h, n = np.unique(np.concatenate(parts), return_counts=True)
         return pa.RecordBatch.from_arrays([pa.array(h), pa.array(np.minimum(n, 2).astype(np.int32))], ["anchor", "n"])
 
-    # one document is looked at once, however often its row is repeated, and so are its own repeats
-    again = map_batches(docs.select("text"), counted, "anchor bigint, n int").groupBy("anchor").agg(F.sum("n").alias("n")).where("n > 1")
-    bit = F.shiftrightunsigned("anchor", 64 - FILTER_BITS)
-    word = F.call_function("shiftleft", F.lit(1).cast("long"), bit.bitwiseAND(F.lit(63).cast("long")).cast("int"))
-    words = again.groupBy(F.shiftrightunsigned(bit, 6).alias("word")).agg(F.bit_or(word).alias("bits")).toArrow()  # a map of fixed size
-    repeated = np.zeros(1 << (FILTER_BITS - 6), np.uint64)
-    repeated[words.column("word").to_numpy()] = words.column("bits").to_numpy().view(np.uint64)
-    shared = spark.sparkContext.broadcast(repeated)
+    again = map_batches(source, counted, "anchor bigint, n int").groupBy("anchor").agg(F.sum("n").alias("n")).where("n > 1")
+    repeated = spark.sparkContext.broadcast(bit_map(again, "anchor"))
 
     def contexts(batch: pa.RecordBatch) -> pa.RecordBatch:
-        rows = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), text_bytes(batch.column(2)))
-        out = batch_contexts([r for r in rows if r[2] and len(r[2]) >= length], shared.value, length)
+        out = batch_contexts(long_texts(batch), firsts.value, repeated.value, length)
         kinds = (*[pa.int64()] * 5, pa.binary())
         return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], ["anchor", "doc", "version", "first", "end", "bytes"])
 
-    dealt = map_batches(docs.select("doc", "version", "text"), contexts, "anchor bigint, doc bigint, version bigint, first bigint, end bigint, bytes binary")
+    dealt = map_batches(source, contexts, "anchor bigint, doc bigint, version bigint, first bigint, end bigint, bytes binary")
     dealt = dealt.repartition("anchor").sortWithinPartitions("anchor", "doc", "version", "first")
 
     def indexed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -298,12 +377,15 @@ def remove_repeats(df: DataFrame, text_col: str = "text", id_col: str = "doc_id"
 
     def finished(batch: pa.RecordBatch) -> pa.RecordBatch:
         rows = []
-        lists = batch.column(2)
+        lists = batch.column(4)
         fields = lists.values.flatten()
         starts_all, ends_all, cut = fields[0].to_numpy(), fields[1].to_numpy(), lists.offsets.to_numpy()
-        for i, text in enumerate(text_bytes(batch.column(1))):
+        for i, (doc, version, text) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), text_bytes(batch.column(3)))):
             text, a, b = text or b"", cut[i], cut[i + 1]
-            starts, ends = merged(starts_all[a:b], ends_all[a:b]) if b > a else (np.zeros(0, np.int64),) * 2
+            copies = first_chunks(doc, version, text, firsts.value, length)[1] if len(text) >= length else []
+            more = np.array(copies, np.int64).reshape(-1, 2)
+            starts, ends = np.concatenate((starts_all[a:b], more[:, 0])), np.concatenate((ends_all[a:b], more[:, 1] + length - 1))
+            starts, ends = merged(starts, ends) if len(starts) else (starts, ends)
             at = [0, *np.stack((starts, ends), axis=1).reshape(-1).tolist(), len(text)]
             kept = b"".join(text[a:b] for a, b in zip(at[::2], at[1::2]))
             rows.append((len(text), len(text) - len(kept), len(starts), hashlib.sha256(kept).hexdigest(), kept))
@@ -312,7 +394,7 @@ def remove_repeats(df: DataFrame, text_col: str = "text", id_col: str = "doc_id"
         shown = 5 if keep_text else 4
         return pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([r[i] for r in rows], kinds[i]) for i in range(shown))], ["doc_id", *names[:shown]])
 
-    joined = docs.join(marks.hint("shuffle_hash"), ["doc", "version"], "left").select("doc_id", "text", "marks")
+    joined = docs.join(marks.hint("shuffle_hash"), ["doc", "version"], "left").select("doc_id", "doc", "version", "text", "marks")
     return map_batches(joined, finished, f"doc_id {id_type}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string" + ", kept binary" * keep_text)
 
 
