@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from tessitura.llm.bpe import op1_bpe
+from tessitura.llm.chat import OP5_SQL, op5_chat
 from tessitura.llm.decontaminate import op2_decontaminate
 from tessitura.llm.langid import op4_language_id
 from tessitura.llm.media import op9_media
+from tessitura.llm.pages import op7_pages
 from tessitura.llm.pii import op6_pii
 from tessitura.llm.sharding import op3_sharding
 from tessitura.llm.simhash import op10_simhash
@@ -16,10 +18,12 @@ QUERIES = {
     "op2_decontaminate": op2_decontaminate,
     "op3_sharding": op3_sharding,
     "op4_language_id": op4_language_id,
+    "op5_chat": op5_chat,
     "op6_pii": op6_pii,
+    "op7_pages": op7_pages,
     "op8_repeats": op8_repeats,
     "op9_media": op9_media,
     "op10_simhash": op10_simhash,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op5_chat": OP5_SQL}
