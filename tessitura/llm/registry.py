@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from tessitura.llm.bpe import op1_bpe
 from tessitura.llm.chat import OP5_SQL, op5_chat
 from tessitura.llm.decontaminate import op2_decontaminate
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_repeats": op8_repeats,
     "op9_media": op9_media,
     "op10_simhash": op10_simhash,
+    "pipeline": corpus_pipeline.run,
 }
 
 ORACLES: dict[str, str] = {"op5_chat": OP5_SQL}
