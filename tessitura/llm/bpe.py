@@ -29,7 +29,7 @@ PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}
 #: Characters that Python splits at and the normaliser doesn't take for white space.
 NOT_SPACE = re.compile("[\x1c-\x1f]")
 SPACE = regex.compile(r"[\t-\r \x85\xa0  -     　]+")
-CACHED_WORDS = 300_000
+CACHED_WORDS = 120_000
 
 _models: dict[str, BpeModel] = {}
 

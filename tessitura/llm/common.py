@@ -35,14 +35,16 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def map_batches(df: DataFrame, function: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
-    """Apply ``function`` to each Arrow batch; batches for which it returns None give no rows."""
+def map_batches(df: DataFrame, function: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str, rows: int | None = 1024) -> DataFrame:
+    """Apply ``function`` to Arrow batches of at most ``rows`` rows (None: as Spark cuts them); where it returns None there are no rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = function(batch)
-            if out is not None:
-                yield out
+            size = rows or max(batch.num_rows, 1)
+            for start in range(0, batch.num_rows, size):
+                out = function(batch.slice(start, size))
+                if out is not None:
+                    yield out
 
     return df.mapInArrow(run, schema)
 

@@ -141,7 +141,7 @@ def train_profiles(df: DataFrame, text_col: str = "text", lang_col: str = "lang"
         return pa.RecordBatch.from_arrays([names, pa.array(np.concatenate([v[0] for v in parts.values()])), pa.array(np.concatenate([v[1] for v in parts.values()]).astype(np.int64))], ["lang", "gram", "n"])
 
     known = df.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(text_col, F.col(lang_col).cast("string").alias("lang"))
-    counts = map_batches(known, count, "lang string, gram bigint, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    counts = map_batches(known, count, "lang string, gram bigint, n bigint", rows=None).groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     order = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
     top = counts.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= size)
     out: dict[str, list[int]] = defaultdict(list)

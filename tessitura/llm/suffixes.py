@@ -330,7 +330,7 @@ def remove_repeats(df: DataFrame, text_col: str = "text", id_col: str = "doc_id"
         return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in range(6)], names)
 
     source = docs.select("doc", "version", "text")
-    found = map_batches(source, chunked, "high bigint, low bigint, doc bigint, version bigint, start bigint, own bigint")
+    found = map_batches(source, chunked, "high bigint, low bigint, doc bigint, version bigint, start bigint, own bigint", rows=None)
     earliest = found.groupBy("high", "low").agg(F.min(F.struct("doc", "version", "start", "own")).alias("first"))
     firsts = spark.sparkContext.broadcast(bit_map(earliest.select("first.own"), "own"))
 
@@ -341,7 +341,7 @@ def remove_repeats(df: DataFrame, text_col: str = "text", id_col: str = "doc_id"
         h, n = np.unique(np.concatenate(parts), return_counts=True)
         return pa.RecordBatch.from_arrays([pa.array(h), pa.array(np.minimum(n, 2).astype(np.int32))], ["anchor", "n"])
 
-    again = map_batches(source, counted, "anchor bigint, n int").groupBy("anchor").agg(F.sum("n").alias("n")).where("n > 1")
+    again = map_batches(source, counted, "anchor bigint, n int", rows=None).groupBy("anchor").agg(F.sum("n").alias("n")).where("n > 1")
     repeated = spark.sparkContext.broadcast(bit_map(again, "anchor"))
 
     def contexts(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -349,7 +349,7 @@ def remove_repeats(df: DataFrame, text_col: str = "text", id_col: str = "doc_id"
         kinds = (*[pa.int64()] * 5, pa.binary())
         return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], ["anchor", "doc", "version", "first", "end", "bytes"])
 
-    dealt = map_batches(source, contexts, "anchor bigint, doc bigint, version bigint, first bigint, end bigint, bytes binary")
+    dealt = map_batches(source, contexts, "anchor bigint, doc bigint, version bigint, first bigint, end bigint, bytes binary", rows=None)
     dealt = dealt.repartition("anchor").sortWithinPartitions("anchor", "doc", "version", "first")
 
     def indexed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -378,7 +378,7 @@ def remove_repeats(df: DataFrame, text_col: str = "text", id_col: str = "doc_id"
     def finished(batch: pa.RecordBatch) -> pa.RecordBatch:
         rows = []
         lists = batch.column(4)
-        fields = lists.values.flatten()
+        fields = lists.values.flatten()  # of the whole batch; the offsets are those of the slice
         starts_all, ends_all, cut = fields[0].to_numpy(), fields[1].to_numpy(), lists.offsets.to_numpy()
         for i, (doc, version, text) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), text_bytes(batch.column(3)))):
             text, a, b = text or b"", cut[i], cut[i + 1]
