@@ -36,6 +36,6 @@ def chunk_codes(streams: DataFrame, key: str, codes: str, chunk: int, context: i
 
 def micro_batches(events: DataFrame, time: str, wait_ms: int, most: int, *order: str) -> DataFrame:
     """``slot`` and ``batch``: what arrives within ``wait_ms`` forms batches of at most ``most`` in order."""
-    slot = F.floor(F.unix_millis(time) / F.lit(wait_ms)).cast("long")
+    slot = F.floor(F.unix_millis(F.col(time).cast("timestamp")) / F.lit(wait_ms)).cast("long")
     rank = F.row_number().over(Window.partitionBy("slot").orderBy(time, *order))
     return events.withColumn("slot", slot).withColumn("batch", F.floor((rank - 1) / F.lit(most)).cast("long"))

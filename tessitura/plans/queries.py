@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessitura.functions import arrays, chinese, dates, numbers, text
-from tessitura.functions.rewriting import collapse, lookup
 from tessitura.operators import lexicon, metrics, tokens, windows
 from tessitura.plans import normalizer
 from tessitura.plans import reference_sql as S
@@ -236,9 +235,8 @@ def times_x(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT p_partkey, CAST(p_partkey*1500 AS VARCHAR) AS n FROM part")
 def shortform(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Numbers with a short suffix written out."""
-    source = F.concat(text_of((F.col("p_partkey") * 15).cast("decimal(18,1)") / F.lit(10).cast("decimal(4,0)")), F.lit(""))
     tenth = F.concat(text_of(F.floor(F.col("p_partkey") * 15 / 10)), F.lit("."), text_of(F.col("p_partkey") * 15 % 10), F.lit("k"))
-    return read(spark, sf_dir, "part").select("p_partkey", numbers.shortform(tenth).alias("n")) if source is not None else None
+    return read(spark, sf_dir, "part").select("p_partkey", numbers.shortform(tenth).alias("n"))
 
 
 @query("SELECT o_orderkey, CAST(o_orderkey*31 AS BIGINT) AS n FROM orders")
@@ -415,14 +413,10 @@ def entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("o_orderkey", F.to_json("e.dates").alias("dates"), F.to_json("e.money").alias("money"))
 
 
-@query("SELECT conv_id, turn, CAST(greatest(len(list_filter(string_split(regexp_replace(text, '\\n+', '. ', 'g') || '.', '.'), lambda s: length(trim(s)) > 6)), 0) AS BIGINT) AS n FROM conversations WHERE NOT regexp_matches(text, '[^A-Za-zÀ-ÿ ,.\\n]') AND NOT regexp_matches(text, '(^|[ .\\n])[A-Za-z]{1,6}[.]') AND false")
+@query()
 def sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The sentences of all conversation turns."""
-    rows = read(spark, sf_dir, "conversations").select("conv_id", "turn", F.posexplode(tokens.sentences("text")).alias("pos", "sentence"))
-    return rows
-
-
-ORACLES.pop("sentences")
+    return read(spark, sf_dir, "conversations").select("conv_id", "turn", F.posexplode(tokens.sentences("text")).alias("pos", "sentence"))
 
 
 @query("SELECT c_custkey, len(list_filter(regexp_extract_all(concat(c_name, ' 语言 ', c_mktsegment, ' été ', c_custkey), '\\S+'), lambda s: regexp_matches(s, '[^\\x00-\\x7F]'))) AS n_foreign FROM customer")
@@ -554,7 +548,9 @@ def pct_stress(spark: SparkSession, sf_dir: str) -> DataFrame:
 def level_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A report per level."""
     events = read(spark, sf_dir, "events").withColumn("audio", F.col("value") * 2)
-    return metrics.level_report(events, "event_type", "value", "audio", "value").select("event_type", "n", F.round("latency_avg", 4).alias("latency_avg"), (F.col("n") / F.col("requests_per_s")).alias("wall")).withColumn("wall", F.round("wall", 6)) if False else metrics.level_report(events, "event_type", "value", "audio", "value").join(events.groupBy("event_type").agg(F.max("value").alias("wall")), "event_type").select("event_type", "n", F.round("latency_avg", 4).alias("latency_avg"), "wall")
+    report = metrics.level_report(events, "event_type", "value", "audio", "value")
+    wall = events.groupBy("event_type").agg(F.max("value").alias("wall"))
+    return report.join(wall, "event_type").select("event_type", "n", F.round("latency_avg", 4).alias("latency_avg"), "wall")
 
 
 NORM_SQL = "trim(regexp_replace(regexp_replace(lower({}), '[^a-z0-9_à-öø-ÿ ]', ' ', 'g'), ' +', ' ', 'g'))"
@@ -585,6 +581,3 @@ def normalize_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = F.concat(F.lit("**Harga** "), price("RM"), F.lit(" pada "), F.date_format("o_orderdate", "d/M/yyyy"), F.lit(" untuk 3-5 kg, diskaun 10% di 012-3456789!"))
     rows = read(spark, sf_dir, "orders").select("o_orderkey", said.alias("said"), (F.col("o_orderkey") % 2 == 0).alias("english"))
     return normalizer.normalize_text(rows, "said", F.col("english")).select("o_orderkey", "said")
-
-
-__all__ = ["ORACLES", "QUERIES", "collapse", "lookup"]
