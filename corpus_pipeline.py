@@ -19,6 +19,8 @@ from tessitura.llm.simhash import simhash_components
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: A document as far as this from every language is none: nearness is 0 when it shares no n-gram with the nearest profile.
 LEAST_SCORE = 0.05
+#: Words of a shingle in near_dedup.
+SHINGLE = 5
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,7 +31,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one document of each SimHash component, that with the smallest id; of rows that share it, one. A component whose ids are all null keeps one row."""
-    groups = simhash_components(docs).groupBy("component_id", "doc_id", "fingerprint").agg(F.count("*").alias("n"))
+    groups = simhash_components(docs, width=SHINGLE).groupBy("component_id", "doc_id", "fingerprint").agg(F.count("*").alias("n"))
     kept = groups.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("kept_id")).distinct()
     named = docs.join(kept.hint("shuffle_hash"), F.col("doc_id") == F.col("kept_id"), "left_semi").dropDuplicates(["doc_id"])
     nameless = docs.where(F.col("doc_id").isNull()).dropDuplicates(["text"])

@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
+from tokenizers import Regex, normalizers, pre_tokenizers
 
 from tessitura.llm.common import map_batches, table
 
@@ -28,8 +29,10 @@ from tessitura.llm.common import map_batches, table
 PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 #: Characters that Python splits at and the normaliser doesn't take for white space.
 NOT_SPACE = re.compile("[\x1c-\x1f]")
-SPACE = regex.compile(r"[\t-\r \x85\xa0  -     　]+")
-CACHED_WORDS = 120_000
+SPACE = regex.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
+#: Characters whose class and case are the same in all editions of Unicode that matter; for others the library's own normaliser and splitter are asked.
+SETTLED = re.compile("[\x00-\u052f\u2010-\u2027\u2030-\u205e]*+")
+CACHED_WORDS = 200_000
 
 _models: dict[str, BpeModel] = {}
 
@@ -67,6 +70,8 @@ class BpeModel:
         self.keys, self.ranks = keys[order], order.astype(np.int64)
         self.left, self.right = keys >> 32, keys & 0xFFFFFFFF
         self.made = np.array([vocab[a + b] for a, b in merges], np.int64)
+        self.normalizer = normalizers.Sequence([normalizers.NFC(), normalizers.Lowercase()])
+        self.splitter = pre_tokenizers.Split(Regex(PIECES.pattern), "removed", invert=True)
         self.words: dict[str, tuple[int, ...]] = {}
         self.chunks: dict[str, tuple[tuple[int, ...], str, str]] = {}
 
@@ -144,6 +149,12 @@ class BpeModel:
             start += c
         return out
 
+    def pieces(self, chunk: str) -> list[str]:
+        """The normalised pieces of a chunk."""
+        if SETTLED.fullmatch(chunk):
+            return PIECES.findall(unicodedata.normalize("NFC", chunk).replace("Σ", "σ").lower())
+        return [p for p, _ in self.splitter.pre_tokenize_str(self.normalizer.normalize_str(chunk))]
+
     def learn(self, texts: list[list[str]]) -> None:
         """Encode the chunks (runs without white space) that the cache lacks."""
         if len(self.chunks) > CACHED_WORDS:
@@ -151,7 +162,7 @@ class BpeModel:
         if len(self.words) > CACHED_WORDS:
             self.words.clear()
         new = {c for t in texts for c in t if c not in self.chunks}
-        pieces = {c: PIECES.findall(unicodedata.normalize("NFC", c).replace("Σ", "σ").lower()) for c in new}
+        pieces = {c: self.pieces(c) for c in new}
         missing = list({p for ps in pieces.values() for p in ps if p not in self.words})
         self.words.update(zip(missing, self.encode_words(missing)))
         tokens = self.tokens
@@ -215,19 +226,18 @@ def bpe_encode(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", pa
         texts = batch.column(1).to_pylist()
         columns: dict[str, list] = {k: [] for k in outputs}
         bpe = model(path)
-        for start in range(0, len(texts), 256):
-            for row in bpe.encode_batch(texts[start : start + 256]):
-                row = [c for c in row if c[0]]
-                for k in outputs:
-                    if k == "ids":
-                        value = [i for c in row for i in c[0]]
-                    elif k == "n_tokens":
-                        value = sum(len(c[0]) for c in row)
-                    else:
-                        value = " ".join([c[1 if k == "ids_sha256" else 2] for c in row])
-                        if k != "decoded":
-                            value = hashlib.sha256(value.encode("utf-8", "surrogatepass")).hexdigest()
-                    columns[k].append(value)
+        for row in bpe.encode_batch(texts):
+            row = [c for c in row if c[0]]
+            for k in outputs:
+                if k == "ids":
+                    value = [i for c in row for i in c[0]]
+                elif k == "n_tokens":
+                    value = sum(len(c[0]) for c in row)
+                else:
+                    value = " ".join([c[1 if k == "ids_sha256" else 2] for c in row])
+                    if k != "decoded":
+                        value = hashlib.sha256(value.encode("utf-8", "surrogatepass")).hexdigest()
+                columns[k].append(value)
         return pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(columns[k], kinds[k][1]) for k in outputs)], ["doc_id", *outputs])
 
     return map_batches(df.select(id_col, text_col), run, ", ".join([f"doc_id {id_type}", *(f"{k} {kinds[k][0]}" for k in outputs)]))

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from tessitura.llm.common import staged, table
 
 #: Stands around matches while a text is taken apart; where a text has it, it is read as another character of the same length.
-MARK, INSTEAD = "", ""
+MARK, INSTEAD = "\ue000", "\ue001"
 #: Prefix sums over the pieces of a text are made in blocks of this many.
 BLOCK = 256
 KINDS = ("email", "ip", "card", "phone")
