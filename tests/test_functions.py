@@ -7,7 +7,7 @@ import datetime
 import pytest
 from pyspark.sql import functions as F
 
-from tessitura.functions import arrays, chinese, dates, numbers, text
+from tessitura.functions import arrays, chinese, dates, numbers, signals, text, words
 from tessitura.operators import metrics, tokens
 from tessitura.plans import normalizer
 
@@ -112,3 +112,29 @@ def test_numbers_round_trip(spark):
     df = spark.range(0, 3_000_000, 7919)
     back = numbers.words_to_number(numbers.cardinal_ms(F.col("id").cast("string")))
     assert df.where(~back.eqNullSafe(F.col("id"))).count() == 0
+
+
+WORD_CASES = [
+    (lambda c: words.without_ending(c)["stem"], {"bukulah": "buku", "makankn": "makan", "adalah": "adalah", "xyz": "xyz", "diala2": "dia2", "": ""}),
+    (words.spoken_title, {"Dr": "Doktor", "dr": "dr", "Ali": "Ali"}),
+    (lambda c: words.squash_words(c), {"bestttt 1000 www.aaa.com": "bestt 1000 www.aaa.com"}),
+    (lambda c: words.multireplace(c, {"a": "b", "b": "a", "ab": "x"}), {"aabb": "bxa"}),
+    (lambda c: words.replace_phrases(c, {"tak nak": "tidak mahu"}), {"saya Tak nak pergi": "saya tidak mahu pergi", "tak nakal": "tak nakal"}),
+    (words.is_punctuation, {"!": True, "-": False, "a": False}),
+    (text.unescape_html, {"a &amp;lt; b &lt; c&nbsp;d": "a &lt; b < c\xa0d"}),
+]
+
+
+@pytest.mark.parametrize("case", range(len(WORD_CASES)))
+def test_words(spark, case):
+    function, expected = WORD_CASES[case]
+    assert values(spark, function, list(expected)) == list(expected.values())
+
+
+def test_variants():
+    assert {"haih", "hhaaiihh", "haiih", "haaih"} <= set(words.variants("haih"))
+
+
+def test_trim_at_crossing(spark):
+    df = spark.createDataFrame([([1.0] * 10 + [-1.0] * 3,), ([1.0] * 13,), ([1.0, -1.0],)], "s array<double>")
+    assert [len(r[0]) for r in df.select(signals.trim_at_crossing("s", margin=5)).collect()] == [9, 13, 2]
