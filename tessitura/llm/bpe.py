@@ -32,7 +32,8 @@ NOT_SPACE = re.compile("[\x1c-\x1f]")
 SPACE = regex.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
 #: Characters whose class and case are the same in all editions of Unicode that matter; for others the library's own normaliser and splitter are asked.
 SETTLED = re.compile("[\x00-\u052f\u2010-\u2027\u2030-\u205e]*+")
-CACHED_WORDS = 200_000
+#: Words in a generation of the cache; two generations are kept, and what is met again moves to the younger one.
+CACHED_WORDS = 120_000
 
 _models: dict[str, BpeModel] = {}
 
@@ -72,8 +73,8 @@ class BpeModel:
         self.made = np.array([vocab[a + b] for a, b in merges], np.int64)
         self.normalizer = normalizers.Sequence([normalizers.NFC(), normalizers.Lowercase()])
         self.splitter = pre_tokenizers.Split(Regex(PIECES.pattern), "removed", invert=True)
-        self.words: dict[str, tuple[int, ...]] = {}
         self.chunks: dict[str, tuple[tuple[int, ...], str, str]] = {}
+        self.older: dict[str, tuple[tuple[int, ...], str, str]] = {}
 
     def rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """The rank of each pair, -1 where there is no merge."""
@@ -156,19 +157,18 @@ class BpeModel:
         return [p for p, _ in self.splitter.pre_tokenize_str(self.normalizer.normalize_str(chunk))]
 
     def learn(self, texts: list[list[str]]) -> None:
-        """Encode the chunks (runs without white space) that the cache lacks."""
+        """See that the younger generation of the cache has all chunks (runs without white space) of the texts."""
         if len(self.chunks) > CACHED_WORDS:
-            self.chunks.clear()
-        if len(self.words) > CACHED_WORDS:
-            self.words.clear()
-        new = {c for t in texts for c in t if c not in self.chunks}
-        pieces = {c: self.pieces(c) for c in new}
-        missing = list({p for ps in pieces.values() for p in ps if p not in self.words})
-        self.words.update(zip(missing, self.encode_words(missing)))
+            self.older, self.chunks = self.chunks, {}
+        met = {c for t in texts for c in t}
+        self.chunks |= {c: self.older[c] for c in met if c in self.older and c not in self.chunks}
+        pieces = {c: self.pieces(c) for c in met if c not in self.chunks}
+        distinct = list({p for ps in pieces.values() for p in ps})
+        words = dict(zip(distinct, self.encode_words(distinct)))
         tokens = self.tokens
         for c, ps in pieces.items():
-            ids = tuple(chain.from_iterable(self.words[p] for p in ps))
-            self.chunks[c] = (ids, " ".join(map(str, ids)), " ".join(tokens[i] for i in ids))
+            ids = tuple(chain.from_iterable(words[p] for p in ps))
+            self.chunks[c] = (ids, " ".join(map(str, ids)), " ".join([tokens[i] for i in ids]))
 
     def split(self, text: str | None) -> list[str]:
         """The chunks of a text; the strings of special tokens are chunks of their own."""
@@ -184,9 +184,7 @@ class BpeModel:
     def encode_batch(self, texts: list[str | None]) -> list[list[tuple[tuple[int, ...], str, str]]]:
         """For each text its chunks as (ids, decimal ids, tokens)."""
         split = [self.split(t) for t in texts]
-        for s, i in self.special.items():
-            self.chunks["\0" + s] = ((i,), str(i), s)
-        self.learn(split)
+        self.learn([[c for c in s if not c.startswith("\0") or c[1:] not in self.special] for s in split] if any("\0" in c for s in split for c in s) else split)
         for s, i in self.special.items():
             self.chunks["\0" + s] = ((i,), str(i), s)
         chunks = self.chunks
@@ -240,7 +238,7 @@ def bpe_encode(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", pa
                 columns[k].append(value)
         return pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(columns[k], kinds[k][1]) for k in outputs)], ["doc_id", *outputs])
 
-    return map_batches(df.select(id_col, text_col), run, ", ".join([f"doc_id {id_type}", *(f"{k} {kinds[k][0]}" for k in outputs)]))
+    return map_batches(df.select(id_col, text_col), run, ", ".join([f"doc_id {id_type}", *(f"{k} {kinds[k][0]}" for k in outputs)]), rows=512)
 
 
 def bpe_decode(df: DataFrame, ids_col: str = "ids", id_col: str = "doc_id", path: str | None = None) -> DataFrame:
