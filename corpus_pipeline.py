@@ -14,24 +14,35 @@ from tessitura.llm.common import staged, table
 from tessitura.llm.decontaminate import leaks
 from tessitura.llm.langid import UNKNOWN, identify_languages
 from tessitura.llm.pii import find_pii, redact
-from tessitura.llm.simhash import simhash_components
+from tessitura.llm.simhash import similar_components
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: A document as far as this from every language is none: nearness is 0 when it shares no n-gram with the nearest profile.
 LEAST_SCORE = 0.05
-#: Words of a shingle in near_dedup.
-SHINGLE = 5
+#: Words of a shingle and least similarity of shingle sets in near_dedup.
+SHINGLE, SIMILARITY = 5, 0.8
+#: Rows of an Arrow batch in the stages that run Python, so that long texts need little memory on both sides.
+BATCH_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep documents that are in some language; those without a letter and those like no language go. ``lang`` becomes the predicted one."""
+    small_batches(spark)
     named = identify_languages(docs.select(*COLUMNS), carry=("doc_id", "text", "source", "n_chars"))
     return named.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= LEAST_SCORE)).withColumnRenamed("lang_pred", "lang").select(*COLUMNS)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each SimHash component, that with the smallest id; of rows that share it, one. A component whose ids are all null keeps one row."""
-    groups = simhash_components(docs, width=SHINGLE).groupBy("component_id", "doc_id", "fingerprint").agg(F.count("*").alias("n"))
+    """Keep one document of each group of near-duplicates, that with the smallest id; of rows that share it, one. Rows without an id are kept once for each text.
+
+    Near-duplicates are found by SimHash and verified by the similarity of their shingles.
+    """
+    small_batches(spark)
+    groups = similar_components(docs, width=SHINGLE, similarity=SIMILARITY)
     kept = groups.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("kept_id")).distinct()
     named = docs.join(kept.hint("shuffle_hash"), F.col("doc_id") == F.col("kept_id"), "left_semi").dropDuplicates(["doc_id"])
     nameless = docs.where(F.col("doc_id").isNull()).dropDuplicates(["text"])
@@ -52,6 +63,7 @@ def redact_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The ids of every document, with their number and the digest of what they decode to."""
+    small_batches(spark)
     return bpe_encode(docs, outputs=("ids", "n_tokens", "decoded_sha256"))
 
 

@@ -38,6 +38,46 @@ def brute_components(rows, width=4):
     return {i: (f"{f:016x}", first[find(f)]) for i, f in fps.items()}
 
 
+def brute_similar(rows, width, similarity):
+    """The smallest id reachable over pairs as similar as asked, by id."""
+    sets = {i: simhash.shingle_set((t or "").encode(), width) for i, t in rows}
+    root = {i: i for i in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    ids = sorted(sets)
+    for n, a in enumerate(ids):
+        for b in ids[:n]:
+            common = len(sets[a] & sets[b])
+            if common >= similarity * (len(sets[a]) + len(sets[b]) - common) - 1e-9:
+                x, y = find(a), find(b)
+                root[max(x, y)] = min(x, y)
+    return {i: find(i) for i in ids}
+
+
+def test_similar_components(spark):
+    rng = np.random.default_rng(7)
+    base = [" ".join(f"w{x}" for x in rng.integers(0, 5000, 200)) for _ in range(40)]
+    rows = []
+    for k, text in enumerate(base):
+        words = text.split()
+        near, far = list(words), list(words)
+        near[int(rng.integers(0, 200))] = "changed"
+        for at in rng.integers(0, 200, 40):
+            far[int(at)] = "other"
+        rows += [(k, text), (100 + k, " ".join(near)), (200 + k, " ".join(far)), (300 + k, text)]
+    df = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, fp int")
+    got = {r["doc_id"]: r["component_id"] for r in simhash.similar_components(df).collect()}
+    want = brute_similar(rows, 5, 0.8)
+    assert got == want and all(got[100 + k] == k and got[200 + k] == 200 + k and got[300 + k] == k for k in range(40))
+    odd = spark.createDataFrame([(1, None), (2, ""), (None, "a b"), (4, "a b"), (4, "a b")], "doc_id long, text string")
+    assert sorted((str(r["doc_id"]), r["component_id"]) for r in simhash.similar_components(odd).collect()) == [("1", 1), ("2", 1), ("4", 4), ("4", 4), ("None", 4)]
+    assert simhash.similar_components(odd.limit(0)).count() == 0
+
+
 def test_fingerprint_is_xxhash64_of_spark(spark):
     assert spark.range(1).select(F.xxhash64(F.lit("é a b c"))).first()[0] & (1 << 64) - 1 == xxhash.xxh64_intdigest("é a b c".encode(), 42)
     for t in (None, "", " \t ", "One", "a b c d", "A b\x0bc d e É f", "w " * 70_000):
