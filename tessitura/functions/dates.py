@@ -95,3 +95,10 @@ def relative_date(text: Text, as_of: Text) -> Column:
     n = n * F.when(text.rlike(r"(lalu|lepas|lps)$"), -1).otherwise(1)
     moved = F.when(unit.isin("minggu", "mnggu"), F.date_add(day, n * 7)).when(unit.isin("hari", "hri"), F.date_add(day, n)).when(unit == "bulan", F.add_months(day, n)).when(unit.isin("tahun", "thun"), F.add_months(day, n * 12))
     return F.when(text.rlike(r"^(semalam|smalam|kelmarin|yesterday)$"), F.date_sub(day, 1)).when(text.rlike(r"^(esok|esk)$"), F.date_add(day, 1)).when(text.rlike(r"(lalu|lepas|lps|depan|dpan|dpn)$"), moved)
+
+
+def dates_beside_times(text: Text) -> Column:
+    """All (clock, day) pairs of a time and a date with one blank between, in either order."""
+    clock, day = r"\d{1,2}:\d{2}(?::\d{2})?", r"(?:\d{4}[-/.]\d{1,2}[-/.]\d{1,2}|\d{1,2}[-/.]\d{1,2}[-/.]\d{4})"
+    found = F.regexp_extract_all(col(text), F.lit(rf"{clock} {day}|{day} {clock}"), F.lit(0))
+    return F.transform(found, lambda m: F.struct(F.regexp_extract(m, f"({clock})", 1).alias("clock"), F.regexp_extract(m, f"({day})", 1).alias("day")))

@@ -44,3 +44,9 @@ def runs(df: DataFrame, keys: list[str], order: str, value: str) -> DataFrame:
     fresh = F.when(F.col(value).eqNullSafe(F.lag(value).over(w)) & (F.row_number().over(w) > 1), 0).otherwise(1)
     numbered = df.withColumn("__fresh", fresh).withColumn("__run", F.sum("__fresh").over(w))
     return numbered.groupBy(*keys, "__run").agg(F.first(value).alias(value), F.min(order).alias("first"), F.count("*").alias("length")).drop("__run")
+
+
+def in_turn(jobs: DataFrame, level: str, workers: int, *order: str) -> DataFrame:
+    """``worker``: the jobs of each level dealt one by one to its workers."""
+    rank = F.row_number().over(Window.partitionBy(level).orderBy(*order))
+    return jobs.withColumn("worker", ((rank - 1) % workers).cast("long"))

@@ -39,3 +39,10 @@ def micro_batches(events: DataFrame, time: str, wait_ms: int, most: int, *order:
     slot = F.floor(F.unix_millis(F.col(time).cast("timestamp")) / F.lit(wait_ms)).cast("long")
     rank = F.row_number().over(Window.partitionBy("slot").orderBy(time, *order))
     return events.withColumn("slot", slot).withColumn("batch", F.floor((rank - 1) / F.lit(most)).cast("long"))
+
+
+def trailing_windows(streams: DataFrame, key: str, codes: str, chunk: int) -> DataFrame:
+    """The last ``chunk`` codes each time their number reaches a multiple of ``chunk``."""
+    whole = F.floor(F.size(codes) / F.lit(chunk)).cast("int")
+    rows = streams.select(key, codes, F.explode(F.when(whole > 0, F.sequence(F.lit(1), whole))).alias("__k"))
+    return rows.select(key, (F.col("__k") * chunk).alias("seen"), F.slice(codes, (F.col("__k") - 1) * chunk + 1, F.lit(chunk)).alias("codes"))

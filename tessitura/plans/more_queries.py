@@ -259,3 +259,69 @@ def fixed_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Windows of three codes without context."""
     sized = streams(spark, sf_dir).select("o_custkey", F.size("codes").alias("n"))
     return windows.chunk_bounds(sized, "o_custkey", "n", 3, 0).groupBy("o_custkey").agg(F.max("end").cast("int").alias("n"), F.count("*").cast("int").alias("windows"))
+
+
+# --- small operators ----------------------------------------------------------------------------------
+@query("SELECT w FROM (SELECT DISTINCT unnest(string_split(p_name, ' ')) AS w FROM part) UNION SELECT DISTINCT c_mktsegment FROM customer")
+def word_union(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of two lists, each once."""
+    names = read(spark, sf_dir, "part").select(F.explode(F.split("p_name", " ")).alias("w"))
+    return names.unionByName(read(spark, sf_dir, "customer").select(F.col("c_mktsegment").alias("w"))).distinct()
+
+
+@query("SELECT c_custkey, list_sort(list_distinct(list_filter(string_split(c_name, ''), lambda x: x <> '' AND contains('MCDXLIV', x)))) AS letters, regexp_full_match(c_name, '[MCDXLIV]+') AS roman FROM customer")
+def roman_letters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Letters of names that are Roman numerals, by intersection of sets."""
+    letters = F.array_intersect(F.split("c_name", ""), F.split(F.lit("MCDXLIV"), ""))
+    return read(spark, sf_dir, "customer").select("c_custkey", F.array_sort(F.filter(letters, lambda x: x != "")).alias("letters"), F.col("c_name").rlike("^[MCDXLIV]+$").alias("roman"))
+
+
+@query(f"SELECT o_custkey, array_to_string(codes[1:3], ' ') AS capped, CAST(len(codes) - len(codes[1:3]) AS INT) AS cut FROM ({STREAMS}) WHERE len(codes) > 0")
+def token_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Streams cut to three codes; empty ones are dropped."""
+    rows = streams(spark, sf_dir).where(F.size("codes") > 0).withColumn("c", F.slice("codes", 1, 3))
+    return rows.select("o_custkey", F.array_join(F.transform("c", lambda x: x.cast("string")), " ").alias("capped"), (F.size("codes") - F.size("c")).alias("cut"))
+
+
+@query("SELECT p_partkey, contains('!\"#$%&''()*+,./:;<=>?@[\\]^_`{|}~', t) AS mark, lower(t) IN ('ringgit', 'sen', 'hmm', 'hhmm', 'hmmm') AS ignored FROM (SELECT p_partkey, ['!', '-', '.', 'Sen', 'hmm', 'a'][CAST(p_partkey % 6 AS INT) + 1] AS t FROM part)")
+def marks_and_ignored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Punctuation and words that are passed over."""
+    t = F.get(numbers.words(["!", "-", ".", "Sen", "hmm", "a"]), (F.col("p_partkey") % 6).cast("int"))
+    return read(spark, sf_dir, "part").select("p_partkey", t.alias("t")).select("p_partkey", words.is_punctuation("t").alias("mark"), words.is_ignored("t").alias("ignored"))
+
+
+@query("SELECT vec_id, CAST(list_position(v, list_max(v)) - 1 AS INT) AS best, round(exp(-list_max(v)), 6) AS score FROM (SELECT vec_id, list_transform(embedding[1:8], lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings)")
+def best_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The place of the largest score and its exponential."""
+    rows = read(spark, sf_dir, "embeddings").select("vec_id", F.transform(F.slice("embedding", 1, 8), lambda x: x.cast("double")).alias("v"))
+    top = F.array_max("v")
+    return rows.select("vec_id", (F.array_position("v", top) - 1).cast("int").alias("best"), F.round(F.exp(-top), 6).alias("score"))
+
+
+@query("SELECT event_id, regexp_extract(t, '[0-9]{1,2}:[0-9]{2}') AS clock, regexp_extract(t, '[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}') AS day FROM (SELECT event_id, concat('mula ', strftime(ts, '%H:%M'), ' ', strftime(ts, '%Y-%m-%d'), ' tamat') AS t FROM events)")
+def dates_beside_times(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Times with the date beside them."""
+    said = F.concat(F.lit("mula "), F.date_format("ts", "HH:mm"), F.lit(" "), F.date_format("ts", "yyyy-MM-dd"), F.lit(" tamat"))
+    pair = dates.dates_beside_times(said)
+    return read(spark, sf_dir, "events").select("event_id", F.get(pair, 0).alias("p")).select("event_id", F.col("p.clock").alias("clock"), F.col("p.day").alias("day"))
+
+
+@query("SELECT o_orderkey, concat('{\"', o_orderkey, '\":\"', o_custkey, '\"}') AS turned FROM orders")
+def map_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Maps built from pairs and turned round."""
+    pairs = F.map_from_entries(F.array(F.struct(text_of(F.col("o_custkey")), text_of(F.col("o_orderkey")))))
+    rows = read(spark, sf_dir, "orders").select("o_orderkey", pairs.alias("m"))
+    return rows.select("o_orderkey", F.to_json(F.map_from_arrays(F.map_values("m"), F.map_keys("m"))).alias("turned"))
+
+
+@query(f"WITH s AS ({STREAMS}), k AS (SELECT o_custkey, codes, unnest(range({CHUNK}, len(codes) + 1, {CHUNK})) AS seen FROM s) SELECT o_custkey, CAST(seen AS INT) AS seen, array_to_string(codes[seen - {CHUNK} + 1 : seen], ' ') AS codes FROM k")
+def trailing_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last codes whenever a whole chunk of them has arrived."""
+    rows = windows.trailing_windows(streams(spark, sf_dir), "o_custkey", "codes", CHUNK)
+    return rows.select("o_custkey", "seen", F.array_join(F.transform("codes", lambda c: c.cast("string")), " ").alias("codes"))
+
+
+@query("SELECT event_id, CAST(rank - 1 AS BIGINT) % 4 AS worker FROM (SELECT event_id, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS rank FROM events)")
+def job_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Jobs of each level dealt to four workers in turn."""
+    return reports.in_turn(read(spark, sf_dir, "events"), "event_type", 4, "event_id").select("event_id", "worker")
