@@ -69,7 +69,7 @@ def titles_and_letters(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN p_mfgr_w ELSE array_to_string(list_transform(range(0, p_partkey % 3 + 1), lambda i: p_mfgr_w), '-') END AS said FROM (SELECT CAST(p_partkey AS INT) AS p_partkey, lower(string_split(p_name, ' ')[1]) AS p_mfgr_w FROM part)")
+@query("SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN p_mfgr_w ELSE array_to_string(list_transform(range(0, CAST(p_partkey % 3 + 1 AS BIGINT)), lambda i: p_mfgr_w), '-') END AS said FROM (SELECT p_partkey, lower(string_split(p_name, ' ')[1]) AS p_mfgr_w FROM part)")
 def repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words with a digit at the end said that often."""
     word, k = F.lower(F.get(F.split("p_name", " "), 0)), (F.col("p_partkey") % 3).cast("int")
@@ -269,11 +269,11 @@ def word_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     return names.unionByName(read(spark, sf_dir, "customer").select(F.col("c_mktsegment").alias("w"))).distinct()
 
 
-@query("SELECT c_custkey, list_sort(list_distinct(list_filter(string_split(c_name, ''), lambda x: x <> '' AND contains('MCDXLIV', x)))) AS letters, regexp_full_match(c_name, '[MCDXLIV]+') AS roman FROM customer")
+@query("SELECT c_custkey, array_to_string(list_sort(list_distinct(list_filter(string_split(c_name, ''), lambda x: x <> '' AND contains('MCDXLIV', x)))), '') AS letters, regexp_full_match(c_name, '[MCDXLIV]+') AS roman FROM customer")
 def roman_letters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Letters of names that are Roman numerals, by intersection of sets."""
     letters = F.array_intersect(F.split("c_name", ""), F.split(F.lit("MCDXLIV"), ""))
-    return read(spark, sf_dir, "customer").select("c_custkey", F.array_sort(F.filter(letters, lambda x: x != "")).alias("letters"), F.col("c_name").rlike("^[MCDXLIV]+$").alias("roman"))
+    return read(spark, sf_dir, "customer").select("c_custkey", F.array_join(F.array_sort(F.filter(letters, lambda x: x != "")), "").alias("letters"), F.col("c_name").rlike("^[MCDXLIV]+$").alias("roman"))
 
 
 @query(f"SELECT o_custkey, array_to_string(codes[1:3], ' ') AS capped, CAST(len(codes) - len(codes[1:3]) AS INT) AS cut FROM ({STREAMS}) WHERE len(codes) > 0")
