@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tessitura.functions import dates, numbers, text
 from tessitura.functions.chinese import CJK, KANA, chinese_dominant, normalize_chinese
 from tessitura.functions.rewriting import collapse, regex_map
-from tessitura.operators.tokens import NUMBER, TOKENS
+from tessitura.operators.tokens import TOKENS
 
 UNITS = "|".join(f"(?:{TOKENS[k]})" for k in ("temperature", "distance", "volume", "duration", "weight", "data_size"))
 
@@ -44,7 +44,6 @@ def spoken_range(match: Column, english: bool) -> Column:
 def rules(english: bool) -> list[tuple[str, str, Callable[[Column], Column]]]:
     """(name, pattern, verbaliser) in the order of the cascade."""
     say = numbers.cardinal_en if english else numbers.cardinal_ms
-    prefix = lambda m, p: F.regexp_replace(m, p, "")
     return [
         ("ic", TOKENS["ic"], lambda m: spoken_groups(m, english)),
         ("url", TOKENS["url"], spoken_url),
@@ -65,7 +64,7 @@ def rules(english: bool) -> list[tuple[str, str, Callable[[Column], Column]]]:
         ("zero", r"(?<![\w.])0\d+(?![\w.])", lambda m: numbers.digit_words(m, english)),
         ("times", r"(?<!\w)\d+[xX](?!\w)", lambda m: numbers.times(m, english)),
         ("shortform", TOKENS["number_with_shortform"], lambda m: say(numbers.shortform(m))),
-        ("number", TOKENS["number"], lambda m: say(prefix(m, "[,']"))),
+        ("number", TOKENS["number"], lambda m: say(F.regexp_replace(m, "[,']", ""))),
     ]
 
 
