@@ -67,19 +67,6 @@ def winner(key: Column, level: str, nodes: list[tuple[int, int]]) -> Column:
     return F.least(*(F.struct(draw(key, f"{level}{n}", w).alias("draw"), F.lit(n).alias("node")) for n, w in nodes))["node"]
 
 
-def place(key: Column, tree: Tree) -> Column:
-    """The shard of a key (string column) in ``tree``."""
-    regions, racks, shards = tree.children()
-
-    def one_of(level: str, groups: dict[int, list[tuple[int, int]]], chosen: Column) -> Column:
-        out = F.lit(None).cast("int")
-        for parent, nodes in sorted(groups.items(), reverse=True):
-            out = F.when(chosen == parent, winner(key, level, nodes)).otherwise(out)
-        return out
-
-    return one_of("shard", shards, one_of("rack", racks, winner(key, "region", regions)))
-
-
 def descend(df: DataFrame, key: Column, tree: Tree, name: str) -> DataFrame:
     """``df`` with the shard of ``key`` in column ``name``, one level after another so that each draw is made once."""
     regions, racks, shards = tree.children()
