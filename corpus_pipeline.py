@@ -23,6 +23,8 @@ LEAST_SCORE = 0.05
 SHINGLE, SIMILARITY = 5, 0.8
 #: Rows of an Arrow batch in the stages that run Python, so that long texts need little memory on both sides.
 BATCH_ROWS = 1000
+#: Words that a worker remembers in the last stage, where it shares an executor with what the stages before have left.
+CACHED_WORDS = 100_000
 
 
 def small_batches(spark: SparkSession) -> None:
@@ -64,7 +66,7 @@ def redact_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The ids of every document, with their number and the digest of what they decode to."""
     small_batches(spark)
-    return bpe_encode(docs, outputs=("ids", "n_tokens", "decoded_sha256"))
+    return bpe_encode(docs, outputs=("ids", "n_tokens", "decoded_sha256"), cached_words=CACHED_WORDS)
 
 
 STAGES = [

@@ -16,6 +16,7 @@ import re
 import unicodedata
 from collections import defaultdict
 from itertools import chain
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -33,8 +34,10 @@ SPACE = regex.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205
 #: Characters whose class and case are the same in all editions of Unicode that matter; for others the library's own normaliser and splitter are asked.
 SETTLED = re.compile("[\x00-\u052f\u2010-\u2027\u2030-\u205e]*+")
 #: Words in a generation of the cache; two generations are kept, and what is met again moves to the younger one.
-CACHED_WORDS = 120_000
+CACHED_WORDS = 250_000
 
+#: A run without white space as encoded: its ids, their number, the ids in decimal and the tokens.
+Chunk = tuple[tuple[int, ...], int, str, str]
 _models: dict[str, BpeModel] = {}
 
 
@@ -73,8 +76,9 @@ class BpeModel:
         self.made = np.array([vocab[a + b] for a, b in merges], np.int64)
         self.normalizer = normalizers.Sequence([normalizers.NFC(), normalizers.Lowercase()])
         self.splitter = pre_tokenizers.Split(Regex(PIECES.pattern), "removed", invert=True)
-        self.chunks: dict[str, tuple[tuple[int, ...], str, str]] = {}
-        self.older: dict[str, tuple[tuple[int, ...], str, str]] = {}
+        self.cached_words = CACHED_WORDS
+        self.chunks: dict[str, Chunk] = {}
+        self.older: dict[str, Chunk] = {}
 
     def rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """The rank of each pair, -1 where there is no merge."""
@@ -158,7 +162,7 @@ class BpeModel:
 
     def learn(self, texts: list[list[str]]) -> None:
         """See that the younger generation of the cache has all chunks (runs without white space) of the texts."""
-        if len(self.chunks) > CACHED_WORDS:
+        if len(self.chunks) > self.cached_words:
             self.older, self.chunks = self.chunks, {}
         met = {c for t in texts for c in t}
         self.chunks |= {c: self.older[c] for c in met if c in self.older and c not in self.chunks}
@@ -168,7 +172,7 @@ class BpeModel:
         tokens = self.tokens
         for c, ps in pieces.items():
             ids = tuple(chain.from_iterable(words[p] for p in ps))
-            self.chunks[c] = (ids, " ".join(map(str, ids)), " ".join([tokens[i] for i in ids]))
+            self.chunks[c] = (ids, len(ids), " ".join(map(str, ids)), " ".join([tokens[i] for i in ids]))
 
     def split(self, text: str | None) -> list[str]:
         """The chunks of a text; the strings of special tokens are chunks of their own."""
@@ -181,14 +185,14 @@ class BpeModel:
             return out
         return [c for c in SPACE.split(text) if c] if NOT_SPACE.search(text) else text.split()
 
-    def encode_batch(self, texts: list[str | None]) -> list[list[tuple[tuple[int, ...], str, str]]]:
-        """For each text its chunks as (ids, decimal ids, tokens)."""
+    def encode_batch(self, texts: list[str | None]) -> list[list[Chunk]]:
+        """For each text its chunks that have ids."""
         split = [self.split(t) for t in texts]
         self.learn([[c for c in s if not c.startswith("\0") or c[1:] not in self.special] for s in split] if any("\0" in c for s in split for c in s) else split)
         for s, i in self.special.items():
-            self.chunks["\0" + s] = ((i,), str(i), s)
-        chunks = self.chunks
-        return [[chunks[c] for c in s] for s in split]
+            self.chunks["\0" + s] = ((i,), 1, str(i), s)
+        found = self.chunks.__getitem__
+        return [[e for e in map(found, s) if e[1]] for s in split]
 
     def decode(self, ids: list[int]) -> str:
         """The tokens of the ids, special ones included, joined by blanks: the file names no decoder."""
@@ -208,13 +212,13 @@ def vocabulary_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
-def bpe_encode(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", path: str | None = None, outputs: tuple[str, ...] = ("ids", "decoded")) -> DataFrame:
+def bpe_encode(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", path: str | None = None, outputs: tuple[str, ...] = ("ids", "decoded"), cached_words: int = CACHED_WORDS) -> DataFrame:
     """Encode each whole text and decode it again.
 
     ``outputs`` chooses columns: ``ids`` (array of int), ``decoded``, ``n_tokens``, ``ids_sha256`` (of the decimal ids
     joined by a blank) and ``decoded_sha256``. A null or empty text gives no ids, an empty decoded text and
     their digests; a null id stays null; repeated rows are repeated. Texts are independent rows in one scan:
-    there is no shuffle, and no two tasks share anything.
+    there is no shuffle, and no two tasks share anything. ``cached_words`` bounds what a worker remembers.
     """
     path = path or vocabulary_path()
     kinds = {"ids": ("array<int>", pa.list_(pa.int32())), "decoded": ("string", pa.string()), "n_tokens": ("bigint", pa.int64()), "ids_sha256": ("string", pa.string()), "decoded_sha256": ("string", pa.string())}
@@ -224,21 +228,21 @@ def bpe_encode(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", pa
         texts = batch.column(1).to_pylist()
         columns: dict[str, list] = {k: [] for k in outputs}
         bpe = model(path)
+        bpe.cached_words = cached_words
         for row in bpe.encode_batch(texts):
-            row = [c for c in row if c[0]]
             for k in outputs:
                 if k == "ids":
-                    value = [i for c in row for i in c[0]]
+                    value = list(chain.from_iterable(map(itemgetter(0), row)))
                 elif k == "n_tokens":
-                    value = sum(len(c[0]) for c in row)
+                    value = sum(map(itemgetter(1), row))
                 else:
-                    value = " ".join([c[1 if k == "ids_sha256" else 2] for c in row])
+                    value = " ".join(map(itemgetter(2 if k == "ids_sha256" else 3), row))
                     if k != "decoded":
                         value = hashlib.sha256(value.encode("utf-8", "surrogatepass")).hexdigest()
                 columns[k].append(value)
         return pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(columns[k], kinds[k][1]) for k in outputs)], ["doc_id", *outputs])
 
-    return map_batches(df.select(id_col, text_col), run, ", ".join([f"doc_id {id_type}", *(f"{k} {kinds[k][0]}" for k in outputs)]), rows=512)
+    return map_batches(df.select(id_col, text_col), run, ", ".join([f"doc_id {id_type}", *(f"{k} {kinds[k][0]}" for k in outputs)]), rows=1024)
 
 
 def bpe_decode(df: DataFrame, ids_col: str = "ids", id_col: str = "doc_id", path: str | None = None) -> DataFrame:
