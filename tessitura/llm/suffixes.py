@@ -154,7 +154,10 @@ class RunLengthIndex:
         short = np.flatnonzero(self.left < 8)
         word[short] |= (np.uint64(1) << (np.uint64(8) * (np.uint64(8) - self.left[short].astype(np.uint64)) - np.uint64(1)) << np.uint64(1)) - np.uint64(1)
         self.words = word
-        order = np.argsort(word[:n], kind="stable")
+        order = np.argsort(word[:n])
+        at_end = self.left[order] < 8  # only these tie with their like for good: they are put in the order of the ends
+        ends = order[at_end]
+        order[at_end] = ends[np.lexsort((ends, word[ends]))]
         fresh = word[order][1:] != word[order][:-1]
         fresh |= self.left[order][1:] < 8  # equal up to an end: in the order of the ends
         rank = self._ranks(fresh, order)
@@ -162,7 +165,7 @@ class RunLengthIndex:
             ahead = np.full(n, n, np.int64)
             ahead[: n - k] = rank[k:]
             key = rank * (n + 1) + ahead
-            order = np.argsort(key, kind="stable")
+            order = np.argsort(key)
             rank = self._ranks(key[order][1:] != key[order][:-1], order)
             k *= 2
         self.suffixes = order
