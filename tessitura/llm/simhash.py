@@ -178,6 +178,11 @@ def task_links(key: np.ndarray, part: np.ndarray, side: np.ndarray, fps: np.ndar
     sizes = np.diff(np.append(starts, len(key)))
 
     def enter(i: np.ndarray, j: np.ndarray) -> None:
+        # a large group has far more links than rows: those inside a tree go before the loop
+        nodes, at = np.unique(np.concatenate((node[i], node[j])), return_inverse=True)
+        roots = np.array([forest.root(n) for n in nodes.tolist()], np.int64)[at]
+        apart = roots[: len(i)] != roots[len(i) :]
+        i, j = i[apart], j[apart]
         nearest = np.argsort(np.bitwise_count(fps[i] ^ fps[j]), kind="stable")  # what joins two trees is their nearest link
         for x, y in zip(node[i[nearest]].tolist(), node[j[nearest]].tolist()):
             if forest.join(x, y):
