@@ -39,22 +39,26 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each group of near-duplicates, that with the smallest id; of rows that share it, one. Rows without an id are kept once for each text.
+    """Keep one document of each group of near-duplicates, that with the smallest id; rows without an id come last.
 
-    Near-duplicates are found by SimHash and verified by the similarity of their shingles.
+    Near-duplicates are found by SimHash and verified by the similarity of their shingles. Rows with one id and
+    different texts are different documents: each is judged by its own group.
     """
     small_batches(spark)
     groups = similar_components(docs, width=SHINGLE, similarity=SIMILARITY)
-    kept = groups.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("kept_id")).distinct()
-    named = docs.join(kept.hint("shuffle_hash"), F.col("doc_id") == F.col("kept_id"), "left_semi").dropDuplicates(["doc_id"])
-    nameless = docs.where(F.col("doc_id").isNull()).dropDuplicates(["text"])
-    return named.select(*COLUMNS).unionByName(nameless.select(*COLUMNS))
+    # a row is told by its id and the hash of its text
+    at, own = F.coalesce("doc_id", F.lit(0)), lambda version: F.xxhash64(F.col("doc_id").isNull(), version)
+    firsts = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("root", "doc_id", "version")
+    kept = firsts.groupBy("root").agg(F.first("doc_id").alias("doc_id"), F.min("version").alias("version")).select(at.alias("at"), own(F.col("version")).alias("own"))
+    told = docs.select(*COLUMNS, at.alias("at"), own(F.xxhash64(F.coalesce("text", F.lit("")))).alias("own"))
+    return told.join(kept.hint("shuffle_hash"), ["at", "own"], "left_semi").dropDuplicates(["at", "own"]).select(*COLUMNS)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents with a benchmark passage in them."""
-    found = leaks(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return docs.join(found, "doc_id", "left_anti").select(*COLUMNS)
+    """Drop documents with a benchmark passage in them, those without an id too; a row is told by its id and its text."""
+    told = docs.select(*COLUMNS, F.struct("doc_id", F.xxhash64("text").alias("version")).alias("row"))
+    found = leaks(told, table(spark, sf_dir, "benchmark"), id_col="row").select(F.col("doc_id").alias("leaked")).distinct()
+    return told.join(found, F.col("row") == F.col("leaked"), "left_anti").select(*COLUMNS)
 
 
 def redact_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -330,22 +330,24 @@ def similar(a: bytes, b: bytes, width: int, similarity: float) -> bool:
 
 
 def similar_components(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", width: int = 5, similarity: float = 0.8, radius: int = 13, tables: int = 48, bits: int = 12, broadcast_rows: int = 500_000) -> DataFrame:
-    """doc_id and component_id of every row: rows link if their texts' shingles are as similar as asked.
+    """doc_id, version (a hash of the text), component_id and root (the component's own number) of every row: rows link if their texts' shingles are as similar as asked.
 
     Candidates are fingerprints within ``radius`` bits that agree on one of ``tables`` sampled masks. A link that joins two
-    trees is the nearest of its bucket; each is then verified on the whole texts of the smallest ids. At
+    trees is the nearest of its bucket; each is then verified on the whole texts of the smallest ids (null ones last). At
     similarity 0.8 fingerprints differ in 10 bits on average, with a deviation of 3: some four fifths of such pairs are
     found, and nearly all above 0.9; texts with equal fingerprints (exact copies above all) always link. Nulls and repeated rows are treated as
     in ``simhash_components``.
     """
-    base = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    marked = staged(with_fingerprints(base, width=width), "fingerprints")
-    distinct = staged(marked.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct")
+    base = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("version"))
+    marked = staged(with_fingerprints(base, carry=("doc_id", "version"), width=width), "fingerprints")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "version"))
+    distinct = staged(marked.groupBy("fp").agg(first.alias("first")).select("fp", F.col("first.doc_id").alias("first_id"), F.col("first.version").alias("first_version")), "distinct")
     links = staged(near_links(distinct.select("fp"), radius, masks=sampled_masks(tables, bits)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "links")
     ends = links.select(F.col("a").alias("fp")).unionByName(links.select(F.col("b").alias("fp"))).distinct()
-    asked = staged(distinct.join(ends, "fp").where(F.col("first_id").isNotNull()), "asked")
+    asked = staged(distinct.join(ends, "fp"), "asked")
     asked = F.broadcast(asked) if asked.count() <= broadcast_rows else asked
-    texts = staged(base.join(asked, F.col("doc_id") == F.col("first_id")).select("fp", "text").dropDuplicates(["fp"]), "texts")
+    same = F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("version") == F.col("first_version"))
+    texts = staged(base.join(asked, same).select("fp", "text").dropDuplicates(["fp"]), "texts")
     pairs = links.join(texts.select(F.col("fp").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("fp").alias("b"), F.col("text").alias("tb")), "b")
 
     def verify(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -355,7 +357,7 @@ def similar_components(df: DataFrame, text_col: str = "text", id_col: str = "doc
     found = components(map_batches(pairs.select("a", "b", "ta", "tb"), verify, "a bigint, b bigint"))
     rooted = distinct.join(found.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     firsts = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    return marked.join(rooted.join(firsts, "root").select("fp", "component_id"), "fp").select("doc_id", "component_id")
+    return marked.join(rooted.join(firsts, "root").select("fp", "component_id", "root"), "fp").select("doc_id", "version", "component_id", "root")
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -51,5 +51,19 @@ def test_stages_stand_edges(spark):
     assert sorted(str(r["doc_id"]) for r in corpus_pipeline.near_dedup(spark, df, DATA).collect()) == ["1", "2", "3", "None"]
 
 
+def test_rows_without_an_id_and_with_a_shared_one(spark):
+    item = next(r["text"] for r in spark.read.parquet(f"{DATA}/benchmark.parquet").orderBy("item_id").collect() if len(r["text"].split()) > 8)
+    long = " ".join(f"word{i}" for i in range(60))
+    other = " ".join(f"term{i}" for i in range(60))
+    rows = [(5, long), (5, other), (7, long + " more"), (None, other + " more"), (None, "alone " + long[:200]), (None, "alone " + long[:200]), (9, None), (None, "")]
+    df = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = [(r["doc_id"], r["text"]) for r in corpus_pipeline.near_dedup(spark, df, DATA).collect()]
+    assert sorted(kept, key=str) == sorted([(5, long), (5, other), (None, "alone " + long[:200]), (9, None)], key=str)
+    leaky = [(None, f"before {item} after"), (None, long), (5, f"before {item} after"), (5, long), (None, None)]
+    df = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in leaky], df.schema)
+    left = [(r["doc_id"], r["text"]) for r in corpus_pipeline.decontaminate(spark, df, DATA).collect()]
+    assert sorted(left, key=str) == sorted([(None, long), (5, long), (None, None)], key=str)
+
+
 def test_one_query_per_operator():
     assert [sum(name.startswith(f"op{n}_") for name in registry.QUERIES) for n in range(1, 11)] == [1] * 10 and "pipeline" in registry.QUERIES
