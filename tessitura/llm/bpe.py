@@ -9,12 +9,14 @@ pairs that touch a merged symbol change. Words seen before come from a cache of
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import heapq
 import json
 import re
 import unicodedata
 from collections import defaultdict
+from collections.abc import Iterator
 from itertools import chain
 from operator import itemgetter
 
@@ -65,6 +67,7 @@ class BpeModel:
         self.special = {x["content"]: x["id"] for x in whole["added_tokens"]}
         self.at_special = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
         self.tokens = {i: t for t, i in vocab.items()} | {i: t for t, i in self.special.items()}
+        self.decimal = {i: str(i) for i in self.tokens}
         symbols = byte_symbols()
         self.of_byte = np.array([vocab[s] for s in symbols], np.int64)
         self.of_last = np.array([vocab[s + suffix] for s in symbols], np.int64)
@@ -154,25 +157,34 @@ class BpeModel:
             start += c
         return out
 
-    def pieces(self, chunk: str) -> list[str]:
-        """The normalised pieces of a chunk."""
-        if SETTLED.fullmatch(chunk):
-            return PIECES.findall(unicodedata.normalize("NFC", chunk).replace("Σ", "σ").lower())
-        return [p for p, _ in self.splitter.pre_tokenize_str(self.normalizer.normalize_str(chunk))]
+    def pieces(self, chunks: list[str]) -> Iterator[tuple[str, list[str]]]:
+        """Each chunk with its normalised pieces. Settled chunks are normalised together, a line each: no line feed is in or composes with them."""
+        settled, unsettled = [], []
+        for c in chunks:
+            (settled if c.isascii() or SETTLED.fullmatch(c) else unsettled).append(c)
+        low = unicodedata.normalize("NFC", "\n".join(settled)).replace("Σ", "σ").lower().split("\n")
+        for c, x in zip(settled, low):
+            yield c, [x] if x.isalpha() else PIECES.findall(x)
+        for c in unsettled:
+            yield c, [p for p, _ in self.splitter.pre_tokenize_str(self.normalizer.normalize_str(c))]
 
     def learn(self, texts: list[list[str]]) -> None:
         """See that the younger generation of the cache has all chunks (runs without white space) of the texts."""
         if len(self.chunks) > self.cached_words:
             self.older, self.chunks = self.chunks, {}
-        met = {c for t in texts for c in t}
-        self.chunks |= {c: self.older[c] for c in met if c in self.older and c not in self.chunks}
-        pieces = {c: self.pieces(c) for c in met if c not in self.chunks}
-        distinct = list({p for ps in pieces.values() for p in ps})
+        chunks, older, tokens, decimal = self.chunks, self.older, self.tokens, self.decimal
+        new = set().union(*texts) - chunks.keys()
+        again = new & older.keys()
+        chunks.update((c, older[c]) for c in again)
+        pieces = list(self.pieces(list(new - again)))
+        distinct = list({p for _, ps in pieces for p in ps})
         words = dict(zip(distinct, self.encode_words(distinct)))
-        tokens = self.tokens
-        for c, ps in pieces.items():
-            ids = tuple(chain.from_iterable(words[p] for p in ps))
-            self.chunks[c] = (ids, len(ids), " ".join(map(str, ids)), " ".join([tokens[i] for i in ids]))
+        for c, ps in pieces:
+            ids = words[ps[0]] if len(ps) == 1 else tuple(chain.from_iterable([words[p] for p in ps]))
+            if len(ids) == 1:
+                chunks[c] = (ids, 1, decimal[ids[0]], tokens[ids[0]])
+            else:
+                chunks[c] = (ids, len(ids), " ".join([decimal[i] for i in ids]), " ".join([tokens[i] for i in ids]))
 
     def split(self, text: str | None) -> list[str]:
         """The chunks of a text; the strings of special tokens are chunks of their own."""
@@ -186,9 +198,19 @@ class BpeModel:
         return [c for c in SPACE.split(text) if c] if NOT_SPACE.search(text) else text.split()
 
     def encode_batch(self, texts: list[str | None]) -> list[list[Chunk]]:
-        """For each text its chunks that have ids."""
+        """For each text its chunks that have ids. Nothing here makes cycles, so the collector pauses instead of going through the cache again and again."""
+        was = gc.isenabled()
+        gc.disable()
+        try:
+            return self._encode_batch(texts)
+        finally:
+            if was:
+                gc.enable()
+
+    def _encode_batch(self, texts: list[str | None]) -> list[list[Chunk]]:
         split = [self.split(t) for t in texts]
-        self.learn([[c for c in s if not c.startswith("\0") or c[1:] not in self.special] for s in split] if any("\0" in c for s in split for c in s) else split)
+        marked = any(x in t for t in texts if t for x in ("\0", *self.special))  # only then a chunk may stand for a special token
+        self.learn([[c for c in s if not c.startswith("\0") or c[1:] not in self.special] for s in split] if marked else split)
         for s, i in self.special.items():
             self.chunks["\0" + s] = ((i,), 1, str(i), s)
         found = self.chunks.__getitem__
