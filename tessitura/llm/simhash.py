@@ -168,14 +168,35 @@ def block_pairs(a: np.ndarray, b: np.ndarray | None, radius: int) -> Iterator[tu
         yield i[ok], j[ok]
 
 
-def task_links(key: np.ndarray, part: np.ndarray, side: np.ndarray, fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """The links of a task's buckets that join two trees. Rows are sorted by key, part and side."""
-    values, node = np.unique(fps, return_inverse=True)
-    forest, out = Forest(len(values)), []
+def bucket_pairs(key: np.ndarray, part: np.ndarray, side: np.ndarray, fps: np.ndarray, radius: int) -> Iterator[tuple[bool, np.ndarray, np.ndarray]]:
+    """All links of a task's buckets, as (whether of small buckets, rows, rows); small buckets come first. Rows are sorted by key, part and side."""
     fresh = np.ones(len(key), bool)
     fresh[1:] = (key[1:] != key[:-1]) | (part[1:] != part[:-1])
     starts = np.flatnonzero(fresh)
     sizes = np.diff(np.append(starts, len(key)))
+    whole = side == 0
+    left = np.repeat(starts + sizes, sizes) - 1 - np.arange(len(key))
+    small = np.repeat((sizes <= SHIFTED) & np.logical_and.reduceat(whole, starts), sizes)
+    for i, j in shifted_pairs(fps, np.where(small, left, 0), radius):
+        if len(i):
+            yield True, i, j
+    for s, n in zip(starts.tolist(), sizes.tolist()):
+        if small[s]:
+            continue
+        sides, own = side[s : s + n], fps[s : s + n]
+        if sides[0] == 0:
+            pairs, base = block_pairs(own, None, radius), s
+        else:
+            cut = int(np.searchsorted(sides, 2))
+            pairs, base = block_pairs(own[:cut], own[cut:], radius), s + cut
+        for i, j in pairs:
+            yield False, i + s, j + base
+
+
+def task_links(key: np.ndarray, part: np.ndarray, side: np.ndarray, fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """The links of a task's buckets that join two trees. Rows are sorted by key, part and side."""
+    values, node = np.unique(fps, return_inverse=True)
+    forest, out = Forest(len(values)), []
 
     def enter(i: np.ndarray, j: np.ndarray) -> None:
         # a large group has far more links than rows: those inside a tree go before the loop
@@ -188,44 +209,54 @@ def task_links(key: np.ndarray, part: np.ndarray, side: np.ndarray, fps: np.ndar
             if forest.join(x, y):
                 out.append((x, y))
 
-    whole = side == 0
-    left = np.repeat(starts + sizes, sizes) - 1 - np.arange(len(key))
-    small = np.repeat((sizes <= SHIFTED) & np.logical_and.reduceat(whole, starts), sizes)
-    side_by_side = [p for p in shifted_pairs(fps, np.where(small, left, 0), radius) if len(p[0])]
+    side_by_side = []
+    for small, i, j in bucket_pairs(key, part, side, fps, radius):
+        if small:
+            side_by_side.append((i, j))
+            continue
+        if side_by_side:
+            enter(*(np.concatenate(x) for x in zip(*side_by_side)))
+            side_by_side = []
+        enter(i, j)
     if side_by_side:
         enter(*(np.concatenate(x) for x in zip(*side_by_side)))
-    for s, n in zip(starts.tolist(), sizes.tolist()):
-        if small[s]:
-            continue
-        sides, own = side[s : s + n], fps[s : s + n]
-        if sides[0] == 0:
-            pairs, base = block_pairs(own, None, radius), s
-        else:
-            cut = int(np.searchsorted(sides, 2))
-            pairs, base = block_pairs(own[:cut], own[cut:], radius), s + cut
-        for i, j in pairs:
-            enter(i + s, j + base)
     a = np.array([x for x, _ in out], np.int64)
     b = np.array([y for _, y in out], np.int64)
     return values[a].view(np.int64), values[b].view(np.int64)
 
 
+def crossing_links(key: np.ndarray, part: np.ndarray, side: np.ndarray, fps: np.ndarray, tree: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All links of a task's buckets between rows of different trees, some at a time. Rows are sorted by key, part and side."""
+    for _, i, j in bucket_pairs(key, part, side, fps, radius):
+        apart = tree[i] != tree[j]
+        if apart.any():
+            a, b = fps[i[apart]].view(np.int64), fps[j[apart]].view(np.int64)
+            yield tuple(np.unique(np.stack((np.minimum(a, b), np.maximum(a, b))), axis=1))
+
+
 def sampled_masks(tables: int, bits: int, seed: int = SEED) -> list[int]:
     """Masks of ``bits`` bits drawn for each table: for radii at which whole blocks seldom agree. What they find grows with ``tables``."""
     rng = np.random.default_rng(seed)
     return [sum(1 << int(b) for b in rng.choice(BITS, bits, replace=False)) for _ in range(tables)]
 
 
-def near_links(fps: DataFrame, radius: int = 4, blocks: int = 6, bucket_part: int = BUCKET_PART, masks: list[int] | None = None) -> DataFrame:
+def near_links(fps: DataFrame, radius: int = 4, blocks: int = 6, bucket_part: int = BUCKET_PART, masks: list[int] | None = None, tree: str | None = None) -> DataFrame:
     """Links (a, b) that connect all distinct fingerprints (column ``fp``) within ``radius`` bits; with ``masks``, those that agree on one of them.
 
+    With ``tree``, a column that tells what is connected already, all links between fingerprints of different trees are
+    given instead, not only those that connect them: for links that are yet to be verified.
+
     Every fingerprint goes to one bucket of each table. Buckets over ``bucket_part`` rows are cut into parts by a
     hash, and each pair of parts is a bucket of its own, so a task never holds more than two parts; every
     pair of the bucket still meets. Buckets of one row are dropped before they are dealt.
     """
     tables = F.array(*(F.lit(signed(m)) for m in (masks or block_masks(blocks, radius))))
-    rows = fps.select("fp", F.posexplode(tables).alias("t", "mask")).select("fp", F.xxhash64("t", F.col("fp").bitwiseAND(F.col("mask"))).alias("key"))
-    sizes = rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    own_tree = [F.col(tree).alias("tree")] if tree else []
+    named = ["tree"] if tree else []
+    rows = fps.select("fp", *own_tree, F.posexplode(tables).alias("t", "mask")).select("fp", *named, F.xxhash64("t", F.col("fp").bitwiseAND(F.col("mask"))).alias("key"))
+    # a bucket of one tree has nothing to tell
+    several = [(F.min("tree") != F.max("tree")).alias("several")] if tree else []
+    sizes = rows.groupBy("key").agg(F.count("*").alias("n"), *several).where("n > 1 AND several" if tree else "n > 1").select("key", "n")
     parts = F.ceil(F.col("n") / F.lit(bucket_part)).cast("int")
     own = F.pmod(F.xxhash64("fp", F.lit("part")), parts).cast("int")
     dealt = rows.join(sizes, "key").withColumn("parts", parts).withColumn("own", own)
@@ -237,16 +268,17 @@ def near_links(fps: DataFrame, radius: int = 4, blocks: int = 6, bucket_part: in
             F.when(F.col("own") == q, 0).when(F.col("own") < q, 1).otherwise(2).alias("side"),
         ),
     )
-    dealt = dealt.select("key", "fp", F.explode(pairs).alias("p")).select("key", F.col("p.part").alias("part"), F.col("p.side").alias("side"), "fp")
+    dealt = dealt.select("key", "fp", *named, F.explode(pairs).alias("p")).select("key", F.col("p.part").alias("part"), F.col("p.side").alias("side"), "fp", *named)
     dealt = dealt.repartition("key", "part").sortWithinPartitions("key", "part", "side", "fp")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
 
         def links(k: np.ndarray) -> Iterator[pa.RecordBatch]:
-            a, b = task_links(k[0], k[1], k[2], k[3].view(np.uint64), radius)
-            if len(a):
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+            fps = k[3].view(np.uint64)
+            for a, b in crossing_links(k[0], k[1], k[2], fps, k[4], radius) if tree else [task_links(k[0], k[1], k[2], fps, radius)]:
+                if len(a):
+                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
         for batch in batches:
             held.append(np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns]))
@@ -332,29 +364,38 @@ def similar(a: bytes, b: bytes, width: int, similarity: float) -> bool:
 def similar_components(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", width: int = 5, similarity: float = 0.8, radius: int = 13, tables: int = 48, bits: int = 12, broadcast_rows: int = 500_000) -> DataFrame:
     """doc_id, version (a hash of the text), component_id and root (the component's own number) of every row: rows link if their texts' shingles are as similar as asked.
 
-    Candidates are fingerprints within ``radius`` bits that agree on one of ``tables`` sampled masks. A link that joins two
-    trees is the nearest of its bucket; each is then verified on the whole texts of the smallest ids (null ones last). At
-    similarity 0.8 fingerprints differ in 10 bits on average, with a deviation of 3: some four fifths of such pairs are
-    found, and nearly all above 0.9; texts with equal fingerprints (exact copies above all) always link. Nulls and repeated rows are treated as
-    in ``simhash_components``.
+    Candidates are fingerprints within ``radius`` bits that agree on one of ``tables`` sampled masks. They are verified on the
+    whole texts of the smallest ids (null ones last) in two passes: first the links that join two trees of a task, of which each is the
+    nearest of its bucket; then all candidates that the verified links of the first pass leave apart, so a link that failed hides none.
+    Every candidate is either verified or connected by verified links. At similarity 0.8 fingerprints differ in 10 bits on average, with a
+    deviation of 3: some four fifths of such pairs are candidates, and nearly all above 0.9; texts with equal fingerprints (exact copies
+    above all) always link. Nulls and repeated rows are treated as in ``simhash_components``.
     """
     base = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("version"))
     marked = staged(with_fingerprints(base, carry=("doc_id", "version"), width=width), "fingerprints")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "version"))
     distinct = staged(marked.groupBy("fp").agg(first.alias("first")).select("fp", F.col("first.doc_id").alias("first_id"), F.col("first.version").alias("first_version")), "distinct")
-    links = staged(near_links(distinct.select("fp"), radius, masks=sampled_masks(tables, bits)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "links")
-    ends = links.select(F.col("a").alias("fp")).unionByName(links.select(F.col("b").alias("fp"))).distinct()
-    asked = staged(distinct.join(ends, "fp"), "asked")
-    asked = F.broadcast(asked) if asked.count() <= broadcast_rows else asked
-    same = F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("version") == F.col("first_version"))
-    texts = staged(base.join(asked, same).select("fp", "text").dropDuplicates(["fp"]), "texts")
-    pairs = links.join(texts.select(F.col("fp").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("fp").alias("b"), F.col("text").alias("tb")), "b")
+    masks = sampled_masks(tables, bits)
 
     def verify(batch: pa.RecordBatch) -> pa.RecordBatch:
         keep = [similar(x or b"", y or b"", width, similarity) for x, y in zip(text_bytes(batch.column(2)), text_bytes(batch.column(3)))]
         return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep))
 
-    found = components(map_batches(pairs.select("a", "b", "ta", "tb"), verify, "a bigint, b bigint"))
+    def verified(links: DataFrame) -> DataFrame:
+        ends = links.select(F.col("a").alias("fp")).unionByName(links.select(F.col("b").alias("fp"))).distinct()
+        asked = staged(distinct.join(ends, "fp"), "asked")
+        asked = F.broadcast(asked) if asked.count() <= broadcast_rows else asked
+        same = F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("version") == F.col("first_version"))
+        texts = staged(base.join(asked, same).select("fp", "text").dropDuplicates(["fp"]), "texts")
+        pairs = links.join(texts.select(F.col("fp").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("fp").alias("b"), F.col("text").alias("tb")), "b")
+        return map_batches(pairs.select("a", "b", "ta", "tb"), verify, "a bigint, b bigint")
+
+    links = staged(near_links(distinct.select("fp"), radius, masks=masks).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "links")
+    trees = staged(components(verified(links)), "trees")
+    apart = distinct.select("fp").join(trees.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("tree"))
+    more = staged(near_links(staged(apart, "apart"), radius, masks=masks, tree="tree").distinct().join(links, ["a", "b"], "left_anti"), "crossing")
+    joined = trees.select(F.col("node").alias("a"), F.col("root").alias("b"))
+    found = components(joined.unionByName(verified(more)))
     rooted = distinct.join(found.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     firsts = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
     return marked.join(rooted.join(firsts, "root").select("fp", "component_id", "root"), "fp").select("doc_id", "version", "component_id", "root")

@@ -78,6 +78,52 @@ def test_similar_components(spark):
     assert simhash.similar_components(odd.limit(0)).count() == 0
 
 
+def test_a_failed_link_hides_no_similar_pair(spark):
+    """Groups of x, z (similar) and w, which is like neither and whose fingerprint lies between theirs."""
+    rng = np.random.default_rng(11)
+
+    def edited(words, places):
+        out = list(words)
+        for at in places:
+            out[int(at)] = f"e{rng.integers(0, 10**9)}"
+        return out
+
+    def fp(words):
+        return simhash.fingerprint(" ".join(words).encode(), 5)
+
+    rows, pairs = [], []
+    while len(pairs) < 12:
+        x = [f"w{n}" for n in rng.integers(0, 10**6, 200)]
+        places = rng.choice(np.arange(10, 190, 6), 10, replace=False)
+        z = edited(x, places[:4])
+        far = (fp(x) ^ fp(z)).bit_count()
+        if not 11 <= far <= 13 or not simhash.similar(" ".join(x).encode(), " ".join(z).encode(), 5, 0.8):
+            continue
+        for _ in range(200):
+            w = edited(z if rng.integers(0, 2) else x, [*places[:2], *rng.choice(places[4:], 4, replace=False)])
+            near = [(fp(w) ^ fp(o)).bit_count() for o in (x, z)]
+            if max(near) < far and not any(simhash.similar(" ".join(w).encode(), " ".join(o).encode(), 5, 0.8) for o in (x, z)):
+                n = 10 * len(pairs)
+                rows += [(n, " ".join(x)), (n + 1, " ".join(z)), (n + 2, " ".join(w))]
+                pairs.append((fp(x), fp(z)))
+                break
+    got = {r["doc_id"]: r["component_id"] for r in simhash.similar_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    masks = simhash.sampled_masks(48, 12)
+    candidates = [any(not (a ^ b) & m for m in masks) for a, b in pairs]
+    assert sum(candidates) > 6
+    assert [got[10 * k + 1] == 10 * k for k in range(len(pairs))] == candidates and all(got[10 * k + 2] == 10 * k + 2 for k in range(len(pairs)))
+
+
+@pytest.mark.parametrize("part", [3, 4096])
+def test_crossing_links_are_all_between_trees(spark, part):
+    rng = np.random.default_rng(6)
+    f = sorted({int(0x1234567890ABCDEF ^ (1 << int(a)) ^ (1 << int(b))) for a, b in rng.integers(0, 63, (60, 2))})
+    rows = [(x, k % 3) for k, x in enumerate(f)]
+    links = simhash.near_links(spark.createDataFrame(rows, "fp long, own long"), radius=3, bucket_part=part, tree="own")
+    want = {(a, b) for a, t in rows for b, u in rows if a < b and t != u and (a ^ b).bit_count() <= 3}
+    assert {tuple(r) for r in links.collect()} == want
+
+
 def test_fingerprint_is_xxhash64_of_spark(spark):
     assert spark.range(1).select(F.xxhash64(F.lit("é a b c"))).first()[0] & (1 << 64) - 1 == xxhash.xxh64_intdigest("é a b c".encode(), 42)
     for t in (None, "", " \t ", "One", "a b c d", "A b\x0bc d e É f", "w " * 70_000):
