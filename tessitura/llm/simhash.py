@@ -13,7 +13,7 @@ found by large-star and small-star rounds on DataFrames, each written to the sha
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 from itertools import accumulate, combinations
 
 import numpy as np
@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessitura.llm.common import map_batches, staged, table, text_bytes
+from tessitura.llm.common import map_batches, staged, table, text_bytes, unstaged
 
 BITS, SEED = 64, 42
 #: Shingles summed at once, so that very long texts need little memory.
@@ -32,28 +32,40 @@ SHIFTED = 64
 #: Fingerprints of a bucket beyond which it is cut into parts that are compared pair by pair of parts.
 BUCKET_PART = 4096
 ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
+#: Whether pairs of rows (two arrays of places) may be links at all.
+Fits = Callable[[np.ndarray, np.ndarray], np.ndarray]
 
 
-def fingerprint(text: bytes | None, width: int = 4) -> int:
-    """The SimHash of a text's word shingles, repeats included: a bit is set if over half of the hashes have it."""
+def shingle_hashes(text: bytes | None, width: int = 4) -> Iterator[np.ndarray]:
+    """XXH64 of a text's word shingles, repeats included, in order and some at a time; of fewer words there is one shingle, of none none."""
     words = (text or b"").lower().split()
-    if not words:
-        return 0
     joined = b" ".join(words)
-    ends = list(accumulate((len(w) + 1 for w in words)))
-    starts = [0, *ends]
     digest = xxhash.xxh64_intdigest
     if len(words) <= width:
-        return digest(joined, SEED)
+        yield np.array([digest(joined, SEED)] if words else [], np.uint64)
+        return
+    ends = list(accumulate(len(w) + 1 for w in words))
+    starts = [0, *ends]
     n = len(words) - width + 1
-    counts = np.zeros(BITS, np.int64)
     for a in range(0, n, SHINGLES_AT_ONCE):
         b = min(n, a + SHINGLES_AT_ONCE)
-        hashes = np.array([digest(joined[s : e - 1], SEED) for s, e in zip(starts[a:b], ends[a + width - 1 : b + width - 1])], np.uint64)
+        yield np.array([digest(joined[s : e - 1], SEED) for s, e in zip(starts[a:b], ends[a + width - 1 : b + width - 1])], np.uint64)
+
+
+def majority(parts: Iterable[np.ndarray]) -> int:
+    """A number with the bits that over half of all hashes have."""
+    counts, n = np.zeros(BITS, np.int64), 0
+    for hashes in parts:
         counts += np.unpackbits(hashes.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+        n += len(hashes)
     return int.from_bytes(np.packbits(counts * 2 > n).tobytes(), "big")
 
 
+def fingerprint(text: bytes | None, width: int = 4) -> int:
+    """The SimHash of a text's word shingles, repeats included: a bit is set if over half of the hashes have it."""
+    return majority(shingle_hashes(text, width))
+
+
 def with_fingerprints(df: DataFrame, text_col: str = "text", carry: tuple[str, ...] = ("doc_id",), width: int = 4) -> DataFrame:
     """``carry`` columns and ``fp``, the fingerprint's bits as a signed long. A null text is an empty one."""
     fields = [df.schema[c] for c in carry]
@@ -193,9 +205,9 @@ def bucket_pairs(key: np.ndarray, part: np.ndarray, side: np.ndarray, fps: np.nd
             yield False, i + s, j + base
 
 
-def task_links(key: np.ndarray, part: np.ndarray, side: np.ndarray, fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """The links of a task's buckets that join two trees. Rows are sorted by key, part and side."""
-    values, node = np.unique(fps, return_inverse=True)
+def task_links(key: np.ndarray, part: np.ndarray, side: np.ndarray, fps: np.ndarray, ids: np.ndarray, radius: int, fits: Fits | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The links of a task's buckets that join two trees, as numbers of ``ids``. Rows are sorted by key, part and side; links that do not fit are none."""
+    values, node = np.unique(ids, return_inverse=True)
     forest, out = Forest(len(values)), []
 
     def enter(i: np.ndarray, j: np.ndarray) -> None:
@@ -211,6 +223,9 @@ def task_links(key: np.ndarray, part: np.ndarray, side: np.ndarray, fps: np.ndar
 
     side_by_side = []
     for small, i, j in bucket_pairs(key, part, side, fps, radius):
+        if fits:
+            fit = fits(i, j)
+            i, j = i[fit], j[fit]
         if small:
             side_by_side.append((i, j))
             continue
@@ -222,44 +237,33 @@ def task_links(key: np.ndarray, part: np.ndarray, side: np.ndarray, fps: np.ndar
         enter(*(np.concatenate(x) for x in zip(*side_by_side)))
     a = np.array([x for x, _ in out], np.int64)
     b = np.array([y for _, y in out], np.int64)
-    return values[a].view(np.int64), values[b].view(np.int64)
+    return values[a], values[b]
 
 
-def crossing_links(key: np.ndarray, part: np.ndarray, side: np.ndarray, fps: np.ndarray, tree: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """All links of a task's buckets between rows of different trees, some at a time. Rows are sorted by key, part and side."""
+def crossing_links(key: np.ndarray, part: np.ndarray, side: np.ndarray, fps: np.ndarray, ids: np.ndarray, tree: np.ndarray, radius: int, fits: Fits | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All links of a task's buckets between rows of different trees, some at a time, as numbers of ``ids``. Rows are sorted by key, part and side."""
     for _, i, j in bucket_pairs(key, part, side, fps, radius):
         apart = tree[i] != tree[j]
+        if fits:
+            apart &= fits(i, j)
         if apart.any():
-            a, b = fps[i[apart]].view(np.int64), fps[j[apart]].view(np.int64)
+            a, b = ids[i[apart]], ids[j[apart]]
             yield tuple(np.unique(np.stack((np.minimum(a, b), np.maximum(a, b))), axis=1))
 
 
-def sampled_masks(tables: int, bits: int, seed: int = SEED) -> list[int]:
-    """Masks of ``bits`` bits drawn for each table: for radii at which whole blocks seldom agree. What they find grows with ``tables``."""
-    rng = np.random.default_rng(seed)
-    return [sum(1 << int(b) for b in rng.choice(BITS, bits, replace=False)) for _ in range(tables)]
-
+def deal(rows: DataFrame, bucket_part: int = BUCKET_PART, several: str | None = None) -> DataFrame:
+    """Rows (key, id, fp and others) dealt by bucket, as key, part, side, fp, id and the others, sorted by the first three.
 
-def near_links(fps: DataFrame, radius: int = 4, blocks: int = 6, bucket_part: int = BUCKET_PART, masks: list[int] | None = None, tree: str | None = None) -> DataFrame:
-    """Links (a, b) that connect all distinct fingerprints (column ``fp``) within ``radius`` bits; with ``masks``, those that agree on one of them.
-
-    With ``tree``, a column that tells what is connected already, all links between fingerprints of different trees are
-    given instead, not only those that connect them: for links that are yet to be verified.
-
-    Every fingerprint goes to one bucket of each table. Buckets over ``bucket_part`` rows are cut into parts by a
-    hash, and each pair of parts is a bucket of its own, so a task never holds more than two parts; every
-    pair of the bucket still meets. Buckets of one row are dropped before they are dealt.
+    Buckets over ``bucket_part`` rows are cut into parts by a hash, and each pair of parts is a bucket of its own, so a
+    task never holds more than two parts; every pair of the bucket still meets. Buckets of one row are dropped before they
+    are dealt, and so are those in which all rows are alike in column ``several``.
     """
-    tables = F.array(*(F.lit(signed(m)) for m in (masks or block_masks(blocks, radius))))
-    own_tree = [F.col(tree).alias("tree")] if tree else []
-    named = ["tree"] if tree else []
-    rows = fps.select("fp", *own_tree, F.posexplode(tables).alias("t", "mask")).select("fp", *named, F.xxhash64("t", F.col("fp").bitwiseAND(F.col("mask"))).alias("key"))
-    # a bucket of one tree has nothing to tell
-    several = [(F.min("tree") != F.max("tree")).alias("several")] if tree else []
-    sizes = rows.groupBy("key").agg(F.count("*").alias("n"), *several).where("n > 1 AND several" if tree else "n > 1").select("key", "n")
+    others = [c for c in rows.columns if c not in ("key", "id", "fp")]
+    apart = [(F.min(several) != F.max(several)).alias("apart")] if several else []
+    sizes = rows.groupBy("key").agg(F.count("*").alias("n"), *apart).where("n > 1 AND apart" if several else "n > 1").select("key", "n")
     parts = F.ceil(F.col("n") / F.lit(bucket_part)).cast("int")
-    own = F.pmod(F.xxhash64("fp", F.lit("part")), parts).cast("int")
-    dealt = rows.join(sizes, "key").withColumn("parts", parts).withColumn("own", own)
+    own = F.pmod(F.xxhash64("id", F.lit("part")), parts).cast("int")
+    dealt = rows.withColumnsRenamed({c: f"__{c}" for c in others}).join(sizes, "key").withColumn("parts", parts).withColumn("own", own)
     # part p meets part q as bucket min * parts + max; side 0: a part with itself, 1 and 2: the smaller and the larger part
     pairs = F.transform(
         F.sequence(F.lit(0), F.col("parts") - 1),
@@ -268,15 +272,21 @@ def near_links(fps: DataFrame, radius: int = 4, blocks: int = 6, bucket_part: in
             F.when(F.col("own") == q, 0).when(F.col("own") < q, 1).otherwise(2).alias("side"),
         ),
     )
-    dealt = dealt.select("key", "fp", *named, F.explode(pairs).alias("p")).select("key", F.col("p.part").alias("part"), F.col("p.side").alias("side"), "fp", *named)
-    dealt = dealt.repartition("key", "part").sortWithinPartitions("key", "part", "side", "fp")
+    dealt = dealt.select("key", "fp", "id", *(f"__{c}" for c in others), F.explode(pairs).alias("p")).select("key", F.col("p.part").alias("part"), F.col("p.side").alias("side"), "fp", "id", *(F.col(f"__{c}").alias(c) for c in others))
+    return dealt.repartition("key", "part").sortWithinPartitions("key", "part", "side", "fp")
+
+
+def bucket_links(rows: DataFrame, find: Callable[[dict[str, np.ndarray]], Iterable[tuple[np.ndarray, np.ndarray]]], bucket_part: int = BUCKET_PART, several: str | None = None) -> DataFrame:
+    """Links (a, b) that ``find`` gives for whole buckets of ``rows`` (see ``deal``); it gets the columns as arrays."""
+    dealt = deal(rows, bucket_part, several)
+    names = dealt.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
 
         def links(k: np.ndarray) -> Iterator[pa.RecordBatch]:
-            fps = k[3].view(np.uint64)
-            for a, b in crossing_links(k[0], k[1], k[2], fps, k[4], radius) if tree else [task_links(k[0], k[1], k[2], fps, radius)]:
+            own = dict(zip(names, k)) | {"fp": k[3].view(np.uint64)}
+            for a, b in find(own):
                 if len(a):
                     yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
@@ -297,11 +307,18 @@ def near_links(fps: DataFrame, radius: int = 4, blocks: int = 6, bucket_part: in
     return dealt.mapInArrow(run, "a bigint, b bigint")
 
 
+def near_links(fps: DataFrame, radius: int = 4, blocks: int = 6, bucket_part: int = BUCKET_PART) -> DataFrame:
+    """Links (a, b) that connect all distinct fingerprints (column ``fp``) within ``radius`` bits. Every fingerprint goes to one bucket of each table."""
+    tables = F.array(*(F.lit(signed(m)) for m in block_masks(blocks, radius)))
+    rows = fps.select("fp", F.posexplode(tables).alias("t", "mask")).select(F.xxhash64("t", F.col("fp").bitwiseAND(F.col("mask"))).alias("key"), F.col("fp").alias("id"), "fp")
+    return bucket_links(rows, lambda r: [task_links(r["key"], r["part"], r["side"], r["fp"], r["id"], radius)], bucket_part)
+
+
 def components(links: DataFrame, label: str = "components", rounds: int = 40) -> DataFrame:
     """(node, root) for every node of the links (a, b); the root is the smallest node that can be reached.
 
     Large-star and small-star rounds until nothing changes: stars are joined by their smallest member, and every
-    round is written to the shared folder. The minimum of a star is summed up before the shuffle.
+    round is written to the shared folder, where it replaces the one before. The minimum of a star is summed up before the shuffle.
     """
     edges = staged(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), label)
 
@@ -322,7 +339,8 @@ def components(links: DataFrame, label: str = "components", rounds: int = 40) ->
     for _ in range(rounds):
         if not before[0]:
             break
-        edges = staged(small(large(edges).where("u > v").distinct()).where("u > v").distinct(), label)
+        done, edges = edges, staged(small(large(edges).where("u > v").distinct()).where("u > v").distinct(), label)
+        unstaged(done)
         now = summed(edges)
         if now == before:
             break
@@ -349,58 +367,6 @@ def simhash_components(df: DataFrame, text_col: str = "text", id_col: str = "doc
     return marked.join(of_fp, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def shingle_set(text: bytes, width: int) -> set[bytes]:
-    words = text.lower().split()
-    return {b" ".join(words[i : i + width]) for i in range(max(1, len(words) - width + 1))}
-
-
-def similar(a: bytes, b: bytes, width: int, similarity: float) -> bool:
-    """Whether the Jaccard similarity of two texts' word shingles is at least ``similarity``."""
-    x, y = shingle_set(a, width), shingle_set(b, width)
-    common = len(x & y)
-    return common >= similarity * (len(x) + len(y) - common) - 1e-9
-
-
-def similar_components(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", width: int = 5, similarity: float = 0.8, radius: int = 13, tables: int = 48, bits: int = 12, broadcast_rows: int = 500_000) -> DataFrame:
-    """doc_id, version (a hash of the text), component_id and root (the component's own number) of every row: rows link if their texts' shingles are as similar as asked.
-
-    Candidates are fingerprints within ``radius`` bits that agree on one of ``tables`` sampled masks. They are verified on the
-    whole texts of the smallest ids (null ones last) in two passes: first the links that join two trees of a task, of which each is the
-    nearest of its bucket; then all candidates that the verified links of the first pass leave apart, so a link that failed hides none.
-    Every candidate is either verified or connected by verified links. At similarity 0.8 fingerprints differ in 10 bits on average, with a
-    deviation of 3: some four fifths of such pairs are candidates, and nearly all above 0.9; texts with equal fingerprints (exact copies
-    above all) always link. Nulls and repeated rows are treated as in ``simhash_components``.
-    """
-    base = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("version"))
-    marked = staged(with_fingerprints(base, carry=("doc_id", "version"), width=width), "fingerprints")
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "version"))
-    distinct = staged(marked.groupBy("fp").agg(first.alias("first")).select("fp", F.col("first.doc_id").alias("first_id"), F.col("first.version").alias("first_version")), "distinct")
-    masks = sampled_masks(tables, bits)
-
-    def verify(batch: pa.RecordBatch) -> pa.RecordBatch:
-        keep = [similar(x or b"", y or b"", width, similarity) for x, y in zip(text_bytes(batch.column(2)), text_bytes(batch.column(3)))]
-        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep))
-
-    def verified(links: DataFrame) -> DataFrame:
-        ends = links.select(F.col("a").alias("fp")).unionByName(links.select(F.col("b").alias("fp"))).distinct()
-        asked = staged(distinct.join(ends, "fp"), "asked")
-        asked = F.broadcast(asked) if asked.count() <= broadcast_rows else asked
-        same = F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("version") == F.col("first_version"))
-        texts = staged(base.join(asked, same).select("fp", "text").dropDuplicates(["fp"]), "texts")
-        pairs = links.join(texts.select(F.col("fp").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("fp").alias("b"), F.col("text").alias("tb")), "b")
-        return map_batches(pairs.select("a", "b", "ta", "tb"), verify, "a bigint, b bigint")
-
-    links = staged(near_links(distinct.select("fp"), radius, masks=masks).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "links")
-    trees = staged(components(verified(links)), "trees")
-    apart = distinct.select("fp").join(trees.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("tree"))
-    more = staged(near_links(staged(apart, "apart"), radius, masks=masks, tree="tree").distinct().join(links, ["a", "b"], "left_anti"), "crossing")
-    joined = trees.select(F.col("node").alias("a"), F.col("root").alias("b"))
-    found = components(joined.unionByName(verified(more)))
-    rooted = distinct.join(found.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    firsts = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    return marked.join(rooted.join(firsts, "root").select("fp", "component_id", "root"), "fp").select("doc_id", "version", "component_id", "root")
-
-
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The SimHash components of all documents."""
     return simhash_components(table(spark, sf_dir, "documents"))

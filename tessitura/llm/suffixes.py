@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessitura.llm.common import map_batches, table, text_bytes
+from tessitura.llm.common import bit_map, map_batches, table, text_bytes
 
 LENGTH, GRAM = 100, 32
 #: Bytes of a chunk on average (a power of two), and of the pieces whose hashes end it.
@@ -295,16 +295,6 @@ def index_contexts(rows: list[tuple], length: int) -> list[tuple[int, int, int,
     return marks
 
 
-def bit_map(df: DataFrame, key: str) -> np.ndarray:
-    """The map with the bits of all numbers in column ``key``, of fixed size whatever their count."""
-    bit = F.shiftrightunsigned(key, 64 - FILTER_BITS)
-    mask = F.call_function("shiftleft", F.lit(1).cast("long"), bit.bitwiseAND(F.lit(63).cast("long")).cast("int"))
-    words = df.groupBy(F.shiftrightunsigned(bit, 6).alias("word")).agg(F.bit_or(mask).alias("bits")).toArrow()
-    out = np.zeros(1 << (FILTER_BITS - 6), np.uint64)
-    out[words.column("word").to_numpy()] = words.column("bits").to_numpy().view(np.uint64)
-    return out
-
-
 def remove_repeats(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", length: int = LENGTH, keep_text: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of every row, and ``kept`` (binary) if asked.
 
@@ -335,7 +325,7 @@ def remove_repeats(df: DataFrame, text_col: str = "text", id_col: str = "doc_id"
     source = docs.select("doc", "version", "text")
     found = map_batches(source, chunked, "high bigint, low bigint, doc bigint, version bigint, start bigint, own bigint", rows=None)
     earliest = found.groupBy("high", "low").agg(F.min(F.struct("doc", "version", "start", "own")).alias("first"))
-    firsts = spark.sparkContext.broadcast(bit_map(earliest.select("first.own"), "own"))
+    firsts = spark.sparkContext.broadcast(bit_map(earliest.select("first.own"), "own", FILTER_BITS))
 
     def counted(batch: pa.RecordBatch) -> pa.RecordBatch | None:
         parts = [h for doc, version, text in long_texts(batch) for h, _, _ in anchors_within(text, first_chunks(doc, version, text, firsts.value, length)[0], length)]
@@ -345,7 +335,7 @@ def remove_repeats(df: DataFrame, text_col: str = "text", id_col: str = "doc_id"
         return pa.RecordBatch.from_arrays([pa.array(h), pa.array(np.minimum(n, 2).astype(np.int32))], ["anchor", "n"])
 
     again = map_batches(source, counted, "anchor bigint, n int", rows=None).groupBy("anchor").agg(F.sum("n").alias("n")).where("n > 1")
-    repeated = spark.sparkContext.broadcast(bit_map(again, "anchor"))
+    repeated = spark.sparkContext.broadcast(bit_map(again, "anchor", FILTER_BITS))
 
     def contexts(batch: pa.RecordBatch) -> pa.RecordBatch:
         out = batch_contexts(long_texts(batch), firsts.value, repeated.value, length)

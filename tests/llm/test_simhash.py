@@ -38,89 +38,14 @@ def brute_components(rows, width=4):
     return {i: (f"{f:016x}", first[find(f)]) for i, f in fps.items()}
 
 
-def brute_similar(rows, width, similarity):
-    """The smallest id reachable over pairs as similar as asked, by id."""
-    sets = {i: simhash.shingle_set((t or "").encode(), width) for i, t in rows}
-    root = {i: i for i in sets}
-
-    def find(x):
-        while root[x] != x:
-            x = root[x]
-        return x
-
-    ids = sorted(sets)
-    for n, a in enumerate(ids):
-        for b in ids[:n]:
-            common = len(sets[a] & sets[b])
-            if common >= similarity * (len(sets[a]) + len(sets[b]) - common) - 1e-9:
-                x, y = find(a), find(b)
-                root[max(x, y)] = min(x, y)
-    return {i: find(i) for i in ids}
-
-
-def test_similar_components(spark):
-    rng = np.random.default_rng(7)
-    base = [" ".join(f"w{x}" for x in rng.integers(0, 5000, 200)) for _ in range(40)]
-    rows = []
-    for k, text in enumerate(base):
-        words = text.split()
-        near, far = list(words), list(words)
-        near[int(rng.integers(0, 200))] = "changed"
-        for at in rng.integers(0, 200, 40):
-            far[int(at)] = "other"
-        rows += [(k, text), (100 + k, " ".join(near)), (200 + k, " ".join(far)), (300 + k, text)]
-    df = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, fp int")
-    got = {r["doc_id"]: r["component_id"] for r in simhash.similar_components(df).collect()}
-    want = brute_similar(rows, 5, 0.8)
-    assert got == want and all(got[100 + k] == k and got[200 + k] == 200 + k and got[300 + k] == k for k in range(40))
-    odd = spark.createDataFrame([(1, None), (2, ""), (None, "a b"), (4, "a b"), (4, "a b")], "doc_id long, text string")
-    assert sorted((str(r["doc_id"]), r["component_id"]) for r in simhash.similar_components(odd).collect()) == [("1", 1), ("2", 1), ("4", 4), ("4", 4), ("None", 4)]
-    assert simhash.similar_components(odd.limit(0)).count() == 0
-
-
-def test_a_failed_link_hides_no_similar_pair(spark):
-    """Groups of x, z (similar) and w, which is like neither and whose fingerprint lies between theirs."""
-    rng = np.random.default_rng(11)
-
-    def edited(words, places):
-        out = list(words)
-        for at in places:
-            out[int(at)] = f"e{rng.integers(0, 10**9)}"
-        return out
-
-    def fp(words):
-        return simhash.fingerprint(" ".join(words).encode(), 5)
-
-    rows, pairs = [], []
-    while len(pairs) < 12:
-        x = [f"w{n}" for n in rng.integers(0, 10**6, 200)]
-        places = rng.choice(np.arange(10, 190, 6), 10, replace=False)
-        z = edited(x, places[:4])
-        far = (fp(x) ^ fp(z)).bit_count()
-        if not 11 <= far <= 13 or not simhash.similar(" ".join(x).encode(), " ".join(z).encode(), 5, 0.8):
-            continue
-        for _ in range(200):
-            w = edited(z if rng.integers(0, 2) else x, [*places[:2], *rng.choice(places[4:], 4, replace=False)])
-            near = [(fp(w) ^ fp(o)).bit_count() for o in (x, z)]
-            if max(near) < far and not any(simhash.similar(" ".join(w).encode(), " ".join(o).encode(), 5, 0.8) for o in (x, z)):
-                n = 10 * len(pairs)
-                rows += [(n, " ".join(x)), (n + 1, " ".join(z)), (n + 2, " ".join(w))]
-                pairs.append((fp(x), fp(z)))
-                break
-    got = {r["doc_id"]: r["component_id"] for r in simhash.similar_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    masks = simhash.sampled_masks(48, 12)
-    candidates = [any(not (a ^ b) & m for m in masks) for a, b in pairs]
-    assert sum(candidates) > 6
-    assert [got[10 * k + 1] == 10 * k for k in range(len(pairs))] == candidates and all(got[10 * k + 2] == 10 * k + 2 for k in range(len(pairs)))
-
-
 @pytest.mark.parametrize("part", [3, 4096])
 def test_crossing_links_are_all_between_trees(spark, part):
     rng = np.random.default_rng(6)
     f = sorted({int(0x1234567890ABCDEF ^ (1 << int(a)) ^ (1 << int(b))) for a, b in rng.integers(0, 63, (60, 2))})
-    rows = [(x, k % 3) for k, x in enumerate(f)]
-    links = simhash.near_links(spark.createDataFrame(rows, "fp long, own long"), radius=3, bucket_part=part, tree="own")
-    want = {(a, b) for a, t in rows for b, u in rows if a < b and t != u and (a ^ b).bit_count() <= 3}
+    rows = [(7, x, x, k % 3) for k, x in enumerate(f)]
+    find = lambda r: simhash.crossing_links(r["key"], r["part"], r["side"], r["fp"], r["id"], r["own"], 3)
+    links = simhash.bucket_links(spark.createDataFrame(rows, "key long, id long, fp long, own long"), find, part, several="own")
+    want = {(a, b) for _, a, _, t in rows for _, b, _, u in rows if a < b and t != u and (a ^ b).bit_count() <= 3}
     assert {tuple(r) for r in links.collect()} == want
 
 
