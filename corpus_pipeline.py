@@ -10,11 +10,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessitura.llm.bpe import bpe_encode
-from tessitura.llm.common import staged, table
+from tessitura.llm.common import scratch, staged, table, unstaged
 from tessitura.llm.decontaminate import leaks
 from tessitura.llm.langid import UNKNOWN, identify_languages
 from tessitura.llm.pii import find_pii, redact
-from tessitura.llm.simhash import similar_components
+from tessitura.llm.neardup import similar_components
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: A document as far as this from every language is none: nearness is 0 when it shares no n-gram with the nearest profile.
@@ -41,7 +41,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one document of each group of near-duplicates, that with the smallest id; rows without an id come last.
 
-    Near-duplicates are found by SimHash and verified by the similarity of their shingles. Rows with one id and
+    Near-duplicates are found by SimHash in buckets of shared shingles, and every link is verified on whole texts. Rows with one id and
     different texts are different documents: each is judged by its own group.
     """
     small_batches(spark)
@@ -87,7 +87,11 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents of ``sf_dir``."""
-    docs = table(spark, sf_dir, "documents")
+    docs, done = table(spark, sf_dir, "documents"), ()
     for name, stage in STAGES[:-1]:
-        docs = staged(stage(spark, docs, sf_dir), name)
+        with scratch(spark) as folders:
+            docs = staged(stage(spark, docs, sf_dir), name)
+            folders.remove(docs.staged_at)
+        unstaged(*done)
+        done = (docs,)
     return STAGES[-1][1](spark, docs, sf_dir)
