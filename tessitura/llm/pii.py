@@ -1,14 +1,15 @@
 """Personal data by candidate gradient boosting, in DataFrame functions only.
 
-*Generators* of high recall propose spans that may overlap: the four base patterns, loose runs of digits and
-loosely written mail addresses. Base matches that pass their checks are kept as they are. Every other
+*Generators* of high recall propose spans that may overlap: the four base patterns, loose runs of digits, and loosely
+written addresses of mail and hosts. Base matches that pass their checks are kept as they are. Every other
 candidate gets features of its format and its context, boosted trees score it, and those above a calibrated
 threshold are added.
 
-The trees learn from the corpus itself: a loose candidate that overlaps a checked base span of its family is an example, any other
-a counterexample. All features are yes or no, so the candidates of a corpus, however many, fall into at most
-``2 ** len(FEATURES)`` cells, and the counts of the cells hold all that boosting needs. Spark counts the cells over all
-documents; the driver boosts over the counts; the trees become CASE expressions. The threshold is the
+The trees learn from the corpus itself. Examples are its checked base spans where they stand, but with their form damaged as
+people write it (``(at)``, blanks around dots, other marks between digits, no country code), so that no pattern of the base finds them.
+Counterexamples are the candidates that no base span overlaps. All features are yes or no, so the candidates of a corpus, however many, fall
+into at most ``2 ** len(FEATURES)`` cells, and the counts of the cells hold all that boosting needs. Spark counts the cells over all
+documents; the driver boosts over the counts; the trees become CASE expressions. Each family of candidates has its threshold: the
 smallest score at which the held-out fold has the asked share of examples.
 """
 
@@ -37,12 +38,22 @@ BASE = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 LOOSE = {
-    "digits": r"\+?[0-9](?:[\x20().-]{0,2}[0-9]){6,}+",
+    "digits": r"\+?\(?[0-9](?:[\x20().-]{0,2}[0-9]){6,}+",
+    "host": r"(?<![0-9.])[0-9]{1,3}(?:\x20?(?:\.|\(dot\)|\[dot\])\x20?[0-9]{1,3}){3}(?![0-9])",
     "mail": rf"(?:\G|(?<!{LOCAL})){LOCAL}++\x20?(?:@|\(at\)|\[at\])\x20?[A-Za-z0-9-]++(?:\x20?(?:\.|\(dot\)|\[dot\])\x20?[A-Za-z0-9-]++)++",
 }
 CONTEXT = r"(?i)(?:mail|phone|tel|mobil|fax|call|contact|kontakt|card|karte|carte|tarjeta|visa|account|konto|compte|cuenta|\bip\b|address|adresse|host)[^\n]*$"
-FEATURES = ("mail", "digits_9", "digits_12", "digits_16", "digits_20", "plus", "paren", "dot", "dash", "blank", "groups_4", "context", "attached", "at_sign")
-ROUNDS, RATE, PRECISION, LEAST_HELD_OUT = 40, 0.3, 0.95, 20
+#: Families come first: their features tell which threshold holds.
+FEATURES = ("mail", "host", "digits_9", "digits_12", "digits_16", "digits_20", "luhn", "bytes", "plus", "paren", "dot", "dash", "blank", "blanks", "groups_4", "context", "attached")
+FAMILIES = ("mail", "host", "digits")
+ROUNDS, RATE, PRECISION = 40, 0.3, 0.95
+#: Base patterns as they are written to escape a pattern, in turn by a hash of the match: (what, by what) in order.
+DAMAGED = {
+    "email": [[("@", " (at) "), (r"\.", " (dot) ")], [("@", "(at)")], [("@", " [at] "), (r"\.", " [dot] ")], [("@", " @ ")], [("@", "[at]")]],
+    "ip": [[(r"\.", " . ")], [(r"\.", ". ")], [(r"\.", "(dot)")], [(r"\.", "[dot]")]],
+    "card": [[("[^0-9]", ""), ("(....)(?=.)", "$1.")], [("[^0-9]", ""), ("(....)(?=.)", "$1  ")], [("[^0-9]", ""), ("(....)(?=.)", "$1--")]],
+    "phone": [[(r"^\+", "")], [(r"^\+[0-9]{1,3}[\x20.-]+", "")], [(r"^\+", ""), (r"[\x20()-]+", ".")], [(r"^\+", "00")]],
+}
 
 
 def pieces_of(df: DataFrame, name: str, text: str, pattern: str, only: Column) -> DataFrame:
@@ -92,15 +103,18 @@ def passes(kind: str, found: Column) -> Column:
     return F.lit(True)
 
 
-def features(c: Column, mail: bool) -> Column:
+def features(c: Column, family: str) -> Column:
     """The cell of a candidate: bit i is feature i of FEATURES."""
     found = c["found"]
+    parts = F.split(F.regexp_replace(found, r"^[^0-9]+|[^0-9]+$", ""), r"[^0-9]+")
     n = F.length(digits(found))
     yes = {
-        "mail": F.lit(mail),
+        **{k: F.lit(family == k) for k in FAMILIES[:2]},
         **{f"digits_{k}": n >= k for k in (9, 12, 16, 20)},
-        "plus": F.startswith(found, F.lit("+")),
-        **{k: F.contains(found, F.lit(x)) for k, x in (("paren", "("), ("dot", "."), ("dash", "-"), ("blank", " "), ("at_sign", "@"))},
+        "luhn": F.when(n.between(12, 19), luhn(digits(found))).otherwise(F.lit(False)),
+        "bytes": F.forall(parts, lambda p: F.length(p).between(1, 3) & (F.coalesce(p.try_cast("int"), F.lit(256)) <= 255)),
+        "plus": F.startswith(found, F.lit("+")) | F.startswith(found, F.lit("00")),
+        **{k: F.contains(found, F.lit(x)) for k, x in (("paren", "("), ("dot", "."), ("dash", "-"), ("blank", " "), ("blanks", "  "))},
         "groups_4": F.size(F.split(found, r"[^0-9A-Za-z]+")) >= 4,
         "context": F.coalesce(c["before"].rlike(CONTEXT), F.lit(False)),
         "attached": F.coalesce(c["before"].rlike("[A-Za-z0-9_]$"), F.lit(False)) | F.coalesce(c["after"].rlike("^[A-Za-z0-9_]"), F.lit(False)),
@@ -111,13 +125,30 @@ def features(c: Column, mail: bool) -> Column:
     return out
 
 
+def damaged(kind: str, found: Column) -> Column:
+    """A base match as it is written to escape its pattern."""
+    ways = DAMAGED[kind]
+    turn = F.pmod(F.xxhash64(found), F.lit(len(ways)))
+    out = found
+    for i, rules in enumerate(ways):
+        made = found
+        for what, new in rules:
+            made = F.regexp_replace(made, what, new)
+        out = F.when(turn == i, made).otherwise(out)
+    return out
+
+
+def family_of(cell: int) -> str:
+    return next((k for i, k in enumerate(FAMILIES[:2]) if cell >> i & 1), FAMILIES[-1])
+
+
 @dataclass(frozen=True)
 class Model:
     """Boosted trees of depth two: (feature, feature if yes, feature if no, values yes-yes, yes-no, no-yes, no-no)."""
 
     bias: float
     trees: tuple[tuple[int, int, int, float, float, float, float], ...]
-    threshold: float
+    thresholds: dict[str, float]
 
     def raw(self, cell: int) -> float:
         return self.bias + sum((yy if cell >> a & 1 else yn) if cell >> f & 1 else (ny if cell >> b & 1 else nn) for f, a, b, yy, yn, ny, nn in self.trees)
@@ -130,6 +161,13 @@ class Model:
             out = out + F.when(has(f), F.when(has(a), yy).otherwise(yn)).otherwise(F.when(has(b), ny).otherwise(nn))
         return F.lit(1.0) / (F.lit(1.0) + F.exp(-out))
 
+    def selects(self, cell: Column) -> Column:
+        """Whether a cell's score reaches its family's threshold."""
+        least = F.lit(self.thresholds[FAMILIES[-1]])
+        for i, k in enumerate(FAMILIES[:2]):
+            least = F.when(cell.bitwiseAND(F.lit(1 << i)) != 0, self.thresholds[k]).otherwise(least)
+        return self.score(cell) >= least
+
 
 def boost(cells: dict[int, tuple[int, int]], held: dict[int, tuple[int, int]]) -> Model:
     """Gradient boosting of the logistic loss over cell counts (counterexamples, examples), and the threshold from the held-out counts."""
@@ -162,49 +200,63 @@ def boost(cells: dict[int, tuple[int, int]], held: dict[int, tuple[int, int]]) -
         trees.append((f, a, b, *values))
         for c in cells:
             raw[c] += (values[0] if c >> a & 1 else values[1]) if c >> f & 1 else (values[2] if c >> b & 1 else values[3])
-    model = Model(bias, tuple(trees), 2.0)
-    by_score: dict[float, list[int]] = {}
+    model = Model(bias, tuple(trees), {})
+    by_score: dict[str, dict[float, list[int]]] = {k: {} for k in FAMILIES}
     for c, (n, y) in held.items():
-        x = by_score.setdefault(1 / (1 + math.exp(-model.raw(c))), [0, 0])
+        x = by_score[family_of(c)].setdefault(1 / (1 + math.exp(-model.raw(c))), [0, 0])
         x[0] += n
         x[1] += y
-    threshold, n, y = 2.0, 0, 0
-    for s, x in sorted(by_score.items(), reverse=True):
-        n, y = n + x[0], y + x[1]
-        if n + y >= LEAST_HELD_OUT and y >= PRECISION * (n + y):
-            threshold = s - 1e-9
-    return Model(bias, tuple(trees), threshold)
+    for family, scores in by_score.items():
+        model.thresholds[family], n, y = 2.0, 0, 0
+        for s, x in sorted(scores.items(), reverse=True):
+            n, y = n + x[0], y + x[1]
+            if y >= PRECISION * (n + y + 1):  # one more counterexample: few examples prove nothing
+                model.thresholds[family] = s - 1e-9
+    return model
 
 
 def candidates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
-    """For each row doc_id, the checked base spans by kind, and ``loose``: all other candidates with cell and label."""
+    """For each row doc_id, the checked base spans by kind, ``loose``: all candidates that overlap none, with their cells, and ``examples``: the cells of the damaged base spans."""
     text = F.coalesce(F.translate(F.col(text_col), MARK, INSTEAD), F.lit(""))
     out = df.select(F.col(id_col).alias("doc_id"), *carry, text.alias("__t"))
-    may = {"email": F.contains("__t", F.lit("@")), "phone": F.contains("__t", F.lit("+")), "mail": F.contains("__t", F.lit("@")) | F.contains("__t", F.lit("(at)")) | F.contains("__t", F.lit("[at]"))}
+    at = F.contains("__t", F.lit("@")) | F.contains("__t", F.lit("(at)")) | F.contains("__t", F.lit("[at]"))
+    may = {"email": F.contains("__t", F.lit("@")), "phone": F.contains("__t", F.lit("+")), "mail": at}
     for name, pattern in (BASE | LOOSE).items():
         out = pieces_of(out, f"__{name}", "__t", pattern, may[name] if name in may else F.col("__t").rlike(pattern.replace("{11,}+", "{11}").replace("{6,}+", "{6}")))
 
     def checked(kind: str) -> Column:
-        kept = F.filter(f"__{kind}", lambda s: passes(kind, s["found"]))
-        return F.transform(kept, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(kind).alias("kind"))).alias(kind)
+        return F.filter(f"__{kind}", lambda s: passes(kind, s["found"]))
+
+    for kind in KINDS:
+        out = out.withColumn(f"__{kind}", checked(kind))
+
+    def spans(kind: str) -> Column:
+        return F.transform(f"__{kind}", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(kind).alias("kind"))).alias(kind)
+
+    def examples(kind: str) -> Column:
+        family = {"email": "mail", "ip": "host"}.get(kind, "digits")
+        shown = lambda s: F.struct(damaged(kind, s["found"]).alias("found"), s["before"].alias("before"), s["after"].alias("after"))
+        return F.transform(F.transform(f"__{kind}", shown), lambda s: features(s, family))
 
-    out = out.select("doc_id", *carry, *map(checked, KINDS), "__digits", "__mail")
+    out = out.select("doc_id", *carry, *map(spans, KINDS), F.concat(*map(examples, KINDS)).alias("examples"), *(f"__{k}" for k in LOOSE))
 
-    def loose(name: str, kinds: tuple[str, ...]) -> Column:
+    def loose(family: str, name: str, kinds: tuple[str, ...]) -> Column:
         base = F.concat(*(F.col(k) for k in kinds))
-        overlaps = lambda s: F.exists(base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
+        apart = lambda s: ~F.exists(base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
         n = lambda s: F.length(digits(s["found"]))
-        kind = lambda s: F.lit("email") if name == "__mail" else F.when(F.startswith(s["found"], F.lit("+")), "phone").when(s["found"].rlike(r"^[0-9]+(\.[0-9]+){3}$"), "ip").when(n(s) >= 12, "card").otherwise("phone")
-        return F.transform(name, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), kind(s).alias("kind"), features(s, name == "__mail").alias("cell"), overlaps(s).alias("known")))
+        kind = lambda s: F.lit({"mail": "email", "host": "ip"}[family]) if family != "digits" else F.when(F.startswith(s["found"], F.lit("+")) | (n(s) < 12), "phone").otherwise("card")
+        return F.transform(F.filter(name, apart), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), kind(s).alias("kind"), features(s, family).alias("cell")))
 
-    return out.select("doc_id", *carry, *KINDS, F.concat(loose("__digits", ("ip", "card", "phone")), loose("__mail", ("email",))).alias("loose"))
+    digits_family = ("ip", "card", "phone")
+    return out.select("doc_id", *carry, *KINDS, "examples", F.concat(loose("mail", "__mail", ("email",)), loose("host", "__host", digits_family), loose("digits", "__digits", digits_family)).alias("loose"))
 
 
 def fit(found: DataFrame) -> Model:
-    """Count the cells over all candidates, boost, and calibrate on the fold whose id's checksum leaves 2 when divided by 4."""
+    """Count the cells over all candidates and examples, boost, and calibrate on the fold whose id's checksum leaves 2 when divided by 4."""
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
+    told = F.concat(F.transform("examples", lambda c: F.struct(c.alias("cell"), F.lit(True).alias("known"))), F.transform("loose", lambda s: F.struct(s["cell"].alias("cell"), F.lit(False).alias("known"))))
     # at most 2 ** len(FEATURES) cells x 2 x 2
-    rows = found.select(held.alias("held"), F.explode("loose").alias("c")).groupBy("held", "c.cell", "c.known").agg(F.count("*").alias("n")).collect()
+    rows = found.select(held.alias("held"), F.explode(told).alias("c")).groupBy("held", "c.cell", "c.known").agg(F.count("*").alias("n")).collect()
     folds: dict[bool, dict[int, list[int]]] = {False: {}, True: {}}
     for r in sorted(rows, key=lambda r: (r["held"], r["cell"], r["known"])):
         folds[r["held"]].setdefault(r["cell"], [0, 0])[int(r["known"])] += r["n"]
@@ -215,7 +267,7 @@ def find_pii(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", carr
     """Each row's id, the ``base`` spans and ``spans``, all selected ones: arrays of (start, rank, kind, end) in order.
 
     A null text is an empty one and has no spans; repeated rows are repeated; where the corpus has no
-    examples, or too few held out, nothing is added. Added spans that overlap a base span are left out, and so
+    base spans of a family, or too few held out to show the precision, nothing of it is added. Added spans that overlap a base span are left out, and so
     is an added span that starts within another. One scan, no shuffle but that of the cell counts.
     """
     found = staged(candidates(df, id_col, text_col, carry), "candidates")
@@ -223,10 +275,12 @@ def find_pii(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", carr
     rank = lambda kind: F.array_position(F.array(*(F.lit(k) for k in KINDS)), kind)
     shape = lambda s: F.struct(s["start"].alias("start"), rank(s["kind"]).alias("rank"), s["kind"].alias("kind"), s["end"].alias("end"))
     base = F.array_sort(F.transform(F.concat(*(F.col(k) for k in KINDS)), shape))
-    scored = F.filter("loose", lambda s: ~s["known"] & (model.score(s["cell"]) >= F.lit(model.threshold)))
+    scored = F.filter("loose", lambda s: model.selects(s["cell"]))
     out = found.withColumn("base", base).withColumn("__scored", scored)
-    clear = F.filter("__scored", lambda s: ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])) & ~F.exists("__scored", lambda o: (o["start"] < s["start"]) & (s["start"] < o["end"])))
-    return out.withColumn("spans", F.when((F.size("base") >= 0) & (F.size("__scored") > 0), F.array_distinct(F.array_sort(F.concat("base", F.transform(clear, shape))))).otherwise(F.col("base"))).drop("__scored")
+    # of candidates that overlap, the one that starts first stays; a host's digits may be those of a run, which it precedes by its kind
+    inside = lambda s, o: ((o["start"] < s["start"]) & (s["start"] < o["end"])) | ((o["start"] == s["start"]) & (o["kind"] == "ip") & (s["kind"] != "ip"))
+    clear = F.filter("__scored", lambda s: ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])) & ~F.exists("__scored", lambda o: inside(s, o)))
+    return out.withColumn("spans", F.when((F.size("base") >= 0) & (F.size("__scored") > 0), F.array_distinct(F.array_sort(F.concat("base", F.transform(clear, shape))))).otherwise(F.col("base"))).drop("__scored", "examples")
 
 
 def listed(spans: str) -> Column:
