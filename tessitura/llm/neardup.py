@@ -33,7 +33,7 @@ RADIUS = 26
 #: A shingle in this many nodes has its count in the table of counts; of rarer ones only whether they are shared is held.
 COUNTED = 4
 #: Shingles that a task holds while it counts.
-COUNTED_AT_ONCE = 1 << 22
+COUNTED_AT_ONCE = 1 << 20
 #: Rows (of some 50 bytes) up to which a table of nodes is broadcast.
 BROADCAST_ROWS = 500_000
 
@@ -55,35 +55,35 @@ def similar(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
     return common >= similarity * (len(a) + len(b) - common) - 1e-9
 
 
-def with_shingles(df: DataFrame, width: int) -> DataFrame:
-    """doc_id, version, fp, n, shingles (the sorted hashes), digest (of the hashes) and own (the row's number) of rows doc_id, version and text."""
-    id_type = df.schema["doc_id"].dataType.simpleString()
+def described(base: DataFrame, width: int) -> DataFrame:
+    """doc_id, version, own and, of the text's shingle set, n (its size) and digest."""
+    fields = [base.schema[c] for c in ("doc_id", "version", "own")]
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        sets = [shingle_set(b, width) for b in text_bytes(batch.column(2))]
-        packed = [s.tobytes() for s in sets]
-        fps = np.array([majority([s]) for s in sets], np.uint64).view(np.int64)
-        rest = [pa.array(fps), pa.array([len(s) for s in sets], pa.int64()), pa.array(packed, pa.binary()), pa.array([xxhash.xxh3_128_digest(p) for p in packed], pa.binary())]
-        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *rest], ["doc_id", "version", "fp", "n", "shingles", "digest"])
+        sets = [shingle_set(b, width) for b in text_bytes(batch.column(3))]
+        return pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(list(map(len, sets)), pa.int64()), pa.array(list(map(digest_of, sets)), pa.binary())], ["doc_id", "version", "own", "n", "digest"])
 
-    found = map_batches(df.select("doc_id", "version", "text"), run, f"doc_id {id_type}, version bigint, fp bigint, n bigint, shingles binary, digest binary", rows=256)
-    return found.withColumn("own", F.xxhash64("digest", F.col("doc_id").isNull(), "doc_id", "version"))
+    return map_batches(base.select("doc_id", "version", "own", "text"), run, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in fields) + ", n bigint, digest binary", rows=256)
 
 
-def sets_of(batch: pa.RecordBatch, firsts: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    """(row, set) of a batch (own, shingles, ...) for rows that may be the first of their set; a chance bit of the map lets a later copy pass."""
-    packed = batch.column(1)
+def digest_of(found: np.ndarray) -> bytes:
+    return xxhash.xxh3_128_digest(found.tobytes())
+
+
+def sets_of(batch: pa.RecordBatch, firsts: np.ndarray, width: int) -> Iterator[np.ndarray]:
+    """The sets of those rows of a batch (own, text) that may be the first of their set; a chance bit of the map lets a later copy pass."""
+    texts = text_bytes(batch.column(1))
     for i in np.flatnonzero(has_bits(firsts, batch.column(0).to_numpy())).tolist():
-        yield i, np.frombuffer(packed[i].as_buffer(), np.uint64)
+        yield shingle_set(texts[i], width)
 
 
-def counted(marked: DataFrame, firsts: np.ndarray, total: int) -> tuple[np.ndarray, np.ndarray]:
+def counted(base: DataFrame, firsts: np.ndarray, width: int, total: int) -> tuple[np.ndarray, np.ndarray]:
     """A bit map of the shingles that several nodes have, and a table of the logarithms of their counts where there are ``COUNTED`` or more.
 
     ``total`` shingles are dealt by their top bits as packed arrays, of which a task sums up some millions; each part gives its
     slice of the tables, so the driver gets tables of fixed size and no shingle.
     """
-    spark = marked.sparkSession
+    spark = base.sparkSession
     bits = min(MAP_BITS, max(16, (8 * total).bit_length()))
     size = bits - 4
     cut = min(size, max(4, (total >> 20).bit_length()))
@@ -101,7 +101,7 @@ def counted(marked: DataFrame, firsts: np.ndarray, total: int) -> tuple[np.ndarr
             return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.binary() if i else pa.int64()) for i in range(4)], ["part", "once", "more", "counts"])
 
         for batch in batches:
-            held += [s for _, s in sets_of(batch, maps.value)]
+            held += sets_of(batch, maps.value, width)
             if sum(map(len, held)) >= COUNTED_AT_ONCE:
                 yield out()
                 held = []
@@ -140,7 +140,7 @@ def counted(marked: DataFrame, firsts: np.ndarray, total: int) -> tuple[np.ndarr
         if part is not None:
             yield out()
 
-    dealt = marked.select("own", "shingles").mapInArrow(packed, "part bigint, once binary, more binary, counts binary").repartition("part").sortWithinPartitions("part")
+    dealt = base.select("own", "text").mapInArrow(packed, "part bigint, once binary, more binary, counts binary").repartition("part").sortWithinPartitions("part")
     found = dealt.mapInArrow(summed, "part bigint, shared binary, level binary").toArrow()
     shared, level = np.zeros(1 << (bits - 3), np.uint8), np.zeros(1 << size, np.uint8)
     for p, own, logs in zip(*(found.column(c).to_pylist() for c in ("part", "shared", "level"))):
@@ -149,29 +149,38 @@ def counted(marked: DataFrame, firsts: np.ndarray, total: int) -> tuple[np.ndarr
     return shared.view(np.uint64), level
 
 
-def keys_of(marked: DataFrame, firsts: np.ndarray, tables: tuple[np.ndarray, np.ndarray], similarity: float) -> DataFrame:
-    """Rows (key, id, fp, n): each node's keys, but for those that no other node has."""
-    maps = marked.sparkSession.sparkContext.broadcast((firsts, *tables))
+def keys_of(base: DataFrame, firsts: np.ndarray, tables: tuple[np.ndarray, np.ndarray], width: int, similarity: float) -> DataFrame:
+    """Rows (key, digest, fp, n): each node's keys, but for those that no other node has."""
+    maps = base.sparkSession.sparkContext.broadcast((firsts, *tables))
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch | None:
         own, shared, level = maps.value
         shift = np.uint64(64 - (len(level).bit_length() - 1))
-        ids, fps, sizes = (batch.column(i).to_numpy() for i in (2, 3, 4))
         rows, keys = [], []
-        for i, found in sets_of(batch, own):
+        for found in sets_of(batch, own, width):
             several = has_bits(shared, found)
             most = key_count(len(found), similarity)
             if len(found) - np.count_nonzero(several) >= most:
                 continue
             order = np.argsort(np.where(several, level[found >> shift] + np.uint8(1), np.uint8(0)), kind="stable")[:most]
             keys.append(found[order[several[order]]])
-            rows.append(np.full(len(keys[-1]), i))
+            rows += [(digest_of(found), majority([found]) - (1 << 63), len(found))] * len(keys[-1])
         if not rows:
             return None
-        at = np.concatenate(rows)
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), *(pa.array(x[at]) for x in (ids, fps, sizes))], ["key", "id", "fp", "n"])
+        digests, fps, sizes = zip(*rows)
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(digests, pa.binary()), pa.array(fps, pa.int64()), pa.array(sizes, pa.int64())], ["key", "digest", "fp", "n"])
+
+    return map_batches(base.select("own", "text"), run, "key bigint, digest binary, fp bigint, n bigint", rows=256)
 
-    return map_batches(marked.select("own", "shingles", "node", "fp", "n"), run, "key bigint, id bigint, fp bigint, n bigint")
+
+def packed_sets(base: DataFrame, width: int) -> DataFrame:
+    """node, digest and shingles (the set's bytes) of rows node and text."""
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        sets = [shingle_set(b, width) for b in text_bytes(batch.column(1))]
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(map(digest_of, sets)), pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], ["node", "digest", "shingles"])
+
+    return map_batches(base.select("node", "text"), run, "node bigint, digest binary, shingles binary", rows=256)
 
 
 def similar_components(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", width: int = 5, similarity: float = 0.8, radius: int = RADIUS) -> DataFrame:
@@ -183,23 +192,25 @@ def similar_components(df: DataFrame, text_col: str = "text", id_col: str = "doc
     (null if there is none); repeated rows are repeated; rows of one id with different texts are different nodes.
     """
     base = df.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("version"), F.col(text_col).alias("text"))
-    seed = 0
-    shingled = staged(with_shingles(base, width), "shingles")
+    base = base.withColumn("own", F.xxhash64("version", F.col("doc_id").isNull(), "doc_id"))
+    rows = staged(described(base, width), "described")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "version", "own"))
+    seed = 0
     while True:  # nodes are numbers of 64 bits; should two sets share one, all are numbered anew
-        marked = shingled.withColumn("node", F.xxhash64("digest", F.lit(seed)))
-        nodes = marked.groupBy("digest", "node").agg(first.alias("first"), F.first("n").alias("n"))
-        nodes = staged(nodes.select("node", F.col("first.doc_id").alias("first_id"), F.col("first.own").alias("own"), "n"), "nodes")
+        node = F.xxhash64("digest", F.lit(seed)).alias("node")
+        nodes = rows.groupBy("digest").agg(first.alias("first"), F.first("n").alias("n"))
+        nodes = staged(nodes.select(node, F.col("first.doc_id").alias("first_id"), F.col("first.own").alias("own"), "n"), "nodes")
         if not nodes.groupBy("node").count().where("count > 1").limit(1).count():
             break
         seed += 1
     many, total = nodes.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
     firsts = bit_map(nodes, "own", min(MAP_BITS, max(10, (16 * many).bit_length())))
-    keys = staged(keys_of(marked, firsts, counted(marked, firsts, total), similarity), "keys")
+    keys = keys_of(base, firsts, counted(base, firsts, width, total), width, similarity)
+    keys = staged(keys.select("key", node.alias("id"), "fp", "n"), "keys")
 
-    def fits(rows: dict[str, np.ndarray]):
-        n = rows["n"]
-        return lambda i, j: (np.minimum(n[i], n[j]) >= similarity * np.maximum(n[i], n[j]) - 1e-9) & (rows["id"][i] != rows["id"][j])
+    def fits(own: dict[str, np.ndarray]):
+        n = own["n"]
+        return lambda i, j: (np.minimum(n[i], n[j]) >= similarity * np.maximum(n[i], n[j]) - 1e-9) & (own["id"][i] != own["id"][j])
 
     def verify(batch: pa.RecordBatch) -> pa.RecordBatch:
         keep = [similar(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), similarity) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
@@ -208,8 +219,8 @@ def similar_components(df: DataFrame, text_col: str = "text", id_col: str = "doc
     def verified(links: DataFrame, label: str) -> DataFrame:
         ends = links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node"))).distinct()
         asked = staged(nodes.select("node", "own").join(ends, "node", "left_semi"), "asked")
-        sets = marked.select("node", "own", "shingles").join(F.broadcast(asked) if asked.count() <= BROADCAST_ROWS else asked, ["node", "own"], "left_semi")
-        sets = staged(sets.dropDuplicates(["node"]).select("node", "shingles"), "sets")
+        texts = base.join(F.broadcast(asked) if asked.count() <= BROADCAST_ROWS else asked, "own").select("node", "text").dropDuplicates(["node"])
+        sets = staged(packed_sets(texts, width).where(F.col("node") == node).select("node", "shingles"), "sets")
         both = links.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb")), "b")
         out = staged(map_batches(both.select("a", "b", "sa", "sb"), verify, "a bigint, b bigint", rows=256), label)
         unstaged(asked, sets)
@@ -226,4 +237,4 @@ def similar_components(df: DataFrame, text_col: str = "text", id_col: str = "doc
     found = components(joined.unionByName(verified(more, "verified")))
     rooted = nodes.join(found, "node", "left").select("node", "first_id", F.coalesce("root", "node").alias("root"))
     smallest = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    return marked.select("doc_id", "version", "node").join(rooted.join(smallest, "root").select("node", "component_id", "root"), "node").select("doc_id", "version", "component_id", "root")
+    return rows.select("doc_id", "version", node).join(rooted.join(smallest, "root").select("node", "component_id", "root"), "node").select("doc_id", "version", "component_id", "root")
