@@ -23,8 +23,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tessitura.llm.common import map_batches, table
+from tessitura.llm.common import map_batches, staged, table
 
+#: Brackets within brackets that JSON in a message may have; what nests deeper stays text.
+DEEPEST = 200
 TAGGED = re.compile(r"<(tool_call|tool_result)>(.*?)</\1>", re.S)
 TYPES: dict[str, Any] = {"object": dict, "array": list, "string": str, "boolean": bool, "null": type(None)}
 
@@ -46,7 +48,7 @@ def canonical(value: Any) -> str:
 
 def is_type(value: Any, name: str) -> bool:
     if name in ("number", "integer"):
-        return isinstance(value, int | float) and not isinstance(value, bool) and (name == "number" or float(value).is_integer())
+        return isinstance(value, int | float) and not isinstance(value, bool) and (name == "number" or isinstance(value, int) or value.is_integer())
     return isinstance(value, TYPES[name]) if name in TYPES else True
 
 
@@ -88,6 +90,30 @@ def uses(value: Any) -> list[str]:
     return [u for v in value for u in uses(v)] if isinstance(value, list) else []
 
 
+def loaded(body: str) -> Any:
+    """JSON with lone surrogates read as U+FFFD; ValueError if it is none, if it nests deeper than ``DEEPEST`` or if a number in it has too many digits to be read."""
+    try:
+        value = json.loads(body)
+    except RecursionError:
+        raise ValueError("nested too deep") from None
+    level = [value]
+    for _ in range(DEEPEST):
+        level = [v for x in level if isinstance(x, dict | list) for v in (x.values() if isinstance(x, dict) else x)]
+        if not level:
+            break
+    else:
+        raise ValueError("nested too deep")
+
+    def whole(x: Any) -> Any:
+        if isinstance(x, str):
+            return x.encode("utf-16-le", "surrogatepass").decode("utf-16-le", "replace")
+        if isinstance(x, dict):
+            return {whole(k): whole(v) for k, v in x.items()}
+        return [whole(v) for v in x] if isinstance(x, list) else x
+
+    return whole(value) if "\\u" in body else value
+
+
 def parse_message(role: str | None, text: str | None, schemas: dict[str, dict]) -> tuple[str | None, list[dict], list[dict]]:
     """What is left of a message's text, its calls and its results. What can't be parsed stays in the text."""
     calls: list[dict] = []
@@ -95,7 +121,7 @@ def parse_message(role: str | None, text: str | None, schemas: dict[str, dict])
 
     def take(kind: str, body: str) -> bool:
         try:
-            x = json.loads(body)
+            x = loaded(body)
         except ValueError:
             return False
         if not isinstance(x, dict) or x.get("id") is None or ("name" not in x if kind == "tool_call" else "content" not in x):
@@ -106,7 +132,7 @@ def parse_message(role: str | None, text: str | None, schemas: dict[str, dict])
         arguments = x.get("arguments", {})
         if isinstance(arguments, str):
             try:
-                arguments = json.loads(arguments)
+                arguments = loaded(arguments)
             except ValueError:
                 pass
         schema = schemas.get(str(x["name"]))
@@ -149,13 +175,15 @@ def topological(calls: list[dict]) -> tuple[list[int], bool]:
     return out + rest, bool(rest)
 
 
-def conversation_json(messages: list[dict], calls: list[dict]) -> str:
-    """Canonical JSON of a conversation; ``calls`` in the order of their messages."""
-    own: dict[int, list[dict]] = defaultdict(list)
+def conversation_json(messages: list[dict], calls: list[dict], loose: list[dict] | None = None) -> str:
+    """Canonical JSON of a conversation; ``calls`` in the order of their messages, and the ``loose`` results that belong to no call with theirs."""
+    own: dict[int, dict[str, list[dict]]] = defaultdict(dict)
     for c in calls:
-        own[c["seq"]].append({"arguments": json.loads(c["arguments"]), "errors": c["errors"], "id": c["id"], "name": c["name"], "result": None if c["result"] is None else json.loads(c["result"])})
+        own[c["seq"]].setdefault("tool_calls", []).append({"arguments": json.loads(c["arguments"]), "errors": c["errors"], "id": c["id"], "name": c["name"], "result": None if c["result"] is None else json.loads(c["result"])})
+    for r in loose or ():
+        own[r["seq"]].setdefault("tool_results", []).append({"content": json.loads(r["result"]), "id": r["id"]})
     order, cyclic = topological(calls)
-    out: dict[str, Any] = {"messages": [{"content": m["content"], "role": m["role"], "turn": m["turn"]} | ({"tool_calls": own[m["seq"]]} if m["seq"] in own else {}) for m in messages]}
+    out: dict[str, Any] = {"messages": [{"content": m["content"], "role": m["role"], "turn": m["turn"]} | own.get(m["seq"], {}) for m in messages]}
     if calls:
         out |= {"call_order": [calls[i]["id"] for i in order], "cyclic": cyclic}
     return canonical(out)
@@ -170,8 +198,8 @@ def format_chats(conversations: DataFrame, schemas: dict[str, dict] | None = Non
 
     ``conversations`` has conv_id, turn, role and text; ``schemas`` has a JSON schema by tool. Messages are
     ordered by turn (null first), then role and text; repeated rows are repeated messages; null conv_ids are one
-    conversation; null texts have null content. Calls without a result have result null; results without a call are
-    counted and left out. A conversation becomes one row, as its format demands, so one task holds one conversation at a time.
+    conversation; null texts have null content. Calls without a result have result null; results without a call stay
+    with their message as ``tool_results``. A conversation becomes one row, as its format demands, so one task holds one conversation at a time.
     """
     schemas = schemas or {}
     turn_type = conversations.schema["turn"].dataType.simpleString()
@@ -189,24 +217,29 @@ def format_chats(conversations: DataFrame, schemas: dict[str, dict] | None = Non
             ["conv_id", "seq", "turn", "role", "content", "calls", "results"],
         )
 
-    parsed = map_batches(numbered.select("conv_id", "seq", "turn", "role", "text"), run, schema)
+    parsed = staged(map_batches(numbered.select("conv_id", "seq", "turn", "role", "text"), run, schema), "messages")
     calls = parsed.select("conv_id", "seq", F.posexplode("calls").alias("place", "c")).select("conv_id", "seq", "place", "c.*")
     results = parsed.select("conv_id", "seq", F.posexplode("results").alias("place", "r")).select("conv_id", "seq", "place", F.col("r.id").alias("id"), F.col("r.content").alias("result"))
     nth = F.row_number().over(Window.partitionBy("conv_id", "id").orderBy("seq", "place"))
-    linked = calls.withColumn("nth", nth).alias("c").join(
-        results.withColumn("nth", nth).select("conv_id", "id", "nth", "result").alias("r").hint("shuffle_hash"),
+    paired = calls.withColumn("nth", nth).alias("c").join(
+        results.withColumn("nth", nth).alias("r").hint("shuffle_hash"),
         F.col("c.conv_id").eqNullSafe(F.col("r.conv_id")) & (F.col("c.id") == F.col("r.id")) & (F.col("c.nth") == F.col("r.nth")),
-        "left",
+        "full_outer",
+    )
+    # a result without a call is a row without a name
+    paired = paired.select(
+        F.coalesce("c.conv_id", "r.conv_id").alias("conv_id"), *(F.coalesce(f"c.{k}", f"r.{k}").alias(k) for k in ("seq", "place", "id")), "c.name", "c.arguments", "c.errors", "c.uses", "r.result"
     )
-    gathered = linked.groupBy("c.conv_id").agg(F.sort_array(F.collect_list(F.struct("c.seq", "c.place", "c.id", "c.name", "c.arguments", "c.errors", "c.uses", "r.result"))).alias("calls"))
+    gathered = paired.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("seq", "place", "id", "name", "arguments", "errors", "uses", "result"))).alias("calls"))
     chats = parsed.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("seq", "turn", "role", "content"))).alias("messages"), F.sum(F.size("results")).alias("n_results"))
     both = chats.alias("m").join(gathered.alias("g"), F.col("m.conv_id").eqNullSafe(F.col("g.conv_id")), "left").select("m.conv_id", "m.messages", "m.n_results", "g.calls")
 
     def write(batch: pa.RecordBatch) -> pa.RecordBatch:
         rows = []
         for messages, n_results, own in zip(*(c.to_pylist() for c in batch.columns[1:])):
-            own = own or []
-            rows.append((len(messages), len(own), n_results, sum(c["result"] is not None for c in own), sum(bool(c["errors"]) for c in own), conversation_json(messages, own)))
+            loose = [c for c in own or () if c["name"] is None]
+            own = [c for c in own or () if c["name"] is not None]
+            rows.append((len(messages), len(own), n_results, sum(c["result"] is not None for c in own), sum(bool(c["errors"]) for c in own), conversation_json(messages, own, loose)))
         kinds = [pa.int64()] * 5 + [pa.string()]
         return pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds))], ["conv_id", "n_messages", "n_calls", "n_results", "n_linked", "n_invalid", "chat"])
 
