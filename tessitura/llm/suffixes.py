@@ -8,17 +8,17 @@ it are also found earlier, all strings that start in it repeat, and later copies
 occurrence stands for them. *Anchors.* A string's anchor is its smallest ``GRAM``-byte piece by hash (the last of equals).
 Equal strings have equal anchors at equal places, so all occurrences of a string are found among those of its anchor.
 
-1. Chunks are grouped by a 128-bit hash, and the first occurrence of each is entered in a bit map of fixed size. A
+1. Chunks are grouped by a cryptographic hash of 128 bits, and the first occurrence of each is entered in a bit map of fixed size. A
    chunk whose bit is not set is a later copy. A bit that is set by chance only costs a closer look.
 2. Anchors of the strings in first chunks are counted; those that occur again are entered in another map.
 3. For each anchor that may repeat, a document gives its *context*, the bytes of all strings with this anchor.
-   Contexts are dealt by anchor. Each task joins the distinct contexts of its anchors to texts of bounded size,
+   Contexts are dealt by anchor; those of a frequent anchor are cut by where it lies in the strings and dealt by what such strings share. Each task joins the distinct contexts of its anchors to texts of bounded size,
    builds the run-length index of each, streams matching statistics and marks the long matches.
 4. The marked strings of a document meet its text.
 
-**Run-length index.** The suffixes of the text are sorted and their Burrows-Wheeler transform is kept as runs
-with the suffixes at the runs' ends. The longest common prefix with the lexicographic predecessor is measured
-at the runs' starts only; inside a run it is one less than at the position before, so a single pass over the
+**Run-length index.** The suffixes of the text are sorted and their Burrows-Wheeler transform is cut into runs; two suffixes are
+kept for each run, its first one and the last of the run before. The longest common prefix with the lexicographic predecessor is measured
+at the runs' starts only; inside a run it is one less than at the position before, and the predecessor steps on as well, so a single pass over the
 text streams the matching statistics. Suffixes that agree on ``length`` bytes are neighbours; all but the first in the text repeat.
 """
 
@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessitura.llm.common import bit_map, map_batches, table, text_bytes
+from tessitura.llm.common import bit_map, has_bits, map_batches, staged, table, text_bytes
 
 LENGTH, GRAM = 100, 32
 #: Bytes of a chunk on average (a power of two), and of the pieces whose hashes end it.
@@ -43,6 +43,8 @@ CHUNK, CHUNK_GRAM = 512, 16
 PIECE = 1 << 20
 #: log2 of the bits of the maps of first chunks and of repeated anchors.
 FILTER_BITS = 28
+#: Occurrences of an anchor beyond which its strings are dealt by class, log2 of the bits of the map of such anchors, and places of the anchor in a class.
+FREQUENT, FREQUENT_BITS, CLASS = 1000, 24, 9
 #: Bytes of contexts that one index covers, unless a single anchor has more.
 INDEXED = 6 << 20
 #: Never occurs in UTF-8; stands between contexts.
@@ -72,8 +74,8 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(low[:n], low[width - k : width - k + n])
 
 
-def anchors(text: bytes, length: int = LENGTH) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Piece by piece (hashes, first, last): the anchors and the first and last string start that each belongs to."""
+def anchors(text: bytes, length: int = LENGTH) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Piece by piece (hashes, first, last, place): the anchors, the first and last string start that each belongs to, and where it starts itself."""
     strings = len(text) - length + 1
     for start in range(0, strings, PIECE):
         data = np.frombuffer(text, np.uint8, min(PIECE, strings - start) + length - 1, start)
@@ -85,7 +87,7 @@ def anchors(text: bytes, length: int = LENGTH) -> Iterator[tuple[np.ndarray, np.
         at = (most - (low & most)).astype(np.int64)
         first = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
         last = np.append(first[1:], len(at)) - 1
-        yield h[at[first]].view(np.int64), first + start, last + start
+        yield h[at[first]].view(np.int64), first + start, last + start, at[first] + start
 
 
 def chunks(text: bytes, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
@@ -103,7 +105,7 @@ def chunks(text: bytes, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
 def chunk_keys(doc: int, version: int, text: bytes, length: int = LENGTH) -> Iterator[tuple[int, int, int, int, int]]:
     """(start, end, hash, hash, own number) of each chunk; the hashes cover all bytes of the strings that start in it."""
     for a, b in zip(*(x.tolist() for x in chunks(text, length))):
-        digest = xxhash.xxh3_128_digest(text[a : b + length - 1])
+        digest = hashlib.blake2b(text[a : b + length - 1], digest_size=16).digest()
         high, low = struct.unpack(">qq", digest)
         yield a, b, high, low, xxhash.xxh64_intdigest(digest + struct.pack(">qqq", doc, version, a)) - (1 << 63)
 
@@ -122,27 +124,40 @@ def first_chunks(doc: int, version: int, text: bytes, firsts: np.ndarray, length
     return kept, copies
 
 
-def anchors_within(text: bytes, kept: list[tuple[int, int]], length: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def anchors_within(text: bytes, kept: list[tuple[int, int]], length: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """``anchors`` of the strings that start in the kept chunks; an anchor of strings in several is given for each run of them."""
     if not kept:
         return
     starts, ends = merged(*np.array(kept, np.int64).T)
-    for h, first, last in anchors(text, length):
+    for h, first, last, place in anchors(text, length):
         # runs of kept chunks that each anchor's strings reach
         lo, hi = np.searchsorted(ends, first, side="right"), np.searchsorted(starts, last, side="right")
         n = np.maximum(hi - lo, 0)
         owner = np.repeat(np.arange(len(h)), n)
         run = np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n) + lo[owner]
-        yield h[owner], np.maximum(first[owner], starts[run]), np.minimum(last[owner], ends[run] - 1)
+        yield h[owner], np.maximum(first[owner], starts[run]), np.minimum(last[owner], ends[run] - 1), place[owner]
 
 
 class RunLengthIndex:
     """The run-compressed Burrows-Wheeler transform of strings that each end in BETWEEN, with the suffixes at the ends of its runs.
 
-    The ends count as different bytes, the largest ones, in the order of the strings: no suffix goes beyond its string.
+    The ends count as different bytes, the largest ones, in the order of the strings: no suffix goes beyond its string. The
+    order of the suffixes is needed only to find the runs; what is kept besides the text are two suffixes for each run.
     """
 
     def __init__(self, text: np.ndarray) -> None:
+        order = self.sorted(text)
+        before = np.where(order > 0, text[order - 1], BETWEEN)
+        starts = np.flatnonzero(np.concatenate(([True], (before[1:] != before[:-1]) | (before[1:] == BETWEEN))))
+        firsts = order[starts]
+        lasts = order[np.append(starts[1:], len(text)) - 1]
+        #: the first suffix of each run and the one before it in order (-1: none), by the first's place in the text
+        by_place = np.argsort(firsts)
+        self.firsts = firsts[by_place]
+        self.befores = np.concatenate(([-1], lasts[:-1]))[by_place]
+
+    def sorted(self, text: np.ndarray) -> np.ndarray:
+        """The suffixes in order."""
         self.text, n = text, len(text)
         at = np.arange(n)
         #: bytes from each position to the end of its string
@@ -168,13 +183,7 @@ class RunLengthIndex:
             order = np.argsort(key)
             rank = self._ranks(key[order][1:] != key[order][:-1], order)
             k *= 2
-        self.suffixes = order
-        before = np.where(order > 0, text[order - 1], BETWEEN)
-        #: starts of the runs in the order of the suffixes, their bytes, and the suffixes at their ends
-        self.run_starts = np.flatnonzero(np.concatenate(([True], (before[1:] != before[:-1]) | (before[1:] == BETWEEN))))
-        self.run_bytes = before[self.run_starts]
-        self.first_suffixes = order[self.run_starts]
-        self.last_suffixes = order[np.append(self.run_starts[1:], n) - 1]
+        return order
 
     @staticmethod
     def _ranks(fresh: np.ndarray, order: np.ndarray) -> np.ndarray:
@@ -205,20 +214,30 @@ class RunLengthIndex:
         """For each position the length of its common prefix with the suffix before it in order, streamed from the runs' starts."""
         n = len(self.text)
         measured = np.zeros(n, np.int64)  # length + position at the starts of runs, else 0
-        firsts, befores = self.first_suffixes[1:], self.last_suffixes[:-1]
-        measured[firsts] = self.common(firsts, befores) + firsts
+        some = self.befores >= 0
+        firsts = self.firsts[some]
+        measured[firsts] = self.common(firsts, self.befores[some]) + firsts
         return np.maximum(np.maximum.accumulate(measured) - np.arange(n), 0)
 
+    def suffix_before(self, at: np.ndarray) -> np.ndarray:
+        """The suffixes before those at some positions in order: inside a run, both step on together from the run's start."""
+        run = np.searchsorted(self.firsts, at, side="right") - 1
+        return self.befores[run] + (at - self.firsts[run])
+
     def repeats(self, length: int) -> np.ndarray:
         """Whether the string of ``length`` bytes at each position also starts earlier in the text."""
-        order = self.suffixes
-        new = self.matching_statistics()[order] < length
-        new[0] = True
-        groups = np.flatnonzero(new)
-        first = np.minimum.reduceat(order, groups)
-        out = np.zeros(len(order), bool)
-        out[order] = order != np.repeat(first, np.diff(np.append(groups, len(order))))
-        return out
+        at = np.arange(len(self.text))
+        again = np.flatnonzero(self.matching_statistics() >= length)
+        group = at.copy()  # suffixes that agree on the string are neighbours: each is led to the first of them in order
+        group[again] = self.suffix_before(again)
+        while True:
+            further = group[group[again]]
+            if (further == group[again]).all():
+                break
+            group[again] = further
+        earliest = at.copy()
+        np.minimum.at(earliest, group[again], again)
+        return earliest[group] < at
 
 
 def intervals(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -239,20 +258,31 @@ MARKS = "doc bigint, version bigint, start bigint, end bigint"
 MARK_SCHEMA = pa.schema([("doc", pa.int64()), ("version", pa.int64()), ("start", pa.int64()), ("end", pa.int64())])
 
 
-def batch_contexts(rows: Iterator[tuple[int, int, bytes]], firsts: np.ndarray, repeated: np.ndarray, length: int) -> list[tuple]:
+def cut_context(text: bytes, first: int, last: int, place: int, length: int) -> Iterator[tuple[int, int, int]]:
+    """(key, first, last): the strings of a frequent anchor by how far the anchor lies in them, in classes of ``CLASS``.
+
+    All strings of a class have a core of ``length - CLASS + 1`` bytes in common. Its hash deals them, so equal strings still
+    meet, and places with different bytes around the anchor part.
+    """
+    for c in range((place - last) // CLASS, (place - first) // CLASS + 1):
+        core = text[place - c * CLASS : place - (c + 1) * CLASS + 1 + length]
+        yield xxhash.xxh64_intdigest(core, c) - (1 << 63), max(first, place - (c + 1) * CLASS + 1), min(last, place - c * CLASS)
+
+
+def batch_contexts(rows: Iterator[tuple[int, int, bytes]], firsts: np.ndarray, repeated: np.ndarray, frequent: np.ndarray, length: int) -> list[tuple]:
     """(anchor, doc, version, first, None, context) of every distinct context of a batch, and (any number, doc, version, start, end, None) for what is marked already."""
     seen: dict[tuple[int, bytes], tuple[int, int, int]] = {}
     marks: dict[tuple[int, int], list[tuple[int, int]]] = {}
-    shift = np.uint64(64 - FILTER_BITS)
     for doc, version, text in sorted(rows, key=lambda r: r[:2]):
-        for h, first, last in anchors_within(text, first_chunks(doc, version, text, firsts, length)[0], length):
-            bit = h.view(np.uint64) >> shift
-            keep = np.flatnonzero(repeated[bit >> np.uint64(6)] >> (bit & np.uint64(63)) & np.uint64(1))
-            for a, p, q in zip(h[keep].tolist(), first[keep].tolist(), last[keep].tolist()):
-                context = text[p : q + length]
-                was = seen.setdefault((a, context), (doc, version, p))
-                if was != (doc, version, p):
-                    marks.setdefault((doc, version), []).append((p, q + length))
+        for h, first, last, place in anchors_within(text, first_chunks(doc, version, text, firsts, length)[0], length):
+            keep = np.flatnonzero(has_bits(repeated, h))
+            hot = has_bits(frequent, h[keep])
+            for a, p, q, x, many in zip(h[keep].tolist(), first[keep].tolist(), last[keep].tolist(), place[keep].tolist(), hot.tolist()):
+                for key, s, e in cut_context(text, p, q, x, length) if many else [(a, p, q)]:
+                    context = text[s : e + length]
+                    was = seen.setdefault((key, context), (doc, version, s))
+                    if was != (doc, version, s):
+                        marks.setdefault((doc, version), []).append((s, e + length))
     out = [(a, *key, None, c) for (a, c), key in seen.items()]
     for (doc, version), own in marks.items():
         starts, ends = merged(*np.array(own, np.int64).T)
@@ -328,17 +358,18 @@ def remove_repeats(df: DataFrame, text_col: str = "text", id_col: str = "doc_id"
     firsts = spark.sparkContext.broadcast(bit_map(earliest.select("first.own"), "own", FILTER_BITS))
 
     def counted(batch: pa.RecordBatch) -> pa.RecordBatch | None:
-        parts = [h for doc, version, text in long_texts(batch) for h, _, _ in anchors_within(text, first_chunks(doc, version, text, firsts.value, length)[0], length)]
+        parts = [h for doc, version, text in long_texts(batch) for h, *_ in anchors_within(text, first_chunks(doc, version, text, firsts.value, length)[0], length)]
         if not parts:
             return None
         h, n = np.unique(np.concatenate(parts), return_counts=True)
-        return pa.RecordBatch.from_arrays([pa.array(h), pa.array(np.minimum(n, 2).astype(np.int32))], ["anchor", "n"])
+        return pa.RecordBatch.from_arrays([pa.array(h), pa.array(n)], ["anchor", "n"])
 
-    again = map_batches(source, counted, "anchor bigint, n int", rows=None).groupBy("anchor").agg(F.sum("n").alias("n")).where("n > 1")
-    repeated = spark.sparkContext.broadcast(bit_map(again, "anchor", FILTER_BITS))
+    again = map_batches(source, counted, "anchor bigint, n bigint", rows=None).groupBy("anchor").agg(F.sum("n").alias("n")).where("n > 1")
+    again = staged(again, "anchors")
+    repeated = spark.sparkContext.broadcast((bit_map(again, "anchor", FILTER_BITS), bit_map(again.where(F.col("n") > FREQUENT), "anchor", FREQUENT_BITS)))
 
     def contexts(batch: pa.RecordBatch) -> pa.RecordBatch:
-        out = batch_contexts(long_texts(batch), firsts.value, repeated.value, length)
+        out = batch_contexts(long_texts(batch), firsts.value, *repeated.value, length)
         kinds = (*[pa.int64()] * 5, pa.binary())
         return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], ["anchor", "doc", "version", "first", "end", "bytes"])
 

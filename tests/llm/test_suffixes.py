@@ -40,18 +40,29 @@ def test_index_equals_sorted_suffixes():
         ends = [i for i, b in enumerate(text) if b == 255]
         end = [ends[bisect.bisect_left(ends, i)] for i in range(len(text))]
         order = sorted(range(len(text)), key=lambda i: (text[i : end[i]] + b"\xff", end[i]))
-        assert index.suffixes.tolist() == order
+        assert index.sorted(x).tolist() == order
         statistics = index.matching_statistics()
         for a, b in zip(order, order[1:]):
             n = 0
             while text[a + n] == text[b + n] != 255:
                 n += 1
             assert statistics[b] == n
-        assert len(index.run_starts) == len(index.first_suffixes) == len(index.last_suffixes) == len(index.run_bytes)
+        before = index.suffix_before(np.array(order[1:]))
+        assert before.tolist() == order[:-1]
 
 
-@pytest.mark.parametrize("batch", [7, 10_000])
-def test_random_repeats(spark, batch, monkeypatch):
+def test_index_of_a_repetitive_text_is_small():
+    rng = random.Random(9)
+    part = bytes(rng.choice(b"abcdefgh") for _ in range(2000))
+    text = np.frombuffer(b"\xff".join([part] * 200) + b"\xff", np.uint8)
+    index = suffixes.RunLengthIndex(text)
+    assert len(index.firsts) < len(text) / 100
+    assert index.repeats(100)[:2001].sum() == 0 and index.repeats(100)[2001:].sum() == 199 * 1901
+
+
+@pytest.mark.parametrize(("batch", "frequent"), [(7, 1000), (10_000, 1000), (7, 1), (10_000, 5)])
+def test_random_repeats(spark, batch, frequent, monkeypatch):
+    monkeypatch.setattr(suffixes, "FREQUENT", frequent)
     monkeypatch.setattr(suffixes, "INDEXED", 3000)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(batch))
     rng = random.Random(2)
@@ -90,7 +101,7 @@ def test_anchors_are_where_equal_strings_have_them():
     for left in (b"", b"zz" * 40, b"abc" * 99):
         text = left + middle + left[::-1]
         found = {}
-        for h, first, last in suffixes.anchors(text):
+        for h, first, last, _ in suffixes.anchors(text):
             for a, p, q in zip(h.tolist(), first.tolist(), last.tolist()):
                 found.update({s: a for s in range(p, q + 1)})
         assert sorted(found) == list(range(len(text) - 99))
