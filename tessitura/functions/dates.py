@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tessitura.functions.numbers import cardinal_en, cardinal_ms, ordinal_en, words
-from tessitura.functions.rewriting import Text, col, let
+from tessitura.functions.rewriting import Text, col, first_upper, let
 
 # --- Fixed values: months -----------------------------------------------------------------------------
 MONTHS_MS = ["Januari", "Februari", "Mac", "April", "Mei", "Jun", "Julai", "Ogos", "September", "Oktober", "November", "Disember"]
@@ -62,6 +62,44 @@ def date_words(text: Text, english: bool = False) -> Column:
     return F.coalesce(said, col(text))
 
 
+#: The beginnings of months' names, in both languages, by number.
+BEGINNINGS = ["jan", "feb", "mac|mar", "apr", "mei|may", "jun", "jul", "aug|ogo", "sep", "okt|oct", "nov", "dis|dec"]
+
+
+def date_parts(text: Text) -> Column:
+    """(day, month, year, named) of a date in figures or with a month's name; ``year`` is null where none of four digits is given, ``named``
+    the month as it is written where it comes first and no year does. All null for what is no date."""
+
+    def read(t: Column) -> Column:
+        month = F.lit(None).cast("int")
+        for i, names in reversed(list(enumerate(BEGINNINGS, 1))):
+            month = F.when(t.rlike(rf"(?i)\b(?:{names})[a-z]*\b"), i).otherwise(month)
+        year = F.nullif(F.regexp_extract(t, r"\b((?:19|20)\d{2})\b", 1), F.lit(""))
+        day = F.regexp_extract(F.regexp_replace(t, r"\b(?:19|20)\d{2}\b", ""), r"(?<!\d)(\d{1,2})(?!\d)", 1)
+        named = F.when(year.isNull(), first_upper(F.regexp_extract(t, r"^\s*([A-Za-z]+)\s+\d{1,2}$", 1))).otherwise("")
+        figures = parse_date(t)
+        pair = F.regexp_extract(t, r"^(\d{1,2})-(\d{1,2})$", 2).try_cast("int")
+        part = lambda d, m, y, n: F.struct(d.cast("string").alias("day"), m.alias("month"), y.cast("string").alias("year"), n.alias("named"))
+        none = F.lit(None).cast("string")
+        return (
+            F.when(month.isNotNull() & day.try_cast("int").between(1, 31), part(day, month, year, named))
+            .when(pair.between(1, 12), part(F.regexp_extract(t, r"^(\d{1,2})", 1), pair, none, F.lit("")))
+            .otherwise(let(figures, lambda d: part(F.dayofmonth(d), F.month(d), F.year(d), F.lit(""))))
+        )
+
+    return let(col(text), read)
+
+
+def spoken_date(text: Text, english: bool = False) -> Column:
+    """A date in words, with its year only where it is given; what is none comes back unchanged."""
+    say, names = (cardinal_en, MONTHS_EN) if english else (cardinal_ms, MONTHS_MS)
+
+    def read(d: Column) -> Column:
+        return F.when(d["named"] != "", F.concat_ws(" ", d["named"], say(d["day"]))).when(d["month"].isNotNull(), F.concat_ws(" ", say(d["day"]), F.get(words(names), d["month"] - 1), say(d["year"])))
+
+    return F.coalesce(let(date_parts(text), read), col(text))
+
+
 def year_words(text: Text, english: bool = False) -> Column:
     """A year in two pairs; as one number if its second digit is 0 and it isn't of this century, or if it is 2000."""
     text = col(text).cast("string")

@@ -221,9 +221,13 @@ def unit_words(text: Text, english: bool = False) -> Column:
     """``5kg`` as ``lima kilogram``; a unit that is not known stays as it is."""
     text = col(text)
     number, unit = F.regexp_replace(text, "[^0-9.]", ""), F.regexp_replace(text, "[0-9. ]", "")
-    sizes = size_units(english)
+    return F.when(number.rlike(r"^\d{1,36}(\.\d+)?$"), F.concat((cardinal_en if english else cardinal_ms)(number), F.lit(" "), unit_name(unit, english))).otherwise(text)
+
+
+def unit_name(unit: Column, english: bool = False) -> Column:
+    """A unit in full; one that is not known stays as it is."""
     named = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in (UNITS_EN if english else UNITS_MS).items() for x in kv]), F.lower(unit)), unit)
-    return F.when(number.rlike(r"^\d{1,36}(\.\d+)?$"), F.concat((cardinal_en if english else cardinal_ms)(number), F.lit(" "), lookup(named, sizes))).otherwise(text)
+    return lookup(named, size_units(english))
 
 
 def plain_number(x: Column) -> Column:
@@ -233,7 +237,9 @@ def plain_number(x: Column) -> Column:
 
 def multiplied(number: Column, suffix: Column) -> Column:
     """Number times the factor of its suffix; within 1e-5 of the next whole number, that number."""
-    factor = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in MULTIPLIERS.items() for x in kv]), F.lower(suffix)), F.lit(1.0))
+    known = lambda s: F.try_element_at(F.create_map(*[F.lit(x) for kv in MULTIPLIERS.items() for x in kv]), s)
+    # bn, mn, bil and the like go by their first letter
+    factor = let(F.lower(suffix), lambda s: F.coalesce(known(s), F.when(s.rlike("^[kmbj](n|i(l|lion|llion)?)$"), known(F.left(s, F.lit(1)))), F.lit(1.0)))
     value = F.regexp_replace(number, "[,']", "").cast("double") * factor
     return F.when(1 - value % 1 < 1e-5, F.ceil(value).cast("double")).otherwise(value)
 
@@ -245,15 +251,11 @@ def shortform(text: Text) -> Column:
     return F.when(number != "", plain_number(multiplied(number, suffix))).otherwise(text)
 
 
-def money(text: Text, english: bool = False) -> Column:
-    """(spoken, canonical) of an amount; the canonical form is null where there is no currency.
-
-    One decimal is tens of hundredths, hundredths are spoken even if they are zero, and a zero whole part is not.
-    """
-    say, zero = (cardinal_en, "zero") if english else (cardinal_ms, "kosong")
+def amount(text: Text) -> Column:
+    """(shown, unit, cent, sign) of an amount of money, the multiplier worked in; null where there is no currency."""
     nothing = F.lit(None).cast("struct<shown:string,unit:string,cent:string,sign:string>")
 
-    def amount(core: Column, in_cents: Column, unit: str, cent: str, sign: str) -> Column:
+    def parts(core: Column, in_cents: Column, unit: str, cent: str, sign: str) -> Column:
         number, suffix = F.regexp_extract(core, r"^(\d+(?:[.,']\d+)?)", 1), F.trim(F.regexp_extract(core, r"^\d+(?:[.,']\d+)?\s*([a-z]*)", 1))
         scaled = plain_number(multiplied(number, suffix) / F.when(in_cents, 100.0).otherwise(1.0))
         shown = F.when(in_cents | (suffix != ""), scaled).otherwise(F.regexp_replace(number, ",", ""))
@@ -265,9 +267,19 @@ def money(text: Text, english: bool = False) -> Column:
             marks, ends = "|".join(m.replace("$", r"\$") for m in before), "|".join([*after, *cents])
             in_cents = ~low.rlike(f"^({marks})") & low.rlike(f"({'|'.join(cents)})$") if cents else F.lit(False)
             core = F.trim(F.regexp_replace(low, f"{ends}|{marks}", ""))
-            out = F.when(low.rlike(f"^({marks})|({ends})$"), _bound(core, amount, in_cents, unit, cent, sign)).otherwise(out)
+            out = F.when(low.rlike(f"^({marks})|({ends})$"), _bound(core, parts, in_cents, unit, cent, sign)).otherwise(out)
         return out
 
+    return let(F.lower(col(text)), read)
+
+
+def money(text: Text, english: bool = False) -> Column:
+    """(spoken, canonical) of an amount; the canonical form is null where there is no currency.
+
+    One decimal is tens of hundredths, hundredths are spoken even if they are zero, and a zero whole part is not.
+    """
+    say, zero = (cardinal_en, "zero") if english else (cardinal_ms, "kosong")
+
     def speak(a: Column) -> Column:
         whole, part = F.regexp_extract(a["shown"], r"^(\d+)", 1), F.regexp_extract(a["shown"], r"\.(\d+)$", 1)
         part = F.when(F.length(part) == 1, F.concat(part, F.lit("0"))).otherwise(part)
@@ -275,11 +287,11 @@ def money(text: Text, english: bool = False) -> Column:
         return F.struct(spoken([units, let(part, lambda p: F.when(p != "", F.concat(say(p), F.lit(" "), a["cent"])))]).alias("spoken"), F.concat(a["sign"], a["shown"]).alias("canonical"))
 
     unread = F.struct(col(text).alias("spoken"), F.lit(None).cast("string").alias("canonical"))
-    return let(let(F.lower(col(text)), read), lambda a: F.when(a.isNotNull(), speak(a)).otherwise(unread))
+    return let(amount(text), lambda a: F.when(a.isNotNull(), speak(a)).otherwise(unread))
 
 
-def _bound(core: Column, amount, *rest) -> Column:
-    return let(core, lambda c: amount(c, *rest))
+def _bound(core: Column, parts, *rest) -> Column:
+    return let(core, lambda c: parts(c, *rest))
 
 
 def cardinal_zh(text: Text) -> Column:

@@ -34,6 +34,11 @@ ENDINGS = {
 }
 
 
+def repeated(word: Column, times: Column) -> Column:
+    """A word as often as asked, with hyphens."""
+    return F.when(times > 1, F.array_join(F.array_repeat(word, times), "-")).otherwise(word)
+
+
 def is_number(token: Text) -> Column:
     """Digits, with decimals or without."""
     return col(token).rlike(r"(?U)^\d+(\.\d+)?$")

@@ -37,12 +37,13 @@ def rewrite(words: DataFrame, table: DataFrame, on: str = "word") -> DataFrame:
     return words.join(small(once), on, "left").withColumn("rewritten", F.coalesce("value", on)).drop("value")
 
 
-def longest_suffix(words: DataFrame, suffixes: DataFrame, on: str = "word", longest: int = 12) -> DataFrame:
+def longest_suffix(words: DataFrame, suffixes: DataFrame, on: str = "word") -> DataFrame:
     """``suffix`` and ``value`` of the entry that ends the word and has the longest value.
 
-    Each word gives one row per possible ending, at most ``longest``, so that the join is on equality.
+    Each word gives one row per ending of a length that an entry has, so that the join is on equality.
     """
-    endings = words.select(on).distinct().select(on, F.explode(F.transform(F.sequence(F.lit(1), F.least(F.length(on), F.lit(longest))), lambda n: F.right(F.col(on), n))).alias("suffix"))
+    lengths = F.array(*(F.lit(r[0]) for r in suffixes.select(F.length("suffix").alias("n")).distinct().where("n > 0").collect()))  # a handful
+    endings = words.select(on).distinct().select(on, F.explode(F.transform(F.filter(lengths, lambda n: n <= F.length(on)), lambda n: F.right(F.col(on), n))).alias("suffix"))
     found = endings.join(small(suffixes.select("suffix", "value")), "suffix")
     best = found.groupBy(on).agg(F.max_by(F.struct("suffix", "value"), F.struct(F.length("value"), "suffix")).alias("b")).select(on, "b.suffix", "b.value")
     return words.join(best, on, "left")

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessitura.functions.rewriting import Text, col
+from tessitura.functions.rewriting import Text, col, let
 from tessitura.functions.text import comparison_form
+from tessitura.operators.ranks import at_ranks
 
 
 def bench_percentile(values: Column, p: float) -> Column:
@@ -22,29 +25,30 @@ def stress_percentile(values: Column, q: float) -> Column:
     return F.when(F.size(values) > 0, F.try_element_at(F.array_sort(values), F.when(at == 0, -1).otherwise(at)))
 
 
+def bench_rank(p: float) -> Callable[[Column], Column]:
+    """The rank of ``bench_percentile`` among n values."""
+    return lambda n: F.greatest(F.lit(1), F.least(n, F.bround(n * F.lit(p / 100) + F.lit(0.5), 0).cast("long")))
+
+
+def stress_rank(q: float) -> Callable[[Column], Column]:
+    """The rank of ``stress_percentile`` among n values."""
+    return lambda n: F.when(F.floor(n * F.lit(q)) == 0, n).otherwise(F.floor(n * F.lit(q)))
+
+
 def ratio(part: Text, whole: Text) -> Column:
     """``part / whole``, null unless the whole is positive."""
     return F.when(col(whole) > 0, col(part) / col(whole))
 
 
 def level_report(df: DataFrame, level: str, latency: str, audio: str, wall: str) -> DataFrame:
-    """Per level: requests, throughput, mean latency, percentiles of latency and of real-time factor.
-
-    Percentiles by rank need a level's values together; a level is one run of a load test.
-    """
-    rtf = ratio(latency, audio)
-    out = df.groupBy(level).agg(
-        F.count("*").alias("n"),
-        F.sum(audio).alias("audio_s"),
-        F.max(wall).alias("wall_s"),
-        F.avg(latency).alias("latency_avg"),
-        F.collect_list(latency).alias("__l"),
-        F.collect_list(rtf).alias("__r"),
-    )
-    return out.select(
+    """Per level: requests, throughput, mean latency, percentiles of latency and of real-time factor. Percentiles by rank come from counts of slices of a level's values."""
+    told = df.withColumn("__rtf", ratio(latency, audio))
+    out = told.groupBy(level).agg(F.count("*").alias("n"), F.sum(audio).alias("audio_s"), F.max(wall).alias("wall_s"), F.avg(latency).alias("latency_avg"))
+    slow = at_ranks(told, [level], latency, {f"latency_p{p}": bench_rank(p) for p in (50, 95, 99)})
+    factor = at_ranks(told, [level], "__rtf", {"rtf_p50": bench_rank(50)})
+    return out.join(slow, level, "left").join(factor, level, "left").select(
         level, "n", (F.col("n") / F.col("wall_s")).alias("requests_per_s"), (F.col("audio_s") / F.col("wall_s")).alias("audio_per_s"), "latency_avg",
-        *(bench_percentile(F.col("__l"), p).alias(f"latency_p{p}") for p in (50, 95, 99)),
-        bench_percentile(F.col("__r"), 50).alias("rtf_p50"),
+        "latency_p50", "latency_p95", "latency_p99", "rtf_p50",
     )
 
 
@@ -55,11 +59,14 @@ def character_error_rate(reference: Text, hypothesis: Text) -> Column:
 
 
 def word_error_rate(reference: Text, hypothesis: Text) -> Column:
-    """Edit distance of words over the reference's words. Words become characters of a private area, one for each distinct word of both texts."""
-    a, b = F.split(comparison_form(reference), " "), F.split(comparison_form(hypothesis), " ")
-    distinct = F.array_distinct(F.concat(a, b))
-    coded = lambda ws: F.array_join(F.transform(ws, lambda w: F.decode(F.unhex(F.concat(F.lpad(F.hex(F.array_position(distinct, w) + 0xE000), 4, "0"))), "UTF-16BE")), "")
-    return F.when(comparison_form(reference) != "", F.levenshtein(coded(a), coded(b)) / F.size(a))
+    """Edit distance of words over the reference's words. Words become characters, one for each distinct word of both texts, from the planes above the first two (983,040 of them)."""
+
+    def rate(both: Column) -> Column:
+        a, b = both["a"], both["b"]
+        coded = lambda ws, known: F.array_join(F.transform(ws, lambda w: F.decode(F.unhex(F.lpad(F.hex(F.array_position(known, w) + 0x1FFFF), 8, "0")), "UTF-32")), "")
+        return let(F.array_distinct(F.concat(a, b)), lambda known: F.levenshtein(coded(a, known), coded(b, known)) / F.size(a))
+
+    return F.when(comparison_form(reference) != "", let(F.struct(F.split(comparison_form(reference), " ").alias("a"), F.split(comparison_form(hypothesis), " ").alias("b")), rate))
 
 
 def median_of_runs(df: DataFrame, keys: list[str], run: str, value: str) -> DataFrame:

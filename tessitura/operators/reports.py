@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tessitura.operators.metrics import character_error_rate, word_error_rate
+from tessitura.operators.ranks import numbered
 
 
 def samples_of(items: DataFrame, times: int) -> DataFrame:
@@ -20,11 +21,13 @@ def dealt(jobs: DataFrame, workers: int, *order: str) -> DataFrame:
 
 
 def errors(df: DataFrame, group: str, message: str, order: str, shown: int = 3) -> DataFrame:
-    """Per group how many failed, and the first messages in order."""
+    """Per group how many failed, and the first messages in order. The first ones of each of 64 parts of a group are found before those of the group."""
+    failed = df.where(F.col(message).isNotNull()).withColumn("__part", F.pmod(F.xxhash64(order), F.lit(64)))
+    in_part = F.row_number().over(Window.partitionBy(group, "__part").orderBy(order))
     rank = F.row_number().over(Window.partitionBy(group).orderBy(order))
-    failed = df.where(F.col(message).isNotNull()).withColumn("__r", rank)
-    first = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("__r") <= shown, F.struct("__r", message)))), lambda s: s[message]), "|")
-    return failed.groupBy(group).agg(F.count("*").alias("errors"), first.alias("sample"))
+    first = failed.withColumn("__r", in_part).where(F.col("__r") <= shown).withColumn("__r", rank).where(F.col("__r") <= shown)
+    sample = first.groupBy(group).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("__r", message))), lambda s: s[message]), "|").alias("sample"))
+    return failed.groupBy(group).agg(F.count("*").alias("errors")).join(sample, group)
 
 
 def joined_transcripts(manifest: DataFrame, transcripts: DataFrame) -> DataFrame:
@@ -46,7 +49,6 @@ def runs(df: DataFrame, keys: list[str], order: str, value: str) -> DataFrame:
     return numbered.groupBy(*keys, "__run").agg(F.first(value).alias(value), F.min(order).alias("first"), F.count("*").alias("length")).drop("__run")
 
 
-def in_turn(jobs: DataFrame, level: str, workers: int, *order: str) -> DataFrame:
-    """``worker``: the jobs of each level dealt one by one to its workers."""
-    rank = F.row_number().over(Window.partitionBy(level).orderBy(*order))
-    return jobs.withColumn("worker", ((rank - 1) % workers).cast("long"))
+def in_turn(jobs: DataFrame, level: str, workers: int, order: str) -> DataFrame:
+    """``worker``: the jobs of each level dealt one by one to its workers, in the order of a numeric column."""
+    return numbered(jobs, [level], order).withColumn("worker", ((F.col("rank") - 1) % workers).cast("long")).drop("rank")

@@ -183,13 +183,13 @@ def align(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "WITH f AS (SELECT vec_id // 4 AS clip, vec_id % 4 AS k, embedding FROM embeddings), "
-    "r AS (SELECT clip, k * 8 + i - 4 AS \"at\", CAST(embedding[i + 1] AS DOUBLE) AS x, 0.5 * (1 - cos(2 * pi() * i / 16)) AS w FROM f, range(0, 16) t(i)) "
-    "SELECT clip, CAST(\"at\" AS BIGINT) AS \"at\", round(sum(x * w) / sum(w * w), 6) AS value FROM r JOIN (SELECT clip AS c, (max(k) + 1) * 8 AS n FROM f GROUP BY clip) ON clip = c AND \"at\" >= 0 AND \"at\" < n GROUP BY clip, r.\"at\" HAVING sum(w * w) > 1e-11"
+    "r AS (SELECT clip, k * 32 + i - 16 AS \"at\", CAST(embedding[i + 1] AS DOUBLE) AS x, 0.5 * (1 - cos(2 * pi() * i / 64)) AS w FROM f, range(0, 64) t(i)) "
+    "SELECT clip, CAST(\"at\" AS BIGINT) AS \"at\", round(sum(x * w) / sum(w * w), 6) AS value FROM r JOIN (SELECT clip AS c, (max(k) + 1) * 32 AS n FROM f GROUP BY clip) ON clip = c AND \"at\" >= 0 AND \"at\" < n GROUP BY clip, r.\"at\" HAVING sum(w * w) > 1e-11"
 )
 def overlap_add(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Windowed frames of four vectors added up."""
-    frames = read(spark, sf_dir, "embeddings").select(F.expr("vec_id div 4").alias("clip"), (F.col("vec_id") % 4).alias("k"), F.transform(F.slice("embedding", 1, 16), lambda x: x.cast("double")).alias("s"))
-    return signals.overlap_add(frames, "clip", "k", "s", 8, 16).select("clip", F.col("at").cast("long").alias("at"), F.round("value", 6).alias("value"))
+    frames = read(spark, sf_dir, "embeddings").select(F.expr("vec_id div 4").alias("clip"), (F.col("vec_id") % 4).alias("k"), F.transform("embedding", lambda x: x.cast("double")).alias("s"))
+    return signals.overlap_add(frames, "clip", "k", "s", 32, 64).select("clip", F.col("at").cast("long").alias("at"), F.round("value", 6).alias("value"))
 
 
 # --- reports ------------------------------------------------------------------------------------------
@@ -247,11 +247,11 @@ def stream_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     schema = read(spark, sf_dir, "orders").schema
     orders = spark.readStream.schema(schema).parquet(f"{sf_dir}/orders.parquet*")
     fragments = orders.select(text_of(F.col("o_custkey")).alias("request"), F.col("o_orderkey").alias("seq"), F.concat(F.lit("<|s_"), text_of(F.col("o_orderkey") % 65536), F.lit("|>")).alias("fragment"))
-    name = f"chunks_{uuid.uuid4().hex}"
-    running = chunk_stream(fragments, CHUNK, CONTEXT).writeStream.format("memory").queryName(name).trigger(availableNow=True).start()
-    running.awaitTermination()
+    path = f"{writers.shared_folder(spark)}/chunks-{uuid.uuid4().hex}"
+    chunks = chunk_stream(fragments, CHUNK, CONTEXT)
+    writers.stream_to(chunks, f"{path}/out", f"{path}/log").awaitTermination()
     key = schema["o_custkey"].dataType
-    return spark.table(name).select(F.col("request").cast(key).alias("o_custkey"), "k", "start", "end", F.array_join(F.transform("codes", lambda c: c.cast("string")), " ").alias("codes"))
+    return spark.read.schema(chunks.schema).parquet(f"{path}/out").select(F.col("request").cast(key).alias("o_custkey"), "k", "start", "end", F.array_join(F.transform("codes", lambda c: c.cast("string")), " ").alias("codes"))
 
 
 @query(f"SELECT o_custkey, CAST(len(codes) AS INT) AS n, CAST((len(codes) + 2) // 3 AS INT) AS windows FROM ({STREAMS})")
@@ -290,10 +290,10 @@ def marks_and_ignored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "part").select("p_partkey", t.alias("t")).select("p_partkey", words.is_punctuation("t").alias("mark"), words.is_ignored("t").alias("ignored"))
 
 
-@query("SELECT vec_id, CAST(list_position(v, list_max(v)) - 1 AS INT) AS best, round(exp(-list_max(v)), 6) AS score FROM (SELECT vec_id, list_transform(embedding[1:8], lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings)")
+@query("SELECT vec_id, CAST(list_position(v, list_max(v)) - 1 AS INT) AS best, round(exp(-list_max(v)), 6) AS score FROM (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings)")
 def best_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The place of the largest score and its exponential."""
-    rows = read(spark, sf_dir, "embeddings").select("vec_id", F.transform(F.slice("embedding", 1, 8), lambda x: x.cast("double")).alias("v"))
+    rows = read(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
     top = F.array_max("v")
     return rows.select("vec_id", (F.array_position("v", top) - 1).cast("int").alias("best"), F.round(F.exp(-top), 6).alias("score"))
 

@@ -1,22 +1,15 @@
-"""The text normaliser: detectors and verbalisers in a fixed order, as steps of a DataFrame plan.
-
-A detector that comes first wins: what it spoke has no digits left for later ones. Every step is one
-expression over the whole column, so a text is never taken apart into rows and put together again.
-"""
+"""The text normaliser: mark-up, characters, contractions, ranges, scripts, the cascade over tokens, pronunciation, final dot."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessitura.functions import dates, numbers, text
+from tessitura.functions import dates, numbers, text, words
 from tessitura.functions.chinese import CJK, KANA, chinese_dominant, normalize_chinese
 from tessitura.functions.rewriting import collapse, regex_map
 from tessitura.operators.tokens import TOKENS
-
-UNITS = "|".join(f"(?:{TOKENS[k]})" for k in ("temperature", "distance", "volume", "duration", "weight", "data_size"))
+from tessitura.plans.cascade import SERVICE, Rules, speak
 
 
 def spoken_url(url: Column) -> Column:
@@ -27,7 +20,8 @@ def spoken_url(url: Column) -> Column:
 
 
 def spoken_email(email: Column, english: bool = False) -> Column:
-    return F.replace(F.replace(F.upper(email), F.lit("."), F.lit(" dot ")), F.lit("@"), F.lit(" at " if english else " di "))
+    """Dots and the sign by name, letters in capitals, digits one by one."""
+    return words.space_numbers(F.replace(F.replace(F.upper(email), F.lit("."), F.lit(" dot ")), F.lit("@"), F.lit(" at " if english else " di ")), english)
 
 
 def spoken_groups(value: Column, english: bool = False, between: str = " ") -> Column:
@@ -35,65 +29,33 @@ def spoken_groups(value: Column, english: bool = False, between: str = " ") -> C
     return F.array_join(F.transform(F.split(value, "-"), lambda g: numbers.digit_words(g, english)), between)
 
 
-def spoken_range(match: Column, english: bool) -> Column:
-    say = numbers.cardinal_en if english else numbers.cardinal_ms
-    ends = F.split(match, r"\s*-\s*")
-    return F.concat(say(F.get(ends, 0)), F.lit(" until " if english else " hingga "), say(F.get(ends, 1)))
-
-
-def rules(english: bool) -> list[tuple[str, str, Callable[[Column], Column]]]:
-    """(name, pattern, verbaliser) in the order of the cascade."""
-    say = numbers.cardinal_en if english else numbers.cardinal_ms
-    return [
-        ("ic", TOKENS["ic"], lambda m: spoken_groups(m, english)),
-        ("url", TOKENS["url"], spoken_url),
-        ("email", TOKENS["email"], lambda m: spoken_email(m, english)),
-        ("phone", r"(?<![0-9-])\d{3}-\d{7}(?![0-9-])", lambda m: spoken_groups(m, english, ", ")),
-        ("ordinal", r"\bke\s?-\s?(?:\d+|[MCDXLIV]+)\b", lambda m: numbers.ordinal(F.regexp_replace(m, r"\s", ""), english)),
-        ("pada", r"\bpada\s+\d{1,2}\s?[/-]\s?\d{1,2}\b(?![/-])", lambda m: dates.day_month_words(F.regexp_extract(m, r"(\d+)", 1), F.regexp_extract(m, r"(\d+)$", 1), english)),
-        ("year", r"\b[Tt]ahun\s+\d{4}\b", lambda m: F.concat(F.lit("tahun "), dates.year_words(F.regexp_extract(m, r"(\d{4})", 1), english))),
-        ("money", TOKENS["money"], lambda m: numbers.money(m, english)["spoken"]),
-        ("date", TOKENS["date"], lambda m: dates.date_words(m, english)),
-        ("time", TOKENS["time"], lambda m: dates.time_words(m, english)),
-        ("hingga", r"(?<![\w.-])\d+\s*-\s*\d+(?![\w.-])", lambda m: spoken_range(m, english)),
-        ("fraction", r"(?<![\w/])\d+/\d+(?![\w/])", lambda m: numbers.fraction(m)),
-        ("percent", TOKENS["percent"], lambda m: numbers.percent(m, english)),
-        ("units", UNITS, lambda m: numbers.unit_words(m, english)),
-        ("hijri", TOKENS["hijri_year"], dates.hijri_words),
-        ("hari_bulan", TOKENS["hari_bulan"], dates.hari_bulan_words),
-        ("zero", r"(?<![\w.])0\d+(?![\w.])", lambda m: numbers.digit_words(m, english)),
-        ("times", r"(?<!\w)\d+[xX](?!\w)", lambda m: numbers.times(m, english)),
-        ("shortform", TOKENS["number_with_shortform"], lambda m: say(numbers.shortform(m))),
-        ("number", TOKENS["number"], lambda m: say(F.regexp_replace(m, "[,']", ""))),
-    ]
-
-
-def normalize_segment(df: DataFrame, column: str, english: bool = False, without: tuple[str, ...] = ()) -> DataFrame:
-    """``column`` with all that the cascade knows spoken in Malay or English; ``without`` switches detectors off."""
-    df = df.withColumn(column, text.unpack_contractions(column))
-    for name, pattern, make in rules(english):
-        if name not in without:
-            df = df.withColumn(column, regex_map(column, f"(?U){pattern}", make))
-    return df.withColumn(column, text.fix_spacing(text.squash_runs(column, 2)))
-
-
-def normalize_text(df: DataFrame, column: str, english: Column | None = None) -> DataFrame:
+def normalize_segment(df: DataFrame, column: str, english: Column | bool = False, rules: Rules = SERVICE) -> DataFrame:
+    """``column`` with all that the cascade knows spoken in Malay or, where ``english`` says so, in English."""
+    return speak(df, column, rules, english)
+
+
+def normalize_text(df: DataFrame, column: str, english: Column | None = None, rules: Rules = SERVICE) -> DataFrame:
     """The whole pipeline: mark-up, white space, characters, contractions, ranges, scripts, cascade, pronunciation, final dot.
 
     ``english`` says per row which language the cascade speaks (default Malay). Rows that are mainly Chinese take the
-    Chinese readings; kana and other scripts stay as they are.
+    Chinese readings; kana and other scripts stay as they are. Letters and digits that touch are set apart before the cascade.
     """
     df = df.withColumn(column, text.before_map(collapse(text.sanitize_markdown(column))))
     df = df.withColumn("__zh", chinese_dominant(column) | (F.col(column).rlike(f"[{CJK}]") & ~F.col(column).rlike(f"[{KANA}]")))
-    df = df.withColumn("__en", F.coalesce(F.lit(False) if english is None else english, F.lit(False)))
+    df = df.withColumn("__english", F.coalesce(F.lit(False) if english is None else english, F.lit(False)))
     df = df.withColumn(column, text.expand_contractions(column))
     df = normalize_chinese(df.withColumn("__chinese", F.when(F.col("__zh"), F.col(column))), "__chinese")
-    spoken = df
-    for name, flag in (("__malay", ~F.col("__en")), ("__english", F.col("__en"))):
-        spoken = spoken.withColumn(name, F.when(flag & ~F.col("__zh"), text.range_words(column, english=name == "__english")))
-        spoken = normalize_segment(spoken, name, english=name == "__english")
-    out = F.coalesce("__chinese", "__malay", "__english")
-    return spoken.withColumn(column, collapse(text.terminal_dot(text.after_map(text.pronounce(out))))).drop("__zh", "__en", "__chinese", "__malay", "__english")
+    ranged = F.when(F.col("__english"), text.range_words(column, english=True)).otherwise(text.range_words(column))
+    df = df.withColumn("__spoken", F.when(~F.col("__zh"), text.upper_singles(text.split_alpha_num(ranged))))
+    df = speak(df, "__spoken", rules, F.col("__english"))
+    out = F.coalesce("__chinese", "__spoken")
+    return df.withColumn(column, collapse(text.terminal_dot(text.after_map(text.pronounce(out))))).drop("__zh", "__english", "__chinese", "__spoken")
+
+
+def moment(date: Column) -> Column:
+    """The day of a date in figures or with a month's name and a year; null for others, which name no day by themselves."""
+    named = dates.date_parts(date)
+    return F.coalesce(dates.parse_date(date), F.try_to_timestamp(F.concat_ws("-", named["year"], named["month"].cast("string"), named["day"]), F.lit("yyyy-M-d")).cast("date"))
 
 
 def entities(column: str) -> Column:
@@ -101,7 +63,7 @@ def entities(column: str) -> Column:
     bare = F.regexp_replace(F.col(column), TOKENS["ic"], " ")
     found = lambda k: F.array_distinct(F.regexp_extract_all(bare, F.lit(f"(?U){TOKENS[k]}"), F.lit(0)))
     return F.struct(
-        F.map_from_entries(F.transform(found("date"), lambda m: F.struct(m, dates.parse_date(m)))).alias("dates"),
+        F.map_from_entries(F.transform(found("date"), lambda m: F.struct(m, moment(m)))).alias("dates"),
         F.map_from_entries(F.transform(found("money"), lambda m: F.struct(m, numbers.money(m)["canonical"]))).alias("money"),
     )
 

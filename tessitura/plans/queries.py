@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessitura.functions import arrays, chinese, dates, numbers, text
-from tessitura.operators import lexicon, metrics, tokens, windows
+from tessitura.operators import lexicon, metrics, ranks, tokens, windows
 from tessitura.plans import normalizer
 from tessitura.plans import reference_sql as S
 from tessitura.sources import readers
@@ -310,10 +310,10 @@ def zh_time(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "events").select("event_id", chinese.time_zh(F.date_format("ts", "HH:mm")).alias("said"))
 
 
-@query("SELECT doc_id, CAST(length(regexp_replace(text, '[^一-鿿㐀-䶿]', '', 'g')) > length(regexp_replace(text, '[\\x00-\\x7F一-鿿㐀-䶿\\s]', '', 'g')) AS BOOLEAN) AS dominant FROM (SELECT doc_id, concat(left(text, 200), repeat('语', CAST(doc_id % 9 AS INT))) AS text FROM documents)")
+@query("SELECT doc_id, CAST(length(regexp_replace(text, '[^一-鿿㐀-䶿]', '', 'g')) > length(regexp_replace(text, '[\\x00-\\x7F一-鿿㐀-䶿\\s]', '', 'g')) AS BOOLEAN) AS dominant FROM (SELECT doc_id, concat(text, repeat('语', CAST(doc_id % 9 AS INT))) AS text FROM documents)")
 def chinese_dominant(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether Chinese outweighs other scripts beyond ASCII."""
-    mixed = F.concat(F.left("text", F.lit(200)), F.repeat(F.lit("语"), (F.col("doc_id") % 9).cast("int")))
+    mixed = F.concat("text", F.repeat(F.lit("语"), (F.col("doc_id") % 9).cast("int")))
     return read(spark, sf_dir, "documents").select("doc_id", chinese.chinese_dominant(mixed).alias("dominant"))
 
 
@@ -325,7 +325,7 @@ def phone_digits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "customer").select("c_custkey", normalizer.spoken_groups(phone, between=", ").alias("said"))
 
 
-@query("SELECT c_custkey, replace(replace(upper(concat(replace(c_name, '#', '.'), '@mail.example.com')), '.', ' dot '), '@', ' di ') AS said FROM customer")
+@query(f"SELECT c_custkey, 'CUSTOMER dot ' || {S.digits("split_part(c_name, '#', 2)", numbers.DIGITS_MS)} || ' di MAIL dot EXAMPLE dot COM' AS said FROM customer")
 def email_spoken(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mail addresses as they are spoken."""
     address = F.concat(F.replace("c_name", F.lit("#"), F.lit(".")), F.lit("@mail.example.com"))
@@ -507,12 +507,12 @@ def rms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    "SELECT vec_id, round(list_sum(list_transform(range(0, 8), lambda i: CAST(embedding[i + 1] AS DOUBLE) * (1 - 0.5 * (1 - cos(pi() * i / 7))) + CAST(embedding[i + 9] AS DOUBLE) * 0.5 * (1 - cos(pi() * i / 7)))), 6) AS total FROM embeddings"
+    "SELECT vec_id, round(list_sum(list_transform(range(0, 32), lambda i: CAST(embedding[i + 1] AS DOUBLE) * (1 - 0.5 * (1 - cos(pi() * i / 31))) + CAST(embedding[i + 33] AS DOUBLE) * 0.5 * (1 - cos(pi() * i / 31)))), 6) AS total FROM embeddings"
 )
 def crossfade(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Eight samples faded into the next eight, summed."""
+    """The first half of a vector's 64 samples faded into the second, summed."""
     d = F.transform("embedding", lambda x: x.cast("double"))
-    faded = arrays.crossfade(F.slice(d, 1, 8), F.slice(d, 9, 8))
+    faded = arrays.crossfade(F.slice(d, 1, 32), F.slice(d, 33, 32))
     return read(spark, sf_dir, "embeddings").select("vec_id", F.round(F.aggregate(faded, F.lit(0.0), lambda a, x: a + x), 6).alias("total"))
 
 
@@ -533,15 +533,13 @@ RANK = "CAST(CASE WHEN {r} - floor({r}) = 0.5 THEN 2 * round({r} / 2) ELSE round
 )
 def pct_bench(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Percentiles by rounded rank."""
-    v = read(spark, sf_dir, "events").groupBy("event_type").agg(F.collect_list("value").alias("v"))
-    return v.select("event_type", *(metrics.bench_percentile(F.col("v"), p).alias(f"p{p}") for p in (50, 95, 99)))
+    return ranks.at_ranks(read(spark, sf_dir, "events"), ["event_type"], "value", {f"p{p}": metrics.bench_rank(p) for p in (50, 95, 99)})
 
 
 @query("WITH s AS (SELECT event_type, list(value ORDER BY value) AS v FROM events GROUP BY event_type) SELECT event_type, v[CASE WHEN CAST(floor(len(v) * 0.95) AS INT) = 0 THEN -1 ELSE CAST(floor(len(v) * 0.95) AS INT) END] AS p95 FROM s")
 def pct_stress(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Percentiles by cut rank."""
-    v = read(spark, sf_dir, "events").groupBy("event_type").agg(F.collect_list("value").alias("v"))
-    return v.select("event_type", metrics.stress_percentile(F.col("v"), 0.95).alias("p95"))
+    return ranks.at_ranks(read(spark, sf_dir, "events"), ["event_type"], "value", {"p95": metrics.stress_rank(0.95)})
 
 
 @query("SELECT event_type, CAST(count(*) AS BIGINT) AS n, round(avg(value), 4) AS latency_avg, max(value) AS wall FROM events GROUP BY event_type")

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessitura.functions.arrays import pcm16, pcm_bytes, wav
@@ -26,11 +28,25 @@ def report_lines(report: DataFrame, level: str) -> DataFrame:
     return report.select(F.format_string("level=%s n=%d latency_avg=%.3f", F.col(level).cast("string"), "n", "latency_avg").alias("line"))
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that ``spark.checkpoint.dir`` names; where it is unset, a local one for a local session and an error for a cluster."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found and not spark.sparkContext._jsc.sc().isLocal():
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return (found or os.path.join(tempfile.gettempdir(), "tessitura-streams")).rstrip("/")
+
+
 def stream_to(stream: DataFrame, path: str, checkpoint: str, debug: Callable[[DataFrame, int], None] | None = None):
-    """Write a stream's batches as Parquet until its input is exhausted; ``debug`` sees each batch."""
+    """Write a stream's batches as Parquet until its input is exhausted; ``debug`` sees each batch. A batch that is tried again replaces itself."""
+
     def write(batch: DataFrame, number: int) -> None:
-        batch.write.mode("append").parquet(path)
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
         if debug:
             debug(batch, number)
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def json_report(report: DataFrame, path: str) -> None:
+    """A report as JSON lines, one per level."""
+    report.write.mode("overwrite").json(path)

@@ -47,14 +47,27 @@ def step(rest: str, codes: list[int], k: int, first: int, fragments: list[str],
     return rest, codes, k, first, out
 
 
-def chunk_stream(fragments: DataFrame, chunk: int, context: int) -> DataFrame:
-    """Chunks of a stream with columns request, seq and fragment. Within a micro-batch fragments are taken in the order of ``seq``."""
+def chunk_stream(fragments: DataFrame, chunk: int, context: int, idle: str | None = None) -> DataFrame:
+    """Chunks of a stream with columns request, seq and fragment. Within a micro-batch fragments are taken in the order of ``seq``.
+
+    A request that gets nothing for the time ``idle`` (``"10 minutes"``) is taken to have ended: what it holds is flushed and its state goes.
+    """
 
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         rest, codes, k, first = state.get if state.exists else ("", [], 0, 0)
+        if state.hasTimedOut:
+            *_, out = step(rest, list(codes), k, first, [END], chunk, context)
+            state.remove()
+            yield pd.DataFrame([(key[0], *o) for o in out], columns=["request", "k", "start", "end", "codes"])
+            return
         rows = pd.concat(list(frames)).sort_values("seq")
         rest, codes, k, first, out = step(rest, list(codes), k, first, rows["fragment"].tolist(), chunk, context)
-        state.update((rest, codes, k, first))
+        if idle and END in rows["fragment"].values:
+            state.remove()
+        else:
+            state.update((rest, codes, k, first))
+            if idle:
+                state.setTimeoutDuration(idle)
         yield pd.DataFrame([(key[0], *o) for o in out], columns=["request", "k", "start", "end", "codes"])
 
-    return fragments.groupBy("request").applyInPandasWithState(run, CHUNKS, STATE, "append", GroupStateTimeout.NoTimeout)
+    return fragments.groupBy("request").applyInPandasWithState(run, CHUNKS, STATE, "append", GroupStateTimeout.ProcessingTimeTimeout if idle else GroupStateTimeout.NoTimeout)
