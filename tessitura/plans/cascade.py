@@ -229,13 +229,20 @@ def in_words(g: Column, english: Column, r: Rules) -> Column:
     tongue = lambda en, ms: F.when(english, en).otherwise(ms)
     joined = lambda *parts: F.concat_ws(" ", *(p if isinstance(p, Column) else F.lit(p) for p in parts))
     digits_of = lambda t: F.when(english, numbers.digit_words(t, True)).otherwise(numbers.digit_words(t))
-    ordinal_of = lambda t: F.when(english, numbers.ordinal(t, True)).otherwise(numbers.ordinal(t))
     low = F.lower(w)
     letters = lambda dash: F.array_join(F.transform(F.filter(F.split(w, ""), lambda x: x != ""), lambda x: F.when(x.rlike("[0-9]"), digits_of(x)).when(x == "-", dash).otherwise(F.upper(x) if dash is not None else x)), " ")
-    spaced = lambda t: F.when(english, words.space_numbers(t, True)).otherwise(words.space_numbers(t))
-    cased_url = F.replace(F.replace(F.replace(spaced(F.replace(F.replace(w, F.lit("://"), F.lit(" ")), F.lit("."), F.lit(" dot "))), F.lit("https"), F.lit("HTTPS")), F.lit("http"), F.lit("HTTP")), F.lit("www"), F.lit("WWW"))
-    mail = spaced(F.replace(F.replace(F.replace(F.upper(w), F.lit("://"), F.lit(" ")), F.lit("."), F.lit(" dot ")), F.lit("@"), tongue(F.lit(" at "), F.lit(" di "))))
-    all_cardinals = F.when(english, words.all_cardinals(w, True)).otherwise(words.all_cardinals(w))
+    # one expression for all kinds that need it: each costs the plan two languages
+    dotted = F.replace(F.replace(w, F.lit("://"), F.lit(" ")), F.lit("."), F.lit(" dot "))
+    parted = (
+        F.when(kind == "url", dotted)
+        .when(kind == "email", F.replace(F.replace(F.upper(w), F.lit("."), F.lit(" dot ")), F.lit("@"), tongue(F.lit(" at "), F.lit(" di "))))
+        .when((kind == "phone") & (F.size(F.split(w, "-")) == 2), F.replace(w, F.lit("-"), F.lit(" , ")))
+    )
+    spaced = let(parted, lambda t: F.when(english, words.space_numbers(t, True)).otherwise(words.space_numbers(t)))
+    cased_url = F.replace(F.replace(F.replace(spaced, F.lit("https"), F.lit("HTTPS")), F.lit("http"), F.lit("HTTP")), F.lit("www"), F.lit("WWW"))
+    ranked = F.when(kind.isin("ke_number", "ke_roman"), F.concat(F.lit("ke-"), at(2))).when(kind == "day_month", at(0)).when(kind.isin("ordinal", "roman"), w)
+    ordinal = let(ranked, lambda t: F.when(english, numbers.ordinal(t, True)).otherwise(numbers.ordinal(t)))
+    all_cardinals = let(F.when(kind.isin("name", "cardinals"), w), lambda t: F.when(english, words.all_cardinals(t, True)).otherwise(words.all_cardinals(t)))
     year = F.when(b.isNull(), a).otherwise(joined(a, b))
     zero = a.isin("zero", "kosong")
     dayless = joined(a, n["x"])
@@ -245,8 +252,7 @@ def in_words(g: Column, english: Column, r: Rules) -> Column:
     out = (
         F.when(kind == "ic", F.array_join(F.transform(F.split(w, "-"), digits_of), " " if not r.ic_dashes else " sempang "))
         .when(kind == "url", cased_url)
-        .when(kind == "email", mail)
-        .when(kind == "phone", F.when(F.size(F.split(w, "-")) == 2, F.concat(spaced(F.get(F.split(w, "-"), 0)), F.lit(", "), spaced(F.get(F.split(w, "-"), 1)))).otherwise(w))
+        .when(kind.isin("email", "phone"), F.coalesce(spaced, w))
         .when(kind == "dashes", letters(tongue(F.lit("dash"), F.lit("sempang"))))
         .when(kind == "spelled", letters(None))
         .when(kind == "title", words.spoken_title(w))
@@ -257,8 +263,7 @@ def in_words(g: Column, english: Column, r: Rules) -> Column:
         .when(kind == "place", first_upper(low))
         .when(kind == "negated", F.concat(F.lit("tak "), F.substring(w, 2, 1 << 30)))
         .when(kind == "ke", "ke")
-        .when(kind.isin("ke_number", "ke_roman"), ordinal_of(F.concat(F.lit("ke-"), at(2))))
-        .when(kind.isin("ordinal", "roman"), ordinal_of(w))
+        .when(kind.isin("ke_number", "ke_roman", "ordinal", "roman"), ordinal)
         .when(kind == "until", joined(a, tongue(F.lit("until"), F.lit("hingga")), b))
         .when(kind == "pada", F.when(english, dates.day_month_words(n["a"], n["b"], True)).otherwise(joined("pada", a, "hari bulan", b)))
         .when(kind == "year", F.concat(tongue(F.lit(""), F.lit("tahun ")), year))
@@ -277,7 +282,7 @@ def in_words(g: Column, english: Column, r: Rules) -> Column:
         .when(kind == "hari_bulan", joined(a, tongue(F.lit("days of the month"), F.lit("hari bulan"))))
         .when(kind == "digits", digits_of(w))
         .when(kind == "times", joined(a, tongue(F.lit("times"), F.lit("kali"))))
-        .when(kind == "day_month", joined(ordinal_of(at(0)), at(1)))
+        .when(kind == "day_month", joined(ordinal, at(1)))
         .when(kind.isin("cardinal", "shortform"), a)
         .when(kind == "cardinals", all_cardinals)
     )
