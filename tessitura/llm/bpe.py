@@ -37,6 +37,8 @@ SPACE = regex.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205
 SETTLED = re.compile("[\x00-\u052f\u2010-\u2027\u2030-\u205e]*+")
 #: Words in a generation of the cache; two generations are kept, and what is met again moves to the younger one.
 CACHED_WORDS = 250_000
+#: Characters of remembered chunks at which the younger generation becomes the older one, and of the longest chunk that is remembered at all.
+CACHED_CHARACTERS, LONGEST = 8 << 20, 256
 
 #: A run without white space as encoded: its ids, their number, the ids in decimal and the tokens.
 Chunk = tuple[tuple[int, ...], int, str, str]
@@ -82,6 +84,7 @@ class BpeModel:
         self.cached_words = CACHED_WORDS
         self.chunks: dict[str, Chunk] = {}
         self.older: dict[str, Chunk] = {}
+        self.held, self.long = 0, []
 
     def rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """The rank of each pair, -1 where there is no merge."""
@@ -170,12 +173,14 @@ class BpeModel:
 
     def learn(self, texts: list[list[str]]) -> None:
         """See that the younger generation of the cache has all chunks (runs without white space) of the texts."""
-        if len(self.chunks) > self.cached_words:
-            self.older, self.chunks = self.chunks, {}
+        if len(self.chunks) > self.cached_words or self.held > CACHED_CHARACTERS:
+            self.older, self.chunks, self.held = self.chunks, {}, 0
         chunks, older, tokens, decimal = self.chunks, self.older, self.tokens, self.decimal
         new = set().union(*texts) - chunks.keys()
         again = new & older.keys()
         chunks.update((c, older[c]) for c in again)
+        self.long = [c for c in new if len(c) > LONGEST]
+        self.held += sum(map(len, new)) - sum(map(len, self.long))
         pieces = list(self.pieces(list(new - again)))
         distinct = list({p for _, ps in pieces for p in ps})
         words = dict(zip(distinct, self.encode_words(distinct)))
@@ -214,7 +219,10 @@ class BpeModel:
         for s, i in self.special.items():
             self.chunks["\0" + s] = ((i,), 1, str(i), s)
         found = self.chunks.__getitem__
-        return [[e for e in map(found, s) if e[1]] for s in split]
+        out = [[e for e in map(found, s) if e[1]] for s in split]
+        for c in self.long:  # used in this batch, not remembered
+            del self.chunks[c]
+        return out
 
     def decode(self, ids: list[int]) -> str:
         """The tokens of the ids, special ones included, joined by blanks: the file names no decoder."""

@@ -27,8 +27,8 @@ SHINGLE, SIMILARITY = 5, 0.8
 BLOCKS, NEAR = 8, 2
 BLOCK_BITS = 64 // BLOCKS
 RADIUS = BLOCKS * (NEAR + 1) - 1
-#: Most rows of the benchmark's side, or of marked documents, that are broadcast; beyond it, both sides are shuffled.
-BROADCAST_ROWS = 500_000
+#: Most bytes of the benchmark's side, or of marked documents, that are broadcast; beyond it, both sides are shuffled.
+BROADCAST_BYTES = 24 << 20
 
 
 def words_of(text: Column) -> Column:
@@ -45,9 +45,9 @@ def hashes_of(shingles: Column) -> Column:
     return F.transform(shingles, lambda s: F.xxhash64(s))
 
 
-def bounded(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` with a broadcast hint if it is proven to have at most ``most`` rows."""
-    return F.broadcast(df) if df.count() <= most else df
+def bounded(df: DataFrame, width: Column) -> DataFrame:
+    """``df`` with a broadcast hint if it is proven to have at most ``BROADCAST_BYTES``; ``width`` tells the bytes of a row."""
+    return F.broadcast(df) if df.agg(F.coalesce(F.sum(width), F.lit(0))).first()[0] <= BROADCAST_BYTES else df
 
 
 def simhash_of(hashes: Column) -> Column:
@@ -110,16 +110,17 @@ def _leaks_of_width(base: DataFrame, items: DataFrame, width: int, similarity: f
     # a shingle of the benchmark with the sizes of the items that hold it
     posting = staged(items.select("m", F.explode("item_hashes").alias("hash")).groupBy("hash").agg(F.collect_set("m").alias("sizes")), "posting")
     shingles = base.select("doc_id", F.xxhash64("text").alias("version"), F.posexplode(shingles_of(words_of(F.col("text")), width)).alias("pos", "shingle"))
-    hits = shingles.select("doc_id", "version", "pos", F.xxhash64("shingle").alias("hash")).join(bounded(posting), "hash").select("doc_id", "version", "pos", F.explode("sizes").alias("m"))
+    hits = shingles.select("doc_id", "version", "pos", F.xxhash64("shingle").alias("hash")).join(bounded(posting, 24 + F.size("sizes") * 4), "hash").select("doc_id", "version", "pos", F.explode("sizes").alias("m"))
     # two lists of m shingles as similar as s have at least s * m in common; a window starts at most m - s * m before its first anchor
     needed = F.ceil(F.col("m") * F.lit(similarity) - F.lit(1e-9)).cast("int")
     by_doc = hits.groupBy("doc_id", "version", "m").agg(F.sort_array(F.collect_set("pos")).alias("at")).withColumn("needed", needed)
-    dense = F.filter("at", lambda p: F.size(F.filter("at", lambda q: (q >= p) & (q < p + F.col("m")))) >= F.col("needed"))
+    # places are in order, so a window has enough of them if the last one that it needs is not too far away
+    dense = F.filter("at", lambda p, i: F.coalesce(F.get("at", i + F.col("needed") - 1) < p + F.col("m"), F.lit(False)))
     starts = F.array_distinct(F.flatten(F.transform("dense", lambda p: F.sequence(F.greatest(p - F.col("m") + F.col("needed"), F.lit(0)), p))))
     places = by_doc.where(F.size("at") >= F.col("needed")).withColumn("dense", dense).where(F.size("dense") > 0).select("doc_id", "version", "m", starts.alias("starts"))
     places = staged(places.groupBy("doc_id", "version").agg(F.collect_list(F.struct("m", "starts")).alias("places")), "places")
     same = (F.col("d.doc_id").eqNullSafe(F.col("p.doc_id"))) & (F.xxhash64("d.text") == F.col("p.version"))
-    marked = base.alias("d").join(bounded(places).alias("p"), same).select("d.doc_id", "p.version", "p.places", hashes_of(shingles_of(words_of(F.col("d.text")), width)).alias("hashes"))
+    marked = base.alias("d").join(bounded(places, F.aggregate("places", F.lit(40), lambda a, p: a + 16 + F.size(p["starts"]) * 4)).alias("p"), same).select("d.doc_id", "p.version", "p.places", hashes_of(shingles_of(words_of(F.col("d.text")), width)).alias("hashes"))
     marked = staged(marked, "marked")
     spread = marked.select("doc_id", "version", "hashes", F.explode("places").alias("p")).select("doc_id", "version", "hashes", F.col("p.m").alias("m"), F.explode("p.starts").alias("start"))
     windows = spread.select("doc_id", "version", "m", "start", F.slice("hashes", F.col("start") + 1, F.col("m")).alias("window")).dropDuplicates(["doc_id", "version", "m", "start"])
@@ -130,10 +131,10 @@ def _leaks_of_width(base: DataFrame, items: DataFrame, width: int, similarity: f
     known = items.withColumn("item_fp", simhash_of(F.col("item_hashes")))
     entries = staged(known.select("item_id", "m", "item_fp", F.explode(blocks).alias("block")).select("item_id", "m", "item_fp", "block", F.explode(near).alias("x")).select("item_id", "m", "item_fp", "block", block(F.col("item_fp"), F.col("block")).bitwiseXOR(F.col("x")).alias("value")), "entries")
     asked = windows.select("doc_id", "version", "m", "start", "fp", F.explode(blocks).alias("block")).withColumn("value", block(F.col("fp"), F.col("block")))
-    candidates = asked.join(bounded(entries), ["m", "block", "value"]).where(F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= RADIUS).select("doc_id", "version", "m", "start", "item_id").distinct()
+    candidates = asked.join(bounded(entries, F.lit(40)), ["m", "block", "value"]).where(F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= RADIUS).select("doc_id", "version", "m", "start", "item_id").distinct()
     pairs = candidates.join(windows.select("version", "m", "start", F.col("doc_id").alias("d"), "window"), ["version", "m", "start"]).where(F.col("doc_id").eqNullSafe(F.col("d")))
     return (
-        pairs.join(bounded(items.select("item_id", "item_hashes")), "item_id")
+        pairs.join(bounded(items.select("item_id", "item_hashes"), 24 + F.size("item_hashes") * 8), "item_id")
         .withColumn("similarity", weighted_jaccard(F.col("window"), F.col("item_hashes")))
         .where(F.col("similarity") >= similarity)
         .select("doc_id", "item_id", "similarity", F.col("start").alias("start_word"))

@@ -86,6 +86,14 @@ def decode_media(data: bytes) -> np.ndarray:
     return decode_bmp(data) if data[:2] == b"BM" else decode_netpbm(data)
 
 
+def grey_scale(data: bytes, pixels: np.ndarray) -> np.ndarray:
+    """The samples of a decoded file on the scale from 0 (black) to 255 (white): bit maps have 1 for black, maps their own largest value."""
+    if data[:2] in (b"P1", b"P4"):
+        return (1.0 - pixels) * 255
+    most = int(HEADER.match(data)[4]) if data[:1] == b"P" else 255
+    return pixels if most == 255 else pixels * (255 / most)
+
+
 def area_resize(pixels: np.ndarray, rows: int, cols: int) -> np.ndarray:
     """Means over equal areas, in double precision, from the integral image at the areas' edges.
 
@@ -134,9 +142,9 @@ def media_tiles(df: DataFrame, media_col: str = "media", id_col: str = "id", sid
         rows = []
         for data in batch.column(1).to_pylist():
             try:
-                pixels = decode_media(data)
+                pixels = grey_scale(data, decode_media(data))
                 rows.append((*pixels.shape[:2], npy_tile(pixels, side), f"{difference_hash(pixels):016x}", None))
-            except (ValueError, TypeError, IndexError, struct.error) as e:
+            except (ValueError, TypeError, IndexError, ZeroDivisionError, OverflowError, struct.error) as e:
                 rows.append((None, None, None, None, str(e) or type(e).__name__))
         kinds = (pa.int32(), pa.int32(), pa.binary(), pa.string(), pa.string())
         return pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds))], ["id", "height", "width", "tile", "dhash", "error"])

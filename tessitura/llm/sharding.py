@@ -94,10 +94,10 @@ def assign_shards(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     null text has size 8 and checksum 0; repeated rows get slots of their own; an empty table gives no rows.
     Only ``id_col`` and ``text_col`` are read, so further columns never clash.
 
-    Slots come from two levels of counting. Each shard is cut by a hash of the key into slices of about
+    Slots come from two levels of counting. Each shard is cut by a hash of the key and the text into slices of about
     ``rows_per_slice`` rows; rows are numbered within their slice and slices are offset by the running sum
-    of the slices before. No task sees more than some slices, however many rows a shard has. Rows of one
-    key share a slice (they are interchangeable but for their text).
+    of the slices before. No task sees more than some slices, however many rows a shard has. Rows
+    that share a key, or have none, are spread by their texts; only equal rows share a slice.
     """
     key = F.coalesce(F.col(id_col).cast("string"), F.lit("null"))
     base = df.select(
@@ -112,7 +112,7 @@ def assign_shards(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     placed = staged(placed, "shards")
     rows = placed.count()
     slices = max(8, math.ceil(rows / shards / rows_per_slice))
-    sliced = placed.withColumn("__slice", F.pmod(F.xxhash64("__key", F.lit("slice")), F.lit(slices)).cast("int"))
+    sliced = placed.withColumn("__slice", F.pmod(F.xxhash64("__key", "text_crc32", "size", F.lit("slice")), F.lit(slices)).cast("int"))
     # shards x slices rows, which follows rows / rows_per_slice; one running sum per shard
     counts = sliced.groupBy("shard", "__slice").agg(F.count("*").alias("__n"))
     before = Window.partitionBy("shard").orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)

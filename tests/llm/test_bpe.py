@@ -41,3 +41,15 @@ def test_columns(spark):
     assert bpe_encode(df.limit(0)).count() == 0
     whole = bpe_encode(df)
     assert [r["decoded"] for r in bpe_decode(whole.where("doc_id = 1")).collect()] == ["hello</w> world</w>"]
+
+
+def test_what_is_remembered_is_bounded(monkeypatch):
+    from tessitura.llm import bpe
+
+    monkeypatch.setattr(bpe, "CACHED_CHARACTERS", 2000)
+    ours = BpeModel(vocabulary_path())
+    long = "日本" * 2000
+    for k in range(200):
+        text = f"{long}{k} word{k} other"
+        assert [i for chunk in ours.encode_batch([text])[0] for i in chunk[0]] == THEIRS.encode(text, add_special_tokens=False).ids
+    assert sum(map(len, ours.chunks)) + sum(map(len, ours.older)) < 5000

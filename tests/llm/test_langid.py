@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import random
+import zlib
 from collections import Counter
 
 from tessitura.llm import langid
@@ -35,6 +36,26 @@ def test_distance():
     assert p.nearest("abab abab") == ("a", 1.0) and p.nearest("xyz")[0] == "b" and p.nearest("12 34") == ("und", 0.0) and p.nearest(None) == ("und", 0.0)
 
 
+def test_choice_equals_brute_force(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang").collect()
+    counts: dict[str, Counter] = {}
+    for r in docs:
+        if r["text"] and r["lang"] is not None and zlib.crc32(str(r["doc_id"]).encode()) % 4 != 2:
+            counts.setdefault(r["lang"], Counter()).update(brute(r["text"]))
+    order = lambda c: [g for g, _ in sorted(c.items(), key=lambda x: (-x[1], x[0]))[: langid.PROFILE]]
+    profiles = {k: {g: i for i, g in enumerate(order(c))} for k, c in counts.items()}
+    got = {r["doc_id"]: r for r in langid.identify_languages(spark.createDataFrame(docs, "doc_id long, text string, lang string")).collect()}
+    for r in docs:
+        own = order(Counter(brute(r["text"] or "")))
+        assert got[r["doc_id"]]["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2)
+        if not own:
+            assert got[r["doc_id"]]["lang_pred"] == "und"
+            continue
+        far = {k: sum(abs(p[g] - i) if g in p else langid.PROFILE for i, g in enumerate(own)) for k, p in profiles.items()}
+        best = min(sorted(far), key=far.get)
+        assert got[r["doc_id"]]["lang_pred"] == best and abs(got[r["doc_id"]]["score"] - (1 - far[best] / (langid.PROFILE * len(own)))) < 1e-12
+
+
 def test_held_out_accuracy(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     rows = langid.identify_languages(docs, carry=("doc_id", "lang")).where("held_out").collect()

@@ -42,6 +42,31 @@ def test_tiles(spark):
     assert tile.shape == (4, 4) and rows[1]["dhash"] == rows[4]["dhash"] == "f" * 16 and rows[2]["error"] and rows[3]["error"]
 
 
+def brute_hash(pixels):
+    grid = np.round(brute_resize(pixels, 8, 9), 6)
+    return "".join("1" if grid[r, c] < grid[r, c + 1] else "0" for r in range(8) for c in range(8))
+
+
+def test_feature_equals_brute_force(spark):
+    rng = np.random.default_rng(3)
+    texts = [(i, "".join(chr(x) for x in rng.integers(32, 1000, n))) for i, n in enumerate([0, 1, 63, 64, 65, 500, 2000])]
+    for r in media.store_texts(spark.createDataFrame(texts, "doc_id long, text string")).collect():
+        raw = dict(texts)[r["doc_id"]].encode()
+        pixels = np.frombuffer(raw + bytes(-len(raw) % 64 if raw else 64), np.uint8).reshape(-1, 64)
+        assert r["feature"] == f"{int(brute_hash(pixels), 2):016x}"
+        tile = np.clip(np.rint(np.round(brute_resize(pixels, media.TILE, media.TILE), 9)), 0, 255).astype(np.uint8)
+        out = io.BytesIO()
+        np.save(out, tile)
+        assert np.abs(np.load(io.BytesIO(media.npy_tile(pixels))).astype(int) - tile).max() <= 1
+
+
+def test_samples_are_scaled(spark):
+    files = [b"P5\n1 1\n65535\n\x03\xe8", b"P2\n1 1\n15\n15", b"P1\n2 2\n0000", b"P4\n8 1\n\xff", b"P2\n1 1\n0\n0"]
+    df = spark.createDataFrame(list(enumerate(files)), "id long, media binary")
+    rows = {r["id"]: r for r in media.media_tiles(df, side=1).collect()}
+    assert [int(np.load(io.BytesIO(bytes(rows[i]["tile"])))[0, 0]) for i in range(4)] == [4, 255, 255, 0]
+
+
 def test_payloads(spark):
     texts = [(1, "héllo"), (2, None), (3, ""), (4, "x" * 64), (4, "x" * 64), (None, "y" * 5000)]
     rows = media.store_texts(spark.createDataFrame([(*t, 1) for t in texts], "doc_id long, text string, n_bytes int")).collect()
