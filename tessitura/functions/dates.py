@@ -6,11 +6,18 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tessitura.functions.numbers import cardinal_en, cardinal_ms, ordinal_en, words
-from tessitura.functions.rewriting import Text, col, first_upper, let
+from tessitura.functions.rewriting import Text, col, first_upper, let, lookup, regex_map
 
 # --- Fixed values: months -----------------------------------------------------------------------------
 MONTHS_MS = ["Januari", "Februari", "Mac", "April", "Mei", "Jun", "Julai", "Ogos", "September", "Oktober", "November", "Disember"]
 MONTHS_EN = ["January", "February", "March", "April", "May", "June", "July", "August", "September", "October", "November", "December"]
+#: Slang in dates and what it stands for.
+DATE_WORDS = {
+    "awk": "awak", "ngkau": "engkau", "lps": "lalu", "lepas": "lalu", "mnggu": "minggu", "bln": "bulan", "skrg": "sekarang", "thun": "tahun",
+    "hri": "hari", "minute": "minit", "mnit": "minit", "sec": "saat", "second": "saat", "yesterday": "semalam", "kelmarin": "kelmarin",
+    "smalam": "semalam", "dpan": "depan", "dpn": "depan", "esk": "esok", "pagi": "AM", "pgi": "AM", "morning": "AM",
+    "tengahari": "PM", "tngahari": "PM", "petang": "PM", "ptg": "PM", "malam": "PM", "semalam": "semalam", "pkul": "pukul",
+}
 #: Words that say which part of a day a time lies in, and those that move the hour.
 PARTS = r"a\.m\.|p\.m\.|am|pm|pagi|pgi|morning|tengahari|tngahari|petang|ptg|malam|hours|hour|hrs|jam"
 TIME = rf"(?i)^\s*(?:pkul|pukul|kul)?\s*([0-2]?[0-9])(?:[:.]([0-5][0-9]))?(?:[:.]([0-5][0-9]))?(?:\s*({PARTS}))?"
@@ -135,6 +142,12 @@ def relative_date(text: Text, as_of: Text) -> Column:
     return F.when(text.rlike(r"^(semalam|smalam|kelmarin|yesterday)$"), F.date_sub(day, 1)).when(text.rlike(r"^(esok|esk)$"), F.date_add(day, 1)).when(text.rlike(r"(lalu|lepas|lps|depan|dpan|dpn)$"), moved)
 
 
+def plain_date_words(text: Text) -> Column:
+    """A date's slang in standard words, longest first, in one pass."""
+    keys = "|".join(sorted(DATE_WORDS, key=len, reverse=True))
+    return regex_map(col(text), keys, lambda m: lookup(m, DATE_WORDS))
+
+
 def dates_beside_times(text: Text) -> Column:
     """All (clock, day) pairs of a time and a date with one blank between, in either order."""
     clock, day = r"\d{1,2}:\d{2}(?::\d{2})?", r"(?:\d{4}[-/.]\d{1,2}[-/.]\d{1,2}|\d{1,2}[-/.]\d{1,2}[-/.]\d{4})"

@@ -6,9 +6,11 @@ parameters; sides are broadcast only if they are counted and small.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessitura.functions.rewriting import title
+
 BROADCAST_ROWS = 1_000_000
 
 
@@ -55,3 +57,36 @@ def keep_longest(words: DataFrame, on: str = "word") -> DataFrame:
     n = F.length(on)
     pieces = distinct.select(on, F.explode(F.flatten(F.transform(F.sequence(F.lit(1), n), lambda i: F.transform(F.sequence(F.lit(1), n - i + 1), lambda k: F.substring(on, i, k))))).alias("piece")).where(F.length("piece") < n)
     return distinct.join(pieces.select(F.col("piece").alias(on)).distinct(), on, "left_anti")
+
+
+def flagged(words: DataFrame, entries: DataFrame, key: Column, name: str) -> DataFrame:
+    """``name``: whether a row's key is an entry (column ``word``)."""
+    once = entries.select(F.col("word").alias("__entry")).distinct().withColumn("__is", F.lit(True))
+    return words.withColumn("__key", key).join(small(once), F.col("__key") == F.col("__entry"), "left").withColumn(name, F.coalesce("__is", F.lit(False))).drop("__key", "__entry", "__is")
+
+
+def malay(words: DataFrame, slang: DataFrame, english: DataFrame, lists: DataFrame, on: str = "word") -> DataFrame:
+    """``malay``: slang that is no English word (nor one with a final s), in any case, or a word of the lists, in theirs."""
+    own = members(slang.select(F.lower("word").alias("word")), english, plural=True)
+    rude = slang.select(F.lower("word").alias("word")).distinct().join(own.select("word").distinct(), "word", "left_anti")
+    both = flagged(flagged(words, rude, F.lower(on), "__slang"), lists, F.col(on), "__list")
+    return both.withColumn("malay", F.col("__slang") | F.col("__list")).drop("__slang", "__list")
+
+
+def places(words: DataFrame, table: DataFrame, on: str = "word") -> DataFrame:
+    """``place``: whether a word is one of the table's (word, kind) places. States are told in lower case, others with capitals."""
+    states = table.where("kind = 'state'").select(F.lower("word").alias("word"))
+    others = table.where("kind <> 'state'").select("word")
+    both = flagged(flagged(words, states, F.lower(on), "__state"), others, title(F.lower(on)), "__other")
+    return both.withColumn("place", F.col("__state") | F.col("__other")).drop("__state", "__other")
+
+
+def best_label(labels: Column) -> Column:
+    """The label with the largest score among (label, score) pairs; the first of equals."""
+    best = F.array_max(F.transform(labels, lambda x, i: F.struct(x["score"].alias("score"), (-i).alias("at"), x["label"].alias("label"))))
+    return best["label"]
+
+
+def speaks_english(labels: Column) -> Column:
+    """Whether the best label of a language model names English."""
+    return F.contains(best_label(labels), F.lit("english"))

@@ -36,6 +36,16 @@ def joined_transcripts(manifest: DataFrame, transcripts: DataFrame) -> DataFrame
     return both.withColumn("cer", character_error_rate("text", "hyp")).withColumn("wer", word_error_rate("text", "hyp"))
 
 
+def in_manifest_order(rows: DataFrame) -> DataFrame:
+    """Rows by item and sample."""
+    return rows.orderBy("id", "k")
+
+
+def answered(requests: DataFrame, results: DataFrame, on: str = "request") -> DataFrame:
+    """Every request with its result; those without one keep nulls."""
+    return requests.join(results, on, "left")
+
+
 def error_rates_by_group(rows: DataFrame, id_col: str = "id") -> DataFrame:
     """Mean error rates by what stands before the first underscore of the id."""
     return rows.groupBy(F.substring_index(id_col, "_", 1).alias("group")).agg(F.count("*").alias("n"), F.round(F.avg("cer"), 4).alias("cer"), F.round(F.avg("wer"), 4).alias("wer"))

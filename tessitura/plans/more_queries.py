@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessitura.functions import arrays, dates, numbers, signals, text, words
-from tessitura.operators import metrics, reports, tokens, windows
+from tessitura.operators import lexicon, metrics, reports, tokens, windows
 from tessitura.plans import normalizer, queries
 from tessitura.plans import reference_sql as S
 from tessitura.plans.queries import CHUNK, CONTEXT, STREAMS, query, read, streams, text_of
@@ -325,3 +325,55 @@ def trailing_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 def job_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Jobs of each level dealt to four workers in turn."""
     return reports.in_turn(read(spark, sf_dir, "events"), "event_type", 4, "event_id").select("event_id", "worker")
+
+
+# --- word lists, labels, marks --------------------------------------------------------------------------
+FOLD_FROM = "".join([*(chr(k) for k, v in text.FOLDED.items() if v), *(chr(k) for k, v in text.FOLDED.items() if not v)])
+FOLD_TO = "".join(v for v in text.FOLDED.values() if v)
+FOLD_SQL = "translate(text, {}, {})".format(*("'" + x.replace("'", "''") + "'" for x in (FOLD_FROM, FOLD_TO)))
+
+
+@query(f"SELECT doc_id, {FOLD_SQL} AS folded FROM documents")
+def punctuation_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dashes, quotes and blanks of all kinds as plain ones."""
+    return read(spark, sf_dir, "documents").select("doc_id", text.fold_punctuation("text").alias("folded"))
+
+
+DATE_SLANG = [("2 bln lps", "2 bulan lalu"), ("3 hri dpn", "3 hari depan"), ("skrg", "sekarang"), ("esk pgi", "esok AM"), ("thun lepas", "tahun lalu")]
+
+
+@query("SELECT o_orderkey, [{}][CAST(o_orderkey % 5 AS INT) + 1] AS plain FROM orders".format(", ".join(f"'{b}'" for _, b in DATE_SLANG)))
+def date_slang(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Slang of dates in standard words."""
+    t = F.get(numbers.words([a for a, _ in DATE_SLANG]), (F.col("o_orderkey") % 5).cast("int"))
+    return read(spark, sf_dir, "orders").select("o_orderkey", dates.plain_date_words(t).alias("plain"))
+
+
+@query("SELECT w, lower(w) = 'the' OR w IN ('and', 'The') AS malay FROM (SELECT DISTINCT unnest(regexp_extract_all(text, '[A-Za-z]+')) AS w FROM documents)")
+def malay_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that are slang but not English, or in a word list."""
+    words_ = read(spark, sf_dir, "documents").select(F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0))).alias("w")).distinct()
+    table = lambda *entries: spark.createDataFrame([(e,) for e in entries], "word string")
+    return lexicon.malay(words_, table("the", "of", "hers"), table("of", "her"), table("and", "The"), "w").select("w", "malay")
+
+
+@query("SELECT n_nationkey, n_name, n_name IN ('FRANCE', 'UNITED STATES', 'PERU') AS place FROM nation")
+def place_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names that are states in lower case, or other places with capitals."""
+    table = spark.createDataFrame([("France", "state"), ("United States", "country"), ("Peru", "city"), ("peRu", "city"), ("CHINA", "country")], "word string, kind string")
+    return lexicon.places(read(spark, sf_dir, "nation"), table, "n_name").select("n_nationkey", "n_name", "place")
+
+
+@query("SELECT vec_id, CAST('label' || (list_position(embedding, list_max(embedding)) - 1) AS VARCHAR) AS label FROM embeddings")
+def top_label(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The label with the largest score of each vector."""
+    labels = F.transform("embedding", lambda x, i: F.struct(F.concat(F.lit("label"), text_of(i)).alias("label"), x.alias("score")))
+    return read(spark, sf_dir, "embeddings").select("vec_id", lexicon.best_label(labels).alias("label"))
+
+
+@query("SELECT conv_id, turn, r.role AS answer FROM conversations q LEFT JOIN (SELECT conv_id, turn, role FROM conversations WHERE role = 'assistant') r USING (conv_id, turn)")
+def answered_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns with the answer that belongs to them, if any."""
+    turns = read(spark, sf_dir, "conversations").select(F.struct("conv_id", "turn").alias("request"), "role")
+    joined = reports.answered(turns.select("request"), turns.where("role = 'assistant'").select("request", F.col("role").alias("answer")))
+    return joined.select("request.conv_id", "request.turn", "answer")

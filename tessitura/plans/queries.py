@@ -405,7 +405,10 @@ def elongation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return part.select("p_partkey", text.squash_runs(drawn).alias("squashed"))
 
 
-@query()
+@query(
+    f"SELECT o_orderkey, concat('{{\"', strftime(o_orderdate, '%-d-%-m-%Y'), '\":\"', CASE WHEN day(o_orderdate) <= 12 THEN strftime(o_orderdate, '%Y-%d-%m') ELSE strftime(o_orderdate, '%Y-%m-%d') END, '\"}}') AS dates, "
+    f"concat('{{\"RM', {CENTS}//100, '.', lpad(CAST({CENTS}%100 AS VARCHAR), 2, '0'), ' \":\"RM', {CENTS}//100, '.', lpad(CAST({CENTS}%100 AS VARCHAR), 2, '0'), '\",\"50 sen\":\"RM0.5\"}}') AS money FROM orders"
+)
 def entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Dates and amounts found in composed sentences, as JSON."""
     said = F.concat(F.lit("bayar "), price("RM"), F.lit(" pada "), F.date_format("o_orderdate", "d-M-yyyy"), F.lit(" dan 50 sen"))
@@ -573,7 +576,16 @@ def median_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.median_of_runs(days, ["event_type"], "day", "value")
 
 
-@query()
+def spoken_sql(english: bool) -> str:
+    """The composed sentence in words: a date whose day can be a month is read month first."""
+    say = S.cardinal_en if english else S.cardinal_ms
+    day = say("CAST(CASE WHEN day(o_orderdate) <= 12 THEN month(o_orderdate) ELSE day(o_orderdate) END AS BIGINT)")
+    month = S.words(dates.MONTHS_EN if english else dates.MONTHS_MS) + "[CAST(CASE WHEN day(o_orderdate) <= 12 THEN day(o_orderdate) ELSE month(o_orderdate) END AS INT)]"
+    rest = " untuk three to five kg, diskaun ten percent di zero one two, three four five six seven eight nine,." if english else " untuk tiga hingga lima kg, diskaun sepuluh peratus di kosong satu dua, tiga empat lima enam tujuh lapan sembilan,."
+    return f"'Harga ' || {amount_sql('ringgit', 'sen', say, '')} || ' pada ' || ({day}) || ' ' || {month} || ' ' || ({say('CAST(year(o_orderdate) AS BIGINT)')}) || '{rest}'"
+
+
+@query(f"SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN {spoken_sql(True)} ELSE {spoken_sql(False)} END AS said FROM orders")
 def normalize_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole pipeline over composed sentences."""
     said = F.concat(F.lit("**Harga** "), price("RM"), F.lit(" pada "), F.date_format("o_orderdate", "d/M/yyyy"), F.lit(" untuk 3-5 kg, diskaun 10% di 012-3456789!"))

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Mapping
+from dataclasses import dataclass, fields
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -49,3 +53,32 @@ def inverted(table: DataFrame) -> DataFrame:
 def sounds(spark: SparkSession, path: str) -> DataFrame:
     """Sound files with their duration in seconds."""
     return spark.read.format("binaryFile").load(path).select("path", "length", "content", wav_seconds("content").alias("seconds"))
+
+
+def reports(spark: SparkSession, path: str) -> DataFrame:
+    """Report and manifest files: JSON documents over several lines."""
+    return spark.read.option("multiLine", True).json(path)
+
+
+@dataclass(frozen=True)
+class Settings:
+    """What a service reads from its environment, by type; lists are JSON."""
+
+    chunk: int = 25
+    context: int = 25
+    max_tokens: int = 1024
+    temperature: float = 0.7
+    debug: bool = False
+    batch_sizes: tuple[int, ...] = (1, 2, 4, 8)
+
+    @classmethod
+    def of(cls, environment: Mapping[str, str]) -> Settings:
+        """Settings named in capitals; what is not set keeps its default."""
+        found = {}
+        for f in fields(cls):
+            text = environment.get(f.name.upper())
+            if text is None:
+                continue
+            kind = type(f.default)
+            found[f.name] = text.lower() in ("1", "true", "yes") if kind is bool else tuple(json.loads(text)) if kind is tuple else kind(text)
+        return cls(**found)

@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 END = "[DONE]"
+#: The client has gone: nothing more is emitted of the request, and its state goes.
+CANCEL = "[CANCEL]"
 CODE = re.compile(r"<\|s_(\d+)\|>")
 CHUNKS = "request string, k int, start int, end int, codes array<int>"
 STATE = "rest string, codes array<int>, k int, first int"
@@ -47,10 +49,10 @@ def step(rest: str, codes: list[int], k: int, first: int, fragments: list[str],
     return rest, codes, k, first, out
 
 
-def chunk_stream(fragments: DataFrame, chunk: int, context: int, idle: str | None = None) -> DataFrame:
+def chunk_stream(fragments: DataFrame, chunk: int, context: int, idle: int | None = None) -> DataFrame:
     """Chunks of a stream with columns request, seq and fragment. Within a micro-batch fragments are taken in the order of ``seq``.
 
-    A request that gets nothing for the time ``idle`` (``"10 minutes"``) is taken to have ended: what it holds is flushed and its state goes.
+    A request that gets nothing for ``idle`` milliseconds is taken to have ended: what it holds is flushed and its state goes.
     """
 
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -61,6 +63,9 @@ def chunk_stream(fragments: DataFrame, chunk: int, context: int, idle: str | Non
             yield pd.DataFrame([(key[0], *o) for o in out], columns=["request", "k", "start", "end", "codes"])
             return
         rows = pd.concat(list(frames)).sort_values("seq")
+        if CANCEL in rows["fragment"].values:
+            state.remove()
+            return
         rest, codes, k, first, out = step(rest, list(codes), k, first, rows["fragment"].tolist(), chunk, context)
         if idle and END in rows["fragment"].values:
             state.remove()

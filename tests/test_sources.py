@@ -60,3 +60,30 @@ def test_extension_points(spark):
     assert extensions.with_model(df, lambda: lambda batch: batch, "w string").count() == 2
     codec = extensions.stub_codec(samples_per_code=2)
     assert spark.createDataFrame([([0, 32768],)], "c array<int>").select(codec(F.col("c"))).first()[0] == [-1.0, -1.0, 0.0, 0.0]
+
+
+def test_reports_round_trip_and_settings(spark, tmp_path):
+    report = spark.createDataFrame([(1, 2.5), (2, None)], "level int, latency double")
+    writers.json_report(report, str(tmp_path / "report"))
+    assert sorted(map(str, readers.reports(spark, str(tmp_path / "report")).select("level", "latency").collect())) == sorted(map(str, report.collect()))
+    found = readers.Settings.of({"CHUNK": "7", "TEMPERATURE": "0.5", "DEBUG": "true", "BATCH_SIZES": "[1, 3]", "OTHER": "x"})
+    assert (found.chunk, found.context, found.temperature, found.debug, found.batch_sizes) == (7, 25, 0.5, True, (1, 3))
+
+
+def test_error_rates_of_many_words(spark):
+    from tessitura.operators import metrics
+
+    words = [f"w{i}" for i in range(9000)]
+    df = spark.createDataFrame([(" ".join(words), " ".join([*words[:8192], "other", *words[8193:]])), ("a b", "a b"), ("", "x")], "a string, b string")
+    assert [r[0] for r in df.select(metrics.word_error_rate("a", "b")).collect()] == [1 / 9000, 0.0, None]
+
+
+def test_ranks_equal_sorted_values(spark):
+    from pyspark.sql import functions as F
+
+    from tessitura.operators import metrics, ranks
+
+    rows = [(k, float((i * 7919) % 1000) if i % 11 else None) for k, n in (("a", 5000), ("b", 1), ("c", 3)) for i in range(1, n + 1)]
+    df = spark.createDataFrame(rows, "k string, v double")
+    want = {r["k"]: (r["x"], r["y"]) for r in df.groupBy("k").agg(F.collect_list("v").alias("v")).select("k", metrics.bench_percentile(F.col("v"), 95).alias("x"), metrics.stress_percentile(F.col("v"), 0.95).alias("y")).collect()}
+    assert {r["k"]: (r["x"], r["y"]) for r in ranks.at_ranks(df, ["k"], "v", {"x": metrics.bench_rank(95), "y": metrics.stress_rank(0.95)}).collect()} == want

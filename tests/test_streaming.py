@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import functions as F
 
 from tessitura.operators.windows import chunk_codes, chunk_sizes
-from tessitura.streaming.chunks import END, chunk_stream, step
+from tessitura.streaming.chunks import CANCEL, END, chunk_stream, step
 
 
 def test_sizes():
@@ -38,3 +40,17 @@ def test_empty_streams_have_no_chunks(spark):
     batch = spark.createDataFrame([("a", [])], "request string, codes array<int>")
     assert chunk_codes(batch, "request", "codes", 4, 2).count() == 0
     assert batch.select(F.size("codes")).first()[0] == 0
+
+
+def test_requests_that_are_cancelled_or_never_end(spark, tmp_path):
+    rows = [("gone", i, f"<|s_{i}|>") for i in range(9)] + [("gone", 9, CANCEL)] + [("open", i, f"<|s_{i}|>") for i in range(3)] + [("done", 0, "<|s_7|>"), ("done", 1, END)]
+    spark.createDataFrame(rows, "request string, seq int, fragment string").repartition(1).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("request string, seq int, fragment string").parquet(str(tmp_path / "in"))
+    query = chunk_stream(stream, 4, 2, idle=1000).writeStream.format("memory").queryName("ended").option("checkpointLocation", str(tmp_path / "cp")).trigger(processingTime="500 milliseconds").start()
+    for _ in range(60):
+        time.sleep(0.5)
+        got = sorted((r["request"], r["start"], r["end"]) for r in spark.table("ended").collect())
+        if len(got) == 2:
+            break
+    query.stop()
+    assert got == [("done", 0, 1), ("open", 0, 3)]
