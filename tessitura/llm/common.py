@@ -70,6 +70,16 @@ def scratch(spark: SparkSession) -> Iterator[list[str]]:
             removed(spark, path)
 
 
+def settled(spark: SparkSession, label: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """What ``make`` gives, staged; whatever else was staged on the way is removed."""
+    with scratch(spark) as folders:
+        out = staged(make(), label)
+        folders.remove(out.staged_at)
+    for block in OPEN[-1:]:
+        block.append(out.staged_at)
+    return out
+
+
 def bit_map(df: DataFrame, key: str, bits: int) -> np.ndarray:
     """The map of ``2 ** bits`` bits (6 at least) with the bits of all numbers in column ``key``, of fixed size whatever their count."""
     bit = F.shiftrightunsigned(key, 64 - bits)

@@ -6,6 +6,7 @@ import corpus_pipeline
 from tessitura.llm.bpe import op1_bpe
 from tessitura.llm.chat import OP5_SQL, op5_chat
 from tessitura.llm.decontaminate import op2_decontaminate
+from tessitura.llm.filters import OP13_SQL, op13_filter_audit
 from tessitura.llm.langid import op4_language_id
 from tessitura.llm.media import op9_media
 from tessitura.llm.pages import op7_pages
@@ -25,7 +26,8 @@ QUERIES = {
     "op8_repeats": op8_repeats,
     "op9_media": op9_media,
     "op10_simhash": op10_simhash,
+    "op13_filter_audit": op13_filter_audit,
     "pipeline": corpus_pipeline.run,
 }
 
-ORACLES: dict[str, str] = {"op5_chat": OP5_SQL}
+ORACLES: dict[str, str] = {"op5_chat": OP5_SQL, "op13_filter_audit": OP13_SQL}
