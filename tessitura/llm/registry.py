@@ -11,6 +11,7 @@ from tessitura.llm.langid import op4_language_id
 from tessitura.llm.media import op9_media
 from tessitura.llm.pages import op7_pages
 from tessitura.llm.pii import op6_pii
+from tessitura.llm.ranking import OP11_SQL, op11_ranked_search
 from tessitura.llm.sharding import op3_sharding
 from tessitura.llm.simhash import op10_simhash
 from tessitura.llm.suffixes import op8_repeats
@@ -26,8 +27,9 @@ QUERIES = {
     "op8_repeats": op8_repeats,
     "op9_media": op9_media,
     "op10_simhash": op10_simhash,
+    "op11_ranked_search": op11_ranked_search,
     "op13_filter_audit": op13_filter_audit,
     "pipeline": corpus_pipeline.run,
 }
 
-ORACLES: dict[str, str] = {"op5_chat": OP5_SQL, "op13_filter_audit": OP13_SQL}
+ORACLES: dict[str, str] = {"op5_chat": OP5_SQL, "op11_ranked_search": OP11_SQL, "op13_filter_audit": OP13_SQL}
