@@ -11,6 +11,7 @@ from tessitura.llm.langid import op4_language_id
 from tessitura.llm.media import op9_media
 from tessitura.llm.pages import op7_pages
 from tessitura.llm.pii import op6_pii
+from tessitura.llm.quality import op12_quality
 from tessitura.llm.ranking import OP11_SQL, op11_ranked_search
 from tessitura.llm.sharding import op3_sharding
 from tessitura.llm.simhash import op10_simhash
@@ -28,6 +29,7 @@ QUERIES = {
     "op9_media": op9_media,
     "op10_simhash": op10_simhash,
     "op11_ranked_search": op11_ranked_search,
+    "op12_quality": op12_quality,
     "op13_filter_audit": op13_filter_audit,
     "pipeline": corpus_pipeline.run,
 }
