@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessitura.functions import dates, numbers, text, words
 from tessitura.functions.chinese import CJK, KANA, chinese_dominant, normalize_chinese
+from tessitura.functions.moments import moments
 from tessitura.functions.rewriting import collapse, regex_map
 from tessitura.operators.tokens import TOKENS
 from tessitura.plans.cascade import SERVICE, Rules, speak
@@ -58,14 +59,15 @@ def moment(date: Column) -> Column:
     return F.coalesce(dates.parse_date(date), F.try_to_timestamp(F.concat_ws("-", named["year"], named["month"].cast("string"), named["day"]), F.lit("yyyy-M-d")).cast("date"))
 
 
-def entities(column: str) -> Column:
-    """(dates, money) of a text: maps from what is written to the day, and to the canonical amount; the first of equal entries counts."""
-    bare = F.regexp_replace(F.col(column), TOKENS["ic"], " ")
+def entities(column: str, as_of: Column | None = None) -> Column:
+    """(dates, money) of a text: maps from what is written to the day, and to the canonical amount; the first of equal entries counts.
+
+    With ``as_of``, dates are all expressions of time, relative ones and times beside days too, in standard form and with their moments (see ``moments``).
+    """
+    bare = F.regexp_replace(F.col(column), TOKENS["ic"], " " if as_of is None else "")
     found = lambda k: F.array_distinct(F.regexp_extract_all(bare, F.lit(f"(?U){TOKENS[k]}"), F.lit(0)))
-    return F.struct(
-        F.map_from_entries(F.transform(found("date"), lambda m: F.struct(m, moment(m)))).alias("dates"),
-        F.map_from_entries(F.transform(found("money"), lambda m: F.struct(m, numbers.money(m)["canonical"]))).alias("money"),
-    )
+    days = F.map_from_entries(F.transform(found("date"), lambda m: F.struct(m, moment(m)))) if as_of is None else moments(bare, as_of)
+    return F.struct(days.alias("dates"), F.map_from_entries(F.transform(found("money"), lambda m: F.struct(m, numbers.money(m)["canonical"]))).alias("money"))
 
 
 def tts_prompt(voice: Column, content: Column) -> Column:

@@ -8,7 +8,7 @@ import os
 import duckdb
 import pytest
 
-from tessitura.plans.more_queries import ORACLES, QUERIES
+from tessitura.plans.catalogue import ORACLES, QUERIES
 
 DATA = "/root/testdata/sf0.001"
 
