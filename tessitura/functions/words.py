@@ -32,6 +32,11 @@ ENDINGS = {
     "tah": "tah", "tahh": "tah", "nya": "nya", "nyaa": "nya", "nye": "nya", "nyee": "nya", "nyo": "nya", "nyoo": "nya", "ny": "nya",
     "an": "an", "ann": "an", "wan": "wan", "wann": "wan", "wati": "wati", "watii": "wati", "ita": "ita", "itaa": "ita",
 }
+#: Beginnings that stand for others, before a stem.
+PREFIXES = {
+    "bel": "bel", "se": "se", "see": "se", "ter": "ter", "terr": "ter", "men": "men", "menn": "men", "meng": "meng", "mengg": "meng", "mem": "mem", "mm": "mem", "memper": "memper",
+    "di": "di", "ddi": "di", "pe": "pe", "ppe": "pe", "ppee": "pe", "me": "me", "mme": "mme", "ke": "ke", "kee": "ke", "ber": "ber", "berr": "ber", "pen": "pen", "penn": "pen", "per": "per", "perr": "perr",
+}
 
 
 def repeated(word: Column, times: Column) -> Column:
@@ -134,6 +139,30 @@ def without_ending(word: Text) -> Column:
     return let(col(word), cut)
 
 
+def without_affixes(word: Text, stem: Text) -> Column:
+    """(stem, ending) of a word whose stem a stemmer has told: a prefix in standard form stays with the stem, a digit at the end too.
+
+    ``stem`` is that of the word without its digit; a null, empty or foreign stem leaves the word whole.
+    """
+
+    def cut(x: Column) -> Column:
+        w, s = x["w"], x["s"]
+        digit, bare = F.regexp_extract(w, r"(\d?)$", 1), F.regexp_replace(w, r"\d$", "")
+        whole = (F.coalesce(s, F.lit("")) == "") | (s == bare) | F.array_contains(F.transform(words(WHOLE), lambda p: F.endswith(w, p)), True)
+
+        def parts(p: Column) -> Column:
+            before, after = F.left(bare, F.length(F.get(p, 0))), F.right(bare, F.length(F.get(p, F.size(p) - 1)))
+            middle = F.substring(bare, F.length(before) + 1, F.length(bare) - F.length(before) - F.length(after))
+            ending = lookup(after, ENDINGS)
+            return F.when(F.size(p) > 1, F.struct(F.concat(lookup(before, PREFIXES), middle, digit).alias("stem"), F.when(ending.isin(PARTICLES), "lah").otherwise(ending).alias("ending")))
+
+        split = let(F.split(F.lower(bare), F.concat(F.lit("\\Q"), F.replace(F.lower(s), F.lit("\\E"), F.lit("")), F.lit("\\E")), -1), parts)
+        none = F.struct(w.alias("stem"), F.lit("").alias("ending"))
+        return F.when(whole, none).otherwise(F.coalesce(split, none))
+
+    return let(F.struct(col(word).alias("w"), col(stem).alias("s")), cut)
+
+
 def replace_phrases(text: Text, table: dict[str, str]) -> Column:
     """Phrases followed by a blank or the end, in any case, in the order of the table; ``table`` is a dictionary of the caller's."""
     return fold(text, [(rf"(?iU)\b\Q{k}\E(?= |$)", v) for k, v in table.items()])

@@ -221,8 +221,26 @@ def number_parts(w: Column, kind: Column, english: Column) -> list[Column]:
     )
 
 
-def in_words(g: Column, english: Column, r: Rules) -> Column:
-    """What is said of a group: struct(w, kind, n (struct of a, b, c, x, y), said (the numbers in words))."""
+def softened(w: Column) -> Column:
+    """A word that no rule knows with a for its final e behind a consonant."""
+    return F.when((F.length(w) > 2) & w.rlike(f"[{CONSONANTS}]e$"), F.concat(F.left(w, F.length(w) - 1), F.lit("a"))).otherwise(w)
+
+
+def rest_words(word: Column, r: Rules) -> Column:
+    """What is said of a word that no rule knows: its table entry, without a doubled last letter, or what speller or translator make of it; repeated as its digit says."""
+    short = lambda t: F.left(t, F.length(t) - 1)
+    known = lambda t: lookup(t, (r.slang or {} if r.word_rules else {}) | (words.SOUNDS if r.word_rules else {}), F.lit(None).cast("string"))
+    other = r.spell or r.translate or (lambda x: x)
+
+    def said(t: Column) -> Column:
+        stem = t["stem"]
+        return words.repeated(F.coalesce(known(word), F.when((F.length(stem) > 1) & stem.rlike(r"(.)\1$"), short(stem)), other(stem)), t["times"])
+
+    return let(text.check_repeat(word), said)
+
+
+def in_words(g: Column, english: Column, r: Rules, readings: Column | None = None) -> Column:
+    """What is said of a group: struct(w, kind, n (struct of a, b, c, x, y), said (the numbers in words)). ``readings`` maps words that no rule knows to arrays of (stem, ending)."""
     w, kind, n = g["w"], g["kind"], g["n"]
     a, b, c = (F.get(g["said"], i) for i in range(3))
     at = lambda i: F.get(F.split(w, SEP), i)
@@ -288,11 +306,12 @@ def in_words(g: Column, english: Column, r: Rules) -> Column:
     )
     if r.slang and r.word_rules:
         out = out.when(kind == "slang", text.recase(lookup(low, r.slang), w))
-    rest = w
-    if r.text:
-        known = lookup(w, (r.slang or {} if r.word_rules else {}) | (words.SOUNDS if r.word_rules else {}), F.lit(None).cast("string"))
-        soft = F.when((F.length(w) > 2) & w.rlike(f"[{CONSONANTS}]e$"), F.concat(short(w), F.lit("a"))).otherwise(w)
-        rest = let(text.check_repeat(soft), lambda t: words.repeated(F.coalesce(known, F.when((F.length(t["stem"]) > 1) & t["stem"].rlike(r"(.)\1$"), short(t["stem"])), (r.spell or r.translate or (lambda x: x))(t["stem"])), t["times"]))
+    if not r.text:
+        return out.when(kind == "rest", w).otherwise(w)
+    rest = let(softened(w), lambda t: rest_words(t, r))
+    if readings is not None:
+        told = F.try_element_at(readings, softened(w))
+        rest = F.when(told.isNotNull(), F.array_join(F.transform(told, lambda p: F.concat(rest_words(p["stem"], r), p["ending"])), " ")).otherwise(rest)
     return out.when(kind == "rest", rest).otherwise(w)
 
 
@@ -304,11 +323,9 @@ def squashed(token: Column, r: Rules) -> Column:
     return F.when(plain, F.regexp_replace(token, r"(.)\1{2,}", "$1$1")).otherwise(token)
 
 
-def speak(df: DataFrame, column: str, rules: Rules = SERVICE, english: Column | bool = False) -> DataFrame:
-    """``column`` as it is spoken, in Malay or, per row, in English; null stays null. Steps of the plan keep each other's results, so nothing is computed twice."""
-    english = F.lit(english) if isinstance(english, bool) else F.coalesce(english, F.lit(False))
+def grouped(df: DataFrame, column: str, rules: Rules = SERVICE) -> DataFrame:
+    """With ``__t``: the groups of tokens in ``column`` as (w, kind)."""
     r = rules
-    df = df.withColumn("__en", english)
     start = text.unpack_contractions(F.col(column)) if r.contractions else F.col(column)
     df = df.withColumn("__t", tokenize(start))
     if r.elongated:
@@ -320,12 +337,23 @@ def speak(df: DataFrame, column: str, rules: Rules = SERVICE, english: Column |
     df = df.withColumn("__t", F.array_join(tokenize("__t"), SEP))
     edge = f"(?<![^{SEP}])(?:{{}})(?=$|{SEP})"
     groups = "|".join([*(edge.format(p) for _, p in composites(r)), f"[^{SEP}]+"])
-    df = df.withColumn("__t", F.transform(F.regexp_extract_all("__t", F.lit(groups), F.lit(0)), lambda w: F.struct(w.alias("w"), kind_of(w, r).alias("kind"))))
+    return df.withColumn("__t", F.transform(F.regexp_extract_all("__t", F.lit(groups), F.lit(0)), lambda w: F.struct(w.alias("w"), kind_of(w, r).alias("kind"))))
+
+
+def speak(df: DataFrame, column: str, rules: Rules = SERVICE, english: Column | bool = False, readings: str | None = None) -> DataFrame:
+    """``column`` as it is spoken, in Malay or, per row, in English; null stays null. Steps of the plan keep each other's results, so nothing is computed twice.
+
+    ``readings`` names a column with a map of what models make of words that no rule knows (see ``models``). A column ``__t`` of groups is taken as it is.
+    """
+    r = rules
+    df = df.withColumn("__en", F.lit(english) if isinstance(english, bool) else F.coalesce(english, F.lit(False)))
+    if "__t" not in df.columns:
+        df = grouped(df, column, r)
     df = df.withColumn("__t", F.transform("__t", lambda g: F.struct(g["w"].alias("w"), g["kind"].alias("kind"), number_parts(g["w"], g["kind"], F.col("__en")).alias("n"))))
     flat = F.flatten(F.transform("__t", lambda g: F.array(g["n"]["a"], g["n"]["b"], g["n"]["c"])))
     df = df.withColumn("__n", F.transform(flat, lambda v: F.when(v.isNotNull(), F.when(F.col("__en"), numbers.cardinal_en(v)).otherwise(numbers.cardinal_ms(v)))))
     df = df.withColumn("__t", F.transform("__t", lambda g, i: F.struct(*(g[k].alias(k) for k in ("w", "kind", "n")), F.slice("__n", i * 3 + 1, F.lit(3)).alias("said"))))
-    df = df.withColumn("__t", F.array_join(F.transform("__t", lambda g: in_words(g, F.col("__en"), r)), " "))
+    df = df.withColumn("__t", F.array_join(F.transform("__t", lambda g: in_words(g, F.col("__en"), r, F.col(readings) if readings else None)), " "))
     if r.date:  # dates that tokens only make together
         df = df.withColumn("__t", regex_map("__t", f"(?U){TOKENS['date']}", lambda m: F.when(F.col("__en"), dates.spoken_date(m, True)).otherwise(dates.spoken_date(m))))
     return df.withColumn(column, text.fix_spacing(collapse(F.col("__t")))).drop("__t", "__n", "__en")

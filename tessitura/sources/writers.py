@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -36,6 +37,13 @@ def shared_folder(spark: SparkSession) -> str:
     return (found or os.path.join(tempfile.gettempdir(), "tessitura-streams")).rstrip("/")
 
 
+def kept(df: DataFrame, label: str) -> DataFrame:
+    """``df`` written as Parquet in the shared folder and read back: computed once, and not again when an executor is lost."""
+    path = f"{shared_folder(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def stream_to(stream: DataFrame, path: str, checkpoint: str, debug: Callable[[DataFrame, int], None] | None = None):
     """Write a stream's batches as Parquet until its input is exhausted; ``debug`` sees each batch. A batch that is tried again replaces itself."""
 
