@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tessitura.functions.rewriting import Text, col
+from tessitura.functions.rewriting import Text, col, let
 
 RATE, SAMPLES_PER_CODE, FRAME = 24_000, 480, 320
 #: Size fields of a WAV header whose length is not known when it is sent.
@@ -22,11 +22,14 @@ def ramp(n: Text) -> Column:
 
 
 def crossfade(before: Text, after: Text) -> Column:
-    """The end of one array faded into the start of the next over the shorter length."""
-    a, b = col(before), col(after)
-    n = F.least(F.size(a), F.size(b))
-    faded = F.zip_with(F.slice(a, F.lit(1), n), F.slice(b, F.lit(1), n), lambda x, y: F.struct(x.alias("x"), y.alias("y")))
-    return F.transform(faded, lambda p, i: p["x"] * (1 - F.get(ramp(n), i)) + p["y"] * F.get(ramp(n), i))
+    """The end of one array faded into the start of the next over the shorter length. Both arrays and the ramp are made once a row."""
+
+    def fade(s: Column) -> Column:
+        n = F.least(F.size(s["a"]), F.size(s["b"]))
+        pairs = F.zip_with(F.slice(s["a"], F.lit(1), n), F.slice(s["b"], F.lit(1), n), lambda x, y: F.struct(x.alias("x"), y.alias("y")))
+        return F.zip_with(pairs, ramp(n), lambda p, r: p["x"] * (1 - r) + p["y"] * r)
+
+    return let(F.struct(col(before).alias("a"), col(after).alias("b")), fade)
 
 
 def crossfade_width(ms: int, context: int, chunk: int, rate: int = RATE) -> int:
