@@ -7,7 +7,7 @@ import datetime
 import pytest
 from pyspark.sql import functions as F
 
-from tessitura.functions import arrays, chinese, dates, numbers, signals, text, words
+from tessitura.functions import arrays, chinese, dates, numbers, references, signals, text, words
 from tessitura.operators import metrics, tokens
 from tessitura.plans import normalizer
 
@@ -121,7 +121,7 @@ WORD_CASES = [
     (lambda c: words.multireplace(c, {"a": "b", "b": "a", "ab": "x"}), {"aabb": "bxa"}),
     (lambda c: words.replace_phrases(c, {"tak nak": "tidak mahu"}), {"saya Tak nak pergi": "saya tidak mahu pergi", "tak nakal": "tak nakal"}),
     (words.is_punctuation, {"!": True, "-": False, "a": False}),
-    (text.unescape_html, {"a &amp;lt; b &lt; c&nbsp;d": "a &lt; b < c\xa0d"}),
+    (references.unescape_html, {"a &amp;lt; b &lt; c&nbsp;d": "a &lt; b < c\xa0d"}),
 ]
 
 
