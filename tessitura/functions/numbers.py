@@ -160,6 +160,11 @@ def ordinal_number(text: Text) -> Column:
     return F.concat(F.lit("ke-"), col(text).cast("string"))
 
 
+def currency_words(text: Text) -> Column:
+    """A number in Malay words with the currency behind it."""
+    return F.concat(cardinal_ms(text), F.lit(" ringgit"))
+
+
 def digit_words(text: Text, english: bool = False) -> Column:
     """Every digit by itself, all else left out."""
     table = words(SMALL_EN[:10] if english else DIGITS_MS)

@@ -51,12 +51,28 @@ def longest_suffix(words: DataFrame, suffixes: DataFrame, on: str = "word") -> D
     return words.join(best, on, "left")
 
 
+#: Letters of a word up to which its length is among those that are cut from longer words; beyond, words are found by their beginning of this many letters.
+SHORT = 24
+
+
 def keep_longest(words: DataFrame, on: str = "word") -> DataFrame:
-    """Distinct words that are part of no longer one, found by the pieces of each word rather than by comparing all pairs."""
-    distinct = words.select(on).distinct()
+    """Distinct words that are part of no longer one, found by the pieces of each word rather than by comparing all pairs.
+
+    From a word come its pieces of those lengths up to ``SHORT`` that other words have, and for longer words one piece for each place, which is joined with the beginnings of
+    words and verified. So the rows of a word grow with its letters, not with their square.
+    """
+    distinct = words.select(on).where(F.length(on) > 0).distinct()
     n = F.length(on)
-    pieces = distinct.select(on, F.explode(F.flatten(F.transform(F.sequence(F.lit(1), n), lambda i: F.transform(F.sequence(F.lit(1), n - i + 1), lambda k: F.substring(on, i, k))))).alias("piece")).where(F.length("piece") < n)
-    return distinct.join(pieces.select(F.col("piece").alias(on)).distinct(), on, "left_anti")
+    some = bool(distinct.limit(1).count())  # the empty word is part of any other
+    lengths = [r[0] for r in distinct.where(n <= SHORT).select(n.alias("n")).distinct().collect()]  # at most SHORT
+    places = distinct.where(n > (min(lengths) if lengths else SHORT)).select(on, F.explode(F.sequence(F.lit(1), n)).alias("at"))
+    cut = F.filter(F.transform(F.array(*map(F.lit, sorted(lengths))).cast("array<int>"), lambda k: F.when((k < n) & (F.col("at") + k - 1 <= n), F.substring(F.col(on), F.col("at"), k))), lambda p: p.isNotNull())
+    parts = places.select(F.explode(cut).alias(on)).distinct()
+    # a longer word starts somewhere in an even longer one: their first letters meet, and the rest is compared
+    starts = distinct.where(n > SHORT).select(F.col(on).alias("inner"), F.left(F.col(on), F.lit(SHORT)).alias("start"))
+    spots = places.where(F.col("at") + SHORT - 1 < n).select(F.col(on).alias("outer"), "at", F.substring(F.col(on), F.col("at"), F.lit(SHORT)).alias("start"))
+    inside = spots.join(starts, "start").where((F.length("inner") < F.length("outer")) & (F.substring(F.col("outer"), F.col("at"), F.length("inner")) == F.col("inner")))
+    return words.select(on).distinct().join(parts.unionByName(inside.select(F.col("inner").alias(on))).distinct(), on, "left_anti").where((n > 0) | F.lit(not some))
 
 
 def flagged(words: DataFrame, entries: DataFrame, key: Column, name: str) -> DataFrame:

@@ -52,6 +52,25 @@ def level_report(df: DataFrame, level: str, latency: str, audio: str, wall: str)
     )
 
 
+def slo_report(df: DataFrame, level: str, latency: str, audio: str) -> DataFrame:
+    """Per level what a service reports after a load test: requests, their times, seconds of sound, and the real-time factor of those that have sound.
+
+    Medians are between the two middle values; the other percentiles are the elements at ``int(q * n) - 1`` of the sorted values (of fewer, the last).
+    """
+    told = df.withColumn("__rtf", ratio(latency, audio))
+    out = told.groupBy(level).agg(
+        F.count(latency).alias("n"), F.min(latency).alias("time_min"), F.max(latency).alias("time_max"), F.avg(latency).alias("time_avg"), F.avg(audio).alias("audio_avg"),
+        F.min("__rtf").alias("rtf_min"), F.max("__rtf").alias("rtf_max"), F.avg("__rtf").alias("rtf_avg"),
+    )
+    middles = {"low": lambda n: F.floor((n + 1) / 2), "high": lambda n: F.floor((n + 2) / 2)}
+    for name, value in (("time", latency), ("rtf", "__rtf")):
+        asked = {**{f"{name}_{k}": rank for k, rank in middles.items()}, **{f"{name}_p{p}": stress_rank(p / 100) for p in (90, 95, 99)}}
+        found = at_ranks(told, [level], value, asked).withColumn(f"{name}_p50", (F.col(f"{name}_low") + F.col(f"{name}_high")) / 2)
+        out = out.join(found.drop(f"{name}_low", f"{name}_high"), level, "left")
+    figures = [f"{name}_{k}" for name in ("time", "rtf") for k in ("min", "max", "avg", "p50", "p90", "p95", "p99")]
+    return out.select(level, "n", "audio_avg", *figures)
+
+
 def character_error_rate(reference: Text, hypothesis: Text) -> Column:
     """Edit distance of characters over the reference's length, both in comparison form; null without a reference."""
     a, b = comparison_form(reference), comparison_form(hypothesis)

@@ -6,11 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType
 from pyspark.sql.window import Window
 
 from tessitura.operators.lexicon import small
 
 SLICES = 128
+#: Parts into which rows of one value are cut while they are numbered.
+TIES = 64
 
 
 def sliced(df: DataFrame, keys: list[str], value: str) -> DataFrame:
@@ -42,8 +45,15 @@ def at_ranks(df: DataFrame, keys: list[str], value: str, ranks: dict[str, Callab
 
 
 def numbered(df: DataFrame, keys: list[str], order: str) -> DataFrame:
-    """``rank`` (from 1): the row's place in its group by a numeric column; of equal ones any comes first."""
-    parts = sliced(df, keys, order)
-    before = starts(parts.groupBy(*keys, "slice").agg(F.count("*").alias("n")), keys).select(*keys, "slice", "before")
-    within = Window.partitionBy(*keys, "slice").orderBy(order)
-    return parts.withColumn("__r", F.row_number().over(within)).join(before, [*keys, "slice"]).withColumn("rank", F.col("before") + F.col("__r")).drop("__r", "before", "slice")
+    """``rank`` (from 1): the row's place in its group by a numeric column; of equal ones any comes first.
+
+    Equal values are cut into ``TIES`` parts by a hash of the row, so that no task holds all rows of one value either.
+    """
+    own = F.pmod(F.xxhash64(*(F.col(c) for c in df.columns if not isinstance(df.schema[c].dataType, MapType))), F.lit(TIES)).cast("int")
+    parts = sliced(df, keys, order).withColumn("__part", own)
+    counts = parts.groupBy(*keys, "slice", order, "__part").agg(F.count("*").alias("n"))
+    before = starts(counts.drop("before"), keys).select(*keys, "slice", "before")
+    upto = F.sum("n").over(Window.partitionBy(*keys, "slice").orderBy(order, "__part")) - F.col("n")
+    placed = counts.join(before, [*keys, "slice"]).select(*keys, order, "__part", (F.col("before") + upto).alias("__before"))
+    within = Window.partitionBy(*keys, order, "__part").orderBy(order)
+    return parts.drop("slice").withColumn("__r", F.row_number().over(within)).join(placed, [*keys, order, "__part"]).withColumn("rank", F.col("__before") + F.col("__r")).drop("__r", "__before", "__part")

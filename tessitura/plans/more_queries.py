@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessitura.functions import arrays, dates, numbers, signals, text, words
+from tessitura.functions import arrays, dates, numbers, references, signals, text, words
 from tessitura.operators import lexicon, metrics, reports, tokens, windows
 from tessitura.plans import normalizer, queries
 from tessitura.plans import reference_sql as S
@@ -83,10 +83,13 @@ def multireplace(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "part").select("p_partkey", words.multireplace("p_name", {"small": "1", "ring": "2", "large": "3"}).alias("said"))
 
 
-@query("SELECT event_id, user_id, event_type, value, regexp_full_match(CAST(event_id AS VARCHAR), '[0-9]+') AS kept FROM events")
+NUMERALS = "CASE event_id % 5 WHEN 0 THEN CAST(event_id AS STRING) WHEN 1 THEN concat(CAST(event_id AS STRING), '.5') WHEN 2 THEN concat('x', CAST(event_id AS STRING)) WHEN 3 THEN concat(CAST(event_id AS STRING), '.') ELSE concat('-', CAST(event_id AS STRING)) END"
+
+
+@query(f"SELECT event_id, user_id, event_type, value, regexp_full_match({NUMERALS.replace('STRING', 'VARCHAR')}, '[0-9]+([.][0-9]+)?') AS kept FROM events")
 def number_predicate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Which tokens are numbers."""
-    return read(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "value", words.is_number(text_of(F.col("event_id"))).alias("kept"))
+    """Which of whole numbers, decimals, words, cut and negative numbers are numbers."""
+    return read(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "value", words.is_number(F.expr(NUMERALS)).alias("kept"))
 
 
 # --- entities -----------------------------------------------------------------------------------------
@@ -206,12 +209,17 @@ def error_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.errors(rows, "event_type", "m", "event_id")
 
 
-@query("SELECT CASE WHEN item_id % 2 = 0 THEN 'ms' ELSE 'en' END AS \"group\", CAST(count(*) AS BIGINT) AS n FROM benchmark GROUP BY ALL")
+@query(
+    f"WITH w AS (SELECT item_id, string_split({queries.NORM_SQL.format('text')}, ' ') AS w, {queries.NORM_SQL.format('text')} AS t FROM benchmark), "
+    "h AS (SELECT item_id, w, t, array_to_string(list_transform(w, lambda x: CASE WHEN ends_with(x, 'th') THEN left(x, length(x) - 2) || 'qqz' ELSE x END), ' ') AS hyp FROM w) "
+    "SELECT CASE WHEN item_id % 2 = 0 THEN 'ms' ELSE 'en' END AS \"group\", CAST(count(*) AS BIGINT) AS n, round(avg(levenshtein(t, hyp) / CAST(length(t) AS DOUBLE)), 4) AS cer, "
+    "round(avg(CAST(len(list_filter(w, lambda x: ends_with(x, 'th'))) AS DOUBLE) / len(w)), 4) AS wer FROM h GROUP BY ALL"
+)
 def cer_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Transcripts joined to their manifest and counted by group."""
+    """Transcripts in which some words are wrong, joined to their manifest, and their error rates by group."""
     items = read(spark, sf_dir, "benchmark").select(F.concat(F.when(F.col("item_id") % 2 == 0, "ms_").otherwise("en_"), text_of(F.col("item_id"))).alias("id"), F.lit(0).alias("k"), "text")
-    joined = reports.joined_transcripts(items, items.select("id", "k", F.lower("text").alias("hyp")))
-    return reports.error_rates_by_group(joined).where("cer = 0 and wer = 0").select("group", "n")
+    joined = reports.joined_transcripts(items, items.select("id", "k", F.regexp_replace(metrics.comparison_form("text"), r"th(?= |$)", "qqz").alias("hyp")))
+    return reports.error_rates_by_group(joined)
 
 
 @query("SELECT user_id, event_type, min(event_id) AS \"first\", CAST(count(*) AS BIGINT) AS length FROM (SELECT *, sum(f) OVER (PARTITION BY user_id ORDER BY event_id) AS run FROM (SELECT user_id, event_id, event_type, CASE WHEN event_type IS NOT DISTINCT FROM lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id) THEN 0 ELSE 1 END AS f FROM events)) GROUP BY user_id, run, event_type")
@@ -227,15 +235,40 @@ def context_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.context_window(rows, "item_id", width=2).select("item_id", "pos", "context")
 
 
-@query("SELECT event_type, CAST(count(*) AS BIGINT) AS n, 'level=' || event_type || ' n=' || count(*) AS line FROM events GROUP BY event_type")
+@query("SELECT event_type, CAST(count(*) AS BIGINT) AS n, printf('level=%s n=%d latency_avg=%.3f', event_type, count(*), avg(value)) AS line FROM events GROUP BY event_type")
 def report_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of a report."""
     events = read(spark, sf_dir, "events").withColumn("audio", F.col("value") * 2)
     report = metrics.level_report(events, "event_type", "value", "audio", "value")
-    lines = writers.report_lines(report, "event_type").withColumn("line", F.regexp_extract("line", r"^(level=\S+ n=\d+)", 1))
+    lines = writers.report_lines(report, "event_type")
     return report.select("event_type", "n").join(lines.withColumn("event_type", F.regexp_extract("line", r"level=(\S+)", 1)), "event_type")
 
 
+SOUND_SQL = "CASE WHEN event_id % 10 = 0 THEN 0.0 ELSE value * (event_id % 7 + 1) / 4 END"
+
+
+def ranked_sql(values: str, q: float) -> str:
+    """The element of a sorted list at int(q * n) - 1, the last where that is -1."""
+    return f"{values}[CASE WHEN CAST(floor(len({values}) * {q}) AS INT) = 0 THEN len({values}) ELSE CAST(floor(len({values}) * {q}) AS INT) END]"
+
+
+@query(
+    f"WITH e AS (SELECT event_type, value, {SOUND_SQL} AS audio FROM events), r AS (SELECT *, CASE WHEN audio > 0 THEN value / audio END AS rtf FROM e), "
+    "g AS (SELECT event_type, count(value) AS n, avg(audio) AS audio_avg, list_sort(list(value) FILTER (value IS NOT NULL)) AS t, avg(value) AS ta, list_sort(list(rtf) FILTER (rtf IS NOT NULL)) AS f, avg(rtf) AS fa FROM r GROUP BY event_type) "
+    "SELECT event_type, CAST(n AS BIGINT) AS n, round(audio_avg, 6) AS audio_avg, "
+    + ", ".join(
+        f"round({v}[1], 6) AS {name}_min, round({v}[len({v})], 6) AS {name}_max, round({v}a, 6) AS {name}_avg, round(list_median({v}), 6) AS {name}_p50, " + ", ".join(f"round({ranked_sql(v, p / 100)}, 6) AS {name}_p{p}" for p in (90, 95, 99))
+        for name, v in (("time", "t"), ("rtf", "f"))
+    )
+    + " FROM g"
+)
+def slo_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All figures of a load test's report; a tenth of the requests have no sound."""
+    events = read(spark, sf_dir, "events").withColumn("audio", F.expr(SOUND_SQL))
+    report = metrics.slo_report(events, "event_type", "value", "audio")
+    return report.select("event_type", "n", *(F.round(c, 6).alias(c) for c in report.columns[2:]))
+
+
 # --- streams ------------------------------------------------------------------------------------------
 @query(
     f"WITH s AS ({STREAMS}), n AS (SELECT o_custkey, codes, len(codes) AS n, greatest(len(codes) - {CONTEXT}, 0) // {CHUNK} AS w FROM s), "
@@ -261,6 +294,19 @@ def fixed_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return windows.chunk_bounds(sized, "o_custkey", "n", 3, 0).groupBy("o_custkey").agg(F.max("end").cast("int").alias("n"), F.count("*").cast("int").alias("windows"))
 
 
+# --- references and currency ----------------------------------------------------------------------------
+@query("SELECT page_id, CAST(length(t) AS INT) AS n, md5(t) AS digest FROM (SELECT page_id, replace(replace(replace(replace(replace(replace(html, '&copy;', '©'), '&middot;', '·'), '&quot;', '\"'), '&amp;', chr(1)), '&amp', chr(1)), chr(1), '&') AS t FROM pages)")
+def unescaped_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole pages with their character references read."""
+    return read(spark, sf_dir, "pages").select("page_id", references.unescape_html("html").alias("t")).select("page_id", F.length("t").alias("n"), F.md5("t").alias("digest"))
+
+
+@query(f"SELECT p_partkey, {S.cardinal_ms('CAST(p_partkey * 37 AS BIGINT)')} || ' ringgit' AS said FROM part")
+def currency_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbers as amounts in words."""
+    return read(spark, sf_dir, "part").select("p_partkey", numbers.currency_words(F.col("p_partkey") * 37).alias("said"))
+
+
 # --- small operators ----------------------------------------------------------------------------------
 @query("SELECT w FROM (SELECT DISTINCT unnest(string_split(p_name, ' ')) AS w FROM part) UNION SELECT DISTINCT c_mktsegment FROM customer")
 def word_union(spark: SparkSession, sf_dir: str) -> DataFrame:

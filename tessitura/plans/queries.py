@@ -545,13 +545,23 @@ def pct_stress(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranks.at_ranks(read(spark, sf_dir, "events"), ["event_type"], "value", {"p95": metrics.stress_rank(0.95)})
 
 
-@query("SELECT event_type, CAST(count(*) AS BIGINT) AS n, round(avg(value), 4) AS latency_avg, max(value) AS wall FROM events GROUP BY event_type")
+def bench_sql(values: str, p: int) -> str:
+    """The element of a sorted list at round(p / 100 * n + 0.5), rounded half to even."""
+    return f"{values}[CAST(greatest(1, least(len({values}), round_even(len({values}) * {p / 100} + 0.5, 0))) AS INT)]"
+
+
+@query(
+    "WITH e AS (SELECT event_type, value, value * (event_id % 7 + 1) / 4 AS audio, user_id AS wall FROM events), "
+    "g AS (SELECT event_type, count(*) AS n, sum(audio) AS audio, max(wall) AS wall, avg(value) AS a, list_sort(list(value)) AS t, list_sort(list(value / audio) FILTER (audio > 0)) AS f FROM e GROUP BY event_type) "
+    "SELECT event_type, CAST(n AS BIGINT) AS n, round(CAST(n AS DOUBLE) / wall, 6) AS requests_per_s, round(audio / wall, 4) AS audio_per_s, round(a, 4) AS latency_avg, "
+    + ", ".join(f"{bench_sql('t', p)} AS latency_p{p}" for p in (50, 95, 99)) + f", round({bench_sql('f', 50)}, 6) AS rtf_p50 FROM g"
+)
 def level_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A report per level."""
-    events = read(spark, sf_dir, "events").withColumn("audio", F.col("value") * 2)
-    report = metrics.level_report(events, "event_type", "value", "audio", "value")
-    wall = events.groupBy("event_type").agg(F.max("value").alias("wall"))
-    return report.join(wall, "event_type").select("event_type", "n", F.round("latency_avg", 4).alias("latency_avg"), "wall")
+    """A report per level with all its figures."""
+    events = read(spark, sf_dir, "events").withColumn("audio", F.expr("value * (event_id % 7 + 1) / 4"))
+    report = metrics.level_report(events, "event_type", "value", "audio", "user_id")
+    rounded = {"requests_per_s": 6, "audio_per_s": 4, "latency_avg": 4, "rtf_p50": 6}
+    return report.select("event_type", "n", *(F.round(c, rounded[c]).alias(c) if c in rounded else c for c in report.columns[2:]))
 
 
 NORM_SQL = "trim(regexp_replace(regexp_replace(lower({}), '[^a-z0-9_à-öø-ÿ ]', ' ', 'g'), ' +', ' ', 'g'))"

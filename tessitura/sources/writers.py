@@ -29,6 +29,16 @@ def report_lines(report: DataFrame, level: str) -> DataFrame:
     return report.select(F.format_string("level=%s n=%d latency_avg=%.3f", F.col(level).cast("string"), "n", "latency_avg").alias("line"))
 
 
+def slo_lines(report: DataFrame, level: str) -> DataFrame:
+    """The lines of a service's report, some per level: (level, at, line), ``at`` the place of a line."""
+    told = [("Total Requests: %d", "n")]
+    told += [(f"{label}: %.3fs", f"time_{k}") for label, k in (("Min Time", "min"), ("Max Time", "max"), ("Avg Time", "avg"), ("P50 (Median)", "p50"), ("P90", "p90"), ("P95", "p95"), ("P99", "p99"))]
+    told += [("Avg Audio Duration: %.3fs", "audio_avg")]
+    told += [(f"{label} RTF: %.3f", f"rtf_{k}") for label, k in (("Min", "min"), ("Max", "max"), ("Avg", "avg"), ("P50", "p50"), ("P90", "p90"), ("P95", "p95"), ("P99", "p99"))]
+    lines = F.array(*(F.when(F.col(c).isNotNull(), F.format_string(form, F.col(c))) for form, c in told))
+    return report.select(level, F.posexplode(lines).alias("at", "line")).where(F.col("line").isNotNull())
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that ``spark.checkpoint.dir`` names; where it is unset, a local one for a local session and an error for a cluster."""
     found = spark.conf.get("spark.checkpoint.dir", None)
