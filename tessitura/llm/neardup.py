@@ -8,8 +8,11 @@ fingerprints are compared come from shingles, by a rule that loses nothing, and
    different shingles meet in them the order changes, but it stays one order for all nodes, which is all that step 3 needs.
 3. Of n shingles, the first ``n - ceil(similarity * n) + 1`` are the node's keys: two sets that are similar enough share at least one key.
    Keys that no other node has are left out, so a text with a fifth of its shingles to itself has none.
-4. Within the bucket of a key, fingerprints are compared in bit slices. Links are verified on the sets in two passes: first the nearest
-   ones that connect a bucket, then all between nodes that verified links have left apart, so a link that fails hides none.
+4. Buckets with the same members are one. Within a bucket, fingerprints are compared in bit slices, and the nearest links that connect it are
+   verified on the sets. Verified links make trees.
+5. Nodes of different trees that share a bucket are compared again, so that a link that failed hides none: in small buckets the pairs whose fingerprints are near,
+   each verified on its sets. Large buckets (pages of one template, say, that are alike but not enough) would make all pairs many times over. They are merged into *blocks*, whose nodes come
+   together with their sets once for each pair of parts, and all pairs of a block are counted there at once by products of membership matrices. Only links that join two trees leave a task.
 """
 
 from __future__ import annotations
@@ -24,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessitura.llm.common import bit_map, has_bits, map_batches, staged, text_bytes, unstaged
-from tessitura.llm.simhash import bucket_links, components, crossing_links, majority, shingle_hashes, task_links
+from tessitura.llm.simhash import Forest, bucket_links, components, crossing_links, majority, shingle_hashes, task_links
 
 #: Most bits of the map of shared shingles and of first rows. The table of counts has a sixteenth as many bytes.
 MAP_BITS = 27
@@ -34,6 +37,12 @@ RADIUS = 26
 COUNTED = 4
 #: Shingles that a task holds while it counts.
 COUNTED_AT_ONCE = 1 << 20
+#: Nodes of a bucket beyond which it is compared as part of a block.
+LARGE = 64
+#: Most nodes and shingles of a part of a block; a task holds two parts.
+PART_NODES, PART_SHINGLES = 1024, 1 << 21
+#: Shingles that so many nodes of a part have are counted by matrix products, rarer ones pair by pair.
+DENSE = 32
 #: Rows (of some 50 bytes) up to which a table of nodes is broadcast.
 BROADCAST_ROWS = 500_000
 
@@ -55,6 +64,83 @@ def similar(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
     return common >= similarity * (len(a) + len(b) - common) - 1e-9
 
 
+def common_counts(sets: list[np.ndarray]) -> np.ndarray:
+    """How many elements each two of some sets have in common, as a square matrix; the diagonal is not counted."""
+    n = len(sets)
+    owner = np.repeat(np.arange(n), [len(x) for x in sets])
+    _, at, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    out = np.zeros((n, n), np.float32)  # exact up to 2 ** 24
+    order = np.argsort(at, kind="stable")
+    owner, starts = owner[order], np.cumsum(counts) - counts
+    for c in range(2, min(DENSE, n) + 1):  # elements of c sets: one step for each two of their places
+        own = starts[counts == c]
+        if len(own):
+            rows = owner[own[:, None] + np.arange(c)]
+            for i in range(c):
+                for j in range(i + 1, c):
+                    np.add.at(out, (rows[:, i], rows[:, j]), 1)
+    out += out.T
+    dense = np.flatnonzero(counts > DENSE)
+    for a in range(0, len(dense), 2048):
+        some = dense[a : a + 2048]
+        member = np.zeros((n, len(some)), np.float32)
+        for column, k in enumerate(some.tolist()):
+            member[owner[starts[k] : starts[k] + counts[k]], column] = 1
+        out += member @ member.T
+    return out
+
+
+def part_links(ids: np.ndarray, trees: np.ndarray, sides: np.ndarray, sets: list[np.ndarray], similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Links that join trees, among all pairs of a part (``sides`` 0) or between two parts (1 and 2), that are as similar as asked. One link for two trees is enough."""
+    if len(ids) < 2:
+        return ids[:0], ids[:0]
+    size = np.array([len(x) for x in sets], np.float64)
+    common = common_counts(sets).astype(np.float64)
+    near = common >= similarity * (size[:, None] + size[None, :] - common) - 1e-9
+    near &= (trees[:, None] != trees[None, :]) & ((sides[:, None] < sides[None, :]) | ((sides == 0)[:, None] & (np.arange(len(ids))[:, None] < np.arange(len(ids))[None, :])))
+    values, tree = np.unique(trees, return_inverse=True)
+    forest, out = Forest(len(values)), []
+    for i, j in zip(*(x.tolist() for x in np.nonzero(near))):
+        if forest.join(int(tree[i]), int(tree[j])):
+            out.append((i, j))
+    a, b = (np.array([x[k] for x in out], np.int64) for k in (0, 1))
+    return ids[a], ids[b]
+
+
+def block_links(blocks: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Links (a, b) between trees of rows (block, node, tree, n), with the sets (node, shingles) of all of them.
+
+    A block is dealt into parts by a hash, so that no task holds more than two parts; every pair of its nodes meets in one task.
+    """
+    sizes = blocks.groupBy("block").agg(F.greatest(F.ceil(F.count("*") / F.lit(PART_NODES)), F.ceil(F.sum("n") / F.lit(PART_SHINGLES))).cast("int").alias("parts"), (F.min("tree") != F.max("tree")).alias("apart"))
+    dealt = blocks.join(sizes.where("apart").drop("apart"), "block").withColumn("own", F.pmod(F.xxhash64("node", F.lit("part")), F.col("parts")).cast("int"))
+    pairs = F.transform(
+        F.sequence(F.lit(0), F.col("parts") - 1),
+        lambda q: F.struct((F.least(F.col("own"), q) * F.col("parts") + F.greatest(F.col("own"), q)).alias("part"), F.when(F.col("own") == q, 0).when(F.col("own") < q, 1).otherwise(2).alias("side")),
+    )
+    rows = dealt.join(sets, "node").select("block", "node", "tree", "shingles", F.explode(pairs).alias("p")).select("block", F.col("p.part").alias("part"), F.col("p.side").alias("side"), "node", "tree", "shingles")
+    rows = rows.repartition("block", "part").sortWithinPartitions("block", "part")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+
+        def links() -> pa.RecordBatch:
+            sides, ids, trees = (np.array([h[k] for h in held], np.int64) for k in (2, 3, 4))
+            a, b = part_links(ids, trees, sides, [np.frombuffer(h[5], np.uint64) for h in held], similarity)
+            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+        for batch in batches:
+            for row in zip(*(c.to_pylist() for c in batch.columns)):
+                if held and held[0][:2] != row[:2]:
+                    yield links()
+                    held = []
+                held.append(row)
+        if held:
+            yield links()
+
+    return rows.mapInArrow(run, "a bigint, b bigint")
+
+
 def described(base: DataFrame, width: int) -> DataFrame:
     """doc_id, version, own and, of the text's shingle set, n (its size) and digest."""
     fields = [base.schema[c] for c in ("doc_id", "version", "own")]
@@ -207,6 +293,11 @@ def similar_components(df: DataFrame, text_col: str = "text", id_col: str = "doc
     firsts = bit_map(nodes, "own", min(MAP_BITS, max(10, (16 * many).bit_length())))
     keys = keys_of(base, firsts, counted(base, firsts, width, total), width, similarity)
     keys = staged(keys.select("key", node.alias("id"), "fp", "n"), "keys")
+    # of buckets with the same members one is enough: most of a text's keys lead to the same others
+    alike = keys.groupBy("key").agg(F.count("*").alias("size"), F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64("id", F.lit("again"))).alias("y")).where("size > 1")
+    chosen = alike.groupBy("size", "x", "y").agg(F.min("key").alias("key"))
+    every, keys = keys, staged(keys.join(chosen.select("key", "size"), "key"), "buckets")
+    unstaged(every)
 
     def fits(own: dict[str, np.ndarray]):
         n = own["n"]
@@ -216,25 +307,37 @@ def similar_components(df: DataFrame, text_col: str = "text", id_col: str = "doc
         keep = [similar(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), similarity) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
         return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
+    def sets_for(asked: DataFrame) -> DataFrame:
+        """node and shingles of distinct nodes, from the texts."""
+        own = staged(nodes.select("node", "own").join(asked, "node", "left_semi"), "asked")
+        texts = base.join(F.broadcast(own) if own.count() <= BROADCAST_ROWS else own, "own").select("node", "text").dropDuplicates(["node"])
+        out = staged(packed_sets(texts, width).where(F.col("node") == node).select("node", "shingles"), "sets")
+        unstaged(own)
+        return out
+
     def verified(links: DataFrame, label: str) -> DataFrame:
-        ends = links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node"))).distinct()
-        asked = staged(nodes.select("node", "own").join(ends, "node", "left_semi"), "asked")
-        texts = base.join(F.broadcast(asked) if asked.count() <= BROADCAST_ROWS else asked, "own").select("node", "text").dropDuplicates(["node"])
-        sets = staged(packed_sets(texts, width).where(F.col("node") == node).select("node", "shingles"), "sets")
+        sets = sets_for(links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node"))).distinct())
         both = links.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb")), "b")
         out = staged(map_batches(both.select("a", "b", "sa", "sb"), verify, "a bigint, b bigint", rows=256), label)
-        unstaged(asked, sets)
+        unstaged(sets)
         return out
 
-    nearest = bucket_links(keys, lambda r: [task_links(r["key"], r["part"], r["side"], r["fp"], r["id"], radius, fits(r))])
+    nearest = bucket_links(keys.drop("size"), lambda r: [task_links(r["key"], r["part"], r["side"], r["fp"], r["id"], radius, fits(r))])
     links = staged(nearest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "links")
     trees = staged(components(verified(links, "verified")), "trees")
-    told = keys.join(trees.withColumnRenamed("node", "id"), "id", "left").select("key", "id", "fp", "n", F.coalesce("root", "id").alias("tree"))
-    apart = bucket_links(told, lambda r: crossing_links(r["key"], r["part"], r["side"], r["fp"], r["id"], r["tree"], radius, fits(r)), several="tree")
+    told = keys.join(trees.withColumnRenamed("node", "id"), "id", "left").select("key", "id", "fp", "n", "size", F.coalesce("root", "id").alias("tree"))
+    apart = bucket_links(told.where(F.col("size") <= LARGE).drop("size"), lambda r: crossing_links(r["key"], r["part"], r["side"], r["fp"], r["id"], r["tree"], radius, fits(r)), several="tree")
     more = staged(apart.distinct().join(links, ["a", "b"], "left_anti"), "crossing")
-    unstaged(keys, links)
+    large = staged(told.where(F.col("size") > LARGE).select("key", "id", "n", "tree"), "large")
+    open_keys = large.groupBy("key").agg(F.min("id").alias("first"), (F.min("tree") != F.max("tree")).alias("apart")).where("apart").select("key", "first")
+    member = large.join(open_keys, "key").select("id", "n", "tree", "first")
+    stars = components(member.select(F.col("id").alias("a"), F.col("first").alias("b")).distinct(), "blocks")
+    blocks = staged(member.select(F.col("id").alias("node"), "tree", "n").distinct().join(stars, "node").select(F.col("root").alias("block"), "node", "tree", "n"), "blocks")
+    sets = sets_for(blocks.select("node"))
+    across = staged(block_links(blocks, sets, similarity), "across")
+    unstaged(keys, links, large, blocks, sets)
     joined = trees.select(F.col("node").alias("a"), F.col("root").alias("b"))
-    found = components(joined.unionByName(verified(more, "verified")))
+    found = components(joined.unionByName(verified(more, "verified")).unionByName(across))
     rooted = nodes.join(found, "node", "left").select("node", "first_id", F.coalesce("root", "node").alias("root"))
     smallest = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
     return rows.select("doc_id", "version", node).join(rooted.join(smallest, "root").select("node", "component_id", "root"), "node").select("doc_id", "version", "component_id", "root")

@@ -99,3 +99,45 @@ def test_edges(spark):
     got = neardup.similar_components(spark.createDataFrame([(*r, 3) for r in odd], "doc_id long, text string, node int"))
     assert sorted((str(r["doc_id"]), r["component_id"]) for r in got.collect()) == [("1", 1), ("2", 1), ("4", 4), ("4", 4), ("7", 7), ("None", 4)]
     assert neardup.similar_components(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_common_counts():
+    rng = np.random.default_rng(5)
+    sets = [np.unique(rng.integers(0, 60 if k % 2 else 400, rng.integers(1, 90)).astype(np.uint64)) for k in range(80)]
+    got = neardup.common_counts(sets)
+    for i in range(80):
+        assert [got[i, j] for j in range(80) if j != i] == [len(np.intersect1d(sets[i], sets[j])) for j in range(80) if j != i]
+
+
+def template_pages(n, own, rng):
+    """Pages of one template whose own words make them alike, but not enough; some have a near copy, and some a page between them and the next."""
+    common = [f"c{i}" for i in range(300)]
+    rows = []
+    for k in range(n):
+        words = common + [f"o{k}x{i}" for i in range(own)]
+        rows.append(words)
+        if k % 10 == 0:
+            rows.append(words[:-2] + [f"y{k}", f"z{k}"])
+    return [(int(i), " ".join(w)) for i, w in zip(rng.permutation(len(rows)), rows)]
+
+
+@pytest.mark.parametrize(("large", "part"), [(64, 1024), (8, 16)])
+def test_templates_are_compared_in_blocks(spark, monkeypatch, large, part):
+    monkeypatch.setattr(neardup, "LARGE", large)
+    monkeypatch.setattr(neardup, "PART_NODES", part)
+    rows = template_pages(150, 45, np.random.default_rng(6)) + [(10_000 + i, t) for i, t in near_copies(np.random.default_rng(7), 60, 200)]
+    want = brute_similar(rows, 5, 0.8)
+    assert found(spark, rows) == want and sum(want[i] != i for i in want) > 15
+
+
+def test_one_group_of_uneven_copies(spark):
+    """Copies of one text, each with other words of its own changed, from alike to not enough."""
+    rng = np.random.default_rng(8)
+    words = [f"w{i}" for i in range(240)]
+    rows = []
+    for k in range(220):
+        copy = list(words)
+        for at in rng.choice(240, int(rng.integers(1, 9)), replace=False):
+            copy[at] = f"k{k}x{at}"
+        rows.append((k, " ".join(copy)))
+    assert found(spark, rows) == brute_similar(rows, 5, 0.8)
