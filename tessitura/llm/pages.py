@@ -2,11 +2,11 @@
 
 The pages of a host are merged into one tree. A *style node* is an element with the path of tags and classes
 that leads to it. For every node of a host the tree holds how many pages have it, which sequences of child
-tags it has there (presentation) and which texts (content). A node whose pages all look different in it
+tags it has there (presentation) and which texts it holds itself (content). A node whose pages all look different in it
 carries what the pages are about; one that looks alike everywhere belongs to the site. Importance is one less the
-entropy of its texts over the pages, with a share of the entropy of its presentation; branches of low importance are
-cut out of each page, inside an article as well as outside. Elements that are boilerplate by what they are (menus, scripts, ...) have
-importance zero from the start; those whose class, id or tag hints at it have, too, unless they hold the article. Parts of an article are
+entropy of its texts over the pages, with a share of the entropy of its presentation, times a prior; what has low importance is
+cut out of each page, inside an article as well as outside. The prior is zero for elements that are boilerplate by what they are (menus, scripts, ...) and ``HINTED``
+for those whose class, id or tag hints at it, unless they hold the article. Parts of an article are
 told with the article's text instead of the page, so copies of an article count once, whatever stands around them, and keep their text.
 """
 
@@ -15,7 +15,7 @@ from __future__ import annotations
 import html
 import re
 from collections import Counter
-from collections.abc import Collection, Iterable
+from collections.abc import Collection, Iterable, Mapping
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -28,14 +28,14 @@ from tessitura.llm.common import map_batches, staged, table
 
 #: Share of the content in a node's importance; importance below which a branch goes.
 CONTENT_SHARE, LOW = 0.9, 0.25
-#: A text counts for the element that holds it and for those around it, so many in all.
-LEVELS = 8
+#: Prior of what a class, id or tag hints at: such an element goes even on a single page, of which the tree can tell nothing.
+HINTED = 0.2
 #: Share of the article's text that an element must hold to be taken for a wrapper whatever its class says, and most that low branches may cut of it.
 HALF = 0.5
 #: Bytes of low branches up to which they are broadcast; beyond it the join is shuffled.
 BROADCAST_BYTES = 64 << 20
 
-TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>""", re.S)
+TAG = re.compile(r"""<!--|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>""", re.S)
 ATTRIBUTE = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+)))?""")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript template iframe svg math".split())
@@ -76,7 +76,7 @@ class Page:
     elements: list[Element]
     texts: list[str] = field(default_factory=list)
     owners: list[int] = field(default_factory=list)
-    skipped: np.ndarray | None = None
+    prior: np.ndarray | None = None
 
 
 def number(text: str, seed: int) -> int:
@@ -96,8 +96,8 @@ def covered(elements: Iterable[Element], n: int) -> np.ndarray:
 def parse(source: str | None) -> Page:
     """The page's elements and text blocks in one pass, in time linear in its length but for closing tags far inside.
 
-    Nothing is collected in elements that never hold text of an article. An element whose class, id or tag only hints at that
-    is skipped unless it holds over ``HALF`` of the text of the page's articles (of all text if it has none).
+    Nothing is collected in elements that never hold text of an article. Blocks in an element whose class, id or tag only hints at that
+    have the prior ``HINTED``, unless it holds over ``HALF`` of the text of the page's articles (of all text if it has none).
     """
     source = source or ""
     page = Page([Element("", 0, -1, False, False, False, False)])
@@ -123,14 +123,19 @@ def parse(source: str | None) -> Page:
             return 0
         return next(i for i in range(len(stack) - 1, 0, -1) if elements[stack[i]].tag in tags)
 
-    at, last = 0, max(source.rfind(">"), source.rfind("<!--"))
+    at, last = 0, source.rfind(">") + 1  # no tag ends behind it, so none is looked for there
     while True:
-        m = TAG.search(source, at) if at <= last else None
+        m = TAG.search(source, at, last) if at < last else None
+        note = source.find("<!--", at) if not m else -1
         if not elements[stack[-1]].hard:
-            words.append(html.unescape(source[at : m.start() if m else None]))
+            words.append(html.unescape(source[at : m.start() if m else note if note >= 0 else None]))
         if not m:
             break
         at = m.end()
+        if m[0] == "<!--":
+            end = source.find("-->", at)
+            at = end + 3 if end >= 0 else len(source)
+            continue
         tag = (m[2] or m[5] or "").lower()
         if not tag:
             continue
@@ -178,45 +183,42 @@ def parse(source: str | None) -> Page:
     sizes = np.array(list(map(len, texts)), np.int64)
     own = covered((e for e in elements if e.own and not e.hard), len(texts))
     sums = np.concatenate(([0], np.cumsum(sizes * own if own.any() else sizes)))
-    page.skipped = covered((e for e in elements if e.soft and sums[e.end] - sums[e.start] <= HALF * sums[-1]), len(texts))
+    page.prior = np.where(covered((e for e in elements if e.soft and sums[e.end] - sums[e.start] <= HALF * sums[-1]), len(texts)), HINTED, 1.0)
     return page
 
 
-def main_text(source: str | None, low: Collection[int] = frozenset()) -> str:
-    """The blocks of the page's articles, or of all its body if it has none, joined by line feeds, without branches whose path is in ``low``.
+def main_text(source: str | None, low: Mapping[int, float] | Collection[int] = frozenset()) -> str:
+    """The blocks of the page's articles, or of all its body if it has none, joined by line feeds, without those of low importance.
 
-    Where low branches would cut over ``HALF`` of an article's text, the site's pages are too alike to tell what is theirs, and it stays whole.
+    ``low`` has the importance in the host's tree by path, 1 for paths that it lacks (0 for those of a plain collection). Where the tree would cut over ``HALF`` of an article's
+    text, the site's pages are too alike to tell what is theirs, and the article is judged by its prior alone.
     """
     page = parse(source)
     n = len(page.texts)
-    article = covered((e for e in page.elements if e.own and not e.hard), n) & ~page.skipped
-    cut = covered((e for e in page.elements if not e.own and e.path in low), n) if low else np.zeros(n, bool)
-    if article.any():
+    told = low if isinstance(low, Mapping) else dict.fromkeys(low, 0.0)
+    tree = np.array([told.get(page.elements[i].path, 1.0) for i in page.owners])
+    article = covered((e for e in page.elements if e.own and not e.hard), n)
+    known = page.prior >= LOW
+    keep = known & (page.prior * tree >= LOW)
+    own = article & known
+    if own.any():
         sizes = np.array(list(map(len, page.texts)), np.int64)
-        keep = article & ~cut if sizes[article & cut].sum() <= HALF * sizes[article].sum() else article
-    else:
-        keep = ~page.skipped & ~cut
+        keep = own if sizes[own & ~keep].sum() > HALF * sizes[own].sum() else own & keep
     return "\n".join(page.texts[i] for i in np.flatnonzero(keep).tolist())
 
 
 def features(source: str | None, page: int = 0) -> set[tuple[int, int, bool, int]]:
-    """(page, path, whether of content, feature) as numbers for every style node: its presentation and its texts, those of at most ``LEVELS`` elements above them. Parts of an article have a number of the article's text for the page's."""
+    """(page, path, whether of content, feature) as numbers for every style node that holds text: its presentation and its own texts, boilerplate included. Parts of an article have a number of the article's text for the page's."""
     found = parse(source)
     elements = found.elements
-    kept = np.flatnonzero(~found.skipped).tolist()
-    story = number("\n".join(found.texts[i] for i in kept if elements[found.owners[i]].article), 3)
-    shown = np.concatenate(([0], np.cumsum(~found.skipped)))
+    story = number("\n".join(t for t, i, prior in zip(found.texts, found.owners, found.prior.tolist()) if elements[i].article and prior == 1), 3)
     out = set()
-    for e in elements[1:]:
-        if not e.hard and shown[e.end] > shown[e.start]:
-            out.add((story if e.article else page, e.path, False, e.look))
-    for i in kept:
-        at, text = found.owners[i], number(found.texts[i], 0)
-        for _ in range(LEVELS):
-            if at <= 0:
-                break
-            out.add((story if elements[at].article else page, elements[at].path, True, text))
-            at = elements[at].parent
+    for text, at in zip(found.texts, found.owners):
+        e = elements[at]
+        if at > 0:
+            own = story if e.article else page
+            out.add((own, e.path, False, e.look))
+            out.add((own, e.path, True, number(text, 0)))
     return out
 
 
@@ -257,7 +259,6 @@ def style_tree(pages: DataFrame) -> DataFrame:
     m = F.log("pages")
     content = F.when(F.col("pages") > 1, 1 - F.col("text_log") / m).otherwise(1.0)
     presentation = F.when(F.col("pages") > 1, (m - F.col("style_nlog") / F.col("pages")) / m).otherwise(1.0)
-    # what holds no text near it says nothing by its texts
     found = F.coalesce(content, F.lit(1.0)) * CONTENT_SHARE + presentation * (1 - CONTENT_SHARE)
     return sums.select("host", "path", "pages", (1 - (1 - 1 / F.col("pages")) * (1 - found)).alias("importance"))
 
