@@ -5,12 +5,13 @@ written addresses of mail and hosts. Base matches that pass their checks are kep
 candidate gets features of its format and its context, boosted trees score it, and those above a calibrated
 threshold are added.
 
-The trees learn from the corpus itself. Examples are its checked base spans where they stand, but with their form damaged as
+The trees learn from the corpus itself. Examples are its checked base spans where they stand, as they are and with their form damaged as
 people write it (``(at)``, blanks around dots, other marks between digits, no country code), so that no pattern of the base finds them.
-Counterexamples are the candidates that no base span overlaps. All features are yes or no, so the candidates of a corpus, however many, fall
+Counterexamples are the other candidates that no base span overlaps, and the base matches that fail their checks (numbers of no card, addresses of no host), as they are and damaged in the
+same ways, so that what tells examples apart is not the damage. Both are told with and without their context. Candidates of which nothing is known weigh less the more examples their cell has (``weighed``). All features are yes or no, so the candidates of a corpus, however many, fall
 into at most ``2 ** len(FEATURES)`` cells, and the counts of the cells hold all that boosting needs. Spark counts the cells over all
 documents; the driver boosts over the counts; the trees become CASE expressions. Each family of candidates has its threshold: the
-smallest score at which the held-out fold has the asked share of examples.
+smallest score at which the held-out fold has the asked share of examples, in the family itself if it has enough held-out examples to show that share, else in all families together.
 """
 
 from __future__ import annotations
@@ -47,6 +48,8 @@ CONTEXT = r"(?i)(?:mail|phone|tel|mobil|fax|call|contact|kontakt|card|karte|cart
 FEATURES = ("mail", "host", "digits_9", "digits_12", "digits_16", "digits_20", "luhn", "bytes", "plus", "paren", "dot", "dash", "blank", "blanks", "groups_4", "context", "attached")
 FAMILIES = ("mail", "host", "digits")
 ROUNDS, RATE, PRECISION = 40, 0.3, 0.95
+#: Least score of any threshold: many clear examples must not pay for candidates that are likelier none.
+LIKELY = 0.5
 #: Base patterns as they are written to escape a pattern, in turn by a hash of the match: (what, by what) in order.
 DAMAGED = {
     "email": [[("@", " (at) "), (r"\.", " (dot) ")], [("@", "(at)")], [("@", " [at] "), (r"\.", " [dot] ")], [("@", " @ ")], [("@", "[at]")]],
@@ -119,6 +122,8 @@ def features(c: Column, family: str) -> Column:
         "context": F.coalesce(c["before"].rlike(CONTEXT), F.lit(False)),
         "attached": F.coalesce(c["before"].rlike("[A-Za-z0-9_]$"), F.lit(False)) | F.coalesce(c["after"].rlike("^[A-Za-z0-9_]"), F.lit(False)),
     }
+    if family == "mail":  # digits tell nothing about names
+        yes |= {k: F.lit(False) for k in ("luhn", "bytes", *(f"digits_{n}" for n in (9, 12, 16, 20)))}
     out = F.lit(0)
     for i, name in enumerate(FEATURES):
         out = out + F.when(yes[name], 1 << i).otherwise(0)
@@ -169,7 +174,7 @@ class Model:
         return self.score(cell) >= least
 
 
-def boost(cells: dict[int, tuple[int, int]], held: dict[int, tuple[int, int]]) -> Model:
+def boost(cells: dict[int, tuple[float, float]], held: dict[int, tuple[float, float]]) -> Model:
     """Gradient boosting of the logistic loss over cell counts (counterexamples, examples), and the threshold from the held-out counts."""
     no, yes = (sum(v[i] for v in cells.values()) for i in (0, 1))
     bias = math.log((yes + 0.5) / (no + 0.5))
@@ -201,22 +206,29 @@ def boost(cells: dict[int, tuple[int, int]], held: dict[int, tuple[int, int]]) -
         for c in cells:
             raw[c] += (values[0] if c >> a & 1 else values[1]) if c >> f & 1 else (values[2] if c >> b & 1 else values[3])
     model = Model(bias, tuple(trees), {})
-    by_score: dict[str, dict[float, list[int]]] = {k: {} for k in FAMILIES}
+    by_score: dict[str, dict[float, list[int]]] = {k: {} for k in (*FAMILIES, "all")}
     for c, (n, y) in held.items():
-        x = by_score[family_of(c)].setdefault(1 / (1 + math.exp(-model.raw(c))), [0, 0])
-        x[0] += n
-        x[1] += y
-    for family, scores in by_score.items():
-        model.thresholds[family], n, y = 2.0, 0, 0
+        for family in (family_of(c), "all"):
+            x = by_score[family].setdefault(1 / (1 + math.exp(-model.raw(c))), [0, 0])
+            x[0] += n
+            x[1] += y
+
+    def least(scores: dict[float, list[int]]) -> float:
+        found, n, y = 2.0, 0, 0
         for s, x in sorted(scores.items(), reverse=True):
             n, y = n + x[0], y + x[1]
-            if y >= PRECISION * (n + y + 1):  # one more counterexample: few examples prove nothing
-                model.thresholds[family] = s - 1e-9
+            if s >= LIKELY and y >= PRECISION * (n + y + 1):  # one more counterexample: few examples prove nothing
+                found = s - 1e-9
+        return found
+
+    for family in FAMILIES:
+        enough = sum(x[1] for x in by_score[family].values()) >= PRECISION / (1 - PRECISION)
+        model.thresholds[family] = least(by_score[family if enough else "all"])
     return model
 
 
 def candidates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
-    """For each row doc_id, the checked base spans by kind, ``loose``: all candidates that overlap none, with their cells, and ``examples``: the cells of the damaged base spans."""
+    """For each row doc_id, the checked base spans by kind, ``loose``: all candidates that overlap none, with their cells, and ``examples`` and ``counterexamples``: the cells of base matches that pass and fail their checks, as they are and damaged."""
     text = F.coalesce(F.translate(F.col(text_col), MARK, INSTEAD), F.lit(""))
     out = df.select(F.col(id_col).alias("doc_id"), *carry, text.alias("__t"))
     at = F.contains("__t", F.lit("@")) | F.contains("__t", F.lit("(at)")) | F.contains("__t", F.lit("[at]"))
@@ -227,18 +239,25 @@ def candidates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", ca
     def checked(kind: str) -> Column:
         return F.filter(f"__{kind}", lambda s: passes(kind, s["found"]))
 
+    def failing(kind: str) -> Column:
+        return F.filter(f"__{kind}", lambda s: ~passes(kind, s["found"]))
+
     for kind in KINDS:
-        out = out.withColumn(f"__{kind}", checked(kind))
+        out = out.withColumn(f"__not_{kind}", failing(kind)).withColumn(f"__{kind}", checked(kind))
 
     def spans(kind: str) -> Column:
         return F.transform(f"__{kind}", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(kind).alias("kind"))).alias(kind)
 
-    def examples(kind: str) -> Column:
+    def told(kind: str, of: str) -> Column:
         family = {"email": "mail", "ip": "host"}.get(kind, "digits")
-        shown = lambda s: F.struct(damaged(kind, s["found"]).alias("found"), s["before"].alias("before"), s["after"].alias("after"))
-        return F.transform(F.transform(f"__{kind}", shown), lambda s: features(s, family))
+        shown = lambda s, form: F.struct(form.alias("found"), s["before"].alias("before"), s["after"].alias("after"))
+        both = F.flatten(F.transform(of, lambda s: F.array(shown(s, s["found"]), shown(s, damaged(kind, s["found"])))))
+        # once more without its context: personal data stands anywhere, and a corpus may hold it in few places only
+        bare = F.lit(((1 << len(FEATURES)) - 1) ^ (1 << FEATURES.index("context")))
+        return F.flatten(F.transform(F.transform(both, lambda s: features(s, family)), lambda c: F.array(c, c.bitwiseAND(bare))))
 
-    out = out.select("doc_id", *carry, *map(spans, KINDS), F.concat(*map(examples, KINDS)).alias("examples"), *(f"__{k}" for k in LOOSE))
+    examples, counter = (F.concat(*(told(kind, f"{prefix}{kind}") for kind in KINDS)).alias(name) for prefix, name in (("__", "examples"), ("__not_", "counterexamples")))
+    out = out.select("doc_id", *carry, *map(spans, KINDS), examples, counter, *(f"__{k}" for k in LOOSE))
 
     def loose(family: str, name: str, kinds: tuple[str, ...]) -> Column:
         base = F.concat(*(F.col(k) for k in kinds))
@@ -248,26 +267,44 @@ def candidates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", ca
         return F.transform(F.filter(name, apart), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), kind(s).alias("kind"), features(s, family).alias("cell")))
 
     digits_family = ("ip", "card", "phone")
-    return out.select("doc_id", *carry, *KINDS, "examples", F.concat(loose("mail", "__mail", ("email",)), loose("host", "__host", digits_family), loose("digits", "__digits", digits_family)).alias("loose"))
+    return out.select("doc_id", *carry, *KINDS, "examples", "counterexamples", F.concat(loose("mail", "__mail", ("email",)), loose("host", "__host", digits_family), loose("digits", "__digits", digits_family)).alias("loose"))
+
+
+#: What a counted cell is known as: an example, a counterexample, or neither.
+EXAMPLE, COUNTER, OPEN = 2, 1, 0
+
+
+def weighed(cells: dict[int, list[int]], by: dict[int, list[int]]) -> dict[int, tuple[float, float]]:
+    """(counterexamples, examples) of counts (open, counter, example) by cell.
+
+    Open candidates are counterexamples only as far as what is known of their cell leaves room for it: where ``by`` has k counterexamples and y examples of a cell, they
+    weigh ``1 - y / (y + k + 1)``. So hidden personal data doesn't speak against itself, and a cell without examples counts in full.
+    """
+    out = {}
+    for cell, (n, k, y) in cells.items():
+        _, known, examples = by.get(cell, (0, 0, 0))
+        out[cell] = (k + n * (1 - examples / (examples + known + 1)), y)
+    return out
 
 
 def fit(found: DataFrame) -> Model:
     """Count the cells over all candidates and examples, boost, and calibrate on the fold whose id's checksum leaves 2 when divided by 4."""
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
-    told = F.concat(F.transform("examples", lambda c: F.struct(c.alias("cell"), F.lit(True).alias("known"))), F.transform("loose", lambda s: F.struct(s["cell"].alias("cell"), F.lit(False).alias("known"))))
-    # at most 2 ** len(FEATURES) cells x 2 x 2
+    of = lambda name, known: F.transform(name, lambda c: F.struct((c["cell"] if name == "loose" else c).alias("cell"), F.lit(known).alias("known")))
+    told = F.concat(of("examples", EXAMPLE), of("counterexamples", COUNTER), of("loose", OPEN))
+    # at most 2 ** len(FEATURES) cells x 3 x 2
     rows = found.select(held.alias("held"), F.explode(told).alias("c")).groupBy("held", "c.cell", "c.known").agg(F.count("*").alias("n")).collect()
     folds: dict[bool, dict[int, list[int]]] = {False: {}, True: {}}
     for r in sorted(rows, key=lambda r: (r["held"], r["cell"], r["known"])):
-        folds[r["held"]].setdefault(r["cell"], [0, 0])[int(r["known"])] += r["n"]
-    return boost({k: tuple(v) for k, v in folds[False].items()}, {k: tuple(v) for k, v in folds[True].items()})
+        folds[r["held"]].setdefault(r["cell"], [0, 0, 0])[r["known"]] += r["n"]
+    return boost(weighed(folds[False], folds[False]), weighed(folds[True], folds[False]))
 
 
 def find_pii(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
     """Each row's id, the ``base`` spans and ``spans``, all selected ones: arrays of (start, rank, kind, end) in order.
 
-    A null text is an empty one and has no spans; repeated rows are repeated; where the corpus has no
-    base spans of a family, or too few held out to show the precision, nothing of it is added. Added spans that overlap a base span are left out, and so
+    A null text is an empty one and has no spans; repeated rows are repeated; where the corpus has
+    too few base spans held out to show the precision, in a family and in all together, nothing is added. Added spans that overlap a base span are left out, and so
     is an added span that starts within another. One scan, no shuffle but that of the cell counts.
     """
     found = staged(candidates(df, id_col, text_col, carry), "candidates")
@@ -280,7 +317,7 @@ def find_pii(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", carr
     # of candidates that overlap, the one that starts first stays; a host's digits may be those of a run, which it precedes by its kind
     inside = lambda s, o: ((o["start"] < s["start"]) & (s["start"] < o["end"])) | ((o["start"] == s["start"]) & (o["kind"] == "ip") & (s["kind"] != "ip"))
     clear = F.filter("__scored", lambda s: ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])) & ~F.exists("__scored", lambda o: inside(s, o)))
-    return out.withColumn("spans", F.when((F.size("base") >= 0) & (F.size("__scored") > 0), F.array_distinct(F.array_sort(F.concat("base", F.transform(clear, shape))))).otherwise(F.col("base"))).drop("__scored", "examples")
+    return out.withColumn("spans", F.when((F.size("base") >= 0) & (F.size("__scored") > 0), F.array_distinct(F.array_sort(F.concat("base", F.transform(clear, shape))))).otherwise(F.col("base"))).drop("__scored", "examples", "counterexamples")
 
 
 def listed(spans: str) -> Column:
