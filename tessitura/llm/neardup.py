@@ -40,7 +40,7 @@ COUNTED_AT_ONCE = 1 << 20
 #: Nodes of a bucket beyond which it is compared as part of a block.
 LARGE = 64
 #: Most nodes and shingles of a part of a block; a task holds two parts.
-PART_NODES, PART_SHINGLES = 1024, 1 << 21
+PART_NODES, PART_SHINGLES = 512, 1 << 20
 #: Shingles that so many nodes of a part have are counted by matrix products, rarer ones pair by pair.
 DENSE = 32
 #: Rows (of some 50 bytes) up to which a table of nodes is broadcast.
@@ -95,14 +95,15 @@ def part_links(ids: np.ndarray, trees: np.ndarray, sides: np.ndarray, sets: list
     if len(ids) < 2:
         return ids[:0], ids[:0]
     size = np.array([len(x) for x in sets], np.float64)
-    common = common_counts(sets).astype(np.float64)
-    near = common >= similarity * (size[:, None] + size[None, :] - common) - 1e-9
-    near &= (trees[:, None] != trees[None, :]) & ((sides[:, None] < sides[None, :]) | ((sides == 0)[:, None] & (np.arange(len(ids))[:, None] < np.arange(len(ids))[None, :])))
+    common = common_counts(sets)
     values, tree = np.unique(trees, return_inverse=True)
-    forest, out = Forest(len(values)), []
-    for i, j in zip(*(x.tolist() for x in np.nonzero(near))):
-        if forest.join(int(tree[i]), int(tree[j])):
-            out.append((i, j))
+    forest, out, after = Forest(len(values)), [], np.arange(len(ids))
+    for i in range(len(ids)):  # a row at a time, so that a part needs little more than its matrix
+        both = common[i].astype(np.float64)
+        near = (both >= similarity * (size[i] + size - both) - 1e-9) & (trees != trees[i]) & ((sides > sides[i]) | ((sides == 0) & (after > i)))
+        for j in np.flatnonzero(near).tolist():
+            if forest.join(int(tree[i]), int(tree[j])):
+                out.append((i, j))
     a, b = (np.array([x[k] for x in out], np.int64) for k in (0, 1))
     return ids[a], ids[b]
 
