@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from tessitura.plans import model_queries, more_queries, queries, sound_queries, stream_queries, time_queries
+from tessitura.plans import model_queries, more_queries, queries, rule_queries, sound_queries, stream_queries, time_queries
 
 QUERIES, ORACLES = queries.QUERIES, queries.ORACLES
 
-__all__ = ["ORACLES", "QUERIES", "model_queries", "more_queries", "sound_queries", "stream_queries", "time_queries"]
+__all__ = ["ORACLES", "QUERIES", "model_queries", "more_queries", "rule_queries", "sound_queries", "stream_queries", "time_queries"]

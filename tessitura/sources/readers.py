@@ -55,9 +55,9 @@ def sounds(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", "length", "content", wav_seconds("content").alias("seconds"))
 
 
-def reports(spark: SparkSession, path: str) -> DataFrame:
-    """Report and manifest files: JSON documents over several lines."""
-    return spark.read.option("multiLine", True).json(path)
+def reports(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """Report and manifest files: one JSON document a file, over several lines, or with ``lines`` one a line, as ``json_report`` writes them."""
+    return spark.read.option("multiLine", not lines).json(path)
 
 
 @dataclass(frozen=True)
