@@ -44,14 +44,11 @@ def time_words(text: Text, english: bool = False) -> Column:
     minute, second, morning, noon, night = (" minute", " saat", "am", "pm", "pm") if english else (" minit", " saat", "pagi", "petang", "malam")
 
     def read(t: Column) -> Column:
-        return F.concat(
-            F.lit("at " if english else "pukul "),
-            say(F.when(t["hour"] % 12 == 0, 12).otherwise(t["hour"] % 12)),
-            F.when(t["minute"] > 0, F.concat(F.lit(" "), say(t["minute"]), F.lit(minute))).otherwise(""),
-            F.when(t["second"] > 0, F.concat(F.lit(" "), say(t["second"]), F.lit(second))).otherwise(""),
-            F.lit(" "),
-            F.when(t["hour"] < 12, morning).when(t["hour"] < 19, noon).otherwise(night),
-        )
+        shown = F.array(F.when(t["hour"] % 12 == 0, 12).otherwise(t["hour"] % 12), F.when(t["minute"] > 0, t["minute"]), F.when(t["second"] > 0, t["second"]))
+        part = F.when(t["hour"] < 12, morning).when(t["hour"] < 19, noon).otherwise(night)
+        behind = lambda w, i, word: F.coalesce(F.concat(F.lit(" "), F.get(w, i), F.lit(word)), F.lit(""))
+        said = F.transform(shown, lambda n: F.when(n.isNotNull(), say(n)))
+        return F.when(t.isNotNull(), let(said, lambda w: F.concat(F.lit("at" if english else "pukul"), behind(w, 0, ""), behind(w, 1, minute), behind(w, 2, second), F.lit(" "), part)))
 
     return F.coalesce(let(parse_time(text), read), col(text))
 
@@ -65,7 +62,8 @@ def parse_date(text: Text) -> Column:
 def date_words(text: Text, english: bool = False) -> Column:
     """``sebelas Januari dua ribu dua puluh satu``."""
     say, names = (cardinal_en, MONTHS_EN) if english else (cardinal_ms, MONTHS_MS)
-    said = let(parse_date(text), lambda d: F.concat(say(F.dayofmonth(d)), F.lit(" "), F.get(words(names), F.month(d) - 1), F.lit(" "), say(F.year(d))))
+    both = lambda d: F.transform(F.array(F.dayofmonth(d), F.year(d)), say)
+    said = let(parse_date(text), lambda d: F.when(d.isNotNull(), let(both(d), lambda w: F.concat(F.get(w, 0), F.lit(" "), F.get(words(names), F.month(d) - 1), F.lit(" "), F.get(w, 1)))))
     return F.coalesce(said, col(text))
 
 
@@ -102,7 +100,8 @@ def spoken_date(text: Text, english: bool = False) -> Column:
     say, names = (cardinal_en, MONTHS_EN) if english else (cardinal_ms, MONTHS_MS)
 
     def read(d: Column) -> Column:
-        return F.when(d["named"] != "", F.concat_ws(" ", d["named"], say(d["day"]))).when(d["month"].isNotNull(), F.concat_ws(" ", say(d["day"]), F.get(words(names), d["month"] - 1), say(d["year"])))
+        said = F.transform(F.array(d["day"], d["year"]), lambda n: F.when(n.isNotNull(), say(n)))
+        return let(said, lambda w: F.when(d["named"] != "", F.concat_ws(" ", d["named"], F.get(w, 0))).when(d["month"].isNotNull(), F.concat_ws(" ", F.get(w, 0), F.get(words(names), d["month"] - 1), F.get(w, 1))))
 
     return F.coalesce(let(date_parts(text), read), col(text))
 
