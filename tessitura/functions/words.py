@@ -39,9 +39,10 @@ PREFIXES = {
 }
 
 
-def repeated(word: Column, times: Column) -> Column:
-    """A word as often as asked, with hyphens."""
-    return F.when(times > 1, F.array_join(F.array_repeat(word, times), "-")).otherwise(word)
+def repeated(word: Column, times: Column, root: Column | None = None) -> Column:
+    """A word as often as asked, with hyphens. Words that start with ``se`` or ``ter`` are followed by their ``root`` instead, where one is known."""
+    again = word if root is None else F.when(word.rlike("^(?:se|ter)"), F.coalesce(root, word)).otherwise(word)
+    return F.when(times > 1, F.concat_ws("-", word, F.array_repeat(again, times - 1))).otherwise(word)
 
 
 def is_number(token: Text) -> Column:
@@ -140,7 +141,7 @@ def without_ending(word: Text) -> Column:
 
 
 def without_affixes(word: Text, stem: Text) -> Column:
-    """(stem, ending) of a word whose stem a stemmer has told: a prefix in standard form stays with the stem, a digit at the end too.
+    """(stem, ending, root) of a word whose stem a stemmer has told: a prefix in standard form stays with the stem, a digit at the end too; ``root`` has neither.
 
     ``stem`` is that of the word without its digit; a null, empty or foreign stem leaves the word whole.
     """
@@ -154,10 +155,10 @@ def without_affixes(word: Text, stem: Text) -> Column:
             before, after = F.left(bare, F.length(F.get(p, 0))), F.right(bare, F.length(F.get(p, F.size(p) - 1)))
             middle = F.substring(bare, F.length(before) + 1, F.length(bare) - F.length(before) - F.length(after))
             ending = lookup(after, ENDINGS)
-            return F.when(F.size(p) > 1, F.struct(F.concat(lookup(before, PREFIXES), middle, digit).alias("stem"), F.when(ending.isin(PARTICLES), "lah").otherwise(ending).alias("ending")))
+            return F.when(F.size(p) > 1, F.struct(F.concat(lookup(before, PREFIXES), middle, digit).alias("stem"), F.when(ending.isin(PARTICLES), "lah").otherwise(ending).alias("ending"), middle.alias("root")))
 
         split = let(F.split(F.lower(bare), F.concat(F.lit("\\Q"), F.replace(F.lower(s), F.lit("\\E"), F.lit("")), F.lit("\\E")), -1), parts)
-        none = F.struct(w.alias("stem"), F.lit("").alias("ending"))
+        none = F.struct(w.alias("stem"), F.lit("").alias("ending"), bare.alias("root"))
         return F.when(whole, none).otherwise(F.coalesce(split, none))
 
     return let(F.struct(col(word).alias("w"), col(stem).alias("s")), cut)

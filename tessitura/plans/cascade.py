@@ -226,7 +226,7 @@ def softened(w: Column) -> Column:
     return F.when((F.length(w) > 2) & w.rlike(f"[{CONSONANTS}]e$"), F.concat(F.left(w, F.length(w) - 1), F.lit("a"))).otherwise(w)
 
 
-def rest_words(word: Column, r: Rules) -> Column:
+def rest_words(word: Column, r: Rules, root: Column | None = None) -> Column:
     """What is said of a word that no rule knows: its table entry, without a doubled last letter, or what speller or translator make of it; repeated as its digit says."""
     short = lambda t: F.left(t, F.length(t) - 1)
     known = lambda t: lookup(t, (r.slang or {} if r.word_rules else {}) | (words.SOUNDS if r.word_rules else {}), F.lit(None).cast("string"))
@@ -234,7 +234,7 @@ def rest_words(word: Column, r: Rules) -> Column:
 
     def said(t: Column) -> Column:
         stem = t["stem"]
-        return words.repeated(F.coalesce(known(word), F.when((F.length(stem) > 1) & stem.rlike(r"(.)\1$"), short(stem)), other(stem)), t["times"])
+        return words.repeated(F.coalesce(known(word), F.when((F.length(stem) > 1) & stem.rlike(r"(.)\1$"), short(stem)), other(stem)), t["times"], root)
 
     return let(text.check_repeat(word), said)
 
@@ -311,7 +311,7 @@ def in_words(g: Column, english: Column, r: Rules, readings: Column | None = Non
     rest = let(softened(w), lambda t: rest_words(t, r))
     if readings is not None:
         told = F.try_element_at(readings, softened(w))
-        rest = F.when(told.isNotNull(), F.array_join(F.transform(told, lambda p: F.concat(rest_words(p["stem"], r), p["ending"])), " ")).otherwise(rest)
+        rest = F.when(told.isNotNull(), F.array_join(F.transform(told, lambda p: F.concat(rest_words(p["stem"], r, p["root"]), p["ending"])), " ")).otherwise(rest)
     return out.when(kind == "rest", rest).otherwise(w)
 
 

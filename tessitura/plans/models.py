@@ -49,7 +49,7 @@ def bare(word: Column) -> Column:
 
 
 def word_readings(unknown: DataFrame, segment: Model | None = None, stem: Model | None = None) -> DataFrame:
-    """(word, reading) of distinct words (column word): reading is an array of (stem, ending), one for each word that the segmenter sees in it.
+    """(word, reading) of distinct words (column word): reading is an array of (stem, ending, root), one for each word that the segmenter sees in it.
 
     A digit at the end is kept from both models and stays with the last stem.
     """
@@ -62,13 +62,13 @@ def word_readings(unknown: DataFrame, segment: Model | None = None, stem: Model
     else:
         told = unknown.select("word", F.array(word).alias("pieces"))
     if not stem:
-        return told.select("word", F.transform("pieces", lambda p: F.struct(p.alias("stem"), F.lit("").alias("ending"))).alias("reading"))
+        return told.select("word", F.transform("pieces", lambda p: F.struct(p.alias("stem"), F.lit("").alias("ending"), F.lit(None).cast("string").alias("root"))).alias("reading"))
     pieces = told.select("word", F.posexplode("pieces").alias("at", "piece"))
     stems = asked(pieces.select(bare(F.col("piece")).alias("bare")), "bare", stem, "root")
     cut = pieces.withColumn("bare", bare(F.col("piece"))).join(sized(stems, "bare", "root"), "bare", "left").select("word", "at", words.without_affixes("piece", "root").alias("p"))
     # the pieces of one word, a handful
-    ordered = F.array_sort(F.collect_list(F.struct("at", F.col("p.stem").alias("stem"), F.col("p.ending").alias("ending"))))
-    return cut.groupBy("word").agg(ordered.alias("o")).select("word", F.transform("o", lambda p: F.struct(p["stem"].alias("stem"), p["ending"].alias("ending"))).alias("reading"))
+    ordered = F.array_sort(F.collect_list(F.struct("at", *(F.col(f"p.{k}").alias(k) for k in ("stem", "ending", "root")))))
+    return cut.groupBy("word").agg(ordered.alias("o")).select("word", F.transform("o", lambda p: F.struct(*(p[k].alias(k) for k in ("stem", "ending", "root")))).alias("reading"))
 
 
 def speak_with(df: DataFrame, column: str, key: str, rules: Rules = SERVICE, english: Column | bool = False, segment: Model | None = None, stem: Model | None = None) -> DataFrame:
