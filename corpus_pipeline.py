@@ -22,7 +22,7 @@ LEAST_SCORE = 0.05
 #: Words of a shingle and least similarity of shingle sets in near_dedup.
 SHINGLE, SIMILARITY = 5, 0.8
 #: Rows of an Arrow batch in the stages that run Python, so that long texts need little memory on both sides.
-BATCH_ROWS = 1000
+BATCH_ROWS = 256
 #: Words that a worker remembers in the last stage, where it shares an executor with what the stages before have left.
 CACHED_WORDS = 100_000
 
