@@ -36,7 +36,7 @@ RADIUS = 26
 #: A shingle in this many nodes has its count in the table of counts; of rarer ones only whether they are shared is held.
 COUNTED = 4
 #: Shingles that a task holds while it counts.
-COUNTED_AT_ONCE = 1 << 20
+COUNTED_AT_ONCE = 1 << 19
 #: Nodes of a bucket beyond which it is compared as part of a block.
 LARGE = 64
 #: Most nodes and shingles of a part of a block; a task holds two parts.
