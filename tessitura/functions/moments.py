@@ -1,6 +1,6 @@
 """Dates and times of a text: what is written, in one standard form, and the moment that it names.
 
-Twelve kinds of matches are looked for, each over the whole text, so that kinds may overlap: dates in figures or with a month's name, clock times, times after
+Sixteen kinds of matches are looked for, each over the whole text, so that kinds may overlap: dates in figures or with a month's name, clock times, times after
 ``pukul``, days and spans before and after now, and a time beside a day in either order. A kind is looked for only in texts that have what all
 its matches have. What is part of a longer match goes.
 
