@@ -26,7 +26,7 @@ TIME = rf"(?i)^\s*(?:pkul|pukul|kul)?\s*([0-2]?[0-9])(?:[:.]([0-5][0-9]))?(?:[:.
 def parse_time(text: Text) -> Column:
     """(hour, minute, second); Malay parts of the day move the hour, ``am`` and ``pm`` do not."""
     text = col(text)
-    hour, minute, second = (F.coalesce(F.regexp_extract(text, TIME, i).try_cast("int"), F.lit(0)) for i in (1, 2, 3))
+    hour, minute, second = (F.coalesce(F.nullif(F.regexp_extract(text, TIME, i), F.lit("")).try_cast("int"), F.lit(0)) for i in (1, 2, 3))
     part = F.lower(F.regexp_extract(text, TIME, 4))
     moved = (
         F.when(part.isin("pagi", "pgi", "morning") & (hour == 12), 0)
@@ -83,7 +83,7 @@ def date_parts(text: Text) -> Column:
         day = F.regexp_extract(F.regexp_replace(t, r"\b(?:19|20)\d{2}\b", ""), r"(?<!\d)(\d{1,2})(?!\d)", 1)
         named = F.when(year.isNull(), first_upper(F.regexp_extract(t, r"^\s*([A-Za-z]+)\s+\d{1,2}$", 1))).otherwise("")
         figures = parse_date(t)
-        pair = F.regexp_extract(t, r"^(\d{1,2})-(\d{1,2})$", 2).try_cast("int")
+        pair = F.nullif(F.regexp_extract(t, r"^(\d{1,2})-(\d{1,2})$", 2), F.lit("")).try_cast("int")  # a failing cast throws inside
         part = lambda d, m, y, n: F.struct(d.cast("string").alias("day"), m.alias("month"), y.cast("string").alias("year"), n.alias("named"))
         none = F.lit(None).cast("string")
         return (

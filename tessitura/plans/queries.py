@@ -34,6 +34,12 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows of a scan dealt out to all cores: a small file is one task, whatever each of its rows costs."""
+    parts = 4 * df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= parts else df.repartition(parts)
+
+
 def text_of(c: Column) -> Column:
     return c.cast("string")
 
@@ -599,5 +605,6 @@ def spoken_sql(english: bool) -> str:
 def normalize_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole pipeline over composed sentences."""
     said = F.concat(F.lit("**Harga** "), price("RM"), F.lit(" pada "), F.date_format("o_orderdate", "d/M/yyyy"), F.lit(" untuk 3-5 kg, diskaun 10% di 012-3456789!"))
-    rows = read(spark, sf_dir, "orders").select("o_orderkey", said.alias("said"), (F.col("o_orderkey") % 2 == 0).alias("english"))
+    orders = spread(read(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice", "o_orderdate"))
+    rows = orders.select("o_orderkey", said.alias("said"), (F.col("o_orderkey") % 2 == 0).alias("english"))
     return normalizer.normalize_text(rows, "said", F.col("english")).select("o_orderkey", "said")

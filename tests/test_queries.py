@@ -38,3 +38,9 @@ def test_entry_registers_all():
     import __spark_entry__ as entry
 
     assert set(QUERIES) <= set(entry.queries()) and set(entry.oracle_sql()) <= set(entry.queries())
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no data tables")
+@pytest.mark.parametrize("name", ["normalize_text"])
+def test_small_files_are_dealt_to_all_cores(spark, name):
+    assert QUERIES[name](spark, DATA).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
