@@ -295,7 +295,8 @@ def relative_days(spark: SparkSession, sf_dir: str) -> DataFrame:
 def zh_mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Percent, weight and number inside Chinese text."""
     source = F.concat(F.lit("比例"), text_of(F.col("p_size")), F.lit("%，重"), text_of(F.col("p_partkey")), F.lit("kg，共"), text_of(F.col("p_partkey") * 7), F.lit("件"))
-    return chinese.normalize_chinese(read(spark, sf_dir, "part").select("p_partkey", source.alias("said")), "said")
+    part = spread(read(spark, sf_dir, "part").select("p_partkey", "p_size"))
+    return chinese.normalize_chinese(part.select("p_partkey", source.alias("said")), "said")
 
 
 @query(f"SELECT o_orderkey, ({S.cardinal_zh(f'{CENTS}//100')}) || '令吉' || CASE WHEN {CENTS}%100>0 THEN ({S.cardinal_zh(f'{CENTS}%100')}) || '仙' ELSE '' END AS said FROM orders")

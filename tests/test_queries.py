@@ -41,6 +41,6 @@ def test_entry_registers_all():
 
 
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no data tables")
-@pytest.mark.parametrize("name", ["normalize_text"])
+@pytest.mark.parametrize("name", ["normalize_text", "cascade_rules", "zh_mixed", "entities"])
 def test_small_files_are_dealt_to_all_cores(spark, name):
     assert QUERIES[name](spark, DATA).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
