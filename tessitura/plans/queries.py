@@ -346,8 +346,10 @@ WORDS = r"[^\W\d_]+"
 @query("SELECT doc_id, CAST(count(*) AS BIGINT) AS n_tokens, CAST(count(DISTINCT w) AS BIGINT) AS n_distinct, max(length(w)) AS longest FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z]+')) AS w FROM documents) GROUP BY doc_id")
 def token_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of ASCII letters per document."""
-    rows = read(spark, sf_dir, "documents").select("doc_id", F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0))).alias("w"))
-    return rows.groupBy("doc_id").agg(F.count("*").alias("n_tokens"), F.count_distinct("w").alias("n_distinct"), F.max(F.length("w").cast("long")).alias("longest"))
+    found = read(spark, sf_dir, "documents").select("doc_id", F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0)).alias("w"))
+    told = found.where(F.size("w") > 0).select("doc_id", F.size("w").cast("long").alias("n"), F.array_distinct("w").alias("w"))
+    rows = told.groupBy("doc_id").agg(F.sum("n").alias("n_tokens"), F.flatten(F.collect_list("w")).alias("w"))  # rows of one document meet with their different words only
+    return rows.select("doc_id", "n_tokens", F.size(F.array_distinct("w")).cast("long").alias("n_distinct"), F.array_max(F.transform("w", lambda w: F.length(w).cast("long"))).alias("longest"))
 
 
 @query()
