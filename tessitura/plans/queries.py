@@ -421,7 +421,8 @@ def elongation(spark: SparkSession, sf_dir: str) -> DataFrame:
 def entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Dates and amounts found in composed sentences, as JSON."""
     said = F.concat(F.lit("bayar "), price("RM"), F.lit(" pada "), F.date_format("o_orderdate", "d-M-yyyy"), F.lit(" dan 50 sen"))
-    found = read(spark, sf_dir, "orders").select("o_orderkey", said.alias("t")).select("o_orderkey", normalizer.entities("t").alias("e"))
+    orders = spread(read(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice", "o_orderdate"))
+    found = orders.select("o_orderkey", said.alias("t")).select("o_orderkey", normalizer.entities("t").alias("e"))
     return found.select("o_orderkey", F.to_json("e.dates").alias("dates"), F.to_json("e.money").alias("money"))
 
 
