@@ -44,3 +44,14 @@ def test_entry_registers_all():
 @pytest.mark.parametrize("name", ["normalize_text", "cascade_rules", "zh_mixed", "entities"])
 def test_small_files_are_dealt_to_all_cores(spark, name):
     assert QUERIES[name](spark, DATA).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no data tables")
+def test_slots_do_not_depend_on_the_zone(spark, duck):
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "Asia/Kuala_Lumpur")
+    try:
+        rows = sorted(tuple(r) for r in QUERIES["microbatch_sim"](spark, DATA).collect())
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+    assert rows == sorted(duck.sql(ORACLES["microbatch_sim"]).fetchall())
