@@ -49,6 +49,14 @@ def step(rest: str, codes: list[int], k: int, first: int, fragments: list[str],
     return rest, codes, k, first, out
 
 
+def in_order(frames: Iterator[pd.DataFrame], *columns: str) -> list[list]:
+    """Columns of a request's rows in the order of ``seq``; plain lists, since frames cost more than most requests."""
+    frames = list(frames)
+    seqs = [s for f in frames for s in f["seq"].tolist()]
+    order = sorted(range(len(seqs)), key=seqs.__getitem__)
+    return [[values[i] for i in order] for values in ([v for f in frames for v in f[c].tolist()] for c in columns)]
+
+
 def chunk_stream(fragments: DataFrame, chunk: int, context: int, idle: int | None = None) -> DataFrame:
     """Chunks of a stream with columns request, seq and fragment. Within a micro-batch fragments are taken in the order of ``seq``.
 
@@ -60,19 +68,21 @@ def chunk_stream(fragments: DataFrame, chunk: int, context: int, idle: int | Non
         if state.hasTimedOut:
             *_, out = step(rest, list(codes), k, first, [END], chunk, context)
             state.remove()
-            yield pd.DataFrame([(key[0], *o) for o in out], columns=["request", "k", "start", "end", "codes"])
+            if out:
+                yield pd.DataFrame([(key[0], *o) for o in out], columns=["request", "k", "start", "end", "codes"])
             return
-        rows = pd.concat(list(frames)).sort_values("seq")
-        if CANCEL in rows["fragment"].values:
+        (texts,) = in_order(frames, "fragment")
+        if CANCEL in texts:
             state.remove()
             return
-        rest, codes, k, first, out = step(rest, list(codes), k, first, rows["fragment"].tolist(), chunk, context)
-        if idle and END in rows["fragment"].values:
+        rest, codes, k, first, out = step(rest, list(codes), k, first, texts, chunk, context)
+        if idle and END in texts:
             state.remove()
         else:
             state.update((rest, codes, k, first))
             if idle:
                 state.setTimeoutDuration(idle)
-        yield pd.DataFrame([(key[0], *o) for o in out], columns=["request", "k", "start", "end", "codes"])
+        if out:
+            yield pd.DataFrame([(key[0], *o) for o in out], columns=["request", "k", "start", "end", "codes"])
 
     return fragments.groupBy("request").applyInPandasWithState(run, CHUNKS, STATE, "append", GroupStateTimeout.ProcessingTimeTimeout if idle else GroupStateTimeout.NoTimeout)

@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
-from tessitura.streaming.chunks import CANCEL, CODE, END, step
+from tessitura.streaming.chunks import CANCEL, CODE, END, in_order, step
 
 CHUNKS = "request string, k int, start int, end int, codes array<int>, error string"
 SOUNDS = "request string, k int, start int, end int, samples array<float>, error string"
@@ -52,7 +52,7 @@ class Requests(StatefulProcessor):
 
     def fragments(self, texts: list[str], rest: str, k: int, first: int) -> tuple[str, int, int, list[tuple]]:
         """What some fragments add, as (rest, k, first, rows of k, start, end, codes); the state of codes follows."""
-        held = [int(c[0]) for c in self.codes.get()]
+        held = [] if self.fresh else [int(c[0]) for c in self.codes.get()]
         before = len(held), first
         rest, held, k, first, out = step(rest, held, k, first, texts, self.chunk, self.context)
         if first == before[1]:
@@ -60,7 +60,7 @@ class Requests(StatefulProcessor):
                 self.codes.appendList([(c,) for c in held[before[0] :]])
         elif held:
             self.codes.put([(c,) for c in held])
-        else:
+        elif not self.fresh:
             self.codes.clear()
         return rest, k, first, out
 
@@ -72,10 +72,11 @@ class Requests(StatefulProcessor):
         return pd.DataFrame(told, columns=list(self.columns)).astype({c: "Int32" for c in ("k", "start", "end")})
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:
-        came = pd.concat(list(rows)).sort_values("seq", kind="stable")
-        rest, k, first, closed = self.place.get() if self.place.exists() else ("", 0, 0, False)
+        place = self.place.get()  # every call of the state is a message to the JVM
+        self.fresh = place is None
+        rest, k, first, closed = place or ("", 0, 0, False)
         texts, error, out = [], None, []
-        for text, bad in zip(came["fragment"], came["error"]):
+        for text, bad in zip(*in_order(rows, "fragment", "error")):
             if closed:
                 break
             if isinstance(bad, str):
@@ -87,16 +88,18 @@ class Requests(StatefulProcessor):
                 closed = text == END
         if texts:
             rest, k, first, out = self.fragments(texts, rest, k, first)
-        if closed:
+        if closed and (texts or not self.fresh):
             self.forget()
-        self.place.update(("" if closed else rest, k, first, closed))
+        if self.idle or not closed:
+            self.place.update(("" if closed else rest, k, first, closed))
         if self.idle:
             for timer in list(self.handle.listTimers()):
                 self.handle.deleteTimer(timer)
             self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.idle)
-        elif closed:
+        elif closed and not self.fresh:
             self.place.clear()
-        yield self.rows(key[0], out, error)
+        if out or error is not None:
+            yield self.rows(key[0], out, error)
 
     def handleExpiredTimer(self, key: tuple, timerValues: object, expiredTimerInfo: object) -> Iterator[pd.DataFrame]:
         closed = self.place.get()[3] if self.place.exists() else True
@@ -126,13 +129,13 @@ class Sounds(Requests):
         self.left.clear()
 
     def fragments(self, texts: list[str], rest: str, k: int, first: int) -> tuple[str, int, int, list[tuple]]:
-        held = [int(c[0]) for c in self.codes.get()]
-        left = np.array([x[0] for x in self.left.get()], np.float32)
+        held = [] if self.fresh else [int(c[0]) for c in self.codes.get()]
+        left = np.array([] if self.fresh else [x[0] for x in self.left.get()], np.float32)
         held, rest, k, first, left, out = windows(texts, held, rest, k, first, left, self.chunk, self.context, self.decode)
         for state, values in ((self.codes, held), (self.left, left.tolist())):
             if len(values):
                 state.put([(v,) for v in values])
-            else:
+            elif not self.fresh:
                 state.clear()
         return rest, k, first, out
 

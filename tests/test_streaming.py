@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import time
 
+import pandas as pd
+
 from pyspark.sql import functions as F
 
 from tessitura.operators.windows import chunk_codes, chunk_sizes
-from tessitura.streaming.chunks import CANCEL, END, chunk_stream, step
+from tessitura.streaming.chunks import CANCEL, END, chunk_stream, in_order, step
 
 
 def test_sizes():
@@ -54,3 +56,8 @@ def test_requests_that_are_cancelled_or_never_end(spark, tmp_path):
             break
     query.stop()
     assert got == [("done", 0, 1), ("open", 0, 3)]
+
+
+def test_rows_of_several_frames_come_in_order():
+    frames = [pd.DataFrame({"seq": [3, 1], "fragment": ["c", "a"], "error": [None, "x"]}), pd.DataFrame({"seq": [2], "fragment": ["b"], "error": [None]})]
+    assert in_order(iter(frames), "fragment", "error") == [["a", "b", "c"], ["x", None, None]]
