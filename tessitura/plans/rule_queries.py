@@ -11,7 +11,7 @@ from tessitura.functions import chinese, numbers, signals, text, words
 from tessitura.operators import lexicon, tokens
 from tessitura.plans import cascade
 from tessitura.plans import reference_sql as S
-from tessitura.plans.queries import CHUNK, CONTEXT, query, read, text_of
+from tessitura.plans.queries import CHUNK, CONTEXT, query, read, spread, text_of
 from tessitura.sources import readers, writers
 from tessitura.streaming.chunks import END, chunk_stream
 
@@ -62,7 +62,7 @@ def cascade_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
         english=lambda w: w.isin("furniture"), malay=lambda w: w.isin("machinery", "pergi"), place=lambda w: w.isin("building"), slang={"automobile": "kereta"},
         score=lambda w: F.when(w.rlike("^q"), 0.0).otherwise(1.0), spell=lambda w: F.when(w == "household", "bolsa").otherwise(w),
     )
-    rows = read(spark, sf_dir, "customer").select("c_custkey", F.expr(composed("c_custkey")).alias("said"))
+    rows = spread(read(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment")).select("c_custkey", F.expr(composed("c_custkey")).alias("said"))
     return cascade.speak(rows, "said", rules).select("c_custkey", "said")
 
 
