@@ -355,8 +355,8 @@ def token_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def token_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of all documents by kind, with the whole alternation."""
-    rows = tokens.token_rows(read(spark, sf_dir, "documents"), "text")
-    return rows.groupBy("token").agg(F.count("*").alias("n")).withColumn("kind", tokens.token_kind("token")).groupBy("kind").agg(F.sum("n").alias("n"), F.count("*").alias("distinct_tokens"))
+    counts = tokens.token_counts(spread(read(spark, sf_dir, "documents").select("text")), "text")
+    return counts.withColumn("kind", tokens.token_kind("token")).groupBy("kind").agg(F.sum("n").alias("n"), F.count("*").alias("distinct_tokens"))
 
 
 VOCABULARY = "SELECT DISTINCT w FROM (SELECT unnest(regexp_extract_all(text, '[A-Za-z]+')) AS w FROM benchmark)"
