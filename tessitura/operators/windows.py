@@ -35,12 +35,18 @@ def chunk_codes(streams: DataFrame, key: str, codes: str, chunk: int, context: i
 
 
 def micro_batches(events: DataFrame, time: str, wait_ms: int, most: int, *order: str) -> DataFrame:
-    """``slot`` and ``batch``: what arrives within ``wait_ms`` forms batches of at most ``most`` in order."""
+    """``slot`` and ``batch``: what arrives within ``wait_ms`` forms batches of at most ``most`` in order, nulls last.
+
+    Slots are whole quotients as SQL's integer division has them, so that those before 1970 are counted towards it.
+    """
     at = F.unix_millis(F.col(time).cast("timestamp"))
-    if dict(events.dtypes)[time] == "timestamp_ntz":  # times without a zone count from the epoch as they are written, whatever the session's zone
-        at = F.unix_date(F.to_date(time)).cast("long") * 86_400_000 + F.hour(time) * 3_600_000 + F.minute(time) * 60_000 + F.date_format(time, "s").cast("long") * 1000 + F.date_format(time, "SSS").cast("long")
-    slot = F.floor(at / F.lit(wait_ms)).cast("long")
-    rank = F.row_number().over(Window.partitionBy("slot").orderBy(time, *order))
+    kind = dict(events.dtypes)[time]
+    if kind in ("timestamp_ntz", "date"):  # times without a zone count from the epoch as they are written, whatever the session's zone
+        at = F.unix_date(F.to_date(time)).cast("long") * 86_400_000
+        if kind == "timestamp_ntz":
+            at = at + F.hour(time) * 3_600_000 + F.minute(time) * 60_000 + F.date_format(time, "s").cast("long") * 1000 + F.date_format(time, "SSS").cast("long")
+    slot = ((at - at % F.lit(wait_ms)) / F.lit(wait_ms)).cast("long")
+    rank = F.row_number().over(Window.partitionBy("slot").orderBy(*(F.col(c).asc_nulls_last() for c in (time, *order))))
     return events.withColumn("slot", slot).withColumn("batch", F.floor((rank - 1) / F.lit(most)).cast("long"))
 
 

@@ -55,3 +55,22 @@ def test_slots_do_not_depend_on_the_zone(spark, duck):
     finally:
         spark.conf.set("spark.sql.session.timeZone", zone)
     assert rows == sorted(duck.sql(ORACLES["microbatch_sim"]).fetchall())
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no data tables")
+@pytest.mark.parametrize(
+    "odd",
+    ["ts - INTERVAL 55 YEAR AS ts", "CAST(ts AS DATE) AS ts", "CASE WHEN event_id % 7 > 0 THEN ts END AS ts, CASE WHEN event_id % 5 > 0 THEN event_id END AS event_id"],
+    ids=["before 1970", "dates", "nulls"],
+)
+def test_slots_of_odd_events(spark, tmp_path, odd):
+    duck = duckdb.connect()
+    duck.sql(f"COPY (SELECT * REPLACE ({odd}) FROM '{DATA}/events.parquet') TO '{tmp_path}/events.parquet' (FORMAT parquet)")
+    duck.sql(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet'")
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "Asia/Kuala_Lumpur")
+    try:
+        rows = sorted(map(str, QUERIES["microbatch_sim"](spark, str(tmp_path)).collect()))
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+    assert [r.replace("Row", "") for r in rows] == sorted(f"(event_id={i}, slot={s}, batch={b})" for i, s, b in duck.sql(ORACLES["microbatch_sim"]).fetchall())
