@@ -6,6 +6,8 @@ composition of built-in functions over short arrays; what can't be read comes ba
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -58,16 +60,18 @@ def spoken(parts: list[Column]) -> Column:
     return F.array_join(F.filter(F.array(*[F.nullif(p, F.lit("")) for p in parts]), lambda x: x.isNotNull()), " ")
 
 
-def _hundreds_ms(n: Column) -> Column:
-    digit = lambda i: F.get(words(DIGITS_MS), i)
-    h, r = (n / 100).cast("int"), n % 100
-    t, u = (r / 10).cast("int"), r % 10
-    hundred = F.when(h == 1, "seratus").when(h > 1, F.concat(digit(h), F.lit(" ratus")))
-    rest = (
-        F.when(r == 0, F.lit(None)).when(r < 10, digit(u)).when(r == 10, "sepuluh").when(r == 11, "sebelas").when(r < 20, F.concat(digit(u), F.lit(" belas")))
-        .when(u == 0, F.concat(digit(t), F.lit(" puluh"))).otherwise(F.concat(digit(t), F.lit(" puluh "), digit(u)))
-    )
-    return spoken([hundred, rest])
+def _below_thousand(say: Callable[[int], str], n: Column) -> Column:
+    """What is said of a number below a thousand, from a table that the plan holds as one constant."""
+    return F.get(F.split(F.lit("|".join(map(say, range(1000)))), r"\|"), n)
+
+
+def _hundreds_ms(n: int) -> str:
+    h, t, u = n // 100, n // 10 % 10, n % 10
+    hundred = "" if h == 0 else "seratus" if h == 1 else f"{DIGITS_MS[h]} ratus"
+    rest = {0: "", 10: "sepuluh", 11: "sebelas"}.get(n % 100)
+    if rest is None:
+        rest = DIGITS_MS[u] if t == 0 else f"{DIGITS_MS[u]} belas" if t == 1 else f"{DIGITS_MS[t]} puluh" + (f" {DIGITS_MS[u]}" if u else "")
+    return f"{hundred} {rest}".strip()
 
 
 def whole_ms(digits: Column) -> Column:
@@ -78,19 +82,17 @@ def whole_ms(digits: Column) -> Column:
 
         def one(g: Column, i: Column) -> Column:
             scale = F.get(words(SCALES_MS), n - 1 - i)
-            return F.when((n == 2) & (i == 0) & (g == 1), F.lit("seribu")).when(g > 0, F.concat_ws(" ", _hundreds_ms(g), F.nullif(scale, F.lit(""))))
+            return F.when((n == 2) & (i == 0) & (g == 1), F.lit("seribu")).when(g > 0, F.concat_ws(" ", _below_thousand(_hundreds_ms, g), F.nullif(scale, F.lit(""))))
 
         return F.array_join(F.filter(F.transform(parts, one), lambda x: x.isNotNull()), " ")
 
     return let(let(groups(digits, 3), say), lambda said: F.when(said == "", "kosong").otherwise(said))
 
 
-def _hundreds_en(n: Column, last: Column) -> Column:
-    """A group of three; "and" comes after hundreds, and in the last group also without."""
-    h, r = (n / 100).cast("int"), n % 100
-    small = F.when(r < 20, F.get(words(SMALL_EN), r)).otherwise(F.concat(F.get(words(TENS_EN), (r / 10).cast("int")), F.when(r % 10 > 0, F.concat(F.lit("-"), F.get(words(SMALL_EN), r % 10))).otherwise("")))
-    hundred = F.when(h > 0, F.concat(F.get(words(SMALL_EN), h), F.lit(" hundred")))
-    return F.when(h == 0, F.when(last, F.concat(F.lit("and "), small)).otherwise(small)).when(r == 0, hundred).otherwise(F.concat(hundred, F.lit(" and "), small))
+def _hundreds_en(n: int) -> str:
+    h, r = n // 100, n % 100
+    small = SMALL_EN[r] if r < 20 else TENS_EN[r // 10] + (f"-{SMALL_EN[r % 10]}" if r % 10 else "")
+    return small if h == 0 else f"{SMALL_EN[h]} hundred" + (f" and {small}" if r else "")
 
 
 def whole_en(digits: Column) -> Column:
@@ -101,7 +103,8 @@ def whole_en(digits: Column) -> Column:
 
     def one(g: Column, i: Column, n: Column) -> Column:
         scale = F.get(words(SCALES_EN), n - 1 - i)
-        joined = F.when((i == n - 1) & (n > 1) & (g < 100), F.concat(F.lit(" "), _hundreds_en(g, F.lit(True)))).otherwise(F.concat(F.when(i > 0, ", ").otherwise(""), _hundreds_en(g, F.lit(False))))
+        before = F.when(i == 0, "").when((i == n - 1) & (g < 100), " and ").otherwise(", ")
+        joined = F.concat(before, _below_thousand(_hundreds_en, g))
         return F.when(g > 0, F.concat(joined, F.when(scale != "", F.concat(F.lit(" "), scale)).otherwise("")))
 
     return let(let(groups(digits, 3), say), lambda said: F.when(said == "", "zero").otherwise(F.regexp_replace(said, "^, ", "")))

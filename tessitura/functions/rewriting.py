@@ -27,17 +27,18 @@ def fold(text: Text, rules: Iterable[tuple[str, str]]) -> Column:
     return out
 
 
-def regex_map(text: Text, pattern: str, make: Callable[[Column], Column]) -> Column:
+def regex_map(text: Text, pattern: str, make: Callable[[Column], Column], only: Callable[[Column], Column] | None = None) -> Column:
     """Replace every match by ``make(match)``. The pattern must not match the empty string.
 
     The text is split at the matches, and the gaps are zipped with what is made of the matches: all inside
     one expression, whatever ``make`` builds. A column's name is used twice, so that a step of a plan
-    is not folded into the step before.
+    is not folded into the step before. ``only`` is a cheap test that every text with a match passes: others are not searched.
     """
 
     def join(t: Column) -> Column:
         made = F.transform(F.regexp_extract_all(t, F.lit(pattern), F.lit(0)), make)
-        return F.array_join(F.zip_with(F.split(t, pattern, -1), made, lambda gap, new: F.concat(gap, F.coalesce(new, F.lit("")))), "")
+        out = F.array_join(F.zip_with(F.split(t, pattern, -1), made, lambda gap, new: F.concat(gap, F.coalesce(new, F.lit("")))), "")
+        return out if only is None else F.when(only(t), out).otherwise(t)
 
     return join(F.col(text)) if isinstance(text, str) else let(text, join)
 

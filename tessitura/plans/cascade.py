@@ -98,7 +98,11 @@ def composites(r: Rules) -> list[tuple[str, str]]:
 
 def kind_of(w: Column, r: Rules) -> Column:
     """The first rule that knows a group."""
-    low, never = F.lower(w), F.lit(False)
+    return let(F.lower(w), lambda low: known_as(w, low, r))
+
+
+def known_as(w: Column, low: Column, r: Rules) -> Column:
+    never = F.lit(False)
     has = lambda t, *kinds: t.rlike("(?U)" + "|".join(f"(?:{TOKENS[k]})" for k in kinds))
     digit, first = w.rlike("[0-9]"), w.rlike(r"^\p{Lu}")
     english = r.english(low) if r.english else never
@@ -201,7 +205,8 @@ def number_parts(w: Column, kind: Column, english: Column) -> list[Column]:
 
     unit, bare = F.regexp_replace(w, "[0-9. ]", ""), F.regexp_replace(w, "[^0-9.]", "")
     return (
-        F.when(kind == "until", row(at(0), at(2)))
+        F.when(kind.isin("as_is", "name", "rest"), row())  # most of any text
+        .when(kind == "until", row(at(0), at(2)))
         .when(kind == "fraction", row(at(0), at(2)))
         .when(kind == "pada", row(at(1), at(3)))
         .when(kind.isin("year", "years"), year(at(1)))
@@ -268,7 +273,8 @@ def in_words(g: Column, english: Column, r: Rules, readings: Column | None = Non
     short = lambda t: F.left(t, F.length(t) - 1)
     translated = r.translate or (lambda t: t)
     out = (
-        F.when(kind == "ic", F.array_join(F.transform(F.split(w, "-"), digits_of), " " if not r.ic_dashes else " sempang "))
+        F.when((kind == "as_is") | ((kind == "name") & ~w.rlike(r"[\d\- ]")), w)  # most of any text
+        .when(kind == "ic", F.array_join(F.transform(F.split(w, "-"), digits_of), " " if not r.ic_dashes else " sempang "))
         .when(kind == "url", cased_url)
         .when(kind.isin("email", "phone"), F.coalesce(spaced, w))
         .when(kind == "dashes", letters(tongue(F.lit("dash"), F.lit("sempang"))))
@@ -350,10 +356,10 @@ def speak(df: DataFrame, column: str, rules: Rules = SERVICE, english: Column |
     if "__t" not in df.columns:
         df = grouped(df, column, r)
     df = df.withColumn("__t", F.transform("__t", lambda g: F.struct(g["w"].alias("w"), g["kind"].alias("kind"), number_parts(g["w"], g["kind"], F.col("__en")).alias("n"))))
-    flat = F.flatten(F.transform("__t", lambda g: F.array(g["n"]["a"], g["n"]["b"], g["n"]["c"])))
-    df = df.withColumn("__n", F.transform(flat, lambda v: F.when(v.isNotNull(), F.when(F.col("__en"), numbers.cardinal_en(v)).otherwise(numbers.cardinal_ms(v)))))
-    df = df.withColumn("__t", F.transform("__t", lambda g, i: F.struct(*(g[k].alias(k) for k in ("w", "kind", "n")), F.slice("__n", i * 3 + 1, F.lit(3)).alias("said"))))
+    # said inside the group: a column of all numbers, named once in a lambda, would be folded into it and computed anew for each group
+    say = lambda v: F.when(v.isNotNull(), F.when(F.col("__en"), numbers.cardinal_en(v)).otherwise(numbers.cardinal_ms(v)))
+    df = df.withColumn("__t", F.transform("__t", lambda g: F.struct(*(g[k].alias(k) for k in ("w", "kind", "n")), F.transform(F.array(g["n"]["a"], g["n"]["b"], g["n"]["c"]), say).alias("said"))))
     df = df.withColumn("__t", F.array_join(F.transform("__t", lambda g: in_words(g, F.col("__en"), r, F.col(readings) if readings else None)), " "))
     if r.date:  # dates that tokens only make together
-        df = df.withColumn("__t", regex_map("__t", f"(?U){TOKENS['date']}", lambda m: F.when(F.col("__en"), dates.spoken_date(m, True)).otherwise(dates.spoken_date(m))))
-    return df.withColumn(column, text.fix_spacing(collapse(F.col("__t")))).drop("__t", "__n", "__en")
+        df = df.withColumn("__t", regex_map("__t", f"(?U){TOKENS['date']}", lambda m: F.when(F.col("__en"), dates.spoken_date(m, True)).otherwise(dates.spoken_date(m)), lambda t: t.rlike(r"(?U)\d")))
+    return df.withColumn(column, text.fix_spacing(collapse(F.col("__t")))).drop("__t", "__en")

@@ -53,6 +53,19 @@ def normalize_text(df: DataFrame, column: str, english: Column | None = None, ru
     return df.withColumn(column, collapse(text.terminal_dot(text.after_map(text.pronounce(out))))).drop("__zh", "__english", "__chinese", "__spoken")
 
 
+def normalize_different(df: DataFrame, column: str, english: str | None = None, rules: Rules = SERVICE) -> DataFrame:
+    """As ``normalize_text``, but each different text is normalised once for a language and joined back; for tables in which texts come again.
+
+    ``english`` names a boolean column. The different texts are dealt to all cores, since few bytes of them are much work.
+    """
+    keys = [column] + ([english] if english else [])
+    parts = 4 * df.sparkSession.sparkContext.defaultParallelism
+    texts = df.select(*(F.col(k).alias(f"__{i}") for i, k in enumerate(keys))).distinct().repartition(parts).withColumn("__said", F.col("__0"))
+    said = normalize_text(texts, "__said", F.col("__1") if english else None, rules)
+    same = [F.col(k).eqNullSafe(F.col(f"__{i}")) for i, k in enumerate(keys)]
+    return df.join(said, same).withColumn(column, F.col("__said")).drop("__said", *(f"__{i}" for i in range(len(keys))))
+
+
 def moment(date: Column) -> Column:
     """The day of a date in figures or with a month's name and a year; null for others, which name no day by themselves."""
     named = dates.date_parts(date)

@@ -611,4 +611,4 @@ def normalize_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = F.concat(F.lit("**Harga** "), price("RM"), F.lit(" pada "), F.date_format("o_orderdate", "d/M/yyyy"), F.lit(" untuk 3-5 kg, diskaun 10% di 012-3456789!"))
     orders = spread(read(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice", "o_orderdate"))
     rows = orders.select("o_orderkey", said.alias("said"), (F.col("o_orderkey") % 2 == 0).alias("english"))
-    return normalizer.normalize_text(rows, "said", F.col("english")).select("o_orderkey", "said")
+    return normalizer.normalize_different(rows, "said", "english").select("o_orderkey", "said")

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import time
+
 import pytest
+from pyspark.sql import functions as F
 
 from tessitura.operators import tokens
 from tessitura.plans import cascade
+from tessitura.plans.normalizer import normalize_different, normalize_text
 
 # --- Fixed values: texts and how they are read (Malay, English; None: not stated) ---------------------------
 SERVICE = {
@@ -95,3 +99,27 @@ def test_sentences(spark):
     df = spark.createDataFrame([(i, t) for i, t in enumerate(stated)], "i int, t string")
     got = {r["i"]: r["s"] for r in df.select("i", tokens.sentences("t").alias("s")).collect()}
     assert [got[i] for i in range(len(stated))] == list(stated.values())
+
+
+def test_numbers_of_a_text_are_spoken_once(spark):
+    """Time grows with the groups of a text, not with groups times numbers."""
+    long = " ".join(f"RM{n}.50" for n in range(1000, 1400))
+    df = cascade.speak(spark.createDataFrame([(long,)] * 32, "t string").repartition(4), "t")
+    df._jdf.queryExecution().executedPlan()
+    began = time.perf_counter()
+    assert df.collect()[31][0].startswith("seribu ringgit lima puluh sen seribu satu ringgit lima puluh sen")
+    took = time.perf_counter() - began
+    assert took < 20, took
+
+
+def test_different_texts_are_normalised_once(spark):
+    rows = [(1, "RM12.50 pada 3/4/2021", True), (2, "RM12.50 pada 3/4/2021", False), (3, None, True), (4, "RM12.50 pada 3/4/2021", True), (5, "3-5 kg", None), (6, None, None)]
+    df = spark.createDataFrame(rows, "id int, t string, en boolean")
+    once = normalize_different(df, "t", "en")
+    assert once.columns == df.columns
+    assert sorted(once.collect()) == sorted(normalize_text(df, "t", F.col("en")).collect())
+    plan = once._jdf.queryExecution().optimizedPlan()
+    while plan.nodeName() != "Join":
+        plan = plan.children().head()
+    sides = [plan.children().apply(i).toString() for i in (0, 1)]
+    assert "Aggregate" in sides[1] and "regexp" not in sides[0]
