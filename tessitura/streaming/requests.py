@@ -4,7 +4,8 @@ Fragments of a request carry codes, the end mark, the cancel mark, or an error.
 cancel, which drops it, by an error, which is told in a row of its own, or by silence, which is told as an error too. What comes after the end is ignored
 until the request's state is forgotten, ``idle`` milliseconds later.
 
-State lives in RocksDB and grows with open requests only: codes as a list as far back as the next context reaches, samples that wait for the next window as another.
+State lives in RocksDB and grows with open requests only: codes as far back as the next context reaches, samples that wait for the next window. Chunks keep it in one
+row, which comes and goes with the request's fragments; sounds keep it in lists with timers, where every call is a message, which decoding outweighs.
 """
 
 from __future__ import annotations
@@ -13,12 +14,14 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, GroupedData, SparkSession
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from tessitura.streaming.chunks import CANCEL, CODE, END, in_order, step
 
 CHUNKS = "request string, k int, start int, end int, codes array<int>, error string"
+STATE = "rest string, codes array<int>, k int, first int, closed boolean"
 SOUNDS = "request string, k int, start int, end int, samples array<float>, error string"
 SILENT = "no fragment for {} ms"
 MARGIN = 256
@@ -34,58 +37,70 @@ def streaming_session(spark: SparkSession) -> SparkSession:
     return other
 
 
-class Requests(StatefulProcessor):
-    """Chunks with context, as ``chunk_stream`` gives them, and errors."""
+def taken(rows: Iterator[pd.DataFrame], closed: bool) -> tuple[list[str], str | None, bool]:
+    """(fragments, error, closed) of a request's rows in the order of ``seq``, up to what ends it."""
+    texts, error = [], None
+    for text, bad in zip(*in_order(rows, "fragment", "error")):
+        if closed:
+            break
+        if isinstance(bad, str):
+            error, closed = bad, True
+        elif text == CANCEL:
+            closed = True
+        elif isinstance(text, str):
+            texts.append(text)
+            closed = text == END
+    return texts, error, closed
 
-    columns = ("request", "k", "start", "end", "codes", "error")
 
-    def __init__(self, chunk: int, context: int, idle: int | None) -> None:
-        self.chunk, self.context, self.idle = chunk, context, idle
+def told(columns: tuple[str, ...], key: object, found: list[tuple], error: str | None = None) -> pd.DataFrame:
+    """Rows of what a request gives, and of its error."""
+    rows = [(key, *f, None) for f in found] + ([(key, None, None, None, None, error)] if error is not None else [])
+    return pd.DataFrame(rows, columns=list(columns), dtype=object)
+
+
+class Sounds(StatefulProcessor):
+    """Windows of the last two chunks, decoded, without what the window before has given, cut at a change of sign; what is cut off waits for the next window.
+
+    ``decode`` makes a fixed number of samples of each code. The last ``context`` codes of a window are given by the next one, or at the end.
+    """
+
+    columns = ("request", "k", "start", "end", "samples", "error")
+
+    def __init__(self, chunk: int, context: int, idle: int | None, decode: Decode) -> None:
+        self.chunk, self.context, self.idle, self.decode = chunk, context, idle, decode
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.codes = handle.getListState("codes", "code int")
         self.place = handle.getValueState("place", "rest string, k int, first int, closed boolean")
+        self.left = handle.getListState("left", "sample float")
 
     def close(self) -> None:
         pass
 
-    def fragments(self, texts: list[str], rest: str, k: int, first: int) -> tuple[str, int, int, list[tuple]]:
-        """What some fragments add, as (rest, k, first, rows of k, start, end, codes); the state of codes follows."""
-        held = [] if self.fresh else [int(c[0]) for c in self.codes.get()]
-        before = len(held), first
-        rest, held, k, first, out = step(rest, held, k, first, texts, self.chunk, self.context)
-        if first == before[1]:
-            if len(held) > before[0]:
-                self.codes.appendList([(c,) for c in held[before[0] :]])
-        elif held:
-            self.codes.put([(c,) for c in held])
-        elif not self.fresh:
-            self.codes.clear()
-        return rest, k, first, out
-
     def forget(self) -> None:
         self.codes.clear()
+        self.left.clear()
 
-    def rows(self, key: object, found: list[tuple], error: str | None = None) -> pd.DataFrame:
-        told = [(key, *f, None) for f in found] + ([(key, None, None, None, None, error)] if error is not None else [])
-        return pd.DataFrame(told, columns=list(self.columns)).astype({c: "Int32" for c in ("k", "start", "end")})
+    def fragments(self, texts: list[str], rest: str, k: int, first: int) -> tuple[str, int, int, list[tuple]]:
+        """What some fragments add, as (rest, k, first, rows of k, start, end, samples); the state of codes and samples follows."""
+        held = [] if self.fresh else [int(c[0]) for c in self.codes.get()]
+        left = np.array([] if self.fresh else [x[0] for x in self.left.get()], np.float32)
+        held, rest, k, first, left, out = windows(texts, held, rest, k, first, left, self.chunk, self.context, self.decode)
+        for state, values in ((self.codes, held), (self.left, left.tolist())):
+            if len(values):
+                state.put([(v,) for v in values])
+            elif not self.fresh:
+                state.clear()
+        return rest, k, first, out
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:
         place = self.place.get()  # every call of the state is a message to the JVM
         self.fresh = place is None
         rest, k, first, closed = place or ("", 0, 0, False)
-        texts, error, out = [], None, []
-        for text, bad in zip(*in_order(rows, "fragment", "error")):
-            if closed:
-                break
-            if isinstance(bad, str):
-                error, closed = bad, True
-            elif text == CANCEL:
-                closed = True
-            elif isinstance(text, str):
-                texts.append(text)
-                closed = text == END
+        texts, error, closed = taken(rows, closed)
+        out = []
         if texts:
             rest, k, first, out = self.fragments(texts, rest, k, first)
         if closed and (texts or not self.fresh):
@@ -99,45 +114,13 @@ class Requests(StatefulProcessor):
         elif closed and not self.fresh:
             self.place.clear()
         if out or error is not None:
-            yield self.rows(key[0], out, error)
+            yield told(self.columns, key[0], out, error)
 
     def handleExpiredTimer(self, key: tuple, timerValues: object, expiredTimerInfo: object) -> Iterator[pd.DataFrame]:
         closed = self.place.get()[3] if self.place.exists() else True
         self.forget()
         self.place.clear()
-        yield self.rows(key[0], [], None if closed else SILENT.format(self.idle))
-
-
-class Sounds(Requests):
-    """Windows of the last two chunks, decoded, without what the window before has given, cut at a change of sign; what is cut off waits for the next window.
-
-    ``decode`` makes a fixed number of samples of each code. The last ``context`` codes of a window are given by the next one, or at the end.
-    """
-
-    columns = ("request", "k", "start", "end", "samples", "error")
-
-    def __init__(self, chunk: int, context: int, idle: int | None, decode: Decode) -> None:
-        super().__init__(chunk, context, idle)
-        self.decode = decode
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        super().init(handle)
-        self.left = handle.getListState("left", "sample float")
-
-    def forget(self) -> None:
-        super().forget()
-        self.left.clear()
-
-    def fragments(self, texts: list[str], rest: str, k: int, first: int) -> tuple[str, int, int, list[tuple]]:
-        held = [] if self.fresh else [int(c[0]) for c in self.codes.get()]
-        left = np.array([] if self.fresh else [x[0] for x in self.left.get()], np.float32)
-        held, rest, k, first, left, out = windows(texts, held, rest, k, first, left, self.chunk, self.context, self.decode)
-        for state, values in ((self.codes, held), (self.left, left.tolist())):
-            if len(values):
-                state.put([(v,) for v in values])
-            elif not self.fresh:
-                state.clear()
-        return rest, k, first, out
+        yield told(self.columns, key[0], [], None if closed else SILENT.format(self.idle))
 
 
 def cut_at_crossing(samples: np.ndarray, margin: int = MARGIN) -> int:
@@ -190,14 +173,37 @@ def request_chunks(fragments: DataFrame, chunk: int, context: int, idle: int | N
 
     Within a micro-batch fragments are taken in the order of ``seq``. Without ``idle`` requests wait for ever, and state of ended ones goes at once.
     """
-    return started(fragments, Requests(chunk, context, idle), CHUNKS)
+    columns = ("request", "k", "start", "end", "codes", "error")
+
+    def run(key: tuple, rows: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        known = state.exists
+        rest, codes, k, first, closed = state.get if known else ("", [], 0, 0, False)
+        if state.hasTimedOut:
+            state.remove()
+            if not closed:
+                yield told(columns, key[0], [], SILENT.format(idle))
+            return
+        texts, error, closed = taken(rows, closed)
+        out = []
+        if texts:
+            rest, codes, k, first, out = step(rest, list(codes), k, first, texts, chunk, context)
+        if idle or not closed:
+            state.update(("", [], k, first, True) if closed else (rest, codes, k, first, False))
+            if idle:
+                state.setTimeoutDuration(idle)
+        elif known:
+            state.remove()
+        if out or error is not None:
+            yield told(columns, key[0], out, error)
+
+    wait = GroupStateTimeout.ProcessingTimeTimeout if idle else GroupStateTimeout.NoTimeout
+    return by_request(fragments).applyInPandasWithState(run, CHUNKS, STATE, "append", wait)
 
 
 def request_sounds(fragments: DataFrame, chunk: int, context: int, decode: Decode, idle: int | None = None) -> DataFrame:
     """Decoded windows and errors of a stream, in the same way."""
-    return started(fragments, Sounds(chunk, context, idle, decode), SOUNDS)
+    return by_request(fragments).transformWithStateInPandas(Sounds(chunk, context, idle, decode), SOUNDS, "Append", "ProcessingTime" if idle else "None")
 
 
-def started(fragments: DataFrame, processor: StatefulProcessor, schema: str) -> DataFrame:
-    mode = "ProcessingTime" if processor.idle else "None"
-    return fragments.select("request", "seq", "fragment", "error").groupBy("request").transformWithStateInPandas(processor, schema, "Append", mode)
+def by_request(fragments: DataFrame) -> GroupedData:
+    return fragments.select("request", "seq", "fragment", "error").groupBy("request")

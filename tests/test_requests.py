@@ -119,3 +119,11 @@ def test_sounds_go_on_after_a_restart(spark, tmp_path):
     want = plain_windows(codes, 10, 3)
     assert len(ours) == len(want) and all(np.array_equal(np.array(s, np.float32), w) for (_, s), w in zip(ours, want))
     assert [r["error"] for r in got if r["request"] == "b"] == ["refused"]
+
+
+def test_a_request_of_chunks_costs_no_messages(spark):
+    """Its state comes and goes with its fragments; calls of the state for each request were most of the time."""
+    own = streaming_session(spark)
+    stream = own.readStream.format("rate").load().selectExpr("CAST(value AS STRING) AS request", "1 AS seq", "'' AS fragment", "CAST(NULL AS STRING) AS error")
+    plan = request_chunks(stream, 4, 2)._jdf.queryExecution().analyzed().toString()
+    assert "FlatMapGroupsInPandasWithState" in plan and "TransformWithState" not in plan
