@@ -10,11 +10,12 @@ row, which comes and goes with the request's fragments; sounds keep it in lists
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, GroupedData, SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
@@ -37,10 +38,10 @@ def streaming_session(spark: SparkSession) -> SparkSession:
     return other
 
 
-def taken(rows: Iterator[pd.DataFrame], closed: bool) -> tuple[list[str], str | None, bool]:
-    """(fragments, error, closed) of a request's rows in the order of ``seq``, up to what ends it."""
+def taken(rows: Iterable[tuple[str | None, str | None]], closed: bool) -> tuple[list[str], str | None, bool]:
+    """(fragments, error, closed) of a request's rows (fragment, error) in order, up to what ends it."""
     texts, error = [], None
-    for text, bad in zip(*in_order(rows, "fragment", "error")):
+    for text, bad in rows:
         if closed:
             break
         if isinstance(bad, str):
@@ -99,7 +100,7 @@ class Sounds(StatefulProcessor):
         place = self.place.get()  # every call of the state is a message to the JVM
         self.fresh = place is None
         rest, k, first, closed = place or ("", 0, 0, False)
-        texts, error, closed = taken(rows, closed)
+        texts, error, closed = taken(zip(*in_order(rows, "fragment", "error")), closed)
         out = []
         if texts:
             rest, k, first, out = self.fragments(texts, rest, k, first)
@@ -169,7 +170,7 @@ def windows(texts: list[str], held: list[int], rest: str, k: int, first: int, le
 
 
 def request_chunks(fragments: DataFrame, chunk: int, context: int, idle: int | None = None) -> DataFrame:
-    """Chunks and errors of a stream with columns request, seq, fragment and error, made in a ``streaming_session``.
+    """Chunks and errors of a stream with columns request, seq (a whole number), fragment and error, made in a ``streaming_session``.
 
     Within a micro-batch fragments are taken in the order of ``seq``. Without ``idle`` requests wait for ever, and state of ended ones goes at once.
     """
@@ -183,7 +184,8 @@ def request_chunks(fragments: DataFrame, chunk: int, context: int, idle: int | N
             if not closed:
                 yield told(columns, key[0], [], SILENT.format(idle))
             return
-        texts, error, closed = taken(rows, closed)
+        found = sorted((r for f in rows for r in f["row"].tolist()), key=lambda r: (r[0] is not None, int(r[0] or 0)))
+        texts, error, closed = taken(((text, bad) for _, text, bad in found), closed)
         out = []
         if texts:
             rest, codes, k, first, out = step(rest, list(codes), k, first, texts, chunk, context)
@@ -197,13 +199,11 @@ def request_chunks(fragments: DataFrame, chunk: int, context: int, idle: int | N
             yield told(columns, key[0], out, error)
 
     wait = GroupStateTimeout.ProcessingTimeTimeout if idle else GroupStateTimeout.NoTimeout
-    return by_request(fragments).applyInPandasWithState(run, CHUNKS, STATE, "append", wait)
+    packed = fragments.select("request", F.array(F.col("seq").cast("string"), "fragment", "error").alias("row"))  # each column of a request costs as much as its rows
+    return packed.groupBy("request").applyInPandasWithState(run, CHUNKS, STATE, "append", wait)
 
 
 def request_sounds(fragments: DataFrame, chunk: int, context: int, decode: Decode, idle: int | None = None) -> DataFrame:
     """Decoded windows and errors of a stream, in the same way."""
-    return by_request(fragments).transformWithStateInPandas(Sounds(chunk, context, idle, decode), SOUNDS, "Append", "ProcessingTime" if idle else "None")
-
-
-def by_request(fragments: DataFrame) -> GroupedData:
-    return fragments.select("request", "seq", "fragment", "error").groupBy("request")
+    rows = fragments.select("request", "seq", "fragment", "error").groupBy("request")
+    return rows.transformWithStateInPandas(Sounds(chunk, context, idle, decode), SOUNDS, "Append", "ProcessingTime" if idle else "None")
